@@ -119,3 +119,29 @@ def exact_quantiles(df: DataFrame, groups: list[str], value: str | Column,
                * (position(f) - F.floor(position(f)))).alias(name)
               for i, (name, f) in enumerate(fractions.items())]
     return out.select(*groups, F.col("_n").alias("n_values"), *result)
+
+
+def nearest_in_time(df: DataFrame, keys: list[str], time: str, value: Column, name: str,
+                    forward: bool = False, inclusive: bool = True, chunk: str = "HOUR") -> DataFrame:
+    """Add the latest earlier (or next later) non-null value of the same key.
+
+    The as-of lookup runs inside (key, chunk of time); what lies outside the chunk comes from a
+    table with one row for each key and chunk. A key with a third of all rows is spread over its
+    chunks. ``value`` must be null where a row offers nothing.
+    """
+    rows = df.withColumn("_slot", F.date_trunc(chunk, time)).withColumn("_value", value)
+    direction = F.col(time).desc() if forward else F.col(time).asc()
+    slot_order = F.col("_slot").desc() if forward else F.col("_slot").asc()
+    pick = F.min_by if forward else F.max_by
+    known = F.when(F.col("_value").isNotNull(), F.col(time))
+    slots = rows.groupBy(*keys, "_slot").agg(pick("_value", known).alias("_edge"))
+    outside = Window.partitionBy(*keys).orderBy(slot_order).rowsBetween(Window.unboundedPreceding, -1)
+    slots = slots.select(*keys, "_slot", F.last("_edge", ignorenulls=True).over(outside).alias("_outside"))
+    inside = (Window.partitionBy(*keys, "_slot").orderBy(direction)
+              .rangeBetween(Window.unboundedPreceding, Window.currentRow) if inclusive else
+              Window.partitionBy(*keys, "_slot").orderBy(direction)
+              .rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_inside", F.last("_value", ignorenulls=True).over(inside))
+    return (rows.join(slots, [*keys, "_slot"])
+            .withColumn(name, F.coalesce("_inside", "_outside"))
+            .drop("_slot", "_value", "_inside", "_outside"))

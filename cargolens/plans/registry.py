@@ -51,6 +51,8 @@ def publish(df: DataFrame, spec: str) -> DataFrame:
             c = F.when(r == 0, F.lit(0.0)).otherwise(r)
         elif kind == "i":
             c = c.cast("bigint")
+        elif kind == "d":
+            c = c.cast("date").cast("string")
         elif kind == "t":
             c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
         elif kind == "b":

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions.scale import nearest_in_time
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -104,26 +106,16 @@ def business_volume(spark: SparkSession, folder: str) -> DataFrame:
 def click_to_purchase(spark: SparkSession, folder: str) -> DataFrame:
     """order_id, ds, accept_time, delivery_time: a click and the same user's next purchase.
 
-    The next purchase is found in two steps so that a user with a third of all events is
-    spread over many tasks: first inside the hour, then from the first purchase of the
-    later hours (one row for each user and hour).
+    A user with a third of all events is spread over the hours of those events.
     """
     ev = (table(spark, folder, "events").where(F.col("event_type").isin("click", "purchase"))
-          .select("event_id", "user_id", "ts", "event_type")
-          .withColumn("hour", F.date_trunc("HOUR", "ts")))
+          .select("event_id", "user_id", "ts", "event_type"))
     bought = F.when(F.col("event_type") == "purchase", F.col("ts"))
-    hours = ev.groupBy("user_id", "hour").agg(F.min(bought).alias("first_bought"))
-    later = (Window.partitionBy("user_id").orderBy(F.col("hour").desc())
-             .rowsBetween(Window.unboundedPreceding, -1))
-    hours = hours.select("user_id", "hour", F.min("first_bought").over(later).alias("later_bought"))
-    within = (Window.partitionBy("user_id", "hour").orderBy(F.col("ts").desc())
-              .rowsBetween(Window.unboundedPreceding, -1))
-    ev = ev.withColumn("soon_bought", F.min(bought).over(within))
-    accept = F.date_trunc("SECOND", "ts").cast("timestamp_ntz")
-    delivery = F.date_trunc("SECOND", F.coalesce("soon_bought", "later_bought")).cast("timestamp_ntz")
-    return (ev.join(hours, ["user_id", "hour"]).where(F.col("event_type") == "click")
+    ev = nearest_in_time(ev, ["user_id"], "ts", bought, "bought", forward=True, inclusive=False)
+    second = [F.date_trunc("SECOND", c).cast("timestamp_ntz") for c in ("ts", "bought")]
+    return (ev.where(F.col("event_type") == "click")
             .select(F.col("event_id").alias("order_id"), F.date_format("ts", "Mdd").alias("ds"),
-                    accept.alias("accept_time"), delivery.alias("delivery_time")))
+                    second[0].alias("accept_time"), second[1].alias("delivery_time")))
 
 
 def order_shipments(spark: SparkSession, folder: str) -> DataFrame:

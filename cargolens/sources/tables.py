@@ -28,7 +28,7 @@ def read_table(spark: SparkSession, path: str, schema: str | T.StructType,
     ``fmt="json"`` reads a document whose ``resources`` array holds the rows.
     """
     want = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
-    required = required or want.fieldNames()
+    required = want.fieldNames() if required is None else list(required)
     if fmt == "parquet":
         df = spark.read.parquet(path)
         _require_columns(df.columns, required, path)
