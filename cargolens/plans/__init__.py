@@ -4,5 +4,5 @@ import importlib
 
 from .registry import QUERIES, full_sql, publish  # noqa: F401
 
-for _family in ("warehouse", "demand", "contracts", "delivery", "location", "segments"):
+for _family in ("warehouse", "demand", "contracts", "delivery", "location", "segments", "verify"):
     importlib.import_module(f"{__name__}.{_family}")
