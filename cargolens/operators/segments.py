@@ -33,18 +33,22 @@ def customer_features(waybills: DataFrame, volume: DataFrame, cutoff: str) -> Da
 
 
 def period_features(waybills: DataFrame, cutoffs: dict[str, str]) -> DataFrame:
-    """Features at several observation dates, for customers already present in the first period."""
+    """Features at several observation dates, for customers already present in the first period.
+
+    One pass over the waybills (ids unique, see ``contracts.dup_keys``): every period is a
+    conditional aggregate of the same group.
+    """
     first = min(cutoffs, key=cutoffs.get)
-    periods = F.array(*[F.struct(F.lit(p).alias("period"), F.lit(c).cast("date").alias("cutoff"))
-                        for p, c in cutoffs.items()])
-    usable = waybills.select("*", F.explode(F.filter(periods, lambda p: F.col("date") < p["cutoff"])).alias("_p"))
-    out = usable.groupBy("_p.period", "_p.cutoff", "customer_id").agg(
-        F.count_distinct("waybill_id").alias("orders"), F.sum("quantity").alias("business_volume"),
-        F.max("date").alias("last_date"))
-    out = out.select("period", "customer_id", "orders", "business_volume",
-                     F.date_diff("cutoff", "last_date").alias("recency_days"))
-    known = out.where(F.col("period") == first).select("customer_id")
-    return out.join(known, "customer_id", "left_semi")
+    aggs = []
+    for p, c in cutoffs.items():
+        seen = F.col("date") < F.lit(c).cast("date")
+        aggs += [F.count_if(seen).alias(f"n_{p}"), F.sum(F.when(seen, F.col("quantity"))).alias(f"q_{p}"),
+                 F.max(F.when(seen, F.col("date"))).alias(f"d_{p}")]
+    wide = waybills.groupBy("customer_id").agg(*aggs).where(F.col(f"n_{first}") > 0)
+    rows = F.array(*[F.struct(
+        F.lit(p).alias("period"), F.col(f"n_{p}").alias("orders"), F.col(f"q_{p}").alias("business_volume"),
+        F.date_diff(F.lit(c).cast("date"), F.col(f"d_{p}")).alias("recency_days")) for p, c in cutoffs.items()])
+    return wide.select("customer_id", F.inline(rows))
 
 
 def volume_reconcile_check(features: DataFrame) -> DataFrame:
@@ -77,21 +81,34 @@ def standardize(df: DataFrame, columns: list[str] = FEATURES, group: str = "peri
     return joined.drop(*[f"_{p}_{c}" for p in "ms" for c in columns])
 
 
-def _block_sums(features: list[str], ids: list[str]) -> Callable:
-    """Distance sums between one block of targets and one block of sources, by source cluster."""
-    def sums(key: tuple, targets: pd.DataFrame, sources: pd.DataFrame) -> pd.DataFrame:
-        if targets.empty or sources.empty:
-            return pd.DataFrame(columns=[*ids, "w", "other", "distance"])
-        a, b, w = (targets[features].to_numpy(float), sources[features].to_numpy(float),
-                   sources["w"].to_numpy(float))
-        distance = np.sqrt(np.maximum(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2), 0.0))
-        out = []
-        for other in np.unique(sources["cluster"].to_numpy()):
-            mine = (sources["cluster"] == other).to_numpy()
-            part = targets[[*ids, "w"]].copy()
-            part["other"], part["distance"] = other, distance[:, mine] @ w[mine]
-            out.append(part)
-        return pd.concat(out, ignore_index=True)
+def _block_sums(features: list[str], ids: list[str], own: int, other: int) -> Callable:
+    """Distance sums between two blocks, by the cluster of the other side.
+
+    ``own`` and ``other`` are the positions of the two block numbers in the group key. Each pair of
+    blocks meets once: both directions come from the same distances.
+    """
+    columns = [*ids, "w", "other", "distance"]
+
+    def directed(rows: pd.DataFrame, others: pd.DataFrame, distance: np.ndarray) -> list[pd.DataFrame]:
+        clusters, codes = np.unique(others["cluster"].to_numpy(), return_inverse=True)
+        weights = np.zeros((len(others), len(clusters)))
+        weights[np.arange(len(others)), codes] = others["w"].to_numpy(float)
+        sums = distance @ weights
+        return [rows[[*ids, "w"]].assign(other=c, distance=sums[:, i]) for i, c in enumerate(clusters)]
+
+    def sums(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame(columns=columns)
+        a, b = left[features].to_numpy(float), right[features].to_numpy(float)
+        squared = np.zeros((len(a), len(b)))
+        for j in range(len(features)):
+            step = a[:, j, None] - b[None, :, j]
+            squared += step * step
+        distance = np.sqrt(squared)
+        out = directed(left, right, distance)
+        if key[own] != key[other]:
+            out += directed(right, left, distance.T)
+        return pd.concat(out, ignore_index=True)[columns]
     return sums
 
 
@@ -99,10 +116,10 @@ def silhouette_values(points: DataFrame, features: list[str], groups: list[str],
                       block: int = 1000) -> DataFrame:
     """Euclidean silhouette of each distinct (features, cluster) row with its weight.
 
-    Equal rows are merged first. Rows are hashed into blocks of about ``block`` rows and every pair
-    of blocks is one small task that returns distance sums by cluster, so pairs of points are
-    computed but never stored, and one large cluster is spread over many tasks. The work is
-    quadratic in the distinct rows, as the definition is.
+    Equal rows are merged first. Rows are hashed into blocks of about ``block`` rows and every
+    unordered pair of blocks is one small group that returns distance sums by cluster, so pairs of
+    points are computed but never stored, and one large cluster is spread over many tasks. The work
+    is quadratic in the distinct rows, as the definition is.
     """
     ids = [*groups, *features, "cluster"]
     rows = points.groupBy(*ids).agg(F.count(F.lit(1)).alias("w"))
@@ -111,14 +128,14 @@ def silhouette_values(points: DataFrame, features: list[str], groups: list[str],
     shape = rows.groupBy(*groups).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"))
     rows = rows.join(F.broadcast(shape), groups).withColumn(
         "_own", F.pmod(F.xxhash64(*features, "cluster"), F.col("_blocks")).cast("int"))
-    every = F.explode(F.expr("sequence(0, _blocks - 1)"))
-    targets = rows.withColumn("_s", every).withColumnRenamed("_own", "_t")
-    sources = rows.withColumn("_t", every).withColumnRenamed("_own", "_s")
+    targets = rows.withColumn("_s", F.explode(F.expr("sequence(_own, _blocks - 1)"))).withColumnRenamed("_own", "_t")
+    sources = rows.withColumn("_t", F.explode(F.expr("sequence(0, _own)"))).withColumnRenamed("_own", "_s")
     sources = sources.select(*[F.col(c).alias(c) for c in sources.columns])
     keys = [*groups, "_t", "_s"]
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in ids), "w bigint", f"other {kinds['cluster']}", "distance double"])
-    partial = targets.groupBy(*keys).cogroup(sources.groupBy(*keys)).applyInPandas(_block_sums(features, ids), schema)
+    pair_sums = _block_sums(features, ids, len(groups), len(groups) + 1)
+    partial = targets.groupBy(*keys).cogroup(sources.groupBy(*keys)).applyInPandas(pair_sums, schema)
     total = partial.groupBy(*ids, "w", "other").agg(F.sum("distance").alias("distance"))
     # At most one row for each cluster of each labelling.
     other_size = sizes.withColumnRenamed("cluster", "other").withColumnRenamed("size", "other_size")

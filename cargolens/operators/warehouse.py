@@ -90,7 +90,8 @@ def top_sku_by_day(items: DataFrame, groups: list[str] = DAY, quantity: str = "I
     """Largest SKU of each day, equal quantities by SKU; combined map-side, no window."""
     order = F.struct(-F.col(quantity), F.col("sku"))
     return items.groupBy(*groups).agg(F.min_by("sku", order).alias("top_sku"),
-                                      F.max(quantity).alias("top_quantity"))
+                                      F.max(quantity).alias("top_quantity"),
+                                      F.sum(quantity).alias("day_quantity"))
 
 
 def slot_policy(demand: DataFrame, site: str = "warehouse", observation_days: int = 2) -> DataFrame:
@@ -123,16 +124,14 @@ def slot_policy(demand: DataFrame, site: str = "warehouse", observation_days: in
                                                                     F.col("initial_sku")))
     rows = F.array(*[F.struct(F.lit(p).alias("strategy"), F.col(p).alias("near_sku"),
                               F.col(f"moved_{p}").alias("moved")) for p in POLICIES])
-    return seen.select(site, "date", "last_observed_day", F.inline(rows))
+    return seen.select(site, "date", "last_observed_day", "day_quantity", F.inline(rows))
 
 
 def slot_policy_operations(policy: DataFrame, demand: DataFrame, site: str = "warehouse",
                            near_m: float = 2.0, far_m: float = 10.0, swap_m: float = 60.0) -> DataFrame:
     """Walking metres of each policy and day: one round trip for each unit, plus the moves."""
-    day_total = demand.groupBy(site, "date").agg(F.sum("quantity").alias("day_quantity"))
     near = demand.select(site, "date", F.col("sku").alias("near_sku"), F.col("quantity").alias("near_quantity"))
-    out = (policy.join(day_total, [site, "date"])
-           .join(near, [site, "date", "near_sku"], "left")
+    out = (policy.join(near, [site, "date", "near_sku"], "left")
            .withColumn("near_quantity", F.coalesce("near_quantity", F.lit(0.0))))
     pick = 2 * (F.col("near_quantity") * near_m + (F.col("day_quantity") - F.col("near_quantity")) * far_m)
     move = F.when(F.col("moved"), F.lit(swap_m)).otherwise(F.lit(0.0))

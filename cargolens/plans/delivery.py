@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.scale import cut_lineage
 from ..operators import calendar as C, contracts as K, delivery as T, demand as D
 from ..sources import bindings as B
 from .demand import decision_views, forecast_views
@@ -78,12 +79,17 @@ def completed(spark, folder):
     return T.duration_minutes(T.completed_asof(clicks(spark, folder), None))
 
 
+def stored(spark, folder):
+    """The completed records written once: the medians and the scores read them several times."""
+    return cut_lineage(completed(spark, folder))
+
+
 def order_block(spark, folder):
-    return C.within_longest_block(B.order_counts_daily(spark, folder))
+    return cut_lineage(C.within_longest_block(cut_lineage(B.order_counts_daily(spark, folder))))
 
 
 def predictions(spark, folder, numbered=False):
-    return T.duration_predictions(completed(spark, folder), STARTS, HORIZON, numbered=numbered)
+    return T.duration_predictions(stored(spark, folder), STARTS, HORIZON, numbered=numbered)
 
 
 def _raw_text(spark, folder):
@@ -154,7 +160,7 @@ UNION ALL SELECT 'missing_dates', CAST(max(date) - min(date) + 1 - count(*) AS V
 UNION ALL SELECT 'block_start', CAST(a AS VARCHAR) FROM b
 UNION ALL SELECT 'block_end', CAST(z AS VARCHAR) FROM b
 UNION ALL SELECT 'block_days', CAST(n AS VARCHAR) FROM b""")
-register("duration_quantiles", "fraction:f minutes:f", lambda s, d: T.duration_quantiles(completed(s, d)),
+register("duration_quantiles", "fraction:f minutes:f", lambda s, d: T.duration_quantiles(stored(s, d)),
          " UNION ALL ".join(f"SELECT {f} AS fraction, quantile_cont(minutes, {f}) AS minutes FROM dl_done"
                             for f in ("0.0", "0.5", "0.9", "0.99", "1.0")))
 register("label_maturity", "window_start:d window_end:d accepted_records:i mature_records:i pending_records:i "
@@ -166,9 +172,9 @@ register("maturity_gate", "window_start:d accepted_records:i pending_records:i",
 register("mature_history", "window_start:d order_id:i minutes:f",
          lambda s, d: T.mature_history(completed(s, d), STARTS), "dl_history")
 register("duration_global_median", "window_start:d known_training_records:i global_median:f",
-         lambda s, d: T.duration_global_median(completed(s, d), STARTS), "dl_global")
+         lambda s, d: T.duration_global_median(stored(s, d), STARTS), "dl_global")
 register("duration_hour_median", "window_start:d accept_hour:i hour_records:i hour_median:f",
-         lambda s, d: T.duration_hour_median(completed(s, d), STARTS), "dl_hours")
+         lambda s, d: T.duration_hour_median(stored(s, d), STARTS), "dl_hours")
 register("duration_predictions", "window_start:d method:s sample_index:i accept_hour:i accept_date:d "
          "actual_minutes:f prediction_minutes:f", lambda s, d: predictions(s, d, True), "dl_predictions")
 register("duration_metrics", "window_start:d method:s known_training_records:i test_records:i mae_minutes:f "

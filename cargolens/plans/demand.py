@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.scale import cut_lineage
 from ..operators import calendar as C, demand as D
 from ..sources import bindings as B
 from .registry import register, view
@@ -111,7 +112,8 @@ view("dm_metrics", "SELECT * FROM dm_all_metrics WHERE cutoff >= 56 AND (cutoff
 
 
 def series(spark, folder):
-    return C.within_longest_block(B.regional_daily(spark, folder))
+    """One row for each region and day, written once: forecasts, actuals and choices all read it."""
+    return cut_lineage(C.within_longest_block(cut_lineage(B.regional_daily(spark, folder))))
 
 
 def _forecasts(spark, folder):

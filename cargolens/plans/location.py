@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.scale import cut_lineage
 from ..operators import location as L
 from ..sources import bindings as B
 from .registry import register, view
@@ -109,8 +110,8 @@ def sites(spark, folder):
 
 
 def plans(spark, folder):
-    s = sites(spark, folder)
-    return L.evaluate_sites(s, s, 3, PLAN_RADII)
+    s = cut_lineage(sites(spark, folder))
+    return cut_lineage(L.evaluate_sites(s, s, 3, PLAN_RADII))
 
 
 def near(spark, folder):

@@ -47,8 +47,7 @@ def publish(df: DataFrame, spec: str) -> DataFrame:
     for name, kind in _columns(spec):
         c = F.col(name)
         if kind == "f":
-            r = F.round(c.cast("double"), 6)
-            c = F.when(r == 0, F.lit(0.0)).otherwise(r)
+            c = F.round(c.cast("double"), 6) + F.lit(0.0)  # turns -0.0 into 0.0
         elif kind == "i":
             c = c.cast("bigint")
         elif kind == "d":

@@ -88,7 +88,7 @@ view("vf_board_rebuilt", "SELECT series_id, model, avg(mae) AS mean_mae, avg(rms
 
 def _stored_forecasts(s, d):
     """The series, predictions with wrong actuals on the 31st, and metrics of the right ones."""
-    series = cut_lineage(pd_.series(s, d))
+    series = pd_.series(s, d)
     right = cut_lineage(D.rolling_backtest(series))
     metrics = D.forecast_metrics(right)
     return series, faulty(right, "actual", F.dayofmonth("date") == 31, 2.0), metrics

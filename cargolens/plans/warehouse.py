@@ -1,5 +1,6 @@
 """Registered warehouse queries."""
 
+from ..functions.scale import cut_lineage
 from ..operators import warehouse as W
 from ..sources import bindings as B
 from .registry import register, view
@@ -83,7 +84,7 @@ def _summary(spark, folder):
 
 
 def operations(spark, folder):
-    demand = B.warehouse_demand(spark, folder)
+    demand = cut_lineage(B.warehouse_demand(spark, folder))  # read by the policies and the costs
     return W.slot_policy_operations(W.slot_policy(demand), demand)
 
 
