@@ -145,3 +145,10 @@ def nearest_in_time(df: DataFrame, keys: list[str], time: str, value: Column, na
     return (rows.join(slots, [*keys, "_slot"])
             .withColumn(name, F.coalesce("_inside", "_outside"))
             .drop("_slot", "_value", "_inside", "_outside"))
+
+
+def split_skewed_joins(spark: SparkSession) -> None:
+    """Let adaptive execution split a hot join key even when a later aggregate needs one more shuffle."""
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")

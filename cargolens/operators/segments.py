@@ -113,7 +113,7 @@ def _block_sums(features: list[str], ids: list[str], own: int, other: int) -> Ca
 
 
 def silhouette_values(points: DataFrame, features: list[str], groups: list[str],
-                      block: int = 1000) -> DataFrame:
+                      block: int = 2000) -> DataFrame:
     """Euclidean silhouette of each distinct (features, cluster) row with its weight.
 
     Equal rows are merged first. Rows are hashed into blocks of about ``block`` rows and every
@@ -143,7 +143,7 @@ def silhouette_values(points: DataFrame, features: list[str], groups: list[str],
     return (total.join(F.broadcast(other_size), [*groups, "other"])
             .groupBy(*ids, "w")
             .agg(F.max(F.when(own, F.col("other_size"))).alias("size"),
-                 F.max(F.when(own, F.col("distance") / (F.col("other_size") - 1))
+                 F.max(F.when(own, F.try_divide("distance", F.col("other_size") - 1))
                        ).alias("_raw_a"),
                  F.min(F.when(~own, F.col("distance") / F.col("other_size"))).alias("b"))
             .withColumn("a", F.when(F.col("size") > 1, F.col("_raw_a")))
@@ -153,7 +153,7 @@ def silhouette_values(points: DataFrame, features: list[str], groups: list[str],
             .drop("_raw_a"))
 
 
-def silhouette(points: DataFrame, features: list[str], groups: list[str], block: int = 1000) -> DataFrame:
+def silhouette(points: DataFrame, features: list[str], groups: list[str], block: int = 2000) -> DataFrame:
     """Mean silhouette of each labelling, or null with the reason."""
     shape = points.groupBy(*groups).agg(F.count_distinct("cluster").alias("actual_clusters"),
                                         F.count(F.lit(1)).alias("n"))
