@@ -147,8 +147,9 @@ def nearest_in_time(df: DataFrame, keys: list[str], time: str, value: Column, na
             .drop("_slot", "_value", "_inside", "_outside"))
 
 
-def split_skewed_joins(spark: SparkSession) -> None:
-    """Let adaptive execution split a hot join key even when a later aggregate needs one more shuffle."""
+def session_settings(spark: SparkSession) -> None:
+    """Split hot join keys even when a later aggregate then needs one more shuffle; dates in UTC."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")

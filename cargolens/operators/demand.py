@@ -47,9 +47,17 @@ def series_status(series: DataFrame, min_days: int = MIN_HISTORY) -> DataFrame:
 
 
 def usable_series(series: DataFrame, min_days: int = MIN_HISTORY) -> DataFrame:
-    """The series which meet every rule; ``series_status`` lists the others with the reason."""
-    good = series_status(series, min_days).where(F.col("reason").isNull()).select("series_id")
-    return series.join(good, "series_id")
+    """The series which meet every rule; ``series_status`` lists the others with the reason.
+
+    Every row looks at its own series (one row a day), so nothing is joined back.
+    """
+    whole = Window.partitionBy("series_id")
+    step = F.date_diff("date", F.lag("date", 1).over(whole.orderBy("date")))
+    bad = F.col("quantity").isNull() | ~is_finite("quantity") | (F.col("quantity") < 0)
+    marked = series.withColumn("_bad", F.coalesce(step != 1, F.lit(False)) | bad)
+    checked = (marked.withColumn("_any", F.max(F.col("_bad").cast("int")).over(whole))
+               .withColumn("_days", F.count(F.lit(1)).over(whole)))
+    return checked.where((F.col("_any") == 0) & (F.col("_days") >= min_days)).select(*series.columns)
 
 
 def positions(series: DataFrame) -> DataFrame:

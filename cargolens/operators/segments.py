@@ -112,17 +112,21 @@ def _block_sums(features: list[str], ids: list[str], own: int, other: int) -> Ca
     return sums
 
 
-def silhouette_values(points: DataFrame, features: list[str], groups: list[str],
+def merged_points(points: DataFrame, features: list[str], groups: list[str]) -> DataFrame:
+    """Equal (features, cluster) rows with their number w, written once for the steps that follow."""
+    return cut_lineage(points.groupBy(*groups, *features, "cluster").agg(F.count(F.lit(1)).alias("w")))
+
+
+def silhouette_values(rows: DataFrame, features: list[str], groups: list[str],
                       block: int = 2000) -> DataFrame:
-    """Euclidean silhouette of each distinct (features, cluster) row with its weight.
+    """Euclidean silhouette of each row of ``merged_points``.
 
-    Equal rows are merged first. Rows are hashed into blocks of about ``block`` rows and every
+    Rows are hashed into blocks of about ``block`` rows and every
     unordered pair of blocks is one small group that returns distance sums by cluster, so pairs of
     points are computed but never stored, and one large cluster is spread over many tasks. The work
     is quadratic in the distinct rows, as the definition is.
     """
     ids = [*groups, *features, "cluster"]
-    rows = points.groupBy(*ids).agg(F.count(F.lit(1)).alias("w"))
     sizes = rows.groupBy(*groups, "cluster").agg(F.sum("w").alias("size"))
     # One row for each scored labelling.
     shape = rows.groupBy(*groups).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"))
@@ -155,10 +159,11 @@ def silhouette_values(points: DataFrame, features: list[str], groups: list[str],
 
 def silhouette(points: DataFrame, features: list[str], groups: list[str], block: int = 2000) -> DataFrame:
     """Mean silhouette of each labelling, or null with the reason."""
-    shape = points.groupBy(*groups).agg(F.count_distinct("cluster").alias("actual_clusters"),
-                                        F.count(F.lit(1)).alias("n"))
+    rows = merged_points(points, features, groups)
+    shape = (rows.groupBy(*groups, "cluster").agg(F.sum("w").alias("w")).groupBy(*groups)
+             .agg(F.count(F.lit(1)).alias("actual_clusters"), F.sum("w").alias("n")))
     fit = (F.col("actual_clusters") >= 2) & (F.col("actual_clusters") < F.col("n"))
-    scorable = points.join(F.broadcast(shape.where(fit).select(*groups)), groups, "left_semi")
+    scorable = rows.join(F.broadcast(shape.where(fit).select(*groups)), groups, "left_semi")
     means = silhouette_values(scorable, features, groups, block).groupBy(*groups).agg(
         (F.sum(F.col("silhouette") * F.col("w")) / F.sum("w")).alias("silhouette"))
     return shape.join(F.broadcast(means), groups, "left").withColumn("reason", score_reason())

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.expressions import is_close
+from ..functions.scale import cut_lineage
 from . import delivery as T, demand as D, location as L, segments as G, warehouse as W
 
 
@@ -125,8 +126,8 @@ def recompute_segments(features: DataFrame, stored_rules: DataFrame, stored_scor
     ``labels`` is period, customer_id, cluster.
     """
     z = [f"z_{c}" for c in columns]
-    ruled = G.volume_terciles(G.standardize(features, columns))
-    labelled = ruled.join(labels, ["period", "customer_id"])
+    ruled = cut_lineage(G.volume_terciles(G.standardize(features, columns)))
+    labelled = cut_lineage(ruled.join(labels, ["period", "customer_id"]))
     return all_differences([
         tolerant_diff(stored_rules, ruled, ["period", "customer_id"], ["volume_rule"], table="volume_rule"),
         tolerant_diff(stored_scores, G.silhouette(labelled.select("period", *z, "cluster"), z, ["period"]),

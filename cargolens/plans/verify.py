@@ -168,7 +168,7 @@ def _segments_check(s, d):
     table = cut_lineage(ps.periods(s, d))
     ruled = cut_lineage(G.volume_terciles(G.standardize(table)))
     labels = ruled.select("period", "customer_id", F.when(F.col("recency_days") <= 90, 0).otherwise(1).alias("cluster"))
-    labelled = ruled.join(labels, ["period", "customer_id"])
+    labelled = cut_lineage(ruled.join(labels, ["period", "customer_id"]))
     rules = faulty(ruled, "volume_rule", F.col("orders") == 3, 1).select("period", "customer_id", "volume_rule")
     scores = faulty(G.silhouette(labelled.select("period", *ps.Z, "cluster"), ps.Z, ["period"]), "silhouette",
                     F.col("period") == "later", 0.01)
