@@ -99,6 +99,10 @@ register("point_in_time", "event_id:i user_id:i prediction_at:t available_at:t v
 SELECT p.event_id, p.user_id, p.ts AS prediction_at, v.ts AS available_at, v.value
 FROM (SELECT * FROM events WHERE event_type = 'purchase') p
 ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts >= v.ts""")
+register("available_features", "order_id:i line:i accept_time:d delivery_time:d",
+         lambda s, d: K.point_in_time(B.order_shipments(s, d), "delivery_time", "accept_time"), """
+SELECT l_orderkey AS order_id, l_linenumber AS line, o_orderdate AS accept_time, l_shipdate AS delivery_time
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate <= o_orderdate""")
 register("late_features", "order_id:i line:i accept_time:d delivery_time:d",
          lambda s, d: K.late_features(B.order_shipments(s, d), "delivery_time", "accept_time"), """
 SELECT l_orderkey AS order_id, l_linenumber AS line, o_orderdate AS accept_time, l_shipdate AS delivery_time

@@ -100,7 +100,7 @@ def _raw_text(spark, folder):
 
 
 def _with_ds(spark, folder):
-    return clicks(spark, folder).withColumn("ds", F.to_date("accept_time"))
+    return cut_lineage(clicks(spark, folder).withColumn("ds", F.to_date("accept_time")))
 
 
 def _volume_metrics(spark, folder):

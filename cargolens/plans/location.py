@@ -23,9 +23,8 @@ view("lc_points", """
 SELECT vec_id AS point_id, label, CAST(embedding[1] AS DOUBLE) * 100 AS x_km, CAST(embedding[2] AS DOUBLE) * 100 AS y_km,
   CAST(label + 1 AS DOUBLE) AS demand FROM embeddings""")
 view("lc_centers", """
-SELECT k, label AS cluster, x_km, y_km FROM (
-  SELECT label, sum(demand * x_km) / sum(demand) AS x_km, sum(demand * y_km) / sum(demand) AS y_km
-  FROM lc_points WHERE label < 4 GROUP BY label) c JOIN range(1, 5) r(k) ON label < k""")
+SELECT k, label * k // 10 AS cluster, sum(demand * x_km) / sum(demand) AS x_km, sum(demand * y_km) / sum(demand) AS y_km
+FROM lc_points CROSS JOIN range(1, 5) r(k) GROUP BY 1, 2""")
 view("lc_near", """
 SELECT point_id, demand, k, first(cluster ORDER BY d, cluster) AS cluster, min(d) AS distance_km FROM (
   SELECT point_id, demand, k, cluster, sqrt((p.x_km - c.x_km) * (p.x_km - c.x_km) + (p.y_km - c.y_km) * (p.y_km - c.y_km)) AS d
@@ -97,12 +96,13 @@ def points(spark, folder):
 
 
 def centers(spark, folder):
-    """Weighted centroids of labels 0 … k-1 for k = 1 … 4."""
+    """Weighted centroids of k runs of labels for k = 1 … 4; the ten labels are summed first."""
     w = F.col("demand")
-    found = points(spark, folder).where("label < 4").groupBy("label").agg(
-        *[(F.sum(w * F.col(c)) / F.sum(w)).alias(c) for c in ("x_km", "y_km")])
-    return found.select(F.explode(F.sequence(F.col("label") + 1, F.lit(4))).alias("k"),
-                        F.col("label").alias("cluster"), "x_km", "y_km")
+    by_label = points(spark, folder).groupBy("label").agg(
+        F.sum(w).alias("w"), *[F.sum(w * F.col(c)).alias(c) for c in ("x_km", "y_km")])
+    each = by_label.withColumn("k", F.explode(F.array(*[F.lit(k) for k in KS])))
+    return each.groupBy("k", F.floor(F.col("label") * F.col("k") / 10).cast("int").alias("cluster")).agg(
+        *[(F.sum(c) / F.sum("w")).alias(c) for c in ("x_km", "y_km")])
 
 
 def sites(spark, folder):
@@ -124,9 +124,9 @@ def _covered(spark, folder):
 
 
 def _region_centers(spark, folder):
-    """Continuous centres: the demand-weighted centroids of the first three zones."""
+    """Continuous centres: the demand-weighted centroids of three runs of the five zones."""
     w = F.col("demand")
-    return (sites(spark, folder).where("zone < 3").groupBy(F.col("zone").alias("cluster"))
+    return (sites(spark, folder).groupBy(F.floor(F.col("zone") * 3 / 5).cast("int").alias("cluster"))
             .agg(*[(F.sum(w * F.col(c)) / F.sum(w)).alias(c) for c in ("x_km", "y_km")])
             .withColumn("k", F.lit(3)))
 
@@ -185,8 +185,8 @@ SELECT a.radius_km, a.k, (SELECT count(*) FROM lc_pareto p WHERE p.radius_km = a
 FROM lc_min_loss a JOIN lc_max_demand b ON a.radius_km = b.radius_km""")
 register("snap_centers", "k:i cluster:i site_id:s squared_distance:f",
          lambda s, d: L.snap_centers(_region_centers(s, d), sites(s, d), 3), """
-WITH c AS (SELECT zone AS cluster, sum(demand * x_km) / sum(demand) AS x, sum(demand * y_km) / sum(demand) AS y
-  FROM lc_sites WHERE zone < 3 GROUP BY zone),
+WITH c AS (SELECT zone * 3 // 5 AS cluster, sum(demand * x_km) / sum(demand) AS x, sum(demand * y_km) / sum(demand) AS y
+  FROM lc_sites GROUP BY 1),
 o AS (SELECT cluster, site_id, (x - x_km) * (x - x_km) + (y - y_km) * (y - y_km) AS d FROM c CROSS JOIN lc_sites),
 t AS (SELECT a.site_id AS s0, b.site_id AS s1, e.site_id AS s2, a.d AS d0, b.d AS d1, e.d AS d2
   FROM o a JOIN o b ON a.cluster = 0 AND b.cluster = 1 AND a.site_id <> b.site_id

@@ -1,4 +1,5 @@
 import hashlib
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -19,6 +20,15 @@ def test_csv_contract_keeps_ids_and_refuses_missing_columns(spark, tmp_path):
         S.read_table(spark, str(path), S.SCHEMAS["business_volume"]).collect()
 
 
+def test_json_catalogue(spark, tmp_path):
+    entry = {f: f"{f} text" for f in ("id", "title", "url")}
+    path = tmp_path / "catalog.json"
+    path.write_text(json.dumps({"resources": [entry, {**entry, "id": "b", "title": "Straße"}]}, indent=1), encoding="utf-8")
+    df = S.read_table(spark, str(path), "id STRING, title STRING, url STRING", fmt="json")
+    assert df.columns == ["id", "title", "url"] and df.count() == 2
+    assert [r.id for r in K.catalog_search(df, keyword="TITLE", searched=("title",)).collect()] == ["id text"]
+
+
 def test_csv_sink_has_six_decimals(spark, tmp_path):
     S.write_table(spark.createDataFrame([("a", 1 / 3), ("b", None)], "k string, v double").coalesce(1), str(tmp_path / "o"), "csv")
     text = next((tmp_path / "o").glob("*.csv")).read_text()
