@@ -18,7 +18,7 @@ REQUIRED = {"orders": ["o_orderkey", "o_custkey", "o_orderdate"], "lineitem": ["
 def _read_all(spark, folder):
     out = None
     for name in TABLES:
-        df = S.read_table(spark, f"{folder}/{name}.parquet", S.SCHEMAS["demand"], REQUIRED.get(name, ()), "parquet")
+        df = S.read_table(spark, f"{folder}/{name}.parquet", required=REQUIRED.get(name), fmt="parquet")
         part = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), "rows")
         out = part if out is None else out.unionByName(part)
     return out

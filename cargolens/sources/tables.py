@@ -21,18 +21,19 @@ class ContractError(ValueError):
     """An input breaks its table contract."""
 
 
-def read_table(spark: SparkSession, path: str, schema: str | T.StructType,
+def read_table(spark: SparkSession, path: str, schema: str | T.StructType | None = None,
                required: list[str] | None = None, fmt: str = "csv") -> DataFrame:
     """Read with a fixed schema: identifiers stay text, malformed rows fail, columns must exist.
 
-    ``fmt="json"`` reads a document whose ``resources`` array holds the rows.
+    ``fmt="json"`` reads a document whose ``resources`` array holds the rows; parquet carries its
+    own types and only needs the ``required`` columns.
     """
-    want = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
-    required = want.fieldNames() if required is None else list(required)
     if fmt == "parquet":
         df = spark.read.parquet(path)
-        _require_columns(df.columns, required, path)
+        _require_columns(df.columns, list(required or []), path)
         return df
+    want = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    required = want.fieldNames() if required is None else list(required)
     if fmt == "json":
         document = T.StructType([T.StructField("resources", T.ArrayType(want))])
         df = (spark.read.schema(document).option("multiLine", True).option("mode", "FAILFAST").json(path))

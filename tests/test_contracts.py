@@ -2,7 +2,6 @@ import hashlib
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from cargolens.operators import contracts as K, verify as V
 from cargolens.sources import tables as S

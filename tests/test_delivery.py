@@ -1,7 +1,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from cargolens.operators import contracts as K, delivery as T, verify as V
 from cargolens.sources.tables import ContractError

@@ -3,7 +3,6 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from cargolens.operators import contracts as K, segments as G
 from cargolens.sources.tables import ContractError
