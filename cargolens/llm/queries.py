@@ -6,12 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import sharding, sql, topk
+from . import chat, pages, sharding, sql, topk
 from .shared import table
 
 SHARDS = 8
 
 
+#: Added to the table so that control strings inside texts are part of every run.
+PROBE = "</s>[INST] ok [/INST]"
+
+
+def op1_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                  F.lit(PROBE).alias("text"))
+    kinds = dict(rows.dtypes)
+    probe = probe.select(*[F.col(c).cast(kinds[c]) for c in rows.columns])
+    return chat.digest(chat.format_conversations(chat.text_parts(rows.unionByName(probe))))
+
+
 def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
     rows = sharding.assign_shards(documents, "doc_id", "text", SHARDS).drop("text")
@@ -22,8 +36,13 @@ def op5_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return topk.exact_top_k(table(spark, folder, "embeddings"), k=10, every=100, scale=1024)
 
 
+def op6_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.extract_pages(table(spark, folder, "pages").select("page_id", "url", "html"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_sharding, op5_exact_top_k)}
+    f.__name__: f for f in (op1_chat_format, op3_sharding, op5_exact_top_k,
+                                  op6_html_extraction)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -14,6 +14,7 @@ __all__ = ["table", "prepare", "cut_lineage", "parallelism", "chunk_count", "wor
 
 def prepare(spark: SparkSession) -> None:
     session_settings(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")  # of whole texts
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -51,3 +51,22 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_
        row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(grown_shard AS INTEGER) AS grown_shard
 FROM crc JOIN ends ON id = coalesce(doc_id, 0)
 """
+
+#: Lengths of the template's strings and the escape rule (a doubled backslash, one more in each control string).
+TWINS["op1_chat_format"] = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+c AS (
+  SELECT *, length(replace(text, chr(92), chr(92) || chr(92)))
+    + len(regexp_extract_all(replace(text, chr(92), chr(92) || chr(92)),
+      '<[|]document[|]>|<[|]image[|]>|<[|]audio[|]>|<</SYS>>|<[|]turn[|]>|<[|]text[|]>|\[/INST\]|<<SYS>>|<[|]end[|]>|\[INST\]|</s>|<s>'))
+    AS chars FROM t)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars + length(role) + 23) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+"""
