@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, pages, sharding, sql, topk
+from . import chat, pages, pieces, sharding, sql, topk
 from .shared import table
 
 SHARDS = 8
@@ -26,6 +27,10 @@ def op1_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digest(chat.format_conversations(chat.text_parts(rows.unionByName(probe))))
 
 
+def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.digest(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
     rows = sharding.assign_shards(documents, "doc_id", "text", SHARDS).drop("text")
@@ -41,7 +46,7 @@ def op6_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op3_sharding, op5_exact_top_k,
+    f.__name__: f for f in (op1_chat_format, op2_sentencepiece, op3_sharding, op5_exact_top_k,
                                   op6_html_extraction)}
 
 
