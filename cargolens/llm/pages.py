@@ -238,7 +238,7 @@ def extract_pages(df: DataFrame, html: str = "html") -> DataFrame:
     """The rows with ``text`` and ``n_chars`` in place of the html."""
     kept = [c for c in df.columns if c not in (html, "text", "n_chars")]
     rows = df.select(*kept, F.col(html).cast("string").alias("_html"))
-    schema = rows.drop("_html").schema.add("text", "string").add("n_chars", "bigint")
+    schema = rows.drop("_html").schema.add("text", "string").add("n_chars", "long")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -21,7 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 from sentencepiece import SentencePieceProcessor
 from sentencepiece import sentencepiece_model_pb2 as model_pb2
 
@@ -272,7 +272,7 @@ def encode_texts(df: DataFrame, model: str, text: str = "text") -> DataFrame:
     rows = df.select(*kept, F.col(text).cast("string").alias("_text"))
     schema = rows.drop("_text").schema
     for c in made:
-        schema = schema.add(c, "array<int>")
+        schema = schema.add(c, T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, kind = _encoder(model), pa.list_(pa.int32())
@@ -304,8 +304,8 @@ def digest(df: DataFrame, model: str, key: str = "doc_id", text: str = "text") -
     """Encode and decode in one pass; token count, digests of ids and decoded text, bytes under the spans."""
     rows = df.select(key, F.col(text).cast("string").alias("_text"))
     schema = rows.drop("_text").schema
-    for name, kind in (("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string"),
-                       ("spanned_bytes", "bigint")):
+    for name, kind in (("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string"),
+                       ("spanned_bytes", "long")):
         schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
