@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, pages, pieces, sharding, sql, topk
+from . import chat, packing, pages, pieces, sharding, sql, topk, toxicity
 from .shared import table
 
 SHARDS = 8
@@ -45,9 +45,21 @@ def op6_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return pages.extract_pages(table(spark, folder, "pages").select("page_id", "url", "html"))
 
 
+def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    rows = packing.token_pieces(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
+    return packing.pack(rows, 2048)
+
+
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.fit(documents, table(spark, folder, "labels"))
+    return (toxicity.score(documents, model)
+            .select("doc_id", (toxicity.remainder("doc_id") == 1).alias("held_out"), "score", "predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_chat_format, op2_sentencepiece, op3_sharding, op5_exact_top_k,
-                                  op6_html_extraction)}
+                                  op6_html_extraction, op9_best_fit_packing, op10_toxicity)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
