@@ -70,3 +70,18 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(chars + length(role) + 23) AS BIGINT) AS formatted_chars
 FROM c GROUP BY conv_id
 """
+
+TWINS["op8_substring_dedup"] = r"""
+WITH w AS (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+v AS (SELECT DISTINCT doc_id, array_to_string(words[i:i + 12], ' ') AS passage, i
+      FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM w WHERE len(words) >= 13)),
+f AS (SELECT passage, min(doc_id) AS first FROM v GROUP BY passage),
+g AS (SELECT doc_id, list_sort(list_distinct(flatten(list(range(i, i + 13))))) AS gone
+      FROM v JOIN f USING (passage) WHERE first < doc_id GROUP BY doc_id),
+k AS (SELECT w.doc_id, len(words) AS n_words, coalesce(len(gone), 0) AS n_removed,
+        CASE WHEN gone IS NULL THEN words
+             ELSE list_filter(words, lambda x, i: NOT list_contains(gone, CAST(i AS BIGINT))) END AS kept
+      FROM w LEFT JOIN g ON w.doc_id = g.doc_id)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed,
+       sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+"""
