@@ -21,31 +21,15 @@ gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .messages import ANSWER, MESSAGE, NARROW, distinct, member, shared_values, to_buckets, told, with_flags
 from .shared import chunk_count, ngrams, spread, texts_of, word_hashes
 
 WINDOW, ANCHOR = 13, 5
 CHUNK_BYTES = 8 << 20
-_BITS = np.uint64(40)
-
-MESSAGE = "bucket int, chunk int, data binary"
-ANSWER = "chunk int, data binary"
-
-
-def _narrow(values: np.ndarray) -> bytes:
-    """Sorted 40-bit values, five bytes each."""
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-
-
-def _wide(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), dtype=np.uint8)
-    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel()
 
 
 class _Chunk:
@@ -72,7 +56,7 @@ class _Chunk:
     def anchors(self) -> np.ndarray:
         if not len(self.at):
             return np.zeros(0, np.uint64)
-        grams = ngrams(self.words, self._anchor) >> (np.uint64(64) - _BITS)
+        grams = ngrams(self.words, self._anchor) >> (np.uint64(64) - NARROW)
         wide = self._window - self._anchor + 1
         least = grams[:len(grams) - wide + 1].copy()
         for i in range(1, wide):
@@ -80,26 +64,6 @@ class _Chunk:
         return least[self.at]
 
 
-def _to_buckets(chunk: int, values: np.ndarray, bits: int, buckets: int,
-                pack: Callable[[int, int], bytes]) -> pa.Table:
-    """One message for each bucket that gets entries low..high of the sorted values."""
-    which = ((values >> np.uint64(bits - 32)) * np.uint64(buckets)) >> np.uint64(32)
-    cuts = np.searchsorted(which, np.arange(buckets + 1, dtype=np.uint64))
-    used = np.flatnonzero(np.diff(cuts))
-    return pa.table({"bucket": pa.array(used.astype(np.int32)),
-                     "chunk": pa.array(np.full(len(used), chunk, np.int32)),
-                     "data": pa.array([pack(int(cuts[b]), int(cuts[b + 1])) for b in used], pa.binary())})
-
-
-def _distinct(values: np.ndarray, documents: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct values, the smallest document of each and whether there are several."""
-    order = np.lexsort((documents, values))
-    values, documents = values[order], documents[order]
-    first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, np.int64)
-    last = np.r_[first[1:], len(values)] - 1
-    return values[first], documents[first], documents[first] != documents[last]
-
-
 def _answers(parts: list[tuple[int, np.ndarray]]) -> pa.Table:
     return pa.table({"chunk": pa.array([p[0] for p in parts], pa.int32()),
                      "data": pa.array([p[1].tobytes() for p in parts], pa.binary())})
@@ -116,41 +80,14 @@ def removed_spans(df: DataFrame, key: str = "doc_id", text: str = "text", window
     def tell_anchors(table: pa.Table) -> pa.Table:
         chunk = _Chunk(table, window, anchor)
         number = table.column("chunk")[0].as_py() if table.num_rows else 0
-        values, _, several = _distinct(chunk.anchors(), chunk.document)
-        flags = several.astype(np.uint8)
-        return _to_buckets(number, values, 40, n, lambda a, b: _narrow(values[a:b]) + flags[a:b].tobytes())
-
-    def shared_anchors(table: pa.Table) -> pa.Table:
-        chunk, values, several = [], [], []
-        for c, data in zip(table.column("chunk").to_pylist(), table.column("data").to_pylist(), strict=True):
-            many = len(data) // 6
-            values.append(_wide(data[:5 * many]))
-            several.append(np.frombuffer(data, np.uint8, offset=5 * many))
-            chunk.append(np.full(many, c, np.int32))
-        value, owner = np.concatenate(values), np.concatenate(chunk)
-        order = np.argsort(value, kind="stable")
-        value, owner, twice = value[order], owner[order], np.concatenate(several)[order]
-        first = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
-        shared = np.add.reduceat(twice, first, dtype=np.int64) + np.diff(np.r_[first, len(value)]) > 1
-        keep = np.repeat(shared, np.diff(np.r_[first, len(value)]))
-        value, owner = value[keep], owner[keep]
-        order = np.argsort(owner, kind="stable")
-        value, owner = value[order], owner[order]
-        who, at = np.unique(owner, return_index=True)
-        return pa.table({"chunk": pa.array(who, pa.int32()),
-                         "data": pa.array([_narrow(v) for v in np.split(value, at[1:])] if len(who) else [],
-                                          pa.binary())})
+        values, _, several = distinct(chunk.anchors(), chunk.document)
+        return to_buckets(number, values, 40, n, with_flags(values, several))
 
     def tell_windows(key_: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         chunk = _Chunk(table, window, anchor)
-        data = [_wide(d) for d in answers.column("data").to_pylist()]
-        shared = np.sort(np.concatenate(data)) if data else np.zeros(0, np.uint64)
-        anchors = chunk.anchors()
-        keep = np.zeros(len(anchors), bool)
-        if len(shared):
-            keep = shared[np.minimum(np.searchsorted(shared, anchors), len(shared) - 1)] == anchors
-        values, least, _ = _distinct(chunk.hashes()[keep], chunk.document[keep])
-        return _to_buckets(key_[0].as_py(), values, 64, n,
+        keep = member(chunk.anchors(), told(answers))
+        values, least, _ = distinct(chunk.hashes()[keep], chunk.document[keep])
+        return to_buckets(key_[0].as_py(), values, 64, n,
                            lambda a, b: values[a:b].tobytes() + least[a:b].tobytes())
 
     def first_documents(table: pa.Table) -> pa.Table:
@@ -177,11 +114,11 @@ def removed_spans(df: DataFrame, key: str = "doc_id", text: str = "text", window
     def remove(key_: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         chunk = _Chunk(table, window, anchor)
         rows = [np.frombuffer(d, "<i8").reshape(-1, 2) for d in answers.column("data").to_pylist()]
-        told = np.concatenate(rows) if rows else np.zeros((0, 2), np.int64)
+        heard = np.concatenate(rows) if rows else np.zeros((0, 2), np.int64)
         covered = np.zeros(len(chunk.words) + 1, dtype=np.int64)
-        if len(told):
-            order = np.argsort(told[:, 0].view(np.uint64))
-            value, least = told[order, 0].view(np.uint64), told[order, 1]
+        if len(heard):
+            order = np.argsort(heard[:, 0].view(np.uint64))
+            value, least = heard[order, 0].view(np.uint64), heard[order, 1]
             own = chunk.hashes()
             near = np.minimum(np.searchsorted(value, own), len(value) - 1)
             hit = chunk.at[(value[near] == own) & (least[near] < chunk.document)]
@@ -206,7 +143,7 @@ def removed_spans(df: DataFrame, key: str = "doc_id", text: str = "text", window
                          "spans": pa.array(spans, pa.list_(pa.list_(pa.int64()))),
                          "kept_text": pa.array(kept, pa.binary()).cast(pa.string())})
 
-    anchors = chunks.applyInArrow(tell_anchors, MESSAGE).groupBy("bucket").applyInArrow(shared_anchors, ANSWER)
+    anchors = chunks.applyInArrow(tell_anchors, MESSAGE).groupBy("bucket").applyInArrow(shared_values, ANSWER)
     windows = (chunks.cogroup(anchors.groupBy("chunk")).applyInArrow(tell_windows, MESSAGE)
                .groupBy("bucket").applyInArrow(first_documents, ANSWER))
     return chunks.cogroup(windows.groupBy("chunk")).applyInArrow(remove, made)
