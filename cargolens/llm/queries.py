@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, packing, pages, pieces, sharding, sql, substrings, topk, toxicity
+from . import chat, jaccard, packing, pages, pieces, sharding, sql, substrings, topk, toxicity
 from .shared import table
 
 SHARDS = 8
@@ -45,6 +45,10 @@ def op6_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return pages.extract_pages(table(spark, folder, "pages").select("page_id", "url", "html"))
 
 
+def op7_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, folder, "documents"))
+
+
 def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.digest(substrings.removed_spans(table(spark, folder, "documents")))
 
@@ -63,7 +67,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_chat_format, op2_sentencepiece, op3_sharding, op5_exact_top_k,
-                                  op6_html_extraction, op8_substring_dedup, op9_best_fit_packing, op10_toxicity)}
+                                  op6_html_extraction, op7_jaccard_join, op8_substring_dedup, op9_best_fit_packing, op10_toxicity)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -85,3 +85,23 @@ k AS (SELECT w.doc_id, len(words) AS n_words, coalesce(len(gone), 0) AS n_remove
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed,
        sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
 """
+
+TWINS["op7_jaccard_join"] = r"""
+WITH RECURSIVE
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                                  'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(words) < 5 THEN array_to_string(words, ' ')
+                                   ELSE array_to_string(words[i:i + 4], ' ') END AS shingle
+      FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common
+      FROM s AS a JOIN s AS b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n AS a ON a.doc_id = x JOIN n AS b ON b.doc_id = y
+      WHERE 100 * common >= 80 * (a.size + b.size - common)),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r AS (SELECT doc_id, doc_id AS reached FROM documents
+      UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.reached = e.x)
+SELECT d.doc_id, CAST(coalesce(n.size, 0) AS BIGINT) AS n_shingles, c.component_id
+FROM documents AS d LEFT JOIN n ON n.doc_id = d.doc_id
+JOIN (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id) AS c ON c.doc_id = d.doc_id
+"""
