@@ -29,9 +29,9 @@ from .shared import texts_of
 
 BLANK = "▁"
 #: Segments remembered by one task, and the longest of them in characters.
-REMEMBERED, LONGEST = 300_000, 48
+REMEMBERED, LONGEST = 600_000, 48
 
-_NEVER = float("-inf")
+_NEVER, _LOW = 1 << 62, (1 << 32) - 1
 
 
 class CharacterMap:
@@ -137,8 +137,24 @@ class Encoder:
         if any(p.type in (kinds.USER_DEFINED, kinds.UNUSED) for p in model.pieces):
             raise ValueError("models with user-defined or unused pieces are not supported")
         self.ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type == kinds.NORMAL}
-        self.scores = {p.piece: p.score for p in model.pieces if p.type == kinds.NORMAL}
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == kinds.BYTE}
+        # Symbols are numbered: 0 is a character outside the vocabulary; a pair's value is its rank and what it makes.
+        self.symbols = {c: n for n, c in enumerate(dict.fromkeys(
+            [c for p in self.ids for c in p] + list(self.ids)), start=1)}
+        self.number_ids = [-1, *(self.ids.get(c, -1) for c in self.symbols)]
+        self.number_sizes = [1, *map(len, self.symbols)]
+        scores = {p.piece: p.score for p in model.pieces if p.type == kinds.NORMAL}
+        level = {score: n for n, score in enumerate(sorted(set(scores.values()), reverse=True))}
+        self.pairs: dict[int, int] = {}
+        for piece, score in scores.items():
+            for i in range(1, len(piece)):
+                a, b = self.symbols.get(piece[:i]), self.symbols.get(piece[i:])
+                if a and b:
+                    self.pairs[a << 32 | b] = level[score] << 32 | self.symbols[piece]
+        self.id_sizes = np.array([len(p.piece) if p.type == kinds.NORMAL else 1 for p in model.pieces])
+        self.id_bytes = np.zeros(len(model.pieces), dtype=np.int64)
+        self.id_bytes[list(self.bytes.values())] = list(self.bytes)
+        self.inside = {p[i:i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == kinds.UNKNOWN)
         self.end = model.trainer_spec.eos_id
         self.normalizer = Normalizer(model.normalizer_spec)
@@ -149,94 +165,112 @@ class Encoder:
         alone = "".join(re.escape(c) for c in "\n\t\r" if c not in joined)
         self.segments = re.compile(f"[{alone}]|{BLANK}*[^{BLANK}{alone}]+|{BLANK}+" if alone
                                    else f"{BLANK}*[^{BLANK}]+|{BLANK}+")
-        self.seen: dict[str, tuple[list[int], list[int]]] = {}
+        self.seen: dict[str, tuple[int, ...]] = {}
 
-    def merge(self, text: str) -> list[str]:
-        """Pieces of a segment: again and again the best adjacent pair, ties to the left."""
-        scores = self.scores
-        parts = list(text)
+    def merge(self, text: str) -> list[int]:
+        """Symbols of a segment: again and again the best adjacent pair, ties to the left."""
+        pairs_of, symbol = self.pairs.get, self.symbols.get
+        parts = [symbol(c, 0) for c in text]
         if len(parts) <= LONGEST:
-            score = scores.get
-            pairs = [score(a + b, _NEVER) for a, b in zip(parts, parts[1:])]
+            pairs = [pairs_of(a << 32 | b, _NEVER) for a, b in zip(parts, parts[1:])]
             while pairs:
-                best = max(pairs)
+                best = min(pairs)
                 if best == _NEVER:
                     break
                 i = pairs.index(best)
-                parts[i:i + 2] = [parts[i] + parts[i + 1]]
-                del pairs[i]
+                new = parts[i] = best & _LOW
+                del parts[i + 1], pairs[i]
                 if i:
-                    pairs[i - 1] = score(parts[i - 1] + parts[i], _NEVER)
+                    pairs[i - 1] = pairs_of(parts[i - 1] << 32 | new, _NEVER)
                 if i < len(pairs):
-                    pairs[i] = score(parts[i] + parts[i + 1], _NEVER)
+                    pairs[i] = pairs_of(new << 32 | parts[i + 1], _NEVER)
             return parts
-        before, after = list(range(-1, len(parts) - 1)), list(range(1, len(parts) + 1))
-        after[-1] = -1
-        heap: list[tuple[float, int, str]] = []
+        before, after = list(range(-1, len(parts) - 1)), [*range(1, len(parts)), -1]
+        gone = [False] * len(parts)
+        heap: list[tuple[int, int, int, int]] = []
 
         def offer(i: int) -> None:
             j = after[i]
-            if i >= 0 and j >= 0:
-                pair = parts[i] + parts[j]
-                if pair in scores:
-                    heapq.heappush(heap, (-scores[pair], i, pair))
+            if j >= 0:
+                best = pairs_of(parts[i] << 32 | parts[j], _NEVER)
+                if best != _NEVER:
+                    heapq.heappush(heap, (best, i, parts[i], parts[j]))
 
         for i in range(len(parts) - 1):
             offer(i)
         while heap:
-            _, i, pair = heapq.heappop(heap)
+            best, i, a, b = heapq.heappop(heap)
             j = after[i]
-            if not parts[i] or j < 0 or parts[i] + parts[j] != pair:
+            if gone[i] or j < 0 or parts[i] != a or parts[j] != b:
                 continue
-            parts[i], parts[j] = pair, ""
+            parts[i], gone[j] = best & _LOW, True
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             offer(i)
             if before[i] >= 0:
                 offer(before[i])
-        return [p for p in parts if p]
-
-    def segment(self, text: str) -> tuple[list[int], list[int]]:
-        """Ids of a segment and the normalised characters that each covers."""
-        known = self.seen.get(text)
-        if known is None:
-            ids, sizes = [], []
-            for piece in self.merge(text):
-                i = self.ids.get(piece)
-                if i is not None:
-                    ids.append(i)
-                    sizes.append(len(piece))
-                elif self.bytes:
-                    for b in piece.encode():
-                        ids.append(self.bytes[b])
-                        sizes.append(0)
-                    sizes[-1] = len(piece)
-                else:
-                    ids.append(self.unknown)
-                    sizes.append(len(piece))
-            known = ids, sizes
-            if len(text) <= LONGEST:
-                if len(self.seen) >= REMEMBERED:
-                    self.seen.clear()
-                self.seen[text] = known
-        return known
+        return [p for p, out in zip(parts, gone, strict=True) if not out]
+
+    def pieces(self, text: str) -> tuple[int, ...]:
+        """Ids of a text that is merged as a whole; characters outside the vocabulary become byte pieces."""
+        ids, at = [], 0
+        for number in self.merge(text):
+            i, size = self.number_ids[number], self.number_sizes[number]
+            if i >= 0:
+                ids.append(i)
+            elif self.bytes:
+                ids += [self.bytes[b] for b in text[at:at + size].encode()]
+            else:
+                ids.append(self.unknown)
+            at += size
+        return tuple(ids)
+
+    def segment(self, text: str) -> tuple[int, ...]:
+        """As ``pieces``, remembered, and cut further where no piece of the vocabulary can cross."""
+        inside = self.inside
+        cuts = [i for i in range(1, len(text)) if text[i - 1:i + 1] not in inside]
+        if cuts:
+            ids: list[int] = []
+            for low, high in zip([0, *cuts], [*cuts, len(text)]):
+                part = text[low:high]
+                ids += self.seen.get(part) or self.remember(part, self.pieces(part))
+            return self.remember(text, tuple(ids))
+        return self.remember(text, self.pieces(text))
+
+    def remember(self, text: str, ids: tuple[int, ...]) -> tuple[int, ...]:
+        if len(text) <= LONGEST:
+            if len(self.seen) >= REMEMBERED:
+                self.seen.clear()
+            self.seen[text] = ids
+        return ids
+
+    def encode_ids(self, normal: str) -> list[int]:
+        """Ids of a normalised text."""
+        ids: list[int] = []
+        known = self.seen.get
+        for part in self.segments.findall(normal):
+            ids += known(part) or self.segment(part)
+        return ids
+
+    def characters(self, ids: np.ndarray) -> np.ndarray:
+        """Normalised characters that each id covers; of a character's byte pieces the last has it."""
+        sizes, byte = self.id_sizes[ids], self.id_bytes[ids]
+        inside = (byte >= 0x80) & (byte < 0xC0)
+        goes_on = np.append(inside[1:], False) & (byte >= 0x80)
+        sizes[goes_on] = 0
+        return sizes
 
     def encode(self, text: bytes) -> tuple[list[int], np.ndarray, np.ndarray]:
         """Ids with the end id, and the first and past-the-last source byte of each."""
-        ids: list[int] = []
-        sizes: list[int] = []
         if self.normalizer.plain:
             source = text.decode("utf-8", "replace")
             normal = (BLANK if self.normalizer.dummy and source else "") + source.replace(" ", BLANK)
             where = None
         else:
             normal, where = self.normalizer.align(text)
-        for part in self.segments.findall(normal):
-            a, b = self.segment(part)
-            ids += a
-            sizes += b
-        cuts = np.cumsum(np.array(sizes, dtype=np.int64))
+        ids = self.encode_ids(normal)
+        cuts = np.cumsum(self.characters(np.array(ids, dtype=np.int64)))
         if where is not None:
             at = np.array(where, dtype=np.int64)
         elif source.isascii():
