@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, jaccard, packing, pages, pieces, sharding, sql, substrings, topk, toxicity
+from . import chat, jaccard, packing, pages, permutation, pieces, sharding, sql, substrings, topk, toxicity
 from .shared import table
 
 SHARDS = 8
@@ -37,6 +37,10 @@ def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.number_slots(rows).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op4_permutation_index(spark: SparkSession, folder: str) -> DataFrame:
+    return permutation.nearest_neighbours(table(spark, folder, "embeddings"), k=20, every=20)
+
+
 def op5_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return topk.exact_top_k(table(spark, folder, "embeddings"), k=10, every=100, scale=1024)
 
@@ -66,7 +70,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op2_sentencepiece, op3_sharding, op5_exact_top_k,
+    f.__name__: f for f in (op1_chat_format, op2_sentencepiece, op3_sharding, op4_permutation_index, op5_exact_top_k,
                                   op6_html_extraction, op7_jaccard_join, op8_substring_dedup, op9_best_fit_packing, op10_toxicity)}
 
 
