@@ -8,7 +8,7 @@ reranked by the inner product of the original vectors.
 
 Pivots are a bounded sample: the first ``PIVOTS`` distinct vectors among the ``4 * PIVOTS`` rows of smallest id
 hash. Every row is indexed. A fixed share of each block is reranked, so recall does not fall as the table grows:
-0.97 and more at 20 % against brute force on the test tables (random directions, the hard case).
+0.97 and more at 20 % on the test tables (random directions, the hard case).
 
 Defined cases: vectors that are null, zero or hold null or non-finite components, and rows without an id, take no
 part; rows that share an id count once, by their best score; equal distances and scores go to the smaller id;
@@ -21,12 +21,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import parallelism, spread
-from .topk import LISTS, best_of_row, by_length, finite, merge_lists
+from .shared import spread
+from .topk import LISTS, best_of_row, block_count, by_length, finite, merge_lists
 
 PIVOTS, NEAREST = 256, 64
 #: Share of a block that is reranked, and the least number of rows.
-SHARE, LEAST = 0.20, 512
+SHARE, LEAST = 0.20, 128
 BLOCK_ROWS = 32_768
 
 
@@ -102,7 +102,7 @@ def nearest_neighbours(df: DataFrame, k: int = 20, every: int = 20, vector: str
             .select(F.col(key).cast("bigint").alias("vec_id"), F.col(vector).cast("array<double>").alias("_v")))
     chosen = choose_pivots(rows, pivots)
     asked = rows.where(F.col("vec_id") % every == 0)
-    c_blocks = max(rows.count() // block_rows + 1, 2 * parallelism(df.sparkSession))
+    c_blocks = block_count(rows, block_rows)
     q_blocks = asked.count() // block_rows + 1
     left = (rows.withColumn("_c", spread("vec_id", c_blocks))
             .withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))))

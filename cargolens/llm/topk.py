@@ -24,6 +24,8 @@ BLOCK_ROWS = 32_768
 #: Queries and candidates of one inner product, 8 MB of scores.
 TILE_QUERIES, TILE_ROWS = 128, 8_192
 FAN_IN = 64
+#: Rows that a block has at least, unless there are fewer: below, its lists are longer than its work.
+LEAST_ROWS = 1024
 
 LISTS = "query_id long, vec_id long, score {score}, part int"
 
@@ -123,11 +125,16 @@ def _product_type(queries: pa.Table, rows: pa.Table, integer: bool):
     raise OverflowError("a score does not fit into 64 bits")
 
 
+def block_count(df: DataFrame, block_rows: int) -> int:
+    """Blocks of at most ``block_rows`` rows (on average), and enough of them to keep the session busy."""
+    rows = df.count()
+    return max(rows // block_rows, min(2 * parallelism(df.sparkSession), rows // LEAST_ROWS)) + 1
+
+
 def top_lists(candidates: DataFrame, queries: DataFrame, k: int, integer: bool,
               block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, vec_id, score: the k best candidates of every query. Both inputs: vec_id and _v (a list)."""
-    spark = candidates.sparkSession
-    c_blocks = max(candidates.count() // block_rows + 1, 2 * parallelism(spark))
+    c_blocks = block_count(candidates, block_rows)
     q_blocks = queries.count() // block_rows + 1
     left = (candidates.withColumn("_c", spread("vec_id", c_blocks))
             .withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))))
