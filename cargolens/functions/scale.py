@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .expressions import any_of, col
 
+#: Rows that one task orders in ``ordered_running`` and ``nearest_in_time``.
+ROWS_A_CHUNK = 2_000_000
+
 
 def use_checkpoint_dir(spark: SparkSession) -> None:
     """Point the context at ``spark.checkpoint.dir``; a temporary folder only in local mode."""
@@ -34,6 +37,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join that treats null keys as equal; the right side's keys are dropped."""
+    named = right.select(*[F.col(c).alias(f"_r_{c}" if c in keys else c) for c in right.columns])
+    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(named, on, how).drop(*[f"_r_{k}" for k in keys])
+
+
+def _ranged(df: DataFrame, order: list[Column], partitions: int | None) -> DataFrame:
+    """Rows in range partitions of bounded size with their frozen number ``_chunk``."""
+    rows = cut_lineage(df)  # the ranges are sampled and then dealt: both read what is written
+    n = partitions or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+                          rows.count() // ROWS_A_CHUNK + 1)
+    return cut_lineage(rows.repartitionByRange(n, *order).withColumn("_chunk", F.spark_partition_id()))
+
+
 def ordered_running(df: DataFrame, groups: list[str], order: list[Column],
                     sums: dict[str, Column], totals: dict[str, Column] | None = None,
                     partitions: int | None = None) -> DataFrame:
@@ -42,15 +60,11 @@ def ordered_running(df: DataFrame, groups: list[str], order: list[Column],
     A group may be larger than a task: rows are range partitioned by (group, order), the
     partition number is frozen by the checkpoint, and each (group, partition) chunk starts
     from the sum of the chunks before it. The chunk table holds at most one row for each
-    group plus one for each partition boundary.
+    group plus one for each partition boundary. The number of partitions follows the rows. Null groups
+    are groups like others.
     """
     totals = totals or {}
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = [F.col(g) for g in groups]
-    ranged = (df.repartitionByRange(n, *keys, *order)
-              .withColumn("_chunk", F.spark_partition_id()))
-    ranged = cut_lineage(ranged)
+    ranged = _ranged(df, [*[F.col(g) for g in groups], *order], partitions)
 
     measures = {**{f"_s_{k}": v for k, v in sums.items()}, **{f"_t_{k}": v for k, v in totals.items()}}
     chunks = ranged.groupBy(*groups, "_chunk").agg(*[F.sum(v).alias(k) for k, v in measures.items()])
@@ -62,7 +76,7 @@ def ordered_running(df: DataFrame, groups: list[str], order: list[Column],
         *[F.sum(f"_t_{k}").over(whole).alias(k) for k in totals])
     inside = (Window.partitionBy(*groups, "_chunk").orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    joined = ranged.join(chunks, [*groups, "_chunk"])
+    joined = null_safe_join(ranged, chunks, [*groups, "_chunk"])
     for k, v in sums.items():
         joined = joined.withColumn(k, F.sum(v).over(inside) + F.col(f"_o_{k}"))
     return joined.drop("_chunk", *[f"_o_{k}" for k in sums])
@@ -75,17 +89,18 @@ def _log_bucket(v: Column) -> Column:
 
 
 def exact_quantiles(df: DataFrame, groups: list[str], value: str | Column,
-                    fractions: dict[str, float], bounded_groups: bool = False) -> DataFrame:
+                    fractions: dict[str, float]) -> DataFrame:
     """Linear-interpolated quantiles for each group, exact at any size.
 
     Pass 1 counts a monotone bucket code (combined map-side, at most some ten thousand codes
     for each group); pass 2 reads only the buckets that contain the two neighbouring ranks of
-    each fraction. ``bounded_groups`` states that the number of groups is limited by parameters
-    (origins, hours, periods), so the bucket list (2 rows per group and fraction) may be broadcast.
+    each fraction. A null group is a group; null values are left out; a value that is not finite is an error.
     """
     keys = list(groups) or ["_all"]
     rows = df if groups else df.withColumn("_all", F.lit(0))
-    rows = (rows.select(*keys, col(value).cast("double").alias("_v"))
+    finite = F.when(F.isnan("_v") | (F.abs("_v") == float("inf")),
+                    F.raise_error(F.lit(f"quantiles of {value}: values must be finite"))).otherwise(F.col("_v"))
+    rows = (rows.select(*keys, col(value).cast("double").alias("_v")).withColumn("_v", finite)
             .where(F.col("_v").isNotNull())
             .withColumn("_b", _log_bucket(F.col("_v"))))
     hist = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"))
@@ -100,9 +115,7 @@ def exact_quantiles(df: DataFrame, groups: list[str], value: str | Column,
     ranks = [g(position(f)) for f in fractions.values() for g in (F.floor, F.ceil)]
     hit = any_of([(F.col("_before") <= r) & (r < F.col("_cum")) for r in ranks])
     wanted = hist.where(hit).select(*keys, "_b", "_n", "_before")
-    if bounded_groups:
-        wanted = F.broadcast(wanted)
-    inside = (rows.join(wanted, [*keys, "_b"])
+    inside = (null_safe_join(rows, wanted, [*keys, "_b"])
               .groupBy(*keys, "_b", "_n", "_before", "_v").agg(F.count(F.lit(1)).alias("_c")))
     run = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     inside = (inside.withColumn("_hi", F.col("_before") + F.sum("_c").over(run))
@@ -122,29 +135,29 @@ def exact_quantiles(df: DataFrame, groups: list[str], value: str | Column,
 
 
 def nearest_in_time(df: DataFrame, keys: list[str], time: str, value: Column, name: str,
-                    forward: bool = False, inclusive: bool = True, chunk: str = "HOUR") -> DataFrame:
+                    forward: bool = False, inclusive: bool = True, partitions: int | None = None) -> DataFrame:
     """Add the latest earlier (or next later) non-null value of the same key.
 
-    The as-of lookup runs inside (key, chunk of time); what lies outside the chunk comes from a
-    table with one row for each key and chunk. A key with a third of all rows is spread over its
-    chunks. ``value`` must be null where a row offers nothing.
+    Rows are range partitioned by (key, time) and numbered by partition, so a key with a third of all rows, or
+    with all its rows in one hour, is spread over many tasks. The lookup runs inside (key, partition); what lies
+    outside comes from a table with one row for each of them. ``value`` must be null where a row offers nothing.
+    Every row stays: a null key is a key, a row without a time finds nothing.
     """
-    rows = df.withColumn("_slot", F.date_trunc(chunk, time)).withColumn("_value", value)
-    direction = F.col(time).desc() if forward else F.col(time).asc()
-    slot_order = F.col("_slot").desc() if forward else F.col("_slot").asc()
+    rows = _ranged(df.withColumn("_value", value), [*[F.col(k) for k in keys], F.col(time)], partitions)
+    direction = F.col(time).desc_nulls_last() if forward else F.col(time).asc_nulls_last()
+    chunk_order = F.col("_chunk").desc() if forward else F.col("_chunk").asc()
     pick = F.min_by if forward else F.max_by
     known = F.when(F.col("_value").isNotNull(), F.col(time))
-    slots = rows.groupBy(*keys, "_slot").agg(pick("_value", known).alias("_edge"))
-    outside = Window.partitionBy(*keys).orderBy(slot_order).rowsBetween(Window.unboundedPreceding, -1)
-    slots = slots.select(*keys, "_slot", F.last("_edge", ignorenulls=True).over(outside).alias("_outside"))
-    inside = (Window.partitionBy(*keys, "_slot").orderBy(direction)
-              .rangeBetween(Window.unboundedPreceding, Window.currentRow) if inclusive else
-              Window.partitionBy(*keys, "_slot").orderBy(direction)
-              .rowsBetween(Window.unboundedPreceding, -1))
+    chunks = rows.groupBy(*keys, "_chunk").agg(pick("_value", known).alias("_edge"))
+    outside = Window.partitionBy(*keys).orderBy(chunk_order).rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.select(*keys, "_chunk", F.last("_edge", ignorenulls=True).over(outside).alias("_outside"))
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(direction)
+    inside = (inside.rangeBetween(Window.unboundedPreceding, Window.currentRow) if inclusive
+              else inside.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("_inside", F.last("_value", ignorenulls=True).over(inside))
-    return (rows.join(slots, [*keys, "_slot"])
-            .withColumn(name, F.coalesce("_inside", "_outside"))
-            .drop("_slot", "_value", "_inside", "_outside"))
+    found = F.when(F.col(time).isNotNull(), F.coalesce("_inside", "_outside"))
+    return (null_safe_join(rows, chunks, [*keys, "_chunk"]).withColumn(name, found)
+            .drop("_chunk", "_value", "_inside", "_outside"))
 
 
 def session_settings(spark: SparkSession) -> None:

@@ -81,7 +81,7 @@ def late_features(df: DataFrame, available_at: str, prediction_at: str) -> DataF
 
 
 def latest_known(requests: DataFrame, features: DataFrame, key: str, prediction_at: str,
-                 available_at: str, value: str, chunk: str = "HOUR") -> DataFrame:
+                 available_at: str, value: str) -> DataFrame:
     """For each request the newest feature value with available_at <= prediction_at (null if none).
 
     Feature rows of one key must have different ``available_at``.
@@ -93,7 +93,7 @@ def latest_known(requests: DataFrame, features: DataFrame, key: str, prediction_
     right = features.select(F.col(key), F.col(available_at).alias("_at"), F.lit(False).alias("_asks"),
                             F.lit(None).alias("_row"),
                             F.struct(F.col(value).alias("v"), F.col(available_at).alias("at")).alias("_feature"))
-    both = nearest_in_time(left.unionByName(right), [key], "_at", F.col("_feature"), "_known", chunk=chunk)
+    both = nearest_in_time(left.unionByName(right), [key], "_at", F.col("_feature"), "_known")
     out = both.where("_asks").select(key, F.col("_at").alias(prediction_at),
                                      *([F.col("_row.*")] if kept else []),
                                      F.col("_known.v").alias(value), F.col("_known.at").alias(available_at))

@@ -103,7 +103,7 @@ def data_audit(records: DataFrame, observation_end: str | None = None) -> DataFr
 def duration_quantiles(completed: DataFrame,
                        fractions: tuple[float, ...] = (0.0, 0.5, 0.9, 0.99, 1.0)) -> DataFrame:
     names = {f"q{i}": f for i, f in enumerate(fractions)}
-    wide = exact_quantiles(completed, [], "minutes", names, bounded_groups=True)
+    wide = exact_quantiles(completed, [], "minutes", names)
     return wide.select(F.inline(F.array(*[
         F.struct(F.lit(float(f)).alias("fraction"), F.col(n).alias("minutes")) for n, f in names.items()])))
 
@@ -133,13 +133,17 @@ def mature_history(records: DataFrame, starts: list[str]) -> DataFrame:
 
 def label_maturity(records: DataFrame, starts: list[str], horizon: int,
                    observation_end: str | None = None) -> DataFrame:
-    """Accepted, mature and pending records of each window; undelivered records are pending."""
+    """Accepted, mature and pending records of each window; undelivered records are pending.
+
+    The time after which all labels are known is null while a record of the window is undelivered.
+    """
     pending = F.col("delivery_time").isNull()
     if observation_end is not None:
         pending = pending | (F.col("delivery_time") >= F.expr(f"date_add(DATE '{observation_end}', 1)"))
     counted = window_cohort(records, starts, horizon).groupBy("window_start").agg(
         F.count(F.lit(1)).alias("accepted_records"), F.count_if(pending).alias("pending_records"),
-        F.max("delivery_time").alias("all_test_labels_known_after"))
+        F.when(F.count_if(F.col("delivery_time").isNull()) == 0, F.max("delivery_time"))
+        .alias("all_test_labels_known_after"))
     zero = F.lit(0).cast("bigint")
     return (window_table(records, starts, horizon).join(counted, "window_start", "left")
             .withColumn("accepted_records", F.coalesce("accepted_records", zero))
@@ -160,7 +164,7 @@ def require_mature(maturity: DataFrame) -> None:
 def duration_global_median(records: DataFrame, starts: list[str]) -> DataFrame:
     """Exact median of the mature history of each origin."""
     return exact_quantiles(mature_history(records, starts), ["window_start"], "minutes",
-                           {"global_median": 0.5}, bounded_groups=True).withColumnRenamed(
+                           {"global_median": 0.5}).withColumnRenamed(
         "n_values", "known_training_records")
 
 
@@ -171,7 +175,7 @@ def duration_hour_median(records: DataFrame, starts: list[str], min_records: int
     """
     history = mature_history(records, starts).withColumn("accept_hour", F.hour("accept_time"))
     by_hour = exact_quantiles(history, ["window_start", "accept_hour"], "minutes",
-                              {"own_median": 0.5}, bounded_groups=True)
+                              {"own_median": 0.5})
     hours = duration_global_median(records, starts).select(
         "*", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("accept_hour"))
     own = F.when(F.col("n_values") >= min_records, F.col("own_median"))
@@ -181,14 +185,26 @@ def duration_hour_median(records: DataFrame, starts: list[str], min_records: int
         F.coalesce(own, F.col("global_median")).alias("hour_median"))
 
 
-def duration_predictions(records: DataFrame, starts: list[str], horizon: int,
+def score_status(records: DataFrame, starts: list[str], horizon: int, observation_end: str | None) -> DataFrame:
+    """window_start, accepted_records, pending_records, status of each window: only 'scored' ones have predictions."""
+    status = (F.when(F.col("accepted_records") == 0, "no test records")
+              .when(F.col("pending_records") > 0, "labels pending").when(F.col("known") == 0, "no mature history")
+              .otherwise("scored"))
+    known = mature_history(records, starts).groupBy("window_start").agg(F.count(F.lit(1)).alias("known"))
+    return (label_maturity(records, starts, horizon, observation_end).join(known, "window_start", "left")
+            .fillna(0, ["known"]).select("window_start", "accepted_records", "pending_records", status.alias("status")))
+
+
+def duration_predictions(records: DataFrame, starts: list[str], horizon: int, observation_end: str | None = None,
                          min_records: int = 30, numbered: bool = True) -> DataFrame:
     """Both methods for the same records of each window, numbered by acceptance within the window.
 
-    Numbering needs a global order, so callers that only aggregate leave it out. A window without
-    a mature history or without test records has no rows.
+    ``records`` are all accepted records, undelivered ones included. A window with pending labels is refused:
+    scoring its fast deliveries alone would flatter every method. ``score_status`` names the windows without rows.
+    Numbering needs a global order, so callers that only aggregate leave it out.
     """
-    test = window_cohort(records, starts, horizon).select(
+    open_windows = maturity_gate(label_maturity(records, starts, horizon, observation_end)).select("window_start")
+    test = window_cohort(records, starts, horizon).join(open_windows, "window_start", "left_anti").select(
         "window_start", "order_id", "accept_time", F.hour("accept_time").alias("accept_hour"),
         F.to_date("accept_time").alias("accept_date"), F.col("minutes").alias("actual_minutes"))
     ids = ["window_start", "accept_hour", "accept_date", "actual_minutes", "known_training_records"]
@@ -196,8 +212,7 @@ def duration_predictions(records: DataFrame, starts: list[str], horizon: int,
         test = ordered_running(test, ["window_start"], [F.col("accept_time"), F.col("order_id")],
                                {"number": F.lit(1)}).withColumn("sample_index", F.col("number") - 1)
         ids.insert(1, "sample_index")
-    # At most 24 rows for each origin.
-    estimates = F.broadcast(duration_hour_median(records, starts, min_records))
+    estimates = duration_hour_median(records, starts, min_records)
     wide = test.join(estimates, ["window_start", "accept_hour"])
     return melt(wide, ids, {m: m for m in DURATION_METHODS}, "method", "prediction_minutes")
 

@@ -8,14 +8,12 @@ sites are ``site_id, x_km, y_km``; the number of plans is checked against ``MAX_
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations, islice
+from itertools import combinations, count, islice
 from math import comb
 
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.expressions import col, euclid
@@ -24,6 +22,8 @@ from ..sources.tables import ContractError
 MAX_CENTERS = 1000
 MAX_PLANS = 2_000_000
 TOLERANCE = 1e-9
+#: Distinct rows from which k-means draws its starts.
+START_ROWS = 5000
 
 
 # Centres -------------------------------------------------------------------------------------
@@ -95,18 +95,19 @@ def _nearest_literal(centers: list[tuple[float, ...]], features: list[str]) -> C
                                  for i, c in enumerate(centers)]))["i"]
 
 
-def lloyd_trace(points: DataFrame, start: list[tuple[float, float]], max_steps: int = 10,
+def lloyd_trace(points: DataFrame, start: list[tuple[float, float]], max_steps: int | None = None,
                 weight: str = "demand") -> DataFrame:
     """Lloyd steps from given centres until the labels repeat: one row for each step and cluster.
 
-    Each step is one aggregate over the points; only the k new centres and the number of changed
+    ``converged`` is true in every row when the labels did repeat; a trace that was asked to stop after
+    ``max_steps`` says false. Each step is one aggregate over the points; only the k new centres and the number of changed
     labels return. A group without points keeps its centre.
     """
     features = ["x_km", "y_km"]
     data = points.select(*features, col(weight).cast("double").alias("_w")).persist(StorageLevel.MEMORY_AND_DISK)
-    previous, current, trace = None, [tuple(map(float, c)) for c in start], []
+    previous, current, trace, converged = None, [tuple(map(float, c)) for c in start], [], False
     try:
-        for step in range(1, max_steps + 1):
+        for step in count(1) if max_steps is None else range(1, max_steps + 1):
             label = _nearest_literal(current, features)
             moved = F.lit(True) if previous is None else label != _nearest_literal(previous, features)
             sums = (data.select("*", label.alias("cluster"), moved.alias("_moved")).groupBy("cluster")
@@ -119,31 +120,120 @@ def lloyd_trace(points: DataFrame, start: list[tuple[float, float]], max_steps:
                       for i in range(len(current))]
             changed = sum(r["moved"] for r in sums)
             previous, current = current, updated
-            if step > 1 and changed == 0:
+            converged = step > 1 and changed == 0
+            if converged:
                 break
     finally:
         data.unpersist()
     return points.sparkSession.createDataFrame(
-        trace, "step int, cluster int, old_x double, old_y double, members bigint, new_x double, new_y double")
+        [(*row, converged) for row in trace], "step int, cluster int, old_x double, old_y double, members bigint, "
+        "new_x double, new_y double, converged boolean")
 
 
-def best_kmeans(df: DataFrame, features: list[str], k: int, restarts: int = 10, seed: int = 42,
-                weight: str | None = None) -> tuple[float, list[tuple[float, ...]]]:
-    """Cost and centres of the best of several k-means runs, centres in sorted order.
+def _plus_plus(points: np.ndarray, weights: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """Starting centres: each next one is drawn by weighted squared distance to those chosen."""
+    chosen = [int(rng.choice(len(points), p=weights / weights.sum()))]
+    near = ((points - points[chosen[0]]) ** 2).sum(axis=1)
+    while len(chosen) < k:
+        mass = near * weights
+        chosen.append(int(rng.choice(len(points), p=mass / mass.sum())) if mass.sum() > 0
+                      else int(np.setdiff1d(np.arange(len(points)), chosen)[0]))
+        near = np.minimum(near, ((points - points[chosen[-1]]) ** 2).sum(axis=1))
+    return points[chosen]
+
 
-    ``df`` should be persisted by the caller: every restart reads it.
+def kmeans_starts(data: DataFrame, features: list[str], specs: list[tuple[int, int]],
+                  weight: str | None = None) -> list[np.ndarray]:
+    """One k-means++ start for each (k, seed), from at most ``START_ROWS`` distinct rows chosen by hash.
+
+    Only where a run starts depends on this sample; every step of a run reads all rows.
+    """
+    w = col(weight).cast("double") if weight else F.lit(1.0)
+    rows = (data.select(*[F.col(f).cast("double").alias(f) for f in features], w.alias("_w"))
+            .groupBy(*features).agg(F.sum("_w").alias("_w")))
+    sample = rows.where(F.col("_w") > 0).orderBy(F.xxhash64(*features), *features).limit(START_ROWS).collect()
+    points = np.array([[r[f] for f in features] for r in sample], dtype=float).reshape(-1, len(features))
+    weights = np.array([r["_w"] for r in sample], dtype=float)
+    short = [k for k, _ in specs if k > len(points)]
+    if short:
+        raise ContractError(f"{max(short)} groups need as many distinct rows; there are {len(points)}")
+    return [_plus_plus(points, weights, k, np.random.default_rng(seed)) for k, seed in specs]
+
+
+def lloyd_runs(data: DataFrame, features: list[str], starts: list[np.ndarray], weight: str | None = None,
+               max_steps: int = 300, tolerance: float = 1e-4) -> list[tuple[float, np.ndarray]]:
+    """Cost and centres of Lloyd's method from every start; all runs share each pass over the rows.
+
+    A step turns a task's rows into one sum for each run and cluster. A run ends when the squared shift of its
+    centres is at most ``tolerance`` times the mean variance of the features, or after ``max_steps`` steps. A
+    group without rows keeps its centre; ties go to the lower cluster.
     """
-    data = VectorAssembler(inputCols=features, outputCol="_features").transform(df)
-    best = None
-    for i in range(restarts):
-        model = KMeans(k=k, seed=seed + i, featuresCol="_features", maxIter=50)
-        if weight:
-            model = model.setWeightCol(weight)
-        fitted = model.fit(data)
-        found = (fitted.summary.trainingCost, sorted(tuple(map(float, c)) for c in fitted.clusterCenters()))
-        if best is None or found[0] < best[0]:
-            best = found
-    return best
+    d = len(features)
+    w = col(weight).cast("double") if weight else F.lit(1.0)
+    rows = data.select(*[F.col(f).cast("double").alias(f) for f in features], w.alias("_w"))
+    spread = rows.agg(*[F.var_pop(f) for f in features]).first()
+    limit = tolerance * float(np.mean([v or 0.0 for v in spread]))
+    schema = "run int, cluster int, w double, cost double, " + ", ".join(f"s{i} double" for i in range(d))
+
+    def step(active: dict[int, np.ndarray]) -> dict[int, tuple[float, np.ndarray]]:
+        def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = {r: np.zeros((len(c), 2 + d)) for r, c in active.items()}
+            for batch in batches:
+                values = batch.to_numpy(float)
+                for low in range(0, len(values), 8192):
+                    x, mass = values[low:low + 8192, :d], values[low:low + 8192, d]
+                    for r, centers in active.items():
+                        squared = ((x[:, None, :] - centers[None, :, :]) ** 2).sum(axis=2)
+                        label = squared.argmin(axis=1)
+                        cells = np.column_stack([mass, mass * squared[np.arange(len(x)), label], x * mass[:, None]])
+                        for j in range(cells.shape[1]):
+                            total[r][:, j] += np.bincount(label, cells[:, j], minlength=len(centers))
+            yield pd.DataFrame([(r, i, *cell) for r, t in total.items() for i, cell in enumerate(t)],
+                               columns=["run", "cluster", "w", "cost", *[f"s{i}" for i in range(d)]])
+
+        found = (rows.mapInPandas(sums, schema).groupBy("run", "cluster")
+                 .agg(*[F.sum(c).alias(c) for c in ("w", "cost", *[f"s{i}" for i in range(d)])]).collect())
+        out = {r: (0.0, c.copy()) for r, c in active.items()}
+        for row in found:
+            cost, centers = out[row["run"]]
+            if row["w"]:
+                centers[row["cluster"]] = [row[f"s{i}"] / row["w"] for i in range(d)]
+            out[row["run"]] = cost + row["cost"], centers
+        return out
+
+    current = {r: np.array(c, dtype=float) for r, c in enumerate(starts)}
+    active, costs = dict(current), {}
+    for _ in range(max_steps):
+        if not active:
+            break
+        moved = step(active)
+        for r, (_, centers) in moved.items():
+            if ((centers - current[r]) ** 2).sum() <= limit:
+                del active[r]
+            else:
+                active[r] = centers
+            current[r] = centers
+    for r, (cost, _) in step(current).items() if current else ():
+        costs[r] = cost
+    return [(costs[r], current[r]) for r in range(len(starts))]
+
+
+def best_of_runs(data: DataFrame, features: list[str], specs: list[tuple[int, int]], restarts: int = 10,
+                 weight: str | None = None) -> list[tuple[float, list[tuple[float, ...]]]]:
+    """For each (k, seed) the cost and the sorted centres of the best of ``restarts`` runs, all in shared passes."""
+    starts = kmeans_starts(data, features, [(k, seed + i) for k, seed in specs for i in range(restarts)], weight)
+    runs = lloyd_runs(data, features, starts, weight)
+    out = []
+    for i in range(len(specs)):
+        cost, centers = min(runs[i * restarts:(i + 1) * restarts], key=lambda r: r[0])
+        out.append((cost, sorted(tuple(map(float, c)) for c in centers)))
+    return out
+
+
+def best_kmeans(df: DataFrame, features: list[str], k: int, restarts: int = 10, seed: int = 42,
+                weight: str | None = None) -> tuple[float, list[tuple[float, ...]]]:
+    """Cost and sorted centres of the best of several runs. ``df`` is read once for each step."""
+    return best_of_runs(df, features, [(k, seed)], restarts, weight)[0]
 
 
 def weighted_kmeans(points: DataFrame, ks: tuple[int, ...] = (1, 2, 3, 4), restarts: int = 10,
@@ -151,36 +241,38 @@ def weighted_kmeans(points: DataFrame, ks: tuple[int, ...] = (1, 2, 3, 4), resta
     """Centres k, cluster, x_km, y_km and cost; clusters are numbered by sorted centre."""
     features = ["x_km", "y_km"]
     data = points.select(*features, "demand").persist(StorageLevel.MEMORY_AND_DISK)
-    rows = []
     try:
-        for k in ks:
-            if k == 1:
-                w = F.col("demand")
-                m = data.agg(*[(F.sum(w * F.col(f)) / F.sum(w)).alias(f) for f in features]).first()
-                cost = data.agg(F.sum(w * ((F.col("x_km") - m[0]) ** 2 + (F.col("y_km") - m[1]) ** 2))).first()[0]
-                centers = [(m[0], m[1])]
-            else:
-                cost, centers = best_kmeans(data, features, k, restarts, seed, "demand")
-            rows += [(k, i, float(x), float(y), float(cost)) for i, (x, y) in enumerate(centers)]
+        found = best_of_runs(data, features, [(k, seed) for k in ks], restarts, "demand")
     finally:
         data.unpersist()
+    rows = [(k, i, float(x), float(y), float(cost)) for k, (cost, centers) in zip(ks, found, strict=True)
+            for i, (x, y) in enumerate(centers)]
     return points.sparkSession.createDataFrame(rows, "k int, cluster int, x_km double, y_km double, cost double")
 
 
 # Candidate plans -----------------------------------------------------------------------------
 
+def _site_limit(k: int, max_plans: int) -> int:
+    """The most candidates that have at most ``max_plans`` k-subsets."""
+    low, high = k, max(2 * k, max_plans)
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if comb(middle, k) <= max_plans else (low, middle - 1)
+    return low
+
+
 def enumerate_sites(sites: DataFrame, k: int, max_plans: int = MAX_PLANS) -> DataFrame:
     """All k-subsets of the candidate sites in id order: centers ('A|B|C') and members.
 
     The candidates travel as one small array; each level is an explode of the later positions, so
     no pairs are formed and thrown away. More than ``max_plans`` plans is an error.
     """
-    one = sites.agg(F.array_sort(F.collect_list(F.struct("site_id", "x_km", "y_km"))).alias("s"))
+    limit = _site_limit(k, max_plans)
+    # The candidates are counted before they meet in one row.
+    few = sites.select("site_id", "x_km", "y_km").limit(limit + 1)
+    one = few.agg(F.array_sort(F.collect_list(F.struct("site_id", "x_km", "y_km"))).alias("s"))
     n = F.size("s")
-    plans = F.lit(1.0)
-    for j in range(k):
-        plans = plans * (n - j) / (j + 1)
-    checked = F.when(plans <= max_plans, F.col("s")).otherwise(F.raise_error(
+    checked = F.when(n <= limit, F.col("s")).otherwise(F.raise_error(
         F.lit(f"more than {max_plans} plans; reduce the candidates or k")))
     out = one.where(n >= k).select(checked.alias("s")).withColumn("n", F.size("s"))
     previous = F.lit(-1)
@@ -197,9 +289,7 @@ def enumerate_sites(sites: DataFrame, k: int, max_plans: int = MAX_PLANS) -> Dat
 
 def _candidate_list(sites: DataFrame, k: int, max_plans: int) -> list[tuple[str, float, float]]:
     """The candidate sites on the driver: few by construction, since C(n, k) is limited."""
-    limit = k
-    while comb(limit + 1, k) <= max_plans and limit < 100_000:
-        limit += 1
+    limit = _site_limit(k, max_plans)
     rows = sites.select(F.col("site_id").cast("string"), "x_km", "y_km").limit(limit + 1).collect()
     if len(rows) > limit or comb(len(rows), k) > max_plans:
         raise ContractError(f"more than {max_plans} plans; reduce the candidates or k")
@@ -227,7 +317,7 @@ def evaluate_sites(points: DataFrame, sites: DataFrame, k: int, radii: tuple[flo
 
     def partial_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = np.zeros((total, 2 + 2 * len(limits)))
-        count, weight, any_rows = 0, 0.0, False
+        number, weight, any_rows = 0, 0.0, False
         for batch in batches:
             if batch.empty:
                 continue
@@ -236,7 +326,7 @@ def evaluate_sites(points: DataFrame, sites: DataFrame, k: int, radii: tuple[flo
                 rows = batch.iloc[part:part + 2000]
                 p, w = rows[["x_km", "y_km"]].to_numpy(), rows["demand"].to_numpy()
                 squared = ((p[:, None, :] - xy[None, :, :]) ** 2).sum(axis=2)
-                count, weight = count + len(w), weight + w.sum()
+                number, weight = number + len(w), weight + w.sum()
                 at = 0
                 for plans in _plan_chunks(len(names), k, 512):
                     near = squared[:, plans].min(axis=2)
@@ -254,7 +344,7 @@ def evaluate_sites(points: DataFrame, sites: DataFrame, k: int, radii: tuple[flo
             for plans in _plan_chunks(len(names), k, 50_000):
                 out = pd.DataFrame(sums[at:at + len(plans)], columns=fields)
                 out.insert(0, "centers", ["|".join(names[i] for i in plan) for plan in plans])
-                out["n"], out["w"] = count, weight
+                out["n"], out["w"] = number, weight
                 at += len(plans)
                 yield out
 
@@ -276,8 +366,7 @@ GROUP = ["radius_km", "k"]
 def loss_increase_pct(plans: DataFrame) -> DataFrame:
     """Add squared_loss_increase_pct over the least loss of the same radius and k."""
     least = plans.groupBy(*GROUP).agg(F.min("weighted_squared_loss").alias("_least"))
-    # One row for each radius and k.
-    return (plans.join(F.broadcast(least), GROUP)
+    return (plans.join(least, GROUP)
             .withColumn("squared_loss_increase_pct", (F.col("weighted_squared_loss") / F.col("_least") - 1) * 100)
             .drop("_least"))
 
@@ -304,9 +393,15 @@ def pareto_frontier(plans: DataFrame, tolerance: float = TOLERANCE) -> DataFrame
     return ranked.withColumn("is_pareto", ~dominated).drop("_rank", "_less", "_upto", "_strict")
 
 
+def _exactly(name: str) -> Column:
+    """A measure to twelve significant decimals: sums differ in the last bits with the partitioning."""
+    digits = {"demand_coverage": 12, "city_coverage": 12, "weighted_distance_km": 9, "weighted_squared_loss": 6}
+    return F.round(name, digits[name])
+
+
 def _demand_order() -> list[Column]:
-    return [-F.col("demand_coverage"), F.col("weighted_squared_loss"), -F.col("city_coverage"),
-            F.col("weighted_distance_km"), F.col("centers")]
+    return [-_exactly("demand_coverage"), _exactly("weighted_squared_loss"), -_exactly("city_coverage"),
+            _exactly("weighted_distance_km"), F.col("centers")]
 
 
 def _first(plans: DataFrame, order: list[Column], policy: str, keys: list[str]) -> DataFrame:
@@ -317,12 +412,12 @@ def _first(plans: DataFrame, order: list[Column], policy: str, keys: list[str])
 
 
 def select_site_min_loss(plans: DataFrame) -> DataFrame:
-    return _first(plans, [F.col("weighted_squared_loss"), -F.col("demand_coverage"), F.col("centers")],
+    return _first(plans, [_exactly("weighted_squared_loss"), -_exactly("demand_coverage"), F.col("centers")],
                   "min_squared_loss", GROUP)
 
 
 def select_site_max_city(plans: DataFrame) -> DataFrame:
-    return _first(plans, [-F.col("city_coverage"), *_demand_order()], "max_city_coverage", GROUP)
+    return _first(plans, [-_exactly("city_coverage"), *_demand_order()], "max_city_coverage", GROUP)
 
 
 def select_site_max_demand(plans: DataFrame) -> DataFrame:
@@ -331,8 +426,8 @@ def select_site_max_demand(plans: DataFrame) -> DataFrame:
 
 def max_city_cover_alt_order(plans: DataFrame) -> DataFrame:
     """City cover, demand cover, mean distance, ids: the loss takes no part in this order."""
-    return _first(plans, [-F.col("city_coverage"), -F.col("demand_coverage"), F.col("weighted_distance_km"),
-                          F.col("centers")], "max_city_coverage_alt", GROUP)
+    return _first(plans, [-_exactly("city_coverage"), -_exactly("demand_coverage"),
+                          _exactly("weighted_distance_km"), F.col("centers")], "max_city_coverage_alt", GROUP)
 
 
 def select_site_budget(plans: DataFrame, budgets: tuple[float, ...] = (0.0, 0.002, 0.01),
@@ -341,7 +436,7 @@ def select_site_budget(plans: DataFrame, budgets: tuple[float, ...] = (0.0, 0.00
     if any(b < 0 for b in budgets):
         raise ValueError("a loss budget must not be negative")
     least = plans.groupBy(*GROUP).agg(F.min("weighted_squared_loss").alias("_least"))
-    offered = (plans.join(F.broadcast(least), GROUP)
+    offered = (plans.join(least, GROUP)
                .withColumn("extra_loss_budget", F.explode(F.array(*[F.lit(float(b)) for b in budgets])))
                .where(F.col("weighted_squared_loss") <= F.col("_least") * (1 + F.col("extra_loss_budget")) + tolerance)
                .drop("_least"))

@@ -14,26 +14,31 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.expressions import all_close, band, melt, pairs
 from ..functions.scale import cut_lineage, exact_quantiles
-from .location import _nearest_literal, best_kmeans
+from .location import _nearest_literal, best_kmeans, best_of_runs
 
 FEATURES = ["orders", "business_volume", "recency_days"]
 SCORE_REASON = "groups outside 2..n-1"
+#: Seed of the labels that other seeds are compared with.
+BASE_SEED = 42
 
 
 def customer_features(waybills: DataFrame, volume: DataFrame, cutoff: str) -> DataFrame:
-    """Orders, volume and recency of each customer present in both sources.
-
-    Run the key checks of ``contracts`` first: the join expects one volume row for each customer.
-    """
+    """Orders, volume and recency of each customer present in both sources; a repeated volume row is an error."""
     per_customer = waybills.groupBy("customer_id").agg(
         F.count_distinct("waybill_id").alias("orders"), F.max("date").alias("last_date"),
         F.sum("quantity").alias("summed_quantity"))
-    return (per_customer.join(volume, "customer_id")
+    once = [c for c in volume.columns if c != "customer_id"]
+    single = volume.groupBy("customer_id").agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in once])
+    single = single.select("customer_id", *[F.when(F.col("_n") == 1, F.col(c)).otherwise(F.raise_error(F.concat(
+        F.lit("more than one volume row for customer "), F.col("customer_id").cast("string")))).alias(c) for c in once])
+    return (per_customer.join(single, "customer_id")
             .withColumn("recency_days", F.date_diff(F.lit(cutoff).cast("date"), F.col("last_date"))))
 
 
-def period_features(waybills: DataFrame, cutoffs: dict[str, str]) -> DataFrame:
-    """Features at several observation dates, for customers already present in the first period.
+def period_features(waybills: DataFrame, cutoffs: dict[str, str], panel: bool = True) -> DataFrame:
+    """Features at several observation dates, for the panel of customers present in the first period.
+
+    ``left_out_customers`` names the others; ``panel=False`` keeps them, in the periods in which they have orders.
 
     One pass over the waybills (ids unique, see ``contracts.dup_keys``): every period is a
     conditional aggregate of the same group.
@@ -44,11 +49,21 @@ def period_features(waybills: DataFrame, cutoffs: dict[str, str]) -> DataFrame:
         seen = F.col("date") < F.lit(c).cast("date")
         aggs += [F.count_if(seen).alias(f"n_{p}"), F.sum(F.when(seen, F.col("quantity"))).alias(f"q_{p}"),
                  F.max(F.when(seen, F.col("date"))).alias(f"d_{p}")]
-    wide = waybills.groupBy("customer_id").agg(*aggs).where(F.col(f"n_{first}") > 0)
+    wide = waybills.groupBy("customer_id").agg(*aggs)
+    if panel:
+        wide = wide.where(F.col(f"n_{first}") > 0)
     rows = F.array(*[F.struct(
         F.lit(p).alias("period"), F.col(f"n_{p}").alias("orders"), F.col(f"q_{p}").alias("business_volume"),
         F.date_diff(F.lit(c).cast("date"), F.col(f"d_{p}")).alias("recency_days")) for p, c in cutoffs.items()])
-    return wide.select("customer_id", F.inline(rows))
+    return wide.select("customer_id", F.inline(rows)).where(F.col("orders") > 0)
+
+
+def left_out_customers(waybills: DataFrame, cutoffs: dict[str, str]) -> DataFrame:
+    """customer_id, first_date of the customers who come after the first observation date and before the last."""
+    dates = sorted(cutoffs.values())
+    known = waybills.where(F.col("date") < F.lit(dates[-1]).cast("date"))
+    return (known.groupBy("customer_id").agg(F.min("date").alias("first_date"))
+            .where(F.col("first_date") >= F.lit(dates[0]).cast("date")))
 
 
 def volume_reconcile_check(features: DataFrame) -> DataFrame:
@@ -177,7 +192,7 @@ def score_reason(clusters: str = "actual_clusters", n: str = "n") -> Column:
 
 def tercile_limits(features: DataFrame, group: str = "period", value: str = "business_volume") -> Column:
     """Scalar map: group -> (q1, q2), the exact thirds. One entry for each period."""
-    limits = exact_quantiles(features, [group], value, {"q1": 1 / 3, "q2": 2 / 3}, bounded_groups=True)
+    limits = exact_quantiles(features, [group], value, {"q1": 1 / 3, "q2": 2 / 3})
     entries = F.collect_list(F.struct(F.col(group), F.struct("q1", "q2")))
     return limits.agg(F.map_from_entries(entries)).scalar()
 
@@ -265,7 +280,7 @@ def kmeans_sweep(features: DataFrame, ks: tuple[int, ...] = (2, 3, 4, 5), restar
     one = features.withColumn("period", F.lit("all"))
     scaled = cut_lineage(standardize(one, columns))
     n, distinct = scaled.agg(F.count(F.lit(1)), F.count_distinct(*z)).first()
-    labelled, refused = None, []
+    labelled, refused, possible = None, [], []
 
     def add(df):
         nonlocal labelled
@@ -275,8 +290,10 @@ def kmeans_sweep(features: DataFrame, ks: tuple[int, ...] = (2, 3, 4, 5), restar
         if k > min(n, distinct):
             refused.append(("kmeans", k, 0, None, f"{n} customers, {distinct} distinct rows: {k} groups impossible"))
             continue
-        labels, _ = fit_labels(scaled, z, k, restarts)
-        add(labels.select(F.lit("kmeans").alias("method"), F.lit(k).alias("k"), *z, "cluster"))
+        possible.append(k)
+    for k, (_, centers) in zip(possible, best_of_runs(scaled, z, [(k, BASE_SEED) for k in possible], restarts)
+                               if possible else [], strict=True):
+        add(assign_centers(scaled, z, centers).select(F.lit("kmeans").alias("method"), F.lit(k).alias("k"), *z, "cluster"))
     if min(3, distinct, max(1, n - 1)) == 1:
         refused.append(("kmeans", 1, 1, None, f"1 {SCORE_REASON}"))
     rule = volume_terciles(scaled)
@@ -290,18 +307,20 @@ def kmeans_sweep(features: DataFrame, ks: tuple[int, ...] = (2, 3, 4, 5), restar
 
 def seed_stability(features: DataFrame, seeds: tuple[int, ...] = (0, 1, 2, 3, 4), k: int = 3,
                    restarts: int = 10, columns: list[str] = FEATURES) -> DataFrame:
-    """Agreement (ARI) of other seeds with the demonstration labels.
+    """Agreement (ARI) of other seeds with the labels of the base seed, and the least agreement of all.
 
-    ``restarts=1`` gives the single-initialisation variant.
+    All runs share their passes. ``restarts=1`` gives the single-initialisation variant.
     """
     z = [f"z_{c}" for c in columns]
     scaled = cut_lineage(standardize(features.withColumn("period", F.lit("all")), columns))
-    _, base = best_kmeans(scaled, z, k, max(restarts, 3), 42)
+    found = best_of_runs(scaled, z, [(k, BASE_SEED), *((k, s) for s in seeds)], restarts)
+    base = found[0][1]
     labelled = scaled.withColumn("base", _nearest_literal(base, z))
     runs = F.array(*[F.struct(F.lit(s).alias("seed"),
-                              _nearest_literal(best_kmeans(scaled, z, k, restarts, s)[1], z).alias("cluster"))
-                     for s in seeds])
-    return adjusted_rand(labelled.select("base", F.inline(runs)), "base", "cluster", ["seed"]).select("seed", "ari")
+                              _nearest_literal(centers, z).alias("cluster"))
+                     for s, (_, centers) in zip(seeds, found[1:], strict=True)])
+    each = adjusted_rand(labelled.select("base", F.inline(runs)), "base", "cluster", ["seed"]).select("seed", "ari")
+    return each.withColumn("min_ari", F.min("ari").over(Window.partitionBy()))  # one row for each seed
 
 
 def single_init_labels(features: DataFrame, seeds: tuple[int, ...] = (0, 1, 2, 3, 4, 5), k: int = 3,
@@ -309,9 +328,9 @@ def single_init_labels(features: DataFrame, seeds: tuple[int, ...] = (0, 1, 2, 3
     """customer_id, seed, cluster of runs with one initialisation each."""
     z = [f"z_{c}" for c in columns]
     scaled = cut_lineage(standardize(features.withColumn("period", F.lit("all")), columns))
-    runs = F.array(*[F.struct(F.lit(s).alias("seed"),
-                              _nearest_literal(best_kmeans(scaled, z, k, 1, s)[1], z).alias("cluster"))
-                     for s in seeds])
+    found = best_of_runs(scaled, z, [(k, s) for s in seeds], 1)
+    runs = F.array(*[F.struct(F.lit(s).alias("seed"), _nearest_literal(centers, z).alias("cluster"))
+                     for s, (_, centers) in zip(seeds, found, strict=True)])
     return scaled.select("customer_id", F.inline(runs))
 
 

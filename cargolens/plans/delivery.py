@@ -8,9 +8,11 @@ from ..sources import bindings as B
 from .demand import decision_views, forecast_views
 from .registry import register, view
 
-STARTS = ["2024-01-10", "2024-01-17", "2024-01-24"]
+#: The last window still waits for labels at the end of the observation; the first two are complete.
+STARTS = ["2024-01-05", "2024-01-12", "2024-01-24"]
 HORIZON = 7
 OBSERVED = "2024-01-26"
+OBSERVED_LABELS = "2024-01-30"
 
 view("dl_done", """
 SELECT *, date_sub('second', accept_time, delivery_time) / 60.0 AS minutes FROM dl_clicks
@@ -34,7 +36,8 @@ view("dl_test", f"""
 SELECT window_start, order_id, accept_time, hour(accept_time) AS accept_hour, CAST(accept_time AS DATE) AS accept_date,
   minutes AS actual_minutes,
   row_number() OVER (PARTITION BY window_start ORDER BY accept_time, order_id) - 1 AS sample_index
-FROM dl_windows JOIN dl_done ON accept_time >= window_start AND accept_time < window_start + INTERVAL {HORIZON} DAY""")
+FROM (SELECT window_start FROM dl_maturity WHERE pending_records = 0) JOIN dl_done
+ON accept_time >= window_start AND accept_time < window_start + INTERVAL {HORIZON} DAY""")
 view("dl_predictions", """
 SELECT t.*, h.known_training_records, v.method, v.prediction_minutes
 FROM dl_test t JOIN dl_hours h ON t.window_start = h.window_start AND t.accept_hour = h.accept_hour,
@@ -51,9 +54,10 @@ FROM dl_predictions GROUP BY method""")
 view("dl_maturity", f"""
 SELECT w.window_start, w.window_start + {HORIZON - 1} AS window_end, count(order_id) AS accepted_records,
   count(order_id) FILTER (NOT pending) AS mature_records, count(order_id) FILTER (pending) AS pending_records,
-  count(order_id) FILTER (pending) = 0 AS all_labels_mature, max(delivery_time) AS all_test_labels_known_after
+  count(order_id) FILTER (pending) = 0 AS all_labels_mature,
+  CASE WHEN count(order_id) = count(delivery_time) THEN max(delivery_time) END AS all_test_labels_known_after
 FROM dl_windows w LEFT JOIN (
-  SELECT *, delivery_time IS NULL OR delivery_time >= DATE '{OBSERVED}' + 1 AS pending FROM dl_clicks) r
+  SELECT *, delivery_time IS NULL OR delivery_time >= DATE '{OBSERVED_LABELS}' + 1 AS pending FROM dl_clicks) r
 ON accept_time >= window_start AND accept_time < window_start + INTERVAL {HORIZON} DAY GROUP BY w.window_start""")
 view("dl_ship", """
 SELECT l_orderkey AS order_id, l_linenumber AS line, o_orderdate AS accept_time, l_shipdate AS delivery_time,
@@ -89,7 +93,8 @@ def order_block(spark, folder):
 
 
 def predictions(spark, folder, numbered=False):
-    return T.duration_predictions(stored(spark, folder), STARTS, HORIZON, numbered=numbered)
+    records = cut_lineage(T.duration_minutes(clicks(spark, folder)))
+    return T.duration_predictions(records, STARTS, HORIZON, OBSERVED_LABELS, numbered=numbered)
 
 
 def _raw_text(spark, folder):
@@ -165,10 +170,15 @@ register("duration_quantiles", "fraction:f minutes:f", lambda s, d: T.duration_q
                             for f in ("0.0", "0.5", "0.9", "0.99", "1.0")))
 register("label_maturity", "window_start:d window_end:d accepted_records:i mature_records:i pending_records:i "
          "all_labels_mature:b all_test_labels_known_after:t",
-         lambda s, d: T.label_maturity(clicks(s, d), STARTS, HORIZON, OBSERVED), "dl_maturity")
+         lambda s, d: T.label_maturity(clicks(s, d), STARTS, HORIZON, OBSERVED_LABELS), "dl_maturity")
 register("maturity_gate", "window_start:d accepted_records:i pending_records:i",
-         lambda s, d: T.maturity_gate(T.label_maturity(clicks(s, d), STARTS, HORIZON, OBSERVED)),
+         lambda s, d: T.maturity_gate(T.label_maturity(clicks(s, d), STARTS, HORIZON, OBSERVED_LABELS)),
          "SELECT * FROM dl_maturity WHERE pending_records > 0")
+register("score_status", "window_start:d accepted_records:i pending_records:i status:s",
+         lambda s, d: T.score_status(T.duration_minutes(clicks(s, d)), STARTS, HORIZON, OBSERVED_LABELS), """
+SELECT window_start, accepted_records, pending_records, CASE WHEN accepted_records = 0 THEN 'no test records'
+  WHEN pending_records > 0 THEN 'labels pending' WHEN window_start NOT IN (SELECT window_start FROM dl_history)
+  THEN 'no mature history' ELSE 'scored' END AS status FROM dl_maturity""")
 register("mature_history", "window_start:d order_id:i minutes:f",
          lambda s, d: T.mature_history(completed(s, d), STARTS), "dl_history")
 register("duration_global_median", "window_start:d known_training_records:i global_median:f",

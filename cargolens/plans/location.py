@@ -68,8 +68,8 @@ SELECT e.*, NOT EXISTS (SELECT 1 FROM lc_evaluated o WHERE o.radius_km = e.radiu
   AND o.weighted_squared_loss <= e.weighted_squared_loss + 1e-9 AND o.demand_coverage >= e.demand_coverage - 1e-9
   AND (o.weighted_squared_loss < e.weighted_squared_loss - 1e-9 OR o.demand_coverage > e.demand_coverage + 1e-9)) AS is_pareto
 FROM lc_evaluated e""")
-_DEMAND = ("round(demand_coverage, 12) DESC, weighted_squared_loss, round(city_coverage, 12) DESC, "
-           "round(weighted_distance_km, 10), centers")
+_DEMAND = ("round(demand_coverage, 12) DESC, round(weighted_squared_loss, 6), round(city_coverage, 12) DESC, "
+           "round(weighted_distance_km, 9), centers")
 
 
 def _first_sql(order, policy, source="lc_evaluated", keys="radius_km", extra="CAST(NULL AS DOUBLE) AS extra_loss_budget"):
@@ -77,7 +77,7 @@ def _first_sql(order, policy, source="lc_evaluated", keys="radius_km", extra="CA
             f"ORDER BY {order}) AS r FROM {source}) WHERE r = 1")
 
 
-view("lc_min_loss", _first_sql("weighted_squared_loss, round(demand_coverage, 12) DESC, centers", "min_squared_loss"))
+view("lc_min_loss", _first_sql("round(weighted_squared_loss, 6), round(demand_coverage, 12) DESC, centers", "min_squared_loss"))
 view("lc_max_city", _first_sql(f"round(city_coverage, 12) DESC, {_DEMAND}", "max_city_coverage"))
 view("lc_max_demand", _first_sql(_DEMAND, "max_demand_coverage"))
 view("lc_offered", f"""
@@ -139,7 +139,7 @@ _COVER = "k:i radius_km:f city_coverage:f demand_coverage:f weighted_distance_km
 _PLAN = ("radius_km:f k:i centers:s city_coverage:f demand_coverage:f weighted_distance_km:f weighted_squared_loss:f")
 
 register("weighted_kmeans", "k:i cluster:i x_km:f y_km:f cost:f",
-         lambda s, d: L.weighted_kmeans(points(s, d), KS, restarts=3))
+         lambda s, d: L.weighted_kmeans(points(s, d), KS))
 
 for _step in range(1, STEPS + 1):
     view(f"lc_c{_step}", "SELECT CAST(c AS INTEGER) AS cluster, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM (VALUES "
@@ -150,10 +150,10 @@ for _step in range(1, STEPS + 1):
       SELECT cluster, count(*) AS members, sum(demand * x_km) / sum(demand) AS new_x, sum(demand * y_km) / sum(demand) AS new_y
       FROM (SELECT point_id, x_km, y_km, demand, first(cluster ORDER BY (x_km - x) * (x_km - x) + (y_km - y) * (y_km - y), cluster) AS cluster
             FROM lc_points CROSS JOIN lc_c{_step} GROUP BY ALL) GROUP BY cluster) m ON c.cluster = m.cluster""")
-register("lloyd_trace", "step:i cluster:i old_x:f old_y:f members:i new_x:f new_y:f",
+register("lloyd_trace", "step:i cluster:i old_x:f old_y:f members:i new_x:f new_y:f converged:b",
          lambda s, d: L.lloyd_trace(points(s, d), START, STEPS),
          " UNION ALL ".join(f"SELECT {i} AS step, cluster, x AS old_x, y AS old_y, coalesce(members, 0) AS members, "
-                            f"coalesce(new_x, x) AS new_x, coalesce(new_y, y) AS new_y FROM lc_s{i}"
+                            f"coalesce(new_x, x) AS new_x, coalesce(new_y, y) AS new_y, FALSE AS converged FROM lc_s{i}"
                             for i in range(1, STEPS + 1)))
 register("nearest_center", "k:i point_id:i cluster:i distance_km:f", near, "lc_near")
 register("coverage", _COVER, lambda s, d: L.coverage(near(s, d), RADII), "lc_coverage")
@@ -217,13 +217,13 @@ SELECT zone, 2 AS k, v.* FROM two, LATERAL (VALUES (0, c0, w0, l0), (1, c1, w1,
 UNION ALL SELECT zone, 3, v.* FROM three,
   LATERAL (VALUES (0, c0, w0, l0), (1, c1, w1, l1), (2, c2, w2, l2)) v(cluster, x_km, weight, loss)""")
 register("max_city_cover_alt_order", "policy:s " + _PLAN, lambda s, d: L.max_city_cover_alt_order(plans(s, d)),
-         _first_sql("round(city_coverage, 12) DESC, round(demand_coverage, 12) DESC, round(weighted_distance_km, 10), centers",
+         _first_sql("round(city_coverage, 12) DESC, round(demand_coverage, 12) DESC, round(weighted_distance_km, 9), centers",
                     "max_city_coverage_alt"))
 
 
 def _comparison(spark, folder):
     line = _line(spark, folder)
-    return L.method_comparison(line, line.select("site_id", "x_km", "y_km"), (2, 3), 5.0, restarts=5)
+    return L.method_comparison(line, line.select("site_id", "x_km", "y_km"), (2, 3), 5.0)
 
 
 register("method_comparison", "method:s k:i constraint:s radius_km:f city_coverage:f demand_coverage:f "

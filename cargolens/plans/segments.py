@@ -172,7 +172,7 @@ register("standardize", "period:s customer_id:i z_orders:f z_business_volume:f z
 register("standardize_reference", "period:s customer_id:i z_orders:f z_business_volume:f z_recency_days:f",
          lambda s, d: G.standardize(periods(s, d), reference="first"), "cs_scaled_first")
 register("kmeans_sweep", "method:s k:i actual_clusters:i silhouette:f reason:s",
-         lambda s, d: G.kmeans_sweep(features(s, d), restarts=2))
+         lambda s, d: G.kmeans_sweep(features(s, d)))
 register("silhouette", "period:s silhouette:f", lambda s, d: G.silhouette(volume_points(s, d), Z, ["period"]), "cs_silhouette")
 # The later rule also scores one single group: all customers together.
 register("score_or_reason", "period:s actual_clusters:i n:i silhouette:f reason:s",
@@ -191,16 +191,16 @@ register("segment_profiles", "period:s cluster:i customer_count:i mean_orders:f
          lambda s, d: G.segment_profiles(ruled(s, d).withColumnRenamed("volume_refit", "cluster"), ["period"]), """
 SELECT period, volume_refit AS cluster, count(*) AS customer_count, avg(orders) AS mean_orders,
   avg(business_volume) AS mean_volume, avg(recency_days) AS mean_recency FROM cs_rule GROUP BY 1, 2""")
-register("seed_stability", "seed:i ari:f", lambda s, d: G.seed_stability(features(s, d), seeds=(0, 1), restarts=2))
-register("single_init_stability", "seed:i ari:f", lambda s, d: G.seed_stability(features(s, d), seeds=(0, 1, 2), restarts=1))
+register("seed_stability", "seed:i ari:f", lambda s, d: G.seed_stability(features(s, d)))
+register("single_init_stability", "seed:i ari:f", lambda s, d: G.seed_stability(features(s, d), seeds=(0, 1, 2, 3, 4, 5), restarts=1))
 register("single_init_labels", "customer_id:i seed:i cluster:i",
-         lambda s, d: G.single_init_labels(features(s, d), seeds=(0, 1)))
+         lambda s, d: G.single_init_labels(features(s, d)))
 register("apply_fixed_model", "period:s customer_id:i cluster:i", fixed, "cs_fixed")
 register("refit_centers", "period:s cluster:i z_orders:f z_business_volume:f z_recency_days:f",
-         lambda s, d: G.refit_centers(periods(s, d), "later", "first", restarts=2))
+         lambda s, d: G.refit_centers(periods(s, d), "later", "first"))
 register("volume_bands", "period:s customer_id:i volume_fixed:i volume_refit:i", ruled, "cs_rule")
 register("drift_metrics", "period:s method:s silhouette:f ari_to_first_period:f ari_to_volume_refit:f",
-         lambda s, d: G.drift_metrics(periods(s, d), "first", restarts=2))
+         lambda s, d: G.drift_metrics(periods(s, d), "first"))
 register("assignment_long", "period:s customer_id:i method:s cluster:i",
          lambda s, d: G.assignment_long(with_rules(s, d), ["centers_fixed", "volume_fixed", "volume_refit"]), "cs_long")
 register("unit_period_reconcile", "customer_id:i left_period:s left_quantity:f left_unit:s right_period:s right_quantity:f "

@@ -114,3 +114,50 @@ def test_exact_line_split_and_recorded_losses(spark):
 
     best = min(sum(cost(a, b) for a, b in zip((0, *cuts), (*cuts, 12))) for cuts in combinations(range(1, 12), 3))
     assert np.isclose(sum(s[2] for s in L._split_line(x, w, 4)), best)
+
+
+def test_runs_share_passes_and_equal_a_plain_lloyd(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(c, 0.4, (60, 2)) for c in ((0, 0), (5, 1), (2, 6))])
+    w = rng.uniform(0.5, 3, len(x))
+    df = spark.createDataFrame([(float(a), float(b), float(c)) for (a, b), c in zip(x, w)], "x double, y double, w double")
+    starts = [x[:3].copy(), x[[0, 70, 130]].copy(), x[[5, 100]].copy()]
+    for start, (cost, centers) in zip(starts, L.lloyd_runs(df, ["x", "y"], starts, "w", tolerance=0.0)):
+        own = start.copy()
+        for _ in range(300):
+            label = ((x[:, None] - own[None]) ** 2).sum(2).argmin(1)
+            new = np.array([np.average(x[label == i], axis=0, weights=w[label == i]) if (label == i).any() else own[i]
+                            for i in range(len(own))])
+            if np.allclose(new, own, atol=0, rtol=0):
+                break
+            own = new
+        assert np.allclose(centers, own)
+        squared = ((x[:, None] - own[None]) ** 2).sum(2)
+        assert np.isclose(cost, (w * squared.min(1)).sum())
+
+
+def test_best_run_is_not_above_any_start_and_centres_are_means(spark):
+    rng = np.random.default_rng(1)
+    x = rng.uniform(0, 10, (120, 2))
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in x], "x double, y double")
+    cost, centers = L.best_kmeans(df, ["x", "y"], 4, restarts=6)
+    runs = L.lloyd_runs(df, ["x", "y"], L.kmeans_starts(df, ["x", "y"], [(4, 42 + i) for i in range(6)]))
+    assert np.isclose(cost, min(c for c, _ in runs))
+    label = ((x[:, None] - np.array(centers)[None]) ** 2).sum(2).argmin(1)
+    for i, c in enumerate(centers):
+        assert np.allclose(x[label == i].mean(0), c, atol=0.05)
+
+
+def test_one_site_plans_are_limited_by_their_number_only(spark):
+    assert L._site_limit(1, 2_000_000) == 2_000_000
+    assert L._site_limit(3, 84) == 9
+
+
+def test_lloyd_runs_until_labels_repeat_and_says_so(spark):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(float(a), float(b), 1.0) for a, b in rng.uniform(0, 9, (200, 2))],
+                               "x_km double, y_km double, demand double")
+    start = [(0.0, 0.0), (0.1, 0.0), (0.0, 0.1)]
+    whole = L.lloyd_trace(df, start)
+    assert whole.where("not converged").count() == 0
+    assert L.lloyd_trace(df, start, 2).where("converged").count() == 0

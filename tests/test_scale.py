@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import Window, functions as F
 
 from cargolens.functions.scale import exact_quantiles, nearest_in_time, ordered_running
@@ -38,7 +39,7 @@ def test_quantiles_equal_numpy_with_ties_negatives_and_hot_groups(spark):
         assert r["n_values"] == len(values[r["g"]])
         for name, f in fractions.items():
             assert np.isclose(r[name], np.quantile(values[r["g"]], f), rtol=1e-12, atol=1e-15)
-    whole = exact_quantiles(df, [], "v", {"m": 0.5}, bounded_groups=True).first()
+    whole = exact_quantiles(df, [], "v", {"m": 0.5}).first()
     assert np.isclose(whole["m"], np.median(np.concatenate(list(values.values()))))
 
 
@@ -56,3 +57,33 @@ def test_nearest_in_time_both_directions(spark):
         hits = [b for a, b, h in rows if a == k and h]
         assert back[k, t] == max((h for h in hits if h <= t), default=None)
         assert ahead[k, t] == min((h for h in hits if h > t), default=None)
+
+
+def test_null_groups_keys_and_times_lose_no_row(spark):
+    df = spark.createDataFrame([(None, 1, 2.0), (None, 2, 3.0), ("a", 1, 1.0)], "g string, i int, v double")
+    got = ordered_running(df, ["g"], [F.col("i")], {"run": F.col("v")}, {"total": F.col("v")}).collect()
+    assert sorted((r.g or "", r.i, r.run, r.total) for r in got) == [("", 1, 2.0, 5.0), ("", 2, 5.0, 5.0), ("a", 1, 1.0, 1.0)]
+    medians = {r.g: r.m for r in exact_quantiles(df, ["g"], "v", {"m": 0.5}).collect()}
+    assert medians == {None: 2.5, "a": 1.0}
+    t = dt.datetime(2024, 1, 1)
+    events = spark.createDataFrame([(None, t, 1), (None, t + dt.timedelta(hours=2), None), ("k", None, 5),
+                                    ("k", t, 7), ("k", t + dt.timedelta(hours=1), None)],
+                                   "k string, t timestamp_ntz, v int")
+    near = nearest_in_time(events, ["k"], "t", F.col("v"), "x").collect()
+    assert len(near) == 5
+    assert {(r.k, r.t and r.t.hour): r.x for r in near} == {(None, 0): 1, (None, 2): 1, ("k", None): None,
+                                                            ("k", 0): 7, ("k", 1): 7}
+
+
+def test_one_key_with_all_rows_in_one_hour_is_spread(spark):
+    start = dt.datetime(2024, 1, 1)
+    rows = [("u", start + dt.timedelta(seconds=s), s if s % 7 == 0 else None) for s in range(3000)]
+    df = spark.createDataFrame(rows, "k string, t timestamp_ntz, v int")
+    got = {r.t: r.x for r in nearest_in_time(df, ["k"], "t", F.col("v"), "x", partitions=8).collect()}
+    assert all(got[start + dt.timedelta(seconds=s)] == s - s % 7 for s in range(3000))
+
+
+def test_values_that_are_not_finite_are_refused_by_name(spark):
+    df = spark.createDataFrame([(1.0,), (float("nan"),)], "v double")
+    with pytest.raises(Exception, match="quantiles of v: values must be finite"):
+        exact_quantiles(df, [], "v", {"m": 0.5}).collect()

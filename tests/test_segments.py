@@ -85,3 +85,39 @@ def test_reconciliation_rules_in_order(spark):
     got = {r.customer_id: r.status for r in G.unit_period_reconcile(left, right, {("kg", "10kg"): 10.0}).collect()}
     assert got == {"R0": "convertible", "R1": "review", "R2": "missing_value", "R3": "different_period", "R4": "equal",
                    "R5": "missing_value", "R6": "missing_value"}
+
+
+def _features(spark, rows):
+    return spark.createDataFrame(rows, "customer_id int, orders int, business_volume double, recency_days int")
+
+
+def test_sweep_of_very_few_or_equal_customers(spark):
+    one = {r.method + str(r.k): r for r in G.kmeans_sweep(_features(spark, [(1, 2, 5.0, 3)])).collect()}
+    assert all(one[f"kmeans{k}"].silhouette is None and "impossible" in one[f"kmeans{k}"].reason for k in (2, 3, 4, 5))
+    two = {r.method + str(r.k): r for r in G.kmeans_sweep(_features(spark, [(1, 2, 5.0, 3), (2, 9, 1.0, 8)])).collect()}
+    assert two["kmeans2"].silhouette is None and two["kmeans2"].reason
+    same = G.kmeans_sweep(_features(spark, [(i, 2, 5.0, 3) for i in range(6)])).collect()
+    assert all(r.silhouette is None and r.reason for r in same)
+
+
+def test_equal_volumes_make_one_band_and_seeds_agree_on_clear_groups(spark):
+    rows = [(i, 1 + i % 3 * 20, 7.0, 2 + i % 3 * 40) for i in range(30)]
+    df = _features(spark, rows)
+    sweep = {(r.method, r.k): r for r in G.kmeans_sweep(df, (3,)).collect()}
+    assert sweep["volume_rule", 3].silhouette is None
+    assert abs(sweep["kmeans", 3].silhouette - 1) < 1e-9
+    stable = G.seed_stability(df, restarts=3).collect()
+    assert len(stable) == 5 and all(r.ari == 1 and r.min_ari == 1 for r in stable)
+
+
+def test_repeated_volume_rows_are_refused_and_later_customers_named(spark):
+    import datetime as dt
+    ways = spark.createDataFrame([(1, 10, dt.date(2024, 1, 1), 2.0), (2, 11, dt.date(2024, 3, 1), 1.0)],
+                                 "customer_id int, waybill_id int, date date, quantity double")
+    volume = spark.createDataFrame([(1, 2.0), (1, 3.0)], "customer_id int, business_volume double")
+    with pytest.raises(Exception, match="more than one volume row for customer 1"):
+        G.customer_features(ways, volume, "2024-06-01").collect()
+    periods = {"a": "2024-02-01", "b": "2024-04-01"}
+    assert {r.customer_id for r in G.period_features(ways, periods).collect()} == {1}
+    assert [r.customer_id for r in G.left_out_customers(ways, periods).collect()] == [2]
+    assert G.period_features(ways, periods, panel=False).count() == 3
