@@ -14,6 +14,7 @@ each; only texts longer than the capacity are cut; an empty table gives no rows.
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -25,8 +26,8 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .shared import cut_lineage, texts_of
 
-#: Words remembered by one task.
-REMEMBERED = 400_000
+#: Words remembered by one task, about 200 bytes each.
+REMEMBERED = 1_200_000
 #: Weights of tokens, documents and attention cost in the score.
 WEIGHTS = (1.0, 0.0, 0.0)
 
@@ -43,7 +44,8 @@ class WordIds:
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text, followed by id 0."""
         for at in range(0, len(texts), 64):
-            split = [t.split() for t in texts[at:at + 64]]
+            # The model lower-cases; its special strings are told apart before that.
+            split = [(t if b"<|" in t else t.lower()).split() for t in texts[at:at + 64]]
             if len(self.known) > REMEMBERED:
                 self.known.clear()
             fresh = list({w for words in split for w in words}.difference(self.known))
@@ -51,7 +53,7 @@ class WordIds:
                 made = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in fresh],
                                                         add_special_tokens=False)
                 for w, e in zip(fresh, made, strict=True):
-                    self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
+                    self.known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
             for words in split:
                 yield b"".join(map(self.known.__getitem__, words)) + b"\0\0\0\0"
 
