@@ -226,7 +226,7 @@ def group_links(sets: DataFrame, threshold: int) -> DataFrame:
 
 
 def postings(sets: DataFrame, threshold: int, chunks: int) -> DataFrame:
-    """Step 4, first half: element, node, comp, size of every prefix element that other components hold as well."""
+    """Step 4, first half: every prefix element that other components hold as well, with the elements that follow it."""
     rows = sets.withColumn("chunk", spread("node", chunks))
     by_chunk = rows.groupBy("chunk")
 
@@ -281,18 +281,57 @@ def postings(sets: DataFrame, threshold: int, chunks: int) -> DataFrame:
             at = np.minimum(np.searchsorted(element, short), len(element) - 1)
             many = np.where(element[at] == short, held[at], 1)
             prefix = np.lexsort((values, short, many))[:len(values) - least_overlap(len(values), threshold) + 1]
-            out.append((i, values[prefix[many[prefix] > 1]]))
+            place = np.flatnonzero(many[prefix] > 1)
+            out.append((i, values[prefix[place]], len(values) - 1 - place))
         repeat = np.repeat(np.array([o[0] for o in out], np.int64), [len(o[1]) for o in out])
-        return pa.table({"element": pa.array(np.concatenate([o[1] for o in out]) if out else np.zeros(0, np.int64)),
-                         **{c: table.column(c).take(pa.array(repeat)) for c in ("node", "comp", "size")}})
+        none = [np.zeros(0, np.int64)]
+        return pa.table({"element": pa.array(np.concatenate([o[1] for o in out] or none)),
+                         **{c: table.column(c).take(pa.array(repeat)) for c in ("node", "comp", "size")},
+                         "rest": pa.array(np.concatenate([o[2] for o in out] or none).astype(np.int32))})
 
     again = rows.select(*[F.col(c).alias(c) for c in rows.columns])
     return again.groupBy("chunk").cogroup(heard.groupBy("chunk")).applyInArrow(
-        post, "element long, node long, comp long, size int")
+        post, "element long, node long, comp long, size int, rest int")
 
 
-def meeting_pairs(posted: DataFrame, threshold: int, buckets: int) -> DataFrame:
-    """Step 4, second half: pairs (a, b) of different components that meet in a prefix and whose sizes fit."""
+def sketches(sets: DataFrame) -> DataFrame:
+    """node and ``counts``: how many elements of the set fall into each of 2**j ranges, at least one range an element."""
+    def run(batches):
+        for batch in batches:
+            made = []
+            for values in _sets_of(pa.Table.from_batches([batch])):
+                bits = max(len(values) - 1, 1).bit_length()
+                made.append(np.minimum(np.bincount(values.view(np.uint64) >> np.uint64(64 - bits), minlength=1 << bits), 255)
+                            .astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["node", "counts"])
+
+    return sets.select("node", "shingles").mapInArrow(run, "node long, counts binary")
+
+
+def overlap_bounds(counts: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The most elements that sets x[i] and y[i] can share, by the ranges they fall into."""
+    width = np.array([len(c) for c in counts])
+    out = np.zeros(len(x), dtype=np.int64)
+    for least in np.unique(np.minimum(width[x], width[y])) if len(x) else ():
+        rows = np.flatnonzero(np.minimum(width[x], width[y]) == least)
+        used, place = np.unique(np.concatenate([x[rows], y[rows]]), return_inverse=True)
+        # A finer sketch is folded: neighbouring ranges add up. A full counter bounds nothing.
+        folded = np.array([counts[i].reshape(least, -1).sum(axis=1, dtype=np.int64) for i in used])
+        open_ = np.array([(counts[i] == 255).any() for i in used])
+        first, second = place[:len(rows)], place[len(rows):]
+        for low in range(0, len(rows), 8192):
+            part = slice(low, low + 8192)
+            common = np.minimum(folded[first[part]], folded[second[part]]).sum(axis=1)
+            out[rows[part]] = np.where(open_[first[part]] | open_[second[part]], 2 ** 40, common)
+    return out
+
+
+def meeting_pairs(posted: DataFrame, sketched: DataFrame, threshold: int, buckets: int) -> DataFrame:
+    """Step 4, second half: pairs (a, b) of different components that meet in a prefix and are within all bounds.
+
+    Bounds that cost nothing: the sizes, and what can follow the first common element. Pairs that pass are held
+    against the ranges their elements fall into; what is left is emitted, few pairs besides those that link.
+    """
     lists = (posted.groupBy("element").agg(F.count(F.lit(1)).alias("rows"), F.min("comp").alias("_l"),
                                            F.max("comp").alias("_h"))
              .where(F.col("_l") != F.col("_h")).drop("_l", "_h"))
@@ -300,38 +339,59 @@ def meeting_pairs(posted: DataFrame, threshold: int, buckets: int) -> DataFrame:
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     # A list of one tile stays as it is; each row of a longer one goes to the tiles of its part with every part.
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.select("element", "node", "comp", "size", "own",
+    rows = rows.select("element", "node", "comp", "size", "rest", "own",
                        F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"),
                        F.when(F.col("tiles") == 1, spread("element", buckets)).otherwise(F.col("element"))
                        .cast("long").alias("bucket"))
+    keys = ["bucket", "p", "q"]
+    known = rows.select(*[F.col(k).alias(k) for k in keys], F.col("node").alias("node")).distinct().join(sketched, "node")
 
-    def meet(key_: tuple, table: pa.Table) -> pa.Table:
+    def meet(key_: tuple, table: pa.Table, known: pa.Table) -> pa.Table:
         element = table.column("element").to_numpy()
         order = np.argsort(element, kind="stable")
-        node, comp, size, own = (table.column(c).to_numpy()[order] for c in ("node", "comp", "size", "own"))
+        node, comp, size, rest, own = (table.column(c).to_numpy()[order]
+                                       for c in ("node", "comp", "size", "rest", "own"))
         element, across = element[order], key_[1].as_py() != key_[2].as_py()
-        cuts = np.flatnonzero(np.r_[True, element[1:] != element[:-1], True])
-        found = np.zeros((0, 2), np.int64)
+        size, rest = size.astype(np.int64), rest.astype(np.int64)
+        names, number = np.unique(node, return_inverse=True)
+        sizes = np.zeros(len(names), np.int64)
+        sizes[number] = size
+        counts: list[np.ndarray] = [None] * len(names)
+        for v, data in zip(np.searchsorted(names, known.column("node").to_numpy()), known.column("counts").to_pylist(),
+                           strict=True):
+            counts[v] = np.frombuffer(data, np.uint8)
+        cuts = np.flatnonzero(np.r_[True, element[1:] != element[:-1], True]) if len(element) else np.zeros(0, np.int64)
+        passed = np.zeros(0, np.int64)
         held: list[np.ndarray] = []
+
+        def judge() -> np.ndarray:
+            pair = np.setdiff1d(np.unique(np.concatenate(held)), passed)
+            x, y = np.divmod(pair, len(names))
+            most = overlap_bounds(counts, x, y)
+            return np.union1d(passed, pair[(100 + threshold) * most >= threshold * (sizes[x] + sizes[y])])
+
         for low, high in zip(cuts[:-1], cuts[1:]):
-            c, s, v, o = comp[low:high], size[low:high].astype(np.int64), node[low:high], own[low:high]
+            c, s, v, r, o = (a[low:high] for a in (comp, size, number, rest, own))
             for i in range(0, len(v), 256):
                 part = slice(i, i + 256)
-                least, most = np.minimum(s[part, None], s), np.maximum(s[part, None], s)
-                fits = (v[part, None] < v) & (c[part, None] != c) & (100 * least >= threshold * most)
+                both = s[part, None] + s
+                fits = (v[part, None] < v) & (c[part, None] != c)
+                fits &= (100 + threshold) * (1 + np.minimum(r[part, None], r)) >= threshold * both
+                fits &= 100 * np.minimum(s[part, None], s) >= threshold * np.maximum(s[part, None], s)
                 if across:
                     fits &= o[part, None] != o
                 x, y = np.nonzero(fits)
                 if len(x):
-                    held.append(np.stack([v[part][x], v[y]], axis=1))
-            if sum(map(len, held)) > 200_000:
-                found = np.unique(np.concatenate([found, *held]), axis=0)
-                held = []
+                    held.append(v[part][x] * len(names) + v[y])
+                if sum(map(len, held)) > 2_000_000:
+                    passed, held = judge(), []
         if held:
-            found = np.unique(np.concatenate([found, *held]), axis=0)
-        return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
+            passed = judge()
+        x, y = np.divmod(passed, max(len(names), 1))
+        return pa.table({"a": pa.array(names[x]), "b": pa.array(names[y])})
 
-    return rows.groupBy("bucket", "p", "q").applyInArrow(meet, "a long, b long").distinct()
+    return (rows.groupBy(*keys).cogroup(known.groupBy(*keys)).applyInArrow(meet, "a long, b long")
+            .distinct())
 
 
 def pair_links(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -357,7 +417,7 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", n
     total = sets.agg(F.sum("size")).first()[0] or 0
     chunks = max(8 * total // chunk_bytes + 1, parallelism(spark))
     posted = cut_lineage(postings(grouped, threshold, chunks))
-    pairs = meeting_pairs(posted, threshold, 4 * parallelism(spark))
+    pairs = meeting_pairs(posted, sketches(sets), threshold, 2 * parallelism(spark))
     more = pair_links(pairs, sets, threshold)
     comps = components(links.unionByName(more))
     least = (classes.join(comps, "node").groupBy("component").agg(F.min("rep").alias("smallest")))

@@ -41,9 +41,11 @@ def to_buckets(chunk: int, values: np.ndarray, bits: int, buckets: int,
 
 def distinct(values: np.ndarray, documents: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct values, the smallest document of each and whether there are several."""
+    if not len(values):
+        return values, documents, np.zeros(0, bool)
     order = np.lexsort((documents, values))
     values, documents = values[order], documents[order]
-    first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, np.int64)
+    first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
     last = np.r_[first[1:], len(values)] - 1
     return values[first], documents[first], documents[first] != documents[last]
 
