@@ -84,8 +84,7 @@ def standardize(df: DataFrame, columns: list[str] = FEATURES, group: str = "peri
     With ``reference`` every group uses that group's mean and deviation.
     """
     if reference is None:
-        # One row for each period.
-        joined = df.join(F.broadcast(_moments(df, columns, [group])), group)
+        joined = df.join(_moments(df, columns, [group]), group)
     else:
         fixed = _moments(df.where(F.col(group) == reference), columns, [])
         stats = fixed.select(F.struct(*fixed.columns)).scalar()
@@ -96,33 +95,40 @@ def standardize(df: DataFrame, columns: list[str] = FEATURES, group: str = "peri
     return joined.drop(*[f"_{p}_{c}" for p in "ms" for c in columns])
 
 
-def _block_sums(features: list[str], ids: list[str], own: int, other: int) -> Callable:
-    """Distance sums between two blocks, by the cluster of the other side.
+def _block_sums(features: list[str], ids: list[str], own: int, other: int, tile: int) -> Callable:
+    """Distance sums between two blocks, by the cluster of the other side: one row for each row and cluster.
 
-    ``own`` and ``other`` are the positions of the two block numbers in the group key. Each pair of
-    blocks meets once: both directions come from the same distances.
+    ``own`` and ``other`` are the positions of the two block numbers in the group key. Each pair of blocks meets
+    once, in tiles of at most ``tile`` squared distances: both directions come from the same distances.
     """
     columns = [*ids, "w", "other", "distance"]
 
-    def directed(rows: pd.DataFrame, others: pd.DataFrame, distance: np.ndarray) -> list[pd.DataFrame]:
-        clusters, codes = np.unique(others["cluster"].to_numpy(), return_inverse=True)
-        weights = np.zeros((len(others), len(clusters)))
-        weights[np.arange(len(others)), codes] = others["w"].to_numpy(float)
-        sums = distance @ weights
-        return [rows[[*ids, "w"]].assign(other=c, distance=sums[:, i]) for i, c in enumerate(clusters)]
-
     def sums(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame(columns=columns)
-        a, b = left[features].to_numpy(float), right[features].to_numpy(float)
-        squared = np.zeros((len(a), len(b)))
-        for j in range(len(features)):
-            step = a[:, j, None] - b[None, :, j]
-            squared += step * step
-        distance = np.sqrt(squared)
-        out = directed(left, right, distance)
-        if key[own] != key[other]:
-            out += directed(right, left, distance.T)
+        sides = []
+        for rows in (left, right):
+            clusters, codes = np.unique(rows["cluster"].to_numpy(), return_inverse=True)
+            weights = np.zeros((len(rows), len(clusters)))
+            weights[np.arange(len(rows)), codes] = rows["w"].to_numpy(float)
+            sides.append((rows[features].to_numpy(float), clusters, weights))
+        (a, mine, w_a), (b, theirs, w_b) = sides
+        to_right, to_left = np.zeros((len(a), len(theirs))), np.zeros((len(b), len(mine)))
+        both = key[own] != key[other]
+        for i in range(0, len(a), tile):
+            for j in range(0, len(b), tile):
+                x, y = a[i:i + tile], b[j:j + tile]
+                squared = np.zeros((len(x), len(y)))
+                for f in range(len(features)):
+                    step = x[:, f, None] - y[None, :, f]
+                    squared += step * step
+                distance = np.sqrt(squared)
+                to_right[i:i + tile] += distance @ w_b[j:j + tile]
+                if both:
+                    to_left[j:j + tile] += distance.T @ w_a[i:i + tile]
+        out = [left[[*ids, "w"]].assign(other=c, distance=to_right[:, n]) for n, c in enumerate(theirs)]
+        if both:
+            out += [right[[*ids, "w"]].assign(other=c, distance=to_left[:, n]) for n, c in enumerate(mine)]
         return pd.concat(out, ignore_index=True)[columns]
     return sums
 
@@ -136,16 +142,18 @@ def silhouette_values(rows: DataFrame, features: list[str], groups: list[str],
                       block: int = 2000) -> DataFrame:
     """Euclidean silhouette of each row of ``merged_points``.
 
-    Rows are hashed into blocks of about ``block`` rows and every
-    unordered pair of blocks is one small group that returns distance sums by cluster, so pairs of
-    points are computed but never stored, and one large cluster is spread over many tasks. The work
-    is quadratic in the distinct rows, as the definition is.
+    Rows are hashed into blocks, as many as give every task of the session a pair of blocks: each row is copied
+    about the root of the number of tasks, whatever the number of rows. A pair of blocks works in tiles of
+    ``block`` rows and returns distance sums by cluster, so pairs of points are computed but never stored, and one
+    large cluster is spread over many tasks. The arithmetic is quadratic in the distinct rows, as the definition is.
     """
     ids = [*groups, *features, "cluster"]
     sizes = rows.groupBy(*groups, "cluster").agg(F.sum("w").alias("size"))
-    # One row for each scored labelling.
-    shape = rows.groupBy(*groups).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"))
-    rows = rows.join(F.broadcast(shape), groups).withColumn(
+    spark = rows.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    most = int(np.ceil(np.sqrt(2 * tasks)))
+    shape = rows.groupBy(*groups).agg(F.least(F.ceil(F.count(F.lit(1)) / 500), F.lit(most)).cast("int").alias("_blocks"))
+    rows = rows.join(shape, groups).withColumn(
         "_own", F.pmod(F.xxhash64(*features, "cluster"), F.col("_blocks")).cast("int"))
     targets = rows.withColumn("_s", F.explode(F.expr("sequence(_own, _blocks - 1)"))).withColumnRenamed("_own", "_t")
     sources = rows.withColumn("_t", F.explode(F.expr("sequence(0, _own)"))).withColumnRenamed("_own", "_s")
@@ -153,13 +161,12 @@ def silhouette_values(rows: DataFrame, features: list[str], groups: list[str],
     keys = [*groups, "_t", "_s"]
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in ids), "w bigint", f"other {kinds['cluster']}", "distance double"])
-    pair_sums = _block_sums(features, ids, len(groups), len(groups) + 1)
+    pair_sums = _block_sums(features, ids, len(groups), len(groups) + 1, block)
     partial = targets.groupBy(*keys).cogroup(sources.groupBy(*keys)).applyInPandas(pair_sums, schema)
     total = partial.groupBy(*ids, "w", "other").agg(F.sum("distance").alias("distance"))
-    # At most one row for each cluster of each labelling.
     other_size = sizes.withColumnRenamed("cluster", "other").withColumnRenamed("size", "other_size")
     own = F.col("cluster") == F.col("other")
-    return (total.join(F.broadcast(other_size), [*groups, "other"])
+    return (total.join(other_size, [*groups, "other"])
             .groupBy(*ids, "w")
             .agg(F.max(F.when(own, F.col("other_size"))).alias("size"),
                  F.max(F.when(own, F.try_divide("distance", F.col("other_size") - 1))
@@ -178,10 +185,10 @@ def silhouette(points: DataFrame, features: list[str], groups: list[str], block:
     shape = (rows.groupBy(*groups, "cluster").agg(F.sum("w").alias("w")).groupBy(*groups)
              .agg(F.count(F.lit(1)).alias("actual_clusters"), F.sum("w").alias("n")))
     fit = (F.col("actual_clusters") >= 2) & (F.col("actual_clusters") < F.col("n"))
-    scorable = rows.join(F.broadcast(shape.where(fit).select(*groups)), groups, "left_semi")
+    scorable = rows.join(shape.where(fit).select(*groups), groups, "left_semi")
     means = silhouette_values(scorable, features, groups, block).groupBy(*groups).agg(
         (F.sum(F.col("silhouette") * F.col("w")) / F.sum("w")).alias("silhouette"))
-    return shape.join(F.broadcast(means), groups, "left").withColumn("reason", score_reason())
+    return shape.join(means, groups, "left").withColumn("reason", score_reason())
 
 
 def score_reason(clusters: str = "actual_clusters", n: str = "n") -> Column:

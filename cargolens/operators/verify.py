@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.expressions import is_close
 from ..functions.scale import cut_lineage
@@ -19,30 +19,39 @@ def tolerant_diff(stored: DataFrame, fresh: DataFrame, keys: list[str], values:
                   exact: list[str] | None = None, table: str = "result") -> DataFrame:
     """Full outer comparison on keys: missing, extra and repeated keys and differing values.
 
-    ``values`` are compared within an absolute 2e-6 or relative 1e-7, ``exact`` columns as text.
+    ``values`` are compared within an absolute 2e-6 or relative 1e-7, ``exact`` columns as text. A null key is a
+    key. Repeated keys are reported on either side ('repeated', 'repeated_fresh'); their least and greatest values
+    are compared, so none hides behind another.
     """
     exact = exact or []
-    fields = [*values, *exact]
-    one = stored.groupBy(*keys).agg(F.count(F.lit(1)).alias("_copies"), *[F.max(c).alias(f"_s_{c}") for c in fields])
-    two = fresh.select(*keys, F.lit(True).alias("_known"), *[F.col(c).alias(f"_f_{c}") for c in fields])
-    joined = one.join(two, keys, "full_outer")
+
+    def grouped(df: DataFrame, side: str) -> DataFrame:
+        ends = [f(c).alias(f"_{side}{e}_{c}") for c in [*values, *exact] for e, f in (("l", F.min), ("h", F.max))]
+        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"_n{side}"), *ends)
+
+    left, right = grouped(stored, "s"), grouped(fresh, "f")
+    right = right.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    joined = left.join(right, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], "full_outer")
     none = F.lit(None).cast("double")
 
     def problem(cond, field, status, a=none, b=none):
         return F.when(cond, F.struct(F.lit(field).cast("string").alias("field"), F.lit(status).alias("status"),
                                      a.alias("stored"), b.alias("fresh")))
 
-    both = F.col("_copies").isNotNull() & F.col("_known").isNotNull()
-    found = [problem(F.col("_copies").isNull(), None, "missing"), problem(F.col("_known").isNull(), None, "extra"),
-             problem(F.col("_copies") > 1, None, "repeated")]
+    both = F.col("_ns").isNotNull() & F.col("_nf").isNotNull()
+    found = [problem(F.col("_ns").isNull(), None, "missing"), problem(F.col("_nf").isNull(), None, "extra"),
+             problem(F.col("_ns") > 1, None, "repeated"), problem(F.col("_nf") > 1, None, "repeated_fresh")]
     for c in values:
-        a, b = F.col(f"_s_{c}").cast("double"), F.col(f"_f_{c}").cast("double")
-        same = F.coalesce(is_close(a, b), a.isNull() & b.isNull())
-        found.append(problem(both & ~same, c, "differs", a, b))
+        ends = [[F.col(f"_{side}{e}_{c}").cast("double") for side in "sf"] for e in "lh"]
+        same = [F.coalesce(is_close(a, b), a.isNull() & b.isNull()) for a, b in ends]
+        a, b = ends[1]
+        low_a, low_b = ends[0]
+        found.append(problem(both & ~(same[0] & same[1]), c, "differs", F.when(~same[1], a).otherwise(low_a),
+                             F.when(~same[1], b).otherwise(low_b)))
     for c in exact:
-        same = F.col(f"_s_{c}").cast("string").eqNullSafe(F.col(f"_f_{c}").cast("string"))
-        found.append(problem(both & ~same, c, "differs"))
-    key = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
+        same = [F.col(f"_s{e}_{c}").cast("string").eqNullSafe(F.col(f"_f{e}_{c}").cast("string")) for e in "lh"]
+        found.append(problem(both & ~(same[0] & same[1]), c, "differs"))
+    key = F.concat_ws("|", *[F.coalesce(F.col(k), F.col(f"_k_{k}")).cast("string") for k in keys])
     return joined.select(F.lit(table).alias("table"), key.alias("key"), F.inline(F.array_compact(F.array(*found))))
 
 
@@ -81,8 +90,8 @@ def window_shape_check(predictions: DataFrame, horizon: int, methods: tuple[str,
 
 
 def recompute_eiq_abc(orders: DataFrame, stored_orders: DataFrame, stored_items: DataFrame) -> DataFrame:
-    """Order and item statistics, shares and both ABC classes from the raw order lines."""
-    lines = W.order_sku_lines(orders)
+    """Order and item statistics, shares and both ABC classes from the raw order lines, which are summed once."""
+    lines = cut_lineage(W.order_sku_lines(orders))
     items = W.abc_classify(W.item_eiq(lines), limits={"ABC": W.LIMITS, "ABC_70_90": (0.70, 0.90)})
     return all_differences([
         tolerant_diff(stored_orders, W.order_eiq(lines), ["date", "order_id"], ["EQ", "EN"], table="order_eiq"),
@@ -219,19 +228,48 @@ def claim_trace(claims: DataFrame, published: DataFrame, results: DataFrame) ->
         F.when(cond, F.lit(name)) for name, cond in rules]))).alias("status"))
 
 
-def broken_links(pages: DataFrame, link_pattern: str = r'href="([^"]*)"', key: str = "page_id",
+#: Quoted link targets of a page.
+LINK = r"""(?i)href\s*=\s*["']([^"']*)["']"""
+
+
+def _collapsed(path: Column) -> Column:
+    """A path from the root without '.' and '..'."""
+    def step(done: Column, part: Column) -> Column:
+        up = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))
+        return F.when(part == "..", up).when(part == ".", done).otherwise(F.concat(done, F.array(part)))
+
+    parts = F.split(path, "/")
+    start = F.array(F.element_at(parts, 1))
+    return F.array_join(F.aggregate(F.slice(parts, 2, F.size(parts)), start, step), "/")
+
+
+def broken_links(pages: DataFrame, link_pattern: str = LINK, key: str = "page_id",
                  text: str = "html", address: str = "url") -> DataFrame:
-    """Local link targets, resolved on the page's host, that no page has: key, target.
+    """Local link targets that no page has: key, target.
 
-    Targets with a scheme and pure fragments are skipped; queries and fragments are cut off.
+    Targets are resolved as a browser does: from the root of the host or the page's folder, '.' and '..' collapsed,
+    percent codes decoded on both sides. Targets with a scheme, other hosts and pure fragments are skipped;
+    queries and fragments are cut off.
     """
     host = r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)"
-    known = pages.select(F.regexp_replace(address, r"[?#].*$", "").alias("target")).distinct()
+    valid = r"^([^%]|%[0-9A-Fa-f]{2})*$"
+
+    def decoded(c: Column) -> Column:
+        return F.when(c.rlike(valid), F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))).otherwise(c)
+
+    def plain(c: Column) -> Column:
+        return F.regexp_replace(c, r"[?#].*$", "")
+
+    known = pages.select(decoded(plain(F.col(address))).alias("target")).distinct()
     links = (pages.select(key, F.regexp_extract(address, host, 1).alias("site"),
+                          F.regexp_extract(F.regexp_replace(plain(F.col(address)), host, ""), r"^(.*/)[^/]*$", 1).alias("folder"),
                           F.explode(F.regexp_extract_all(F.col(text), F.lit(link_pattern), F.lit(1))).alias("raw"))
-             .withColumn("path", F.regexp_replace("raw", r"[?#].*$", ""))
-             .where((F.col("path") != "") & ~F.col("path").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"))
-             .select(key, F.concat("site", F.when(F.col("path").startswith("/"), F.col("path"))
-                                   .otherwise(F.concat(F.lit("/"), F.col("path")))).alias("target"))
+             .withColumn("path", plain(F.col("raw")))
+             .where((F.col("path") != "") & ~F.col("path").startswith("//")
+                    & ~F.col("path").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"))
+             .withColumn("folder", F.when(F.col("folder") == "", "/").otherwise(F.col("folder")))
+             .withColumn("path", F.when(F.col("path").startswith("/"), F.col("path"))
+                         .otherwise(F.concat("folder", "path")))
+             .select(key, decoded(F.concat("site", _collapsed(F.col("path")))).alias("target"))
              .distinct())
     return links.join(known, "target", "left_anti").select(key, "target")

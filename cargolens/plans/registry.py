@@ -8,6 +8,7 @@ integer, ``f`` double rounded to the six decimals of the result files, ``b`` boo
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -95,6 +96,7 @@ def full_sql(query: Query) -> str:
 
     visit(query.sql)
     body = query.sql if " " in query.sql.strip() else f"SELECT * FROM {query.sql}"
-    steps = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in needed)
+    read = Counter(w for text in [body, *(VIEWS[n] for n in needed)] for w in re.findall(r"\b[a-z][a-z0-9_]*\b", text))
+    steps = ",\n".join(f"{n} AS {'MATERIALIZED ' if read[n] > 1 else ''}({VIEWS[n]})" for n in needed)
     prefix = f"WITH {steps}\n" if needed else ""
     return f"{prefix}SELECT {_published_sql(query.spec)}\nFROM ({body}) AS answer"

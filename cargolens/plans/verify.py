@@ -40,25 +40,36 @@ def faulty(df, column, when, delta=1.0):
 
 # Order statistics ----------------------------------------------------------------------------
 
-def _stored_orders(s, d):
+def _stored_orders(lines):
     """One unit too many where an order has seven SKUs; orders with nine SKUs left out."""
-    return faulty(W.order_eiq(pw.lines(s, d)).where("EN <> 9"), "EQ", F.col("EN") == 7)
+    return faulty(W.order_eiq(lines).where("EN <> 9"), "EQ", F.col("EN") == 7)
+
+
+def _tolerant(s, d):
+    lines = cut_lineage(pw.lines(s, d))
+    return V.tolerant_diff(_stored_orders(lines), W.order_eiq(lines), ["date", "order_id"], ["EQ", "EN"], table="order_eiq")
 
 
 view("vf_orders", 'SELECT date, order_id, "EQ" + CASE WHEN "EN" = 7 THEN 1 ELSE 0 END AS "EQ", "EN" FROM wh_order_eiq WHERE "EN" <> 9')
-register("tolerant_diff", DIFF, lambda s, d: V.tolerant_diff(
-    _stored_orders(s, d), W.order_eiq(pw.lines(s, d)), ["date", "order_id"], ["EQ", "EN"], table="order_eiq"),
+register("tolerant_diff", DIFF, _tolerant,
     diff_sql("vf_orders", "wh_order_eiq", ["date", "order_id"], ["EQ", "EN"], table="order_eiq"))
 
 
-def _stored_items(s, d):
-    items = W.abc_classify(pw.items(s, d), limits={"ABC": W.LIMITS, "ABC_70_90": (0.70, 0.90)})
+def _stored_items(lines):
+    items = W.abc_classify(W.item_eiq(lines), limits={"ABC": W.LIMITS, "ABC_70_90": (0.70, 0.90)})
     return items.withColumn("ABC", F.when(F.col("IK") == 2, F.lit("B")).otherwise(F.col("ABC")))
 
 
 view("vf_items", """SELECT date, sku, "IQ", "IK", cum_share, CASE WHEN "IK" = 2 THEN 'B' ELSE "ABC" END AS "ABC", "ABC_70_90" FROM wh_abc""")
-register("recompute_eiq_abc", DIFF, lambda s, d: V.recompute_eiq_abc(
-    B.warehouse_orders(s, d), _stored_orders(s, d), _stored_items(s, d)),
+
+
+def _eiq_check(s, d):
+    """The order lines are summed and written once; the stored tables and the check both read them."""
+    lines = cut_lineage(pw.lines(s, d))
+    return V.recompute_eiq_abc(lines, cut_lineage(_stored_orders(lines)), cut_lineage(_stored_items(lines)))
+
+
+register("recompute_eiq_abc", DIFF, _eiq_check,
     diff_sql("vf_orders", "wh_order_eiq", ["date", "order_id"], ["EQ", "EN"], table="order_eiq") + " UNION ALL "
     + diff_sql("vf_items", "wh_abc", ["date", "sku"], ["IQ", "IK", "cum_share"], ["ABC", "ABC_70_90"], "item_eiq_abc"))
 
@@ -240,10 +251,17 @@ UNION ALL SELECT id, 'result_differs' FROM r WHERE sku = 'Brand#11'
 UNION ALL SELECT id, 'shown_differs' FROM r WHERE region = 'EUROPE'
 UNION ALL SELECT id, 'not_published' FROM r WHERE region = 'ASIA' AND sku = 'Brand#22'
 UNION ALL SELECT 'ASIA|unknown', 'unregistered' FROM r WHERE region = 'ASIA' AND sku = 'Brand#22'""")
-register("broken_links", "page_id:i target:s", lambda s, d: V.broken_links(B.table(s, d, "pages")), """
-SELECT page_id, target FROM (
-  SELECT DISTINCT page_id, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)
-    || CASE WHEN path[1] = '/' THEN '' ELSE '/' END || path AS target
-  FROM (SELECT page_id, url, regexp_replace(unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)), '[?#].*$', '') AS path FROM pages)
-  WHERE path <> '' AND NOT regexp_matches(path, '^[A-Za-z][A-Za-z0-9+.-]*:'))
-WHERE target NOT IN (SELECT regexp_replace(url, '[?#].*$', '') FROM pages)""")
+register("broken_links", "page_id:i target:s", lambda s, d: V.broken_links(B.table(s, d, "pages")), r"""
+SELECT DISTINCT page_id, target FROM (
+  SELECT page_id, CASE WHEN regexp_matches(t, '^([^%]|%[0-9A-Fa-f]{2})*$') THEN url_decode(t) ELSE t END AS target FROM (
+    SELECT page_id, site || array_to_string(list_reduce(
+        list_transform(string_split(CASE WHEN path[1] = '/' THEN path ELSE folder || path END, '/'), lambda x: [x]),
+        lambda a, b: CASE WHEN b[1] = '..' THEN CASE WHEN len(a) > 1 THEN a[:len(a) - 1] ELSE a END
+                          WHEN b[1] = '.' THEN a ELSE list_concat(a, b) END), '/') AS t
+    FROM (SELECT page_id, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS site,
+            CASE WHEN regexp_extract(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), '^(.*/)[^/]*$', 1) = '' THEN '/'
+              ELSE regexp_extract(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), '^(.*/)[^/]*$', 1) END AS folder,
+            regexp_replace(unnest(regexp_extract_all(html, '(?i)href\s*=\s*["'']([^"'']*)["'']', 1)), '[?#].*$', '') AS path FROM pages)
+    WHERE path <> '' AND path NOT LIKE '//%' AND NOT regexp_matches(path, '^[A-Za-z][A-Za-z0-9+.-]*:')))
+WHERE target NOT IN (SELECT CASE WHEN regexp_matches(p, '^([^%]|%[0-9A-Fa-f]{2})*$') THEN url_decode(p) ELSE p END
+                     FROM (SELECT regexp_replace(url, '[?#].*$', '') AS p FROM pages))""")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 # Logical tables of the library and their fixed columns.
@@ -26,12 +28,21 @@ def read_table(spark: SparkSession, path: str, schema: str | T.StructType | None
     """Read with a fixed schema: identifiers stay text, malformed rows fail, columns must exist.
 
     ``fmt="json"`` reads a document whose ``resources`` array holds the rows; parquet carries its
-    own types and only needs the ``required`` columns.
+    own types, which must be those of the schema if one is given.
     """
     if fmt == "parquet":
         df = spark.read.parquet(path)
-        _require_columns(df.columns, list(required or []), path)
-        return df
+        if schema is None:
+            _require_columns(df.columns, list(required or []), path)
+            return df
+        declared = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+        _require_columns(df.columns, declared.fieldNames() if required is None else list(required), path)
+        have = {f.name: f.dataType for f in df.schema}
+        wrong = [f"{f.name}: {have[f.name].simpleString()} instead of {f.dataType.simpleString()}"
+                 for f in declared if f.name in have and have[f.name] != f.dataType]
+        if wrong:
+            raise ContractError(f"{path}: {', '.join(wrong)}")
+        return df.select(*[f.name for f in declared if f.name in have])
     want = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
     required = want.fieldNames() if required is None else list(required)
     if fmt == "json":
@@ -67,13 +78,17 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def file_digest(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """SHA-256 and size of every file below ``path``; the bytes are hashed on the executors."""
+    """SHA-256 and size of every file below ``path``, named by its path from there; hashed on the executors.
+
+    A file is hashed as one value, so one above 2 GB is an error.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    files = reader.load(path)
+    root = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "/", path).rstrip("/")
+    files = reader.load(path).withColumn("root", F.lit(root))
     return files.select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("file"),
+        F.expr("substring(path, instr(path, root) + length(root) + 1)").alias("file"),
         F.col("length").alias("bytes"),
         F.sha2("content", 256).alias("sha256"))
 
