@@ -1,4 +1,6 @@
 import datetime as dt
+import random
+from statistics import median
 
 import pytest
 
@@ -17,43 +19,62 @@ def records(spark, rows):
 
 
 def test_only_delivered_records_are_mature(spark):
-    rows = [(0, at("2022-01-01 08:00"), at("2022-01-01 09:00")), (1, at("2022-01-01 08:00"), at("2022-01-02 00:00")),
-            (2, at("2022-01-02 00:00"), at("2022-01-02 01:00")), (3, at("2022-01-01 08:00"), None)]
-    assert [r.order_id for r in T.mature_history(records(spark, rows), ["2022-01-02"]).collect()] == [0]
-
-
-def test_hours_with_29_records_use_the_global_median(spark):
-    rows, day = [], at("2022-01-01 00:00")
-    for hour, n, minutes in ((8, 30, 10), (9, 29, 100), (10, 30, 40)):
+    noon = at("2023-05-10 12:00")
+    hours = [(-30, -2), (-30, -1), (-13, -12), (-13, -11), (-40, None), (-12, -11), (3, 5)]  # midnight is at -12
+    rows = [(i, noon + dt.timedelta(hours=a), b and noon + dt.timedelta(hours=b)) for i, (a, b) in enumerate(hours)]
+    known = T.mature_history(records(spark, rows), ["2023-05-10"])
+    assert known.count() == 0
+    assert sorted(r.order_id for r in T.mature_history(records(spark, rows), ["2023-05-11"]).collect()) == [0, 1, 2, 3, 5, 6]
+    early = records(spark, [(9, noon - dt.timedelta(days=2), at("2023-05-09 23:59:59")), (8, noon - dt.timedelta(days=2),
+                                                                                         at("2023-05-10 00:00:00"))])
+    assert [r.order_id for r in T.mature_history(early, ["2023-05-10"]).collect()] == [9]
+
+
+def test_hours_with_too_few_records_use_the_global_median(spark):
+    rng, rows = random.Random(6), []
+    counts = {3: 12, 4: 11, 17: 40}
+    for hour, n in counts.items():
         for i in range(n):
-            t = day + dt.timedelta(days=i % 20, hours=hour, seconds=i)
-            rows.append((len(rows), t, t + dt.timedelta(minutes=minutes)))
-    got = {r.accept_hour: r.hour_median for r in T.duration_hour_median(records(spark, rows), ["2022-03-01"]).collect()}
-    assert (got[8], got[9], got[10], got[11]) == (10.0, 40.0, 40.0, 40.0) and len(got) == 24
-
-
-def slow_case(spark):
-    day = at("2022-01-01 08:00")
-    rows = [(i, day + dt.timedelta(days=i), day + dt.timedelta(days=i, minutes=10)) for i in range(60)]
-    rows.append((60, at("2022-02-18 12:00"), at("2022-02-21 12:10")))
-    return records(spark, rows)
+            t = at("2023-04-01 00:00") + dt.timedelta(days=i % 9, hours=hour, seconds=i)
+            rows.append((len(rows), t, t + dt.timedelta(minutes=rng.randrange(5, 500))))
+    minutes = {h: [(b - a).total_seconds() / 60 for _, a, b in rows if a.hour == h] for h in counts}
+    whole = median([m for v in minutes.values() for m in v])
+    got = {r.accept_hour: r for r in T.duration_hour_median(records(spark, rows), ["2023-06-01"], 12).collect()}
+    assert len(got) == 24 and got[4].hour_records == 11
+    assert {h: r.hour_median for h, r in got.items()} == {h: median(minutes[h]) if counts.get(h, 0) >= 12 else whole
+                                                          for h in range(24)}
 
 
 def test_pending_labels_stop_the_score(spark):
-    df = slow_case(spark)
-    early = T.label_maturity(df, ["2022-02-13"], 7, "2022-02-19").first()
-    assert (early.accepted_records, early.mature_records, early.pending_records) == (8, 7, 1)
+    """Nine quick deliveries a day and one that takes five days: complete, still open, never delivered."""
+    rows = [(10 * d + i, at("2023-03-01 09:00") + dt.timedelta(days=d, minutes=i), at("2023-03-01 09:30") + dt.timedelta(days=d, minutes=i))
+            for d in range(30) for i in range(9)]
+    slow = [(900, at("2023-03-11 20:00"), at("2023-03-16 20:00")), (901, at("2023-03-25 20:00"), None)]
+    df = records(spark, rows + slow)
+    starts = ["2023-03-10", "2023-03-17", "2023-03-24", "2023-06-01"]
+    status = {str(r.window_start): (r.accepted_records, r.pending_records, r.status) for r in
+              T.score_status(df, starts, 7, "2023-03-31").collect()}
+    assert status == {"2023-03-10": (64, 0, "scored"), "2023-03-17": (63, 0, "scored"), "2023-03-24": (64, 1, "labels pending"),
+                      "2023-06-01": (0, 0, "no test records")}
+    metrics = T.duration_metrics(T.duration_predictions(df, starts, 7, "2023-03-31")).collect()
+    assert {(str(r.window_start), r.method): r.test_records for r in metrics} == {
+        (w, m): n for w, n in (("2023-03-10", 64), ("2023-03-17", 63)) for m in T.DURATION_METHODS}
+    first = next(r for r in metrics if str(r.window_start) == "2023-03-10" and r.method == "global_median")
+    assert first.records_over_360_minutes == 1 and first.mae_over_360_minutes == 5 * 24 * 60 - 30
+    # Observed until the slow record was still on its way, the first window is refused as well.
+    assert T.duration_predictions(df, starts[:1], 7, "2023-03-15").count() == 0
+    known = {str(r.window_start): r.all_test_labels_known_after for r in T.label_maturity(df, starts, 7, "2023-03-31").collect()}
+    assert known["2023-03-24"] is None and known["2023-03-10"] == at("2023-03-16 20:00")
     with pytest.raises(ContractError):
-        T.require_mature(T.label_maturity(df, ["2022-02-13"], 7, "2022-02-19"))
-    T.require_mature(T.label_maturity(df, ["2022-02-13"], 7, "2022-02-28"))
-    rows = T.duration_predictions(df, ["2022-02-13"], 7)
-    metrics = {r.method: r for r in T.duration_metrics(rows).collect()}
-    slow = (3 * 24 * 60 + 10 - 10) / 8
-    assert metrics["global_median"].mae_minutes == slow and metrics["global_median"].test_records == 8
-    assert metrics["hour_median"].records_over_360_minutes == 1
-    assert sorted(r.sample_index for r in rows.where("method = 'hour_median'").collect()) == list(range(8))
-    assert V.paired_methods_check(rows).count() == 0
-    lost = rows.where("not (method = 'hour_median' and sample_index = 3)")
+        T.require_mature(T.label_maturity(df, starts, 7, "2023-03-31"))
+
+
+def test_both_methods_score_the_same_records(spark):
+    rows = [(i, at("2023-03-01 09:00") + dt.timedelta(hours=7 * i), at("2023-03-01 10:00") + dt.timedelta(hours=7 * i)) for i in range(80)]
+    scored = T.duration_predictions(records(spark, rows), ["2023-03-12"], 7)
+    assert sorted(r.sample_index for r in scored.where("method = 'hour_median'").collect()) == list(range(24))
+    assert V.paired_methods_check(scored).count() == 0
+    lost = scored.where("not (method = 'hour_median' and sample_index = 5)")
     assert [r.only_in for r in V.paired_methods_check(lost).collect()] == ["global_median"]
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cargolens.operators import location as L
 from cargolens.sources.tables import ContractError
 
+# The published line instance and, below, its two recorded losses.
 LINE_X = [7, 8, 15, 29, 41, 46, 49, 64, 72]
 LINE_W = [77, 57, 61, 63, 76, 36, 57, 9, 13]
 
@@ -26,14 +27,16 @@ def plans(spark, rows):
                                  "demand_coverage double, weighted_distance_km double, weighted_squared_loss double")
 
 
-def test_two_coverages_and_the_inclusive_radius(spark):
-    p = points(spark, [(0, 0, 1), (3, 4, 9)])
+def test_shares_of_points_and_of_demand_inside_a_radius(spark):
+    p = points(spark, [(0, 0, 2), (5, 12, 3), (8, 15, 5)])  # 0, 13 and 17 from the centre
     centers = spark.createDataFrame([(1, 0, 0.0, 0.0)], "k int, cluster int, x_km double, y_km double")
     near = L.nearest_center(p, centers, (1,))
-    got = {r.radius_km: (r.city_coverage, r.demand_coverage, r.weighted_distance_km) for r in
-           L.coverage(near, (4.0, 5.0)).collect()}
-    assert got[4.0] == (0.5, 0.1, 4.5) and got[5.0][:2] == (1.0, 1.0)
-    assert L.coverage_monotone_check(L.coverage(near, (1.0, 4.0, 5.0, 9.0))).count() == 0
+    got = {r.radius_km: r for r in L.coverage(near, (12.5, 13.0, 17.0)).collect()}
+    assert [round(got[r].city_coverage * 3) for r in (12.5, 13.0, 17.0)] == [1, 2, 3]
+    assert [got[r].demand_coverage for r in (12.5, 13.0, 17.0)] == [0.2, 0.5, 1.0]
+    assert got[13.0].weighted_distance_km == (3 * 13 + 5 * 17) / 10
+    assert got[13.0].weighted_squared_loss == 3 * 169 + 5 * 289
+    assert L.coverage_monotone_check(L.coverage(near, (2.0, 13.0, 16.0, 40.0))).count() == 0
 
 
 def test_ties_choose_the_lower_cluster(spark):
@@ -68,8 +71,8 @@ def test_plans_equal_brute_force(spark):
 
 
 def test_dominance_tolerance_and_ties(spark):
-    df = plans(spark, [("A", 10.0, 0.5), ("B", 11.0, 0.8), ("C", 12.0, 0.5), ("D", 10.0, 0.5), ("E", 10 - 1e-10, 0.5)])
-    assert {r.centers for r in L.pareto_frontier(df).where("not is_pareto").collect()} == {"C"}
+    df = plans(spark, [("p", 40.0, 0.6), ("q", 44.0, 0.9), ("r", 40 + 5e-10, 0.6), ("s", 41.0, 0.6), ("t", 44.0, 0.75)])
+    assert {r.centers for r in L.pareto_frontier(df).where("not is_pareto").collect()} == {"s", "t"}
     rng = np.random.default_rng(1)
     rows = [(f"R{i}", float(rng.integers(1, 30)) * 1e8, float(rng.integers(1, 12)) / 12) for i in range(150)]
     got = {r.centers: r.is_pareto for r in L.pareto_frontier(plans(spark, rows)).collect()}
@@ -79,12 +82,12 @@ def test_dominance_tolerance_and_ties(spark):
 
 
 def test_loss_budgets(spark):
-    df = plans(spark, [("A", 100.0, 0.3), ("B", 100.2, 0.7), ("C", 100.2, 0.6), ("D", 100.201, 0.9)])
-    got = {r.extra_loss_budget: r.centers for r in L.select_site_budget(df, (0.0, 0.002)).collect()}
-    assert got == {0.0: "A", 0.002: "B"}
-    assert L.select_site_max_demand(df).first().centers == "D"
-    with pytest.raises(ValueError):
-        L.select_site_budget(df, (-0.1,))
+    df = plans(spark, [("m", 250.0, 0.2), ("n", 252.4, 0.55), ("o", 252.5, 0.8), ("u", 252.6, 0.95)])
+    got = {r.extra_loss_budget: r.centers for r in L.select_site_budget(df, (0.0, 0.0097, 0.01, 0.5)).collect()}
+    assert got == {0.0: "m", 0.0097: "n", 0.01: "o", 0.5: "u"}
+    assert L.select_site_max_demand(df).first().centers == "u"
+    with pytest.raises(ValueError, match="must not be negative"):
+        L.select_site_budget(df, (0.1, -0.5))
 
 
 def test_snapping_equals_all_permutations(spark):

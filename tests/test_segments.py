@@ -78,13 +78,15 @@ def test_features_keep_text_ids_apart(spark):
 
 def test_reconciliation_rules_in_order(spark):
     kinds = "customer_id string, period string, quantity double, unit string"
-    left = spark.createDataFrame([("R0", "Jan", 120.0, "kg"), ("R1", "Jan", 190.0, "kg"), ("R2", "Jan", 75.0, "kg"),
-                                  ("R3", "Jan", 90.0, "kg"), ("R4", "Jan", 40.0, "kg"), ("R5", "Jan", 1.0, "kg")], kinds)
-    right = spark.createDataFrame([("R0", "Jan", 12.0, "10kg"), ("R1", "Jan", 180.0, "kg"), ("R2", "Jan", None, "kg"),
-                                   ("R3", "Jan-Feb", 210.0, "kg"), ("R4", "Jan", 40.0, "kg"), ("R6", "Jan", 2.0, "kg")], kinds)
-    got = {r.customer_id: r.status for r in G.unit_period_reconcile(left, right, {("kg", "10kg"): 10.0}).collect()}
-    assert got == {"R0": "convertible", "R1": "review", "R2": "missing_value", "R3": "different_period", "R4": "equal",
-                   "R5": "missing_value", "R6": "missing_value"}
+    base = ("2024", 48.0, "piece")
+    cases = {"convertible": ("2024", 2.0, "box"), "equal": ("2024", 48.0000001, "piece"), "review": ("2024", 50.0, "piece"),
+             "different_period": ("2023", 2.0, "box"), "missing_value": ("2023", None, "box")}
+    left = spark.createDataFrame([(name, *base) for name in cases] + [("only left", *base), ("no factor", *base)], kinds)
+    right = spark.createDataFrame([(name, *row) for name, row in cases.items()]
+                                  + [("only right", *base), ("no factor", "2024", 2.0, "crate")], kinds)
+    got = {r.customer_id: r.status for r in G.unit_period_reconcile(left, right, {("piece", "box"): 24.0}).collect()}
+    assert got == {**{name: name for name in cases}, "only left": "missing_value", "only right": "missing_value",
+                   "no factor": "review"}
 
 
 def _features(spark, rows):
