@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.expressions import is_finite, melt
+from ..functions.scale import cut_lineage
 
 # Fixed method names; the order breaks ties between equal scores.
 METHODS = ("recent_mean", "weekday_mean", "calendar_ridge")
@@ -166,10 +167,13 @@ def long_forecasts(wide: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
 
 
 def rolling_backtest(series: DataFrame, horizon: int = 14, first: int = 56,
-                     origins: Column | None = None) -> DataFrame:
-    """Every origin's forecasts of all methods next to the later actual value."""
+                     origins: Column | None = None, states: DataFrame | None = None) -> DataFrame:
+    """Every origin's forecasts of all methods next to the later actual value.
+
+    ``states`` are the series' ``origin_states``, if the caller has them already.
+    """
     origins = regular_origins(horizon, first) if origins is None else origins
-    wide = forecast_at_origin(origin_states(series), origins, horizon)
+    wide = forecast_at_origin(origin_states(series) if states is None else states, origins, horizon)
     actual = series.select("series_id", "date", F.col("quantity").alias("actual"))
     return long_forecasts(wide.join(actual, ["series_id", "date"]), ("actual",))
 
@@ -191,16 +195,16 @@ def method_leaderboard(metrics: DataFrame, method: str = "model",
         F.count(F.lit(1)).alias("windows"), F.avg("mae").alias("mean_mae"), F.avg("rmse").alias("mean_rmse"))
 
 
-def completed_window_scores(series: DataFrame, horizon: int = 14) -> DataFrame:
+def completed_window_scores(series: DataFrame, horizon: int = 14, states: DataFrame | None = None) -> DataFrame:
     """MAE of the windows that start at day 28, 28+h, … and ended inside the history."""
-    scored = forecast_metrics(rolling_backtest(series, horizon, MIN_HISTORY))
+    scored = forecast_metrics(rolling_backtest(series, horizon, MIN_HISTORY, states=states))
     return scored.select("series_id", F.col("cutoff").alias("window_cutoff"),
                          F.col("valid_start").alias("window_start"), F.col("valid_end").alias("window_end"),
                          "model", "mae")
 
 
 def past_scores(series: DataFrame, horizon: int = 14, lookback: int = 2,
-                origins: Column | None = None, first: int = 56) -> DataFrame:
+                origins: Column | None = None, first: int = 56, states: DataFrame | None = None) -> DataFrame:
     """The last completed windows each decision may use, with the day their score is known.
 
     Windows are anchored at day 28, so the ones a decision at ``cutoff`` uses follow from
@@ -217,7 +221,7 @@ def past_scores(series: DataFrame, horizon: int = 14, lookback: int = 2,
     used = F.array(*[newest - i for i in range(lookback)])
     wanted = (decisions.withColumn("j", F.explode(used)).where(F.col("j") >= 0)
               .withColumn("window_cutoff", (F.lit(MIN_HISTORY) + F.col("j") * horizon).cast("bigint")).drop("j"))
-    scores = completed_window_scores(series, horizon).withColumn(
+    scores = completed_window_scores(series, horizon, states).withColumn(
         "window_cutoff", F.col("window_cutoff").cast("bigint"))
     return (wanted.join(scores, ["series_id", "window_cutoff"])
             .withColumn("known_at_date", F.date_add("window_end", 1)))
@@ -249,8 +253,9 @@ def sequential_forecast(series: DataFrame, horizon: int = 14, lookback: int = 2,
                         origins: Column | None = None, first: int = 56) -> DataFrame:
     """Fixed methods plus ``sequential_select``, which follows the choice made at each origin."""
     origins = regular_origins(horizon, first) if origins is None else origins
-    predictions = rolling_backtest(series, horizon, first, origins)
-    choice = select_method(past_scores(series, horizon, lookback, origins, first)).select(
+    states = cut_lineage(origin_states(series))  # the forecasts and the past scores read the same states
+    predictions = rolling_backtest(series, horizon, first, origins, states)
+    choice = select_method(past_scores(series, horizon, lookback, origins, first, states)).select(
         "series_id", "cutoff", "selected_model")
     # Each fixed forecast is read once; the chosen one is emitted a second time under its new name.
     both = predictions.join(choice, ["series_id", "cutoff"])
@@ -266,8 +271,9 @@ def decision_log(series: DataFrame, horizon: int = 14, lookback: int = 2,
                  origins: Column | None = None, first: int = 56) -> DataFrame:
     """What was known and chosen at each origin, and the error that became known afterwards."""
     origins = regular_origins(horizon, first) if origins is None else origins
-    chosen = select_method(past_scores(series, horizon, lookback, origins, first))
-    after = forecast_metrics(rolling_backtest(series, horizon, first, origins)).select(
+    states = cut_lineage(origin_states(series))
+    chosen = select_method(past_scores(series, horizon, lookback, origins, first, states))
+    after = forecast_metrics(rolling_backtest(series, horizon, first, origins, states)).select(
         "series_id", "cutoff", F.col("model").alias("selected_model"), F.col("valid_end").alias("future_window_end"),
         F.date_add("valid_end", 1).alias("future_mae_known_at_date"), F.col("mae").alias("future_mae"))
     return chosen.join(after, ["series_id", "cutoff", "selected_model"], "left")
