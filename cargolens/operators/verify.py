@@ -228,6 +228,28 @@ def claim_trace(claims: DataFrame, published: DataFrame, results: DataFrame) ->
         F.when(cond, F.lit(name)) for name, cond in rules]))).alias("status"))
 
 
+def claim_evidence(claims: DataFrame, documents: DataFrame) -> DataFrame:
+    """One row for each problem of a claim's evidence: id, status.
+
+    ``claims`` is id, file, keys (an array of names), value, data_kind; ``documents`` is file, content (JSON). The
+    named file must be there once, the keys must lead to a number equal to the value, and the kind of data must be
+    stated. A claim's document is found by a join; nothing is read on the driver.
+    """
+    files = documents.groupBy("file").agg(F.count(F.lit(1)).alias("copies"), F.max("content").alias("content"))
+    path = F.concat(F.lit("$"), F.array_join(F.transform("keys", lambda k: F.concat(F.lit("['"), k, F.lit("']"))), ""))
+    found = (claims.withColumn("_path", path).join(files, "file", "left")
+             .withColumn("_text", F.expr("get_json_object(content, _path)"))
+             .withColumn("_number", F.col("_text").try_cast("double")))
+    there = F.col("copies").isNotNull()
+    rules = [("file_missing", ~there), ("file_repeated", F.col("copies") > 1),
+             ("keys_lead_nowhere", there & F.col("_text").isNull()),
+             ("not_a_number", F.col("_text").isNotNull() & F.col("_number").isNull()),
+             ("evidence_differs", F.col("_number").isNotNull() & ~F.col("_number").eqNullSafe(F.col("value"))),
+             ("kind_missing", F.coalesce(F.trim("data_kind"), F.lit("")) == "")]
+    return found.select("id", F.explode(F.array_compact(F.array(*[
+        F.when(cond, F.lit(name)) for name, cond in rules]))).alias("status"))
+
+
 #: Quoted link targets of a page.
 LINK = r"""(?i)href\s*=\s*["']([^"']*)["']"""
 

@@ -251,6 +251,30 @@ UNION ALL SELECT id, 'result_differs' FROM r WHERE sku = 'Brand#11'
 UNION ALL SELECT id, 'shown_differs' FROM r WHERE region = 'EUROPE'
 UNION ALL SELECT id, 'not_published' FROM r WHERE region = 'ASIA' AND sku = 'Brand#22'
 UNION ALL SELECT 'ASIA|unknown', 'unregistered' FROM r WHERE region = 'ASIA' AND sku = 'Brand#22'""")
+
+def _evidence(s, d):
+    """Each region's totals are one JSON document; some claims name another file, key, number or no kind."""
+    totals = cut_lineage(D.regional_summary(B.demand(s, d)))
+    documents = totals.groupBy(F.concat("region", F.lit(".json")).alias("file")).agg(
+        F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct(
+            "sku", F.col("total_quantity").cast("bigint"))) ).alias("total"))).alias("content"))
+    asia = F.col("region") == "ASIA"
+    claims = totals.select(
+        F.concat_ws("|", "region", "sku").alias("id"),
+        F.when(asia & (F.col("sku") == "Brand#22"), "gone.json").otherwise(F.concat("region", F.lit(".json"))).alias("file"),
+        F.array(F.lit("total"), F.when(F.col("sku") == "Brand#33", "Brand").otherwise(F.col("sku"))).alias("keys"),
+        (F.col("total_quantity") + F.when(F.col("sku") == "Brand#11", 1).otherwise(0)).alias("value"),
+        F.when(F.col("region") != "EUROPE", "synthetic").alias("data_kind"))
+    return V.claim_evidence(claims, documents)
+
+
+register("claim_evidence", "id:s status:s", _evidence, """
+WITH r AS (SELECT DISTINCT region, sku, region || '|' || sku AS id FROM dm_demand),
+f AS (SELECT *, region = 'ASIA' AND sku = 'Brand#22' AS gone FROM r)
+SELECT id, 'file_missing' AS status FROM f WHERE gone
+UNION ALL SELECT id, 'keys_lead_nowhere' FROM f WHERE sku = 'Brand#33' AND NOT gone
+UNION ALL SELECT id, 'evidence_differs' FROM f WHERE sku = 'Brand#11' AND NOT gone
+UNION ALL SELECT id, 'kind_missing' FROM f WHERE region = 'EUROPE'""")
 register("broken_links", "page_id:i target:s", lambda s, d: V.broken_links(B.table(s, d, "pages")), r"""
 SELECT DISTINCT page_id, target FROM (
   SELECT page_id, CASE WHEN regexp_matches(t, '^([^%]|%[0-9A-Fa-f]{2})*$') THEN url_decode(t) ELSE t END AS target FROM (

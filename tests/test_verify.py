@@ -48,3 +48,16 @@ def test_digests_are_named_by_the_path_from_the_root(spark, tmp_path):
     found = S.file_digest(spark, f"file://{tmp_path}")
     assert sorted(r.file for r in found.collect()) == ["x/part-0.txt", "y/part-0.txt"]
     assert {r.status for r in S.manifest_diff(found, found).collect()} == {"same"}
+
+
+def test_evidence_must_exist_lead_to_a_number_and_name_its_kind(spark):
+    documents = spark.createDataFrame([("a.json", '{"x": {"y.z": 1.5, "t": "word"}}'), ("b.json", "{}"), ("b.json", "{}")],
+                                      "file string, content string")
+    claims = spark.createDataFrame([
+        ("good", "a.json", ["x", "y.z"], 1.5, "real"), ("far", "a.json", ["x", "no"], 1.5, "real"),
+        ("text", "a.json", ["x", "t"], 1.5, "real"), ("off", "a.json", ["x", "y.z"], 1.4, " "),
+        ("twice", "b.json", ["x"], 1.0, "real"), ("lost", "c.json", ["x"], 1.0, "real")],
+        "id string, file string, keys array<string>, value double, data_kind string")
+    got = sorted((r.id, r.status) for r in V.claim_evidence(claims, documents).collect())
+    assert got == [("far", "keys_lead_nowhere"), ("lost", "file_missing"), ("off", "evidence_differs"), ("off", "kind_missing"),
+                   ("text", "not_a_number"), ("twice", "file_repeated"), ("twice", "keys_lead_nowhere")]
