@@ -13,8 +13,9 @@ product only removes what can't link, so nothing is lost at the threshold (in hu
    no more pairs among themselves, however large a group of near copies is.
 4. The rest is exact again: n-grams are ordered by the number of components that hold them, rarest first (those of
    one component come before all and post nothing); a class posts the shortest prefix that any partner must meet.
-   Classes of different components that meet and whose sizes fit are multiplied out. Long posting lists are cut
-   into tiles.
+   Classes of different components that meet are held against bounds: of their sizes, of what can follow the first
+   common element, and of the ranges of the hash space their elements fall into. The few pairs that are left are
+   compared in full. Long posting lists are cut into tiles.
 
 Links feed connected components; the links between copies are implied by their class.
 
