@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 from .components import components
 from .messages import (ANSWER, MESSAGE, NARROW, distinct, member, narrow, shared_values, to_buckets, told, wide,
                        with_flags)
-from .shared import chunk_count, cut_lineage, mix, ngrams, parallelism, spread, texts_of, word_hashes
+from .shared import chunk_count, cut_lineage, mix, ngrams, parallelism, place_of, spread, texts_of, word_hashes
 
 WORDS, THRESHOLD = 5, 80
 CHUNK_BYTES = 8 << 20
@@ -71,15 +71,16 @@ def fingerprint(values: np.ndarray) -> int:
 
 
 def set_rows(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """doc_id, n_shingles and the fingerprint ``node`` of every document."""
-    rows = df.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("_text"))
+    """doc_id, place, n_shingles and the fingerprint ``node`` of every document."""
+    rows = df.select(F.col(key).alias("doc_id"), place_of(key, text).alias("place"),
+                     F.col(text).cast("string").alias("_text"))
     schema = rows.drop("_text").schema.add("n_shingles", "long").add("node", "long")
 
     def run(batches):
         for batch in batches:
-            sets = shingle_sets(texts_of(batch.column(1)), n)
+            sets = shingle_sets(texts_of(batch.column(2)), n)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
+                [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([fingerprint(s) for s in sets], pa.int64())], names=schema.names)
 
     return rows.mapInArrow(run, schema)
@@ -111,11 +112,11 @@ class _Chosen:
 def candidates(df: DataFrame, classes: DataFrame, key: str, text: str, n: int, threshold: int,
                chunk_bytes: int) -> DataFrame:
     """Steps 1 and 2: node, size and shingles of the classes that may have a partner."""
-    docs = df.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("_text"))
+    docs = df.select(place_of(key, text).alias("_place"), F.col(text).cast("string").alias("_text"))
     count = chunk_count(docs, "_text", chunk_bytes)
-    docs = docs.withColumn("chunk", spread("doc_id", count))
+    docs = docs.select("_text", spread("_place", count).alias("chunk"))
     # A chunk's list is bounded by its documents.
-    chosen = (classes.select(spread("rep", count).alias("chunk"), "node")
+    chosen = (classes.select(spread("place", count).alias("chunk"), "node")
               .groupBy("chunk").agg(F.collect_list("node").alias("nodes")))
 
     def tell(key_: tuple, table: pa.Table, nodes: pa.Table) -> pa.Table:
@@ -410,7 +411,7 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", n
     spark = df.sparkSession
     rows = cut_lineage(set_rows(df, key, text, n))
     classes = (rows.where(F.col("n_shingles") > 0).groupBy("node")
-               .agg(F.min("doc_id").alias("rep")))
+               .agg(F.min("doc_id").alias("rep"), F.min("place").alias("place")))
     sets = cut_lineage(candidates(df, classes, key, text, n, threshold, chunk_bytes))
     links = cut_lineage(group_links(sets, threshold))
     comps = components(links)

@@ -7,8 +7,8 @@ own pivots and adds up how far the footrule distance falls below that of two dis
 reranked by the inner product of the original vectors.
 
 Pivots are a bounded sample: the first ``PIVOTS`` vectors that differ enough among the ``4 * PIVOTS`` rows
-of smallest id hash. Every row is indexed. A fixed share of each block is reranked, so recall does not fall as the table grows:
-0.96 and more at 20 % on the test tables (random directions, the hard case).
+of smallest id hash. Every row is indexed. A fixed share of each block is reranked, so recall does not fall as the
+table grows: 0.96 and more at 20 % on the test tables (random directions, the hard case).
 
 Defined cases: vectors that are null, zero or hold null or non-finite components, and rows without an id, take no
 part; rows that share an id count once, by their best score; equal distances and scores go to the smaller id;

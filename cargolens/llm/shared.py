@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.scale import cut_lineage, session_settings
 
 __all__ = ["table", "prepare", "cut_lineage", "parallelism", "chunk_count", "word_hashes", "ngrams", "mix",
-           "normal_text", "texts_of", "spread"]
+           "normal_text", "place_of", "texts_of", "spread"]
 
 
 def prepare(spark: SparkSession) -> None:
@@ -38,6 +38,11 @@ def spread(key: str | Column, n: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
 
 
+def place_of(key: str, text: str) -> Column:
+    """A number that deals documents out: from the id, or from the text where there is none."""
+    return F.when(F.col(key).isNotNull(), F.xxhash64(key)).otherwise(F.xxhash64(text))
+
+
 def normal_text(text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 

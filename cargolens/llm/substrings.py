@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .messages import ANSWER, MESSAGE, NARROW, distinct, member, shared_values, to_buckets, told, with_flags
-from .shared import chunk_count, ngrams, spread, texts_of, word_hashes
+from .shared import chunk_count, ngrams, place_of, spread, texts_of, word_hashes
 
 WINDOW, ANCHOR = 13, 5
 CHUNK_BYTES = 8 << 20
@@ -74,7 +74,7 @@ def removed_spans(df: DataFrame, key: str = "doc_id", text: str = "text", window
     """doc_id, n_words, n_removed, spans (word intervals, past-the-end), kept_text (kept words, one space)."""
     docs = df.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("_text"))
     n = chunk_count(docs, "_text", chunk_bytes)
-    docs = docs.withColumn("chunk", spread("doc_id", n))
+    docs = docs.withColumn("chunk", spread(place_of("doc_id", "_text"), n))
     chunks = docs.groupBy("chunk")
 
     def tell_anchors(table: pa.Table) -> pa.Table:
