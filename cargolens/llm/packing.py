@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from .shared import cut_lineage, texts_of
 
 #: Words remembered by one task, about 200 bytes each.
-REMEMBERED = 1_200_000
+REMEMBERED = 800_000
 #: Weights of tokens, documents and attention cost in the score.
 WEIGHTS = (1.0, 0.0, 0.0)
 
