@@ -90,8 +90,11 @@ def window_shape_check(predictions: DataFrame, horizon: int, methods: tuple[str,
 
 
 def recompute_eiq_abc(orders: DataFrame, stored_orders: DataFrame, stored_items: DataFrame) -> DataFrame:
-    """Order and item statistics, shares and both ABC classes from the raw order lines, which are summed once."""
-    lines = cut_lineage(W.order_sku_lines(orders))
+    """Order and item statistics, shares and both ABC classes from the raw order lines.
+
+    Both parts read the lines; write them once (``cut_lineage``) if they come from joins.
+    """
+    lines = W.order_sku_lines(orders)
     items = W.abc_classify(W.item_eiq(lines), limits={"ABC": W.LIMITS, "ABC_70_90": (0.70, 0.90)})
     return all_differences([
         tolerant_diff(stored_orders, W.order_eiq(lines), ["date", "order_id"], ["EQ", "EN"], table="order_eiq"),

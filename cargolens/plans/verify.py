@@ -66,7 +66,7 @@ view("vf_items", """SELECT date, sku, "IQ", "IK", cum_share, CASE WHEN "IK" = 2
 def _eiq_check(s, d):
     """The order lines are summed and written once; the stored tables and the check both read them."""
     lines = cut_lineage(pw.lines(s, d))
-    return V.recompute_eiq_abc(lines, cut_lineage(_stored_orders(lines)), cut_lineage(_stored_items(lines)))
+    return V.recompute_eiq_abc(lines, _stored_orders(lines), _stored_items(lines))
 
 
 register("recompute_eiq_abc", DIFF, _eiq_check,
