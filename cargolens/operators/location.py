@@ -22,8 +22,8 @@ from ..sources.tables import ContractError
 MAX_CENTERS = 1000
 MAX_PLANS = 2_000_000
 TOLERANCE = 1e-9
-#: Distinct rows from which k-means draws its starts.
-START_ROWS = 5000
+#: Least number of rounds in which k-means starts are sought; rounds that halve the cost are followed by more.
+ROUNDS = 3
 
 
 # Centres -------------------------------------------------------------------------------------
@@ -142,22 +142,120 @@ def _plus_plus(points: np.ndarray, weights: np.ndarray, k: int, rng: np.random.G
     return points[chosen]
 
 
+def _uniform(hashes: np.ndarray, seed: int, step: int) -> np.ndarray:
+    """Numbers in (0, 1) that depend on the row, the seed and the step alone."""
+    x = hashes ^ np.uint64((seed * 0x9E3779B97F4A7C15 + (step + 1) * 0xD6E8FEB86659FD93) % 2 ** 64)
+    for _ in range(2):
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = x ^ (x >> np.uint64(32))
+    return ((x >> np.uint64(11)).astype(float) + 0.5) / 2.0 ** 53
+
+
+def _squared(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Squared distances of rows and centres."""
+    out = np.zeros((len(x), len(centers)))
+    for j in range(x.shape[1]):
+        out += (x[:, j, None] - centers[None, :, j]) ** 2
+    return out
+
+
 def kmeans_starts(data: DataFrame, features: list[str], specs: list[tuple[int, int]],
                   weight: str | None = None) -> list[np.ndarray]:
-    """One k-means++ start for each (k, seed), from at most ``START_ROWS`` distinct rows chosen by hash.
+    """One start for each (k, seed) by k-means||, over all distinct rows; all runs share each pass.
 
-    Only where a run starts depends on this sample; every step of a run reads all rows.
+    The first candidate is drawn by weight; each round then draws 2k rows by weight times squared distance to the
+    candidates so far (the smallest of exponential numbers with these rates, so tasks return 2k rows for each run).
+    After ``ROUNDS`` rounds a run goes on as long as the last one halved its cost, so groups that hide behind much
+    farther ones are met too. Candidates weigh what lies nearest to them; k of them are drawn by k-means++.
     """
+    d = len(features)
     w = col(weight).cast("double") if weight else F.lit(1.0)
     rows = (data.select(*[F.col(f).cast("double").alias(f) for f in features], w.alias("_w"))
-            .groupBy(*features).agg(F.sum("_w").alias("_w")))
-    sample = rows.where(F.col("_w") > 0).orderBy(F.xxhash64(*features), *features).limit(START_ROWS).collect()
-    points = np.array([[r[f] for f in features] for r in sample], dtype=float).reshape(-1, len(features))
-    weights = np.array([r["_w"] for r in sample], dtype=float)
-    short = [k for k, _ in specs if k > len(points)]
-    if short:
-        raise ContractError(f"{max(short)} groups need as many distinct rows; there are {len(points)}")
-    return [_plus_plus(points, weights, k, np.random.default_rng(seed)) for k, seed in specs]
+            .groupBy(*features).agg(F.sum("_w").alias("_w")).where(F.col("_w") > 0)
+            .select(*features, "_w", F.xxhash64(*features).alias("_h")).persist(StorageLevel.MEMORY_AND_DISK))
+    names = [f"s{i}" for i in range(d)]
+    schema = "run int, place double, cost double, " + ", ".join(f"{c} double" for c in names)
+
+    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for batch in batches:
+            hashes = batch["_h"].to_numpy(np.int64).view(np.uint64)
+            values = batch[[*features, "_w"]].to_numpy(float)
+            for low in range(0, len(values), 8192):
+                yield values[low:low + 8192, :d], values[low:low + 8192, d], hashes[low:low + 8192]
+
+    def draw(active: dict[int, np.ndarray], number: int) -> dict[int, tuple[float, np.ndarray]]:
+        many = {r: 2 * specs[r][0] if number else 1 for r in active}
+
+        def offers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best, cost = {r: np.zeros((0, 1 + d)) for r in active}, dict.fromkeys(active, 0.0)
+            for x, mass, hashes in blocks(batches):
+                for r, known in active.items():
+                    part = mass * _squared(x, known).min(axis=1) if len(known) else mass
+                    cost[r] += part.sum()
+                    with np.errstate(divide="ignore"):
+                        place = np.log(-np.log(_uniform(hashes, specs[r][1], number))) - np.log(part)
+                    open_ = np.flatnonzero(part > 0)
+                    if len(open_) > many[r]:
+                        open_ = open_[np.argpartition(place[open_], many[r] - 1)[:many[r]]]
+                    both = np.concatenate([best[r], np.column_stack([place[open_], x[open_]])])
+                    best[r] = both[np.lexsort(both.T[::-1])[:many[r]]]
+            yield pd.DataFrame([(r, place, 0.0, *x) for r, b in best.items() for place, *x in b]
+                               + [(r, None, c, *[0.0] * d) for r, c in cost.items()],
+                               columns=["run", "place", "cost", *names])
+
+        def smallest(key: tuple, offered: pd.DataFrame) -> pd.DataFrame:
+            total = offered["cost"].sum(skipna=False)
+            out = offered.dropna(subset=["place"]).sort_values(["place", *names]).head(many[key[0]])
+            return pd.concat([out, pd.DataFrame([(key[0], None, total, *[0.0] * d)], columns=offered.columns)
+                              .astype({"place": float})])
+
+        found = rows.mapInPandas(offers, schema).groupBy("run").applyInPandas(smallest, schema).collect()
+        out = {}
+        for r in active:
+            mine = sorted((row["place"], *[row[c] for c in names]) for row in found
+                          if row["run"] == r and row["place"] is not None)
+            cost = sum(row["cost"] for row in found if row["run"] == r)
+            if not np.isfinite(cost):
+                raise ContractError("k-means: features and weights must be finite")
+            out[r] = cost, np.array([m[1:] for m in mine], dtype=float).reshape(-1, d)
+        return out
+
+    def weigh(known: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+        def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = {r: np.zeros(len(c)) for r, c in known.items()}
+            for x, mass, _ in blocks(batches):
+                for r, candidates in known.items():
+                    near = _squared(x, candidates).argmin(axis=1)
+                    total[r] += np.bincount(near, mass, minlength=len(candidates))
+            yield pd.DataFrame([(r, i, v) for r, t in total.items() for i, v in enumerate(t)], columns=["run", "i", "w"])
+
+        out = {r: np.zeros(len(c)) for r, c in known.items()}
+        for row in (rows.mapInPandas(sums, "run int, i int, w double").groupBy("run", "i")
+                    .agg(F.sum("w").alias("w")).collect()):
+            out[row["run"]][row["i"]] = row["w"]
+        return out
+
+    try:
+        distinct = rows.count()
+        short = [k for k, _ in specs if k > distinct]
+        if short:
+            raise ContractError(f"{max(short)} groups need as many distinct rows; there are {distinct}")
+        known = {r: np.zeros((0, d)) for r in range(len(specs))}
+        active, costs = set(known), {}
+        for number in count():
+            if not active:
+                break
+            for r, (cost, new) in draw({r: known[r] for r in sorted(active)}, number).items():
+                known[r] = np.concatenate([known[r], new])
+                if not len(new) or number >= ROUNDS and 2 * cost > costs[r]:
+                    active.remove(r)
+                costs[r] = cost
+        weights = weigh(known)
+    finally:
+        rows.unpersist()
+    # Rows nearer to each other than squares can tell leave too few candidates; some centres are then the same.
+    return [_plus_plus(*(np.resize(v, (max(k, len(v)), *v.shape[1:])) for v in (known[r], weights[r])), k,
+                       np.random.default_rng(seed)) for r, (k, seed) in enumerate(specs)]
 
 
 def lloyd_runs(data: DataFrame, features: list[str], starts: list[np.ndarray], weight: str | None = None,

@@ -164,3 +164,16 @@ def test_lloyd_runs_until_labels_repeat_and_says_so(spark):
     whole = L.lloyd_trace(df, start)
     assert whole.where("not converged").count() == 0
     assert L.lloyd_trace(df, start, 2).where("converged").count() == 0
+
+
+@pytest.mark.parametrize("far", [[(1e4, 0.0)], [(1e3, 0.0), (0.0, 1e5), (-1e7, 0.0)]])
+def test_starts_meet_far_groups_of_a_ten_thousandth_of_the_rows(spark, far):
+    n, few = 60_000, 6
+    bulk = spark.range(n).select((F.rand(1) * 2 - 1).alias("x"), (F.rand(2) * 2 - 1).alias("y"))
+    groups = spark.createDataFrame([(a + i * 1e-3, b) for a, b in far for i in range(few)], "x double, y double")
+    df = bulk.unionByName(groups).persist()
+    cost, centers = L.best_kmeans(df, ["x", "y"], 1 + len(far), restarts=3)
+    df.unpersist()
+    assert cost < n
+    for a, b in far:
+        assert min((x - a) ** 2 + (y - b) ** 2 for x, y in centers) < 1
