@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from cargolens.llm import permutation as P, topk as K
 
@@ -65,6 +66,21 @@ def test_permutation_index_recall_and_scores(make):
     assert hit / n >= 0.9 and len(ids)
 
 
+@pytest.mark.parametrize("sigma", [0.5, 1.0, 2.0])
+def test_recall_does_not_fall_with_the_spread_of_norms(make, sigma):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(6000, 32))
+    x *= np.exp(sigma * rng.normal(size=(6000, 1))) / np.linalg.norm(x, axis=1, keepdims=True)
+    got = P.nearest_neighbours(make([(i, v.tolist(), 0) for i, v in enumerate(x)], SCHEMA), every=100,
+                               block_rows=10_000).collect()
+    hit = 0
+    for i in range(0, 6000, 100):
+        s = x @ x[i]
+        s[i] = -np.inf
+        hit += len(set(np.argsort(-s)[:20].tolist()) & {r.vec_id for r in got if r.query_id == i})
+    assert hit / (60 * 20) >= 0.95
+
+
 def test_inverted_file_counts_footrule():
     rng = np.random.default_rng(0)
     lists = np.array([rng.permutation(30)[:8] for _ in range(50)])
