@@ -3,8 +3,13 @@
 The page is cut into blocks at block-level tags. Pass one decides each block from its text: length, share of
 stop words and share of characters inside links, and from where it stands: menus, headers, footers, sidebars,
 notices, adverts, forms and reader comments (by tag, role, class or id) are out, and if the page marks its
-article, so is all that lies outside it. Blocks that are too short or too odd to decide are ambiguous; pass two
-gives them the label of the nearest decided neighbours of their region.
+article, so is all that lies outside it. Blocks that are too short or too odd to decide are ambiguous, and so are
+blocks of links and copyright lines inside a marked article; pass two gives ambiguous blocks the label of the nearest
+decided neighbours of their region.
+
+A class or id marks by its whole token, its first or its last part ('sidebar-left', 'site-footer'), not with a word
+such as 'has' or 'no' before it. <main> inside a wrapper marked by class or id is not out. Another article inside such
+a wrapper (a layout or a teaser) is used if it has a decided paragraph and no article outside such wrappers has one.
 
 Defined cases: null html is empty; a page without main text gives an empty string; cut-off tags, comments and
 scripts end with the page; repeated pages give repeated rows; an empty table gives no rows.
@@ -54,6 +59,8 @@ CHROME_WORDS = COMMENT_WORDS | frozenset("""ad ads adbox adslot adsense advert a
 sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead cookie
 cookies consent gdpr notice notices newsletter subscribe signup popup modal overlay share sharing social related
 recommended widget toolbar pagination pager login searchbox copyright skip""".split())
+#: First parts that say how a page is laid out, not what an element is.
+LAYOUT_WORDS = frozenset("has no not with without is hide hidden show single".split())
 REGION_WORDS = frozenset("""articlebody article-body article-content entry-content post-content post-body story-body
 main-content""".split())
 
@@ -65,11 +72,15 @@ _WORD = re.compile(r"[^\W\d_]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
+#: How an element is marked: not at all, as an article inside a wrapper marked by class or id, by class or id, by more.
+CLEAR, DOUBTFUL, NAMED, CHROME = range(4)
+
+
 @dataclass
 class Block:
     text: str
     linked: int  # characters inside links
-    chrome: bool
+    chrome: int
     region: int  # 0: outside any marked article
     label: str = ""
 
@@ -77,7 +88,7 @@ class Block:
 @dataclass
 class _Open:
     tag: str
-    chrome: bool
+    chrome: int
     region: int
     hidden: bool
 
@@ -94,7 +105,7 @@ class _Reader:
     regions: int = 0
 
     def state(self) -> _Open:
-        return self.open[-1] if self.open else _Open("", False, 0, False)
+        return self.open[-1] if self.open else _Open("", CLEAR, 0, False)
 
     def text(self, raw: str) -> None:
         now = self.state()
@@ -128,13 +139,21 @@ class _Reader:
         above = self.state()
         words, hidden = _marks(attributes) if attributes.strip() else (set(), False)
         region = above.region
-        if tag in ("article", "main") or words & REGION_WORDS:
-            if not region:
+        chrome = above.chrome
+        article = tag in ("article", "main") or bool(words & REGION_WORDS)
+        if article:
+            if chrome == NAMED:
+                chrome = CLEAR if tag == "main" else DOUBTFUL
+            if not region or chrome != above.chrome:
                 self.regions += 1
                 region = self.regions
-        chrome = above.chrome or hidden or tag in CHROME_TAGS or tag == "header" and not above.region
-        if tag not in ("html", "body"):
-            chrome = chrome or bool(words & (COMMENT_WORDS if tag in ("article", "main") else CHROME_WORDS))
+        if hidden or tag in CHROME_TAGS or tag == "header" and not above.region or ROLE in words:
+            chrome = CHROME
+        elif tag not in ("html", "body"):
+            if words & COMMENT_WORDS:
+                chrome = CHROME
+            elif words & CHROME_WORDS and not article:
+                chrome = max(chrome, NAMED)
         self.open.append(_Open(tag, chrome, region, above.hidden or tag in HIDDEN))
 
     def end(self, tag: str) -> None:
@@ -150,6 +169,10 @@ class _Reader:
                 break
 
 
+#: Stands for a role of CHROME_ROLES.
+ROLE = "role="
+
+
 def _marks(attributes: str) -> tuple[set[str], bool]:
     """Words of class, id, role and itemprop; whether the element is hidden."""
     words: set[str] = set()
@@ -159,9 +182,11 @@ def _marks(attributes: str) -> tuple[set[str], bool]:
         if name in ("class", "id", "itemprop"):
             for token in value.split():
                 words.add(token.lower())
-                words.update(_CAMEL.sub("-", token).lower().replace("_", "-").split("-"))
+                parts = [p for p in _CAMEL.sub("-", token).lower().replace("_", "-").split("-") if p]
+                if parts and parts[0] not in LAYOUT_WORDS:
+                    words.update((parts[0], parts[-1]), COMMENT_WORDS.intersection(parts))
         elif name == "role" and value.lower() in CHROME_ROLES:
-            words.add("nav")
+            words.add(ROLE)
         elif name == "hidden" or name == "style" and "display:none" in value.replace(" ", "").lower():
             hidden = True
     return words, hidden
@@ -194,20 +219,35 @@ def blocks_of(page: str) -> list[Block]:
     return reader.blocks
 
 
+def _stops(block: Block) -> float:
+    words = [w for w in _WORD.findall(block.text.lower())]
+    return sum(w in STOP_WORDS for w in words) / max(len(words), 1)
+
+
+def _links(block: Block) -> float:
+    return block.linked / max(len(block.text.replace(" ", "")), 1)
+
+
+def _decided(block: Block, stops: float) -> bool:
+    return len(block.text) >= LONG and stops >= STOP_LOW or len(block.text) >= SHORT and stops >= STOP_HIGH
+
+
 def label(blocks: list[Block]) -> list[Block]:
     """Both passes: every block gets 'good' or 'bad'."""
+    if any(b.chrome == DOUBTFUL for b in blocks):
+        sure = {b.chrome for b in blocks if b.region and b.chrome <= DOUBTFUL and _links(b) <= LINKS
+                and _decided(b, _stops(b))}
+        for b in blocks:
+            if b.chrome == DOUBTFUL and sure == {DOUBTFUL}:
+                b.chrome = CLEAR
     marked = any(b.region and not b.chrome for b in blocks)
     for b in blocks:
-        words = [w for w in _WORD.findall(b.text.lower())]
-        stops = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
-        links = b.linked / max(len(b.text.replace(" ", "")), 1)
+        stops, links = _stops(b), _links(b)
         if b.chrome or marked and not b.region:
             b.label = "out"
-        elif links > LINKS:
-            b.label = "bad"
-        elif b.text.startswith("\N{COPYRIGHT SIGN}"):
-            b.label = "bad"
-        elif len(b.text) >= LONG and stops >= STOP_LOW or len(b.text) >= SHORT and stops >= STOP_HIGH:
+        elif links > LINKS or b.text.startswith("\N{COPYRIGHT SIGN}"):
+            b.label = "ambiguous" if b.region else "bad"
+        elif _decided(b, stops):
             b.label = "good"
         elif not marked and len(b.text) >= LONG and not stops and links > 0:
             b.label = "bad"

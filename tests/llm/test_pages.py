@@ -36,6 +36,28 @@ def test_cut_pages_and_empty_ones():
     assert P.main_text("plain") == "plain"
 
 
+@pytest.mark.parametrize("wrapper", ["class='has-sidebar'", "class=no-sidebar", "id='content-sidebar-wrap'",
+                                     "class='layout sidebar'", "class='page banner-top'", "id=widget_area"])
+@pytest.mark.parametrize("region", ["main", "article", "div class=entry-content"])
+def test_layout_wrappers_do_not_hide_the_article(wrapper, region):
+    tag = region.split()[0]
+    page = (f"<body><div {wrapper}><{region}><h1>Title</h1><p>{LONG}</p><div class=share>Share</div><p>Short.</p></{tag}>"
+            f"<aside><article><p>{LONG}</p></article></aside></div></body>")
+    assert P.main_text(page) == f"Title\n\n{' '.join(LONG.split())}\n\nShort."
+
+
+def test_teasers_in_a_marked_wrapper_do_not_join_the_article():
+    page = f"<article><p>{LONG}</p></article><div class=related><article><p>{LONG} more</p></article></div>"
+    assert P.main_text(page) == " ".join(LONG.split())
+
+
+def test_links_and_copyright_lines_of_the_article_stay():
+    inside = ["See the full report of the committee .", "© is the sign that the law asks for.", "One reference", "Two"]
+    page = (f"<article><p>{LONG}</p><p>See <a href=r>the full report of the committee</a> .</p><p>{inside[1]}</p>"
+            f"<ul><li><a href=1>One reference</a></li><li><a href=2>Two</a></li></ul></article><p>&copy; owners</p>")
+    assert P.main_text(page).split("\n\n") == [" ".join(LONG.split()), *inside]
+
+
 def test_rows(make):
     df = make([(1, "u", "<p>Hello you</p>", 5), (1, "u", "<p>Hello you</p>", 5), (2, None, None, 6)],
               "page_id int, url string, html string, n_chars int")
