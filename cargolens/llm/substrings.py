@@ -70,9 +70,13 @@ def _answers(parts: list[tuple[int, np.ndarray]]) -> pa.Table:
 
 
 def removed_spans(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW,
-                  anchor: int = ANCHOR, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """doc_id, n_words, n_removed, spans (word intervals, past-the-end), kept_text (kept words, one space)."""
-    docs = df.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("_text"))
+                  anchor: int = ANCHOR, chunk_bytes: int = CHUNK_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, n_removed, spans (word intervals, past-the-end), kept_text (kept words, one space).
+
+    The columns of ``carry`` come with their row in the struct ``carried``; ids need not be unique for that.
+    """
+    docs = df.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("_text"),
+                     *[F.col(c).alias(f"_{c}") for c in carry if c != text])
     n = chunk_count(docs, "_text", chunk_bytes)
     docs = docs.withColumn("chunk", spread(place_of("doc_id", "_text"), n))
     chunks = docs.groupBy("chunk")
@@ -110,6 +114,9 @@ def removed_spans(df: DataFrame, key: str = "doc_id", text: str = "text", window
 
     made = (T.StructType().add("doc_id", docs.schema["doc_id"].dataType).add("n_words", "long")
             .add("n_removed", "long").add("spans", T.ArrayType(T.ArrayType(T.LongType()))).add("kept_text", "string"))
+    carried = [f"_{c}" if c != text else "_text" for c in carry]
+    for c in carried:
+        made = made.add(docs.schema[c])
 
     def remove(key_: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         chunk = _Chunk(table, window, anchor)
@@ -141,12 +148,17 @@ def removed_spans(df: DataFrame, key: str = "doc_id", text: str = "text", window
         return pa.table({"doc_id": chunk.ids, "n_words": pa.array(n_words, pa.int64()),
                          "n_removed": pa.array(n_removed, pa.int64()),
                          "spans": pa.array(spans, pa.list_(pa.list_(pa.int64()))),
-                         "kept_text": pa.array(kept, pa.binary()).cast(pa.string())})
+                         "kept_text": pa.array(kept, pa.binary()).cast(pa.string()),
+                         **{c: table.column(c) for c in carried}})
 
     anchors = chunks.applyInArrow(tell_anchors, MESSAGE).groupBy("bucket").applyInArrow(shared_values, ANSWER)
     windows = (chunks.cogroup(anchors.groupBy("chunk")).applyInArrow(tell_windows, MESSAGE)
                .groupBy("bucket").applyInArrow(first_documents, ANSWER))
-    return chunks.cogroup(windows.groupBy("chunk")).applyInArrow(remove, made)
+    out = chunks.cogroup(windows.groupBy("chunk")).applyInArrow(remove, made)
+    if not carry:
+        return out
+    return out.select("doc_id", "n_words", "n_removed", "spans", "kept_text",
+                      F.struct(*[F.col(a).alias(b) for a, b in zip(carried, carry, strict=True)]).alias("carried"))
 
 
 def digest(spans: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cargolens.llm import jaccard, packing, shared, substrings, toxicity
 
@@ -23,23 +23,43 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).where(F.col("predicted") == 0).select(*docs.columns)
 
 
+def _row_key() -> Column:
+    """What tells rows apart and orders them: doc_id (nulls last), then the digest of the text. No field is null."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"),
+                    F.coalesce(F.unhex(F.sha2(F.col("text").cast("binary"), 256)), F.lit(b"")).alias("digest"))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each component stays; repeated rows of it are one document."""
+    """The first row of each component stays, in order of doc_id (nulls last) and digest of the text.
+
+    Rows are compared, not ids: of rows without an id, or with the same one, copies and near copies go and different
+    texts stay. Rows equal in id and text are one document; of rows without an id and without words all stay, as
+    nothing says that they are one.
+    """
     shared.prepare(spark)
-    groups = jaccard.jaccard_components(docs)
-    first = (groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct())
-    kept = docs.join(first, F.col("doc_id") == F.col("_id")).drop("_id").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    keyed = docs.withColumn("_key", _row_key())
+    groups = jaccard.jaccard_components(keyed, key="_key")
+    first = (groups.where(F.col("doc_id") == F.col("component_id"))
+             .groupBy(F.col("doc_id").alias("_first")).agg(F.max("n_shingles").alias("_n")))
+    rows = keyed.join(first, F.col("_key") == F.col("_first"))
+    alone = F.when(F.col("_key.no_id") & (F.col("_n") == 0), F.monotonically_increasing_id())
+    return (rows.withColumn("_alone", alone).groupBy("_key", "_alone")
+            .agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*"))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Windows that an earlier document has are cut out; texts that lose nothing stay as they are."""
+    """Windows that a document of smaller id has are cut out; texts that lose nothing stay as they are.
+
+    Each row gets its own cut text. Rows of one id do not count as repeats of each other; rows without an id keep all.
+    """
     shared.prepare(spark)
-    cut = substrings.removed_spans(docs).where(F.col("n_removed") > 0).select(F.col("doc_id").alias("_id"), "kept_text")
-    rows = docs.join(cut, F.col("doc_id") == F.col("_id"), "left")
-    text = F.coalesce("kept_text", "text")
-    made = {"text": text, "n_chars": F.coalesce(F.length("kept_text").cast(docs.schema["n_chars"].dataType), "n_chars")}
-    return rows.select(*[made.get(c, F.col(c)).alias(c) for c in docs.columns])
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = substrings.removed_spans(docs, carry=("text", *others))
+    cut = F.col("n_removed") > 0
+    made = {"doc_id": F.col("doc_id"), "text": F.when(cut, F.col("kept_text")).otherwise(F.col("carried.text")),
+            "n_chars": F.when(cut, F.length("kept_text").cast(docs.schema["n_chars"].dataType))
+            .otherwise(F.col("carried.n_chars"))}
+    return rows.select(*[made.get(c, F.col("carried")[c]).alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,3 +55,20 @@ def test_stages_decide_on_planted_cases(spark, tmp_path):
     packed = C.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} == set(cut)
     assert [n for n, _ in C.STAGES] == ["toxicity", "ngram_jaccard_join", "substring_dedup", "best_fit_packing"]
+
+
+def test_rows_without_an_id_and_rows_of_one_id(spark):
+    rng = random.Random(7)
+    a, b, c, d = (" ".join(f"w{rng.randrange(500)}" for _ in range(90)) for _ in range(4))
+    schema = "doc_id long, text string, lang string, source string, n_chars int"
+    rows = [(None, a, "1"), (None, a, "1"), (None, a + " more", "2"), (None, b, "3"), (5, b + " more", "4"), (7, c, "5"),
+            (7, d, "6"), (8, d + " more", "7"), (7, c, "5"), (None, "", "8"), (None, "", "8"), (None, None, "9")]
+    docs = spark.createDataFrame([(i, t, k, "s", 1) for i, t, k in rows], schema).repartition(4)
+    kept = sorted((r.doc_id or 0, r.lang) for r in C.drop_near_duplicates(spark, docs, "").collect())
+    assert len(kept) == 7 and kept[0][1] in "12" and kept[1:] == [(0, "8"), (0, "8"), (0, "9"), (5, "4"), (7, "5"), (7, "6")]
+    # Two rows of one id lose words: each row keeps its own rest.
+    rows = [(1, a + " " + b, "1"), (9, a + " first end", "2"), (9, b + " second end", "3"), (None, a, "4"), (10, None, "5")]
+    docs = spark.createDataFrame([(i, t, k, "s", 1) for i, t, k in rows], schema).repartition(2)
+    cut = {(r.lang, r.doc_id, r.text, r.n_chars) for r in C.drop_repeated_passages(spark, docs, "").collect()}
+    assert cut == {("1", 1, rows[0][1], 1), ("2", 9, "first end", 9), ("3", 9, "second end", 10), ("4", None, a, 1),
+                   ("5", 10, None, 1)}
