@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, jaccard, packing, pages, permutation, pieces, sharding, sql, substrings, topk, toxicity
+from . import (chat, jaccard, lexical, mixing, packing, pages, permutation, pieces, runs, sharding, sql, substrings, topk,
+               toxicity)
 from .shared import table
 
 SHARDS = 8
@@ -69,9 +72,34 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
             .select("doc_id", (toxicity.remainder("doc_id") == 1).alias("held_out"), "score", "predicted"))
 
 
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.ranked_search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=10)
+
+
+def echoed(doc_id: object, n: int) -> np.ndarray | None:
+    """Word numbers of a text that repeats a stretch of itself to its end; the checksum of the id says which and how often."""
+    check = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if check % 10 or not n:
+        return None
+    g = check // 10
+    a = g % n
+    period = 1 + (n - a) // (3 + g % 8)
+    i = np.arange(n)
+    return np.where(i < a, i, a + (i - a) % period)
+
+
+def op12_run_detection(spark: SparkSession, folder: str) -> DataFrame:
+    return runs.digest(runs.periodic_runs(table(spark, folder, "documents"), order=echoed))
+
+
+def op13_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixed_documents(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_chat_format, op2_sentencepiece, op3_sharding, op4_permutation_index, op5_exact_top_k,
-                                  op6_html_extraction, op7_jaccard_join, op8_substring_dedup, op9_best_fit_packing, op10_toxicity)}
+                                  op6_html_extraction, op7_jaccard_join, op8_substring_dedup, op9_best_fit_packing, op10_toxicity,
+                                  op11_lexical_search, op12_run_detection, op13_source_mixing)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -105,3 +105,83 @@ SELECT d.doc_id, CAST(coalesce(n.size, 0) AS BIGINT) AS n_shingles, c.component_
 FROM documents AS d LEFT JOIN n ON n.doc_id = d.doc_id
 JOIN (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id) AS c ON c.doc_id = d.doc_id
 """
+
+TWINS["op11_lexical_search"] = r"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term FROM documents),
+f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY doc_id, term),
+d AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM f GROUP BY doc_id),
+g AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM d),
+m AS (SELECT doc_id, 25 + (75 * n * docs) // terms AS m FROM d, g),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+      FROM (SELECT term, count(*) AS df FROM f GROUP BY term), g),
+q AS (SELECT item_id, term, count(*) AS times FROM (
+        SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+          'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term FROM benchmark) GROUP BY item_id, term),
+s AS (SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+      FROM q JOIN w USING (term) JOIN f USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+      FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+#: Every word is joined with its equals at most a quarter of the text away; neighbouring matches of one distance are a run.
+TWINS["op12_run_detection"] = r"""
+WITH RECURSIVE
+bits AS (
+  SELECT CAST(i AS BIGINT) AS i, CAST(i AS BIGINT) AS c, 0 AS step FROM range(256) AS r(i)
+  UNION ALL
+  SELECT i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, step + 1 FROM bits WHERE step < 8),
+octets AS (SELECT list(c ORDER BY i) AS made FROM bits WHERE step = 8),
+d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+    xor(list_reduce(
+      list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+                                                              lambda h: CAST(ord(h) AS BIGINT))),
+      lambda c, b: xor(c >> 8, made[CAST(xor(c & 255, b) AS INTEGER) + 1])), 4294967295) AS h
+  FROM documents, octets),
+e AS (SELECT *, len(words) AS n, h // 10 AS g FROM d),
+b AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n ELSE n END AS a FROM e),
+o AS (SELECT doc_id, n, CASE WHEN a = n THEN words ELSE list_transform(range(n),
+        lambda i: words[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) END AS words FROM b),
+p AS (SELECT doc_id, n, unnest(words) AS word, unnest(range(n)) AS i FROM o),
+m AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM p AS x JOIN p AS y
+      ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+s AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length
+      FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM m)
+      GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM s GROUP BY doc_id, start, length),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id
+           ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) AS k FROM r) WHERE k = 1),
+listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), ''
+             ORDER BY start, period) AS lines FROM r GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+kept AS (SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.i) AS words
+         FROM p LEFT JOIN gone ON gone.doc_id = p.doc_id AND gone.i = p.i WHERE gone.i IS NULL GROUP BY p.doc_id)
+SELECT e.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(start AS BIGINT) AS start,
+  CAST(length AS BIGINT) AS length, CAST(period AS BIGINT) AS period, CAST(1000 * length // period AS BIGINT) AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.words, '')) AS collapsed_sha256
+FROM e LEFT JOIN listed ON listed.doc_id = e.doc_id LEFT JOIN best ON best.doc_id = e.doc_id
+LEFT JOIN kept ON kept.doc_id = e.doc_id
+"""
+
+#: The stream of each source and pass in the order of the same digests; slots only say when a block is played, not whether.
+TWINS["op13_source_mixing"] = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 2.0::DOUBLE * CAST(sum(size) AS DOUBLE) AS cap,
+        CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 1.0 ELSE 2.0 END::DOUBLE AS w
+      FROM d GROUP BY source),
+o AS (SELECT *, sum(cap) OVER f - cap AS caps, sum(w) OVER f - w AS ws, sum(w) OVER () AS weights,
+        1.5::DOUBLE * CAST(sum(source_size) OVER () AS DOUBLE) AS goal
+      FROM s WINDOW f AS (ORDER BY cap / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+c AS (SELECT *, cap * (weights - ws) <= w * (goal - caps) AS capped FROM o),
+l AS (SELECT coalesce((max(goal) - coalesce(sum(cap) FILTER (capped), 0)) / nullif(max(weights) - coalesce(sum(w) FILTER (capped), 0), 0), 0) AS level FROM c),
+t AS (SELECT source, source_size, CASE WHEN capped THEN cap ELSE w * level END AS target FROM c, l),
+q AS (SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS quota FROM t),
+p AS (SELECT doc_id, size, quota, turn * source_size + sum(size) OVER (PARTITION BY d.source, turn
+        ORDER BY md5('mix:' || turn || ':' || doc_id), doc_id, size ROWS UNBOUNDED PRECEDING) AS past
+      FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source CROSS JOIN range(2) r(turn) WHERE size > 0),
+k AS (SELECT doc_id, sum(greatest(least(past, quota) - (past - size), 0)) AS taken FROM p GROUP BY doc_id)
+SELECT d.doc_id, d.size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken
+FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source LEFT JOIN k ON k.doc_id = d.doc_id
+"""
