@@ -44,7 +44,7 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(named, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def _ranged(df: DataFrame, order: list[Column], partitions: int | None) -> DataFrame:
+def frozen_ranges(df: DataFrame, order: list[Column], partitions: int | None) -> DataFrame:
     """Rows in range partitions of bounded size with their frozen number ``_chunk``."""
     rows = cut_lineage(df)  # the ranges are sampled and then dealt: both read what is written
     n = partitions or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")),
@@ -64,7 +64,7 @@ def ordered_running(df: DataFrame, groups: list[str], order: list[Column],
     are groups like others.
     """
     totals = totals or {}
-    ranged = _ranged(df, [*[F.col(g) for g in groups], *order], partitions)
+    ranged = frozen_ranges(df, [*[F.col(g) for g in groups], *order], partitions)
 
     measures = {**{f"_s_{k}": v for k, v in sums.items()}, **{f"_t_{k}": v for k, v in totals.items()}}
     chunks = ranged.groupBy(*groups, "_chunk").agg(*[F.sum(v).alias(k) for k, v in measures.items()])
@@ -143,7 +143,7 @@ def nearest_in_time(df: DataFrame, keys: list[str], time: str, value: Column, na
     outside comes from a table with one row for each of them. ``value`` must be null where a row offers nothing.
     Every row stays: a null key is a key, a row without a time finds nothing.
     """
-    rows = _ranged(df.withColumn("_value", value), [*[F.col(k) for k in keys], F.col(time)], partitions)
+    rows = frozen_ranges(df.withColumn("_value", value), [*[F.col(k) for k in keys], F.col(time)], partitions)
     direction = F.col(time).desc_nulls_last() if forward else F.col(time).asc_nulls_last()
     chunk_order = F.col("_chunk").desc() if forward else F.col("_chunk").asc()
     pick = F.min_by if forward else F.max_by

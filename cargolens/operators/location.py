@@ -1,7 +1,7 @@
 """Weighted site location: nearest centres, coverage, enumeration, Pareto trade-offs, policies.
 
 Points are ``point_id, x_km, y_km, demand`` in planar kilometres; demand is only a weight. Centres
-are ``k, cluster, x_km, y_km``: a few rows for each k, checked against ``MAX_CENTERS``. Candidate
+are ``k, cluster, x_km, y_km``; more than ``MAX_CENTERS`` for a k are searched by a grid index. Candidate
 sites are ``site_id, x_km, y_km``; the number of plans is checked against ``MAX_PLANS``.
 """
 
@@ -17,7 +17,12 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.expressions import col, euclid
+from ..functions.scale import cut_lineage
 from ..sources.tables import ContractError
+from . import frontier
+from .assignment import snap_centers  # noqa: F401
+from .grid import nearest_of_many
+from .intervals import optimal_1d_centers  # noqa: F401
 
 MAX_CENTERS = 1000
 MAX_PLANS = 2_000_000
@@ -30,19 +35,20 @@ ROUNDS = 3
 
 def _centers_by_k(centers: DataFrame) -> DataFrame:
     """One row for each k with its centres as an array ordered by cluster."""
-    packed = centers.groupBy("k").agg(F.array_sort(F.collect_list(F.struct(
-        F.col("cluster").cast("int").alias("cluster"), F.col("x_km").alias("x"), F.col("y_km").alias("y")))).alias("_c"))
-    checked = F.when(F.size("_c") <= MAX_CENTERS, F.col("_c")).otherwise(
-        F.raise_error(F.lit(f"more than {MAX_CENTERS} centres for one k")))
-    return packed.select("k", checked.alias("_centers"))
+    return centers.groupBy("k").agg(F.array_sort(F.collect_list(F.struct(
+        F.col("cluster").cast("int").alias("cluster"), F.col("x_km").alias("x"), F.col("y_km").alias("y")))).alias("_centers"))
 
 
 def nearest_center(points: DataFrame, centers: DataFrame, ks: tuple[int, ...]) -> DataFrame:
     """Distance and nearest cluster of each point for each k; ties go to the lower cluster.
 
-    Points never move: the centre arrays (one row for each k, at most MAX_CENTERS entries) are
-    broadcast and the arg-min is taken inside the row.
+    Up to MAX_CENTERS centres for a k travel as one array beside the points, which never move; more are found by the grid
+    index of ``grid``, with the same rows.
     """
+    centers = cut_lineage(centers.select("k", "cluster", "x_km", "y_km"))
+    most = centers.groupBy("k").count().agg(F.max("count")).first()[0] or 0
+    if most > MAX_CENTERS:
+        return nearest_of_many(points, centers, ks)
     each = points.withColumn("k", F.explode(F.array(*[F.lit(int(k)) for k in ks])))
     both = each.join(F.broadcast(_centers_by_k(centers)), "k")
     found = F.array_min(F.transform("_centers", lambda c: F.struct(
@@ -470,25 +476,8 @@ def loss_increase_pct(plans: DataFrame) -> DataFrame:
 
 
 def pareto_frontier(plans: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """Add is_pareto: no other plan has less loss and more demand cover beyond the tolerance.
-
-    Two running maxima of cover over the loss order replace the comparison of all pairs. Where the
-    loss is so large that subtracting the tolerance does not change it, "strictly less" is taken
-    from the loss ranks.
-    """
-    eps = f"{tolerance:.12f}D"
-    ranked = plans.withColumn("_rank", F.dense_rank().over(
-        Window.partitionBy(*GROUP).orderBy("weighted_squared_loss")))
-    over = "over (partition by radius_km, k order by {} range between unbounded preceding and {})"
-    by_loss = "weighted_squared_loss"
-    ranked = (ranked
-              .withColumn("_less", F.expr(f"max(demand_coverage) {over.format(by_loss, eps + ' preceding')}"))
-              .withColumn("_upto", F.expr(f"max(demand_coverage) {over.format(by_loss, eps + ' following')}"))
-              .withColumn("_strict", F.expr(f"max(demand_coverage) {over.format('_rank', '1 preceding')}")))
-    loss, cover, e = F.col(by_loss), F.col("demand_coverage"), F.lit(tolerance)
-    less = F.when(loss - e < loss, F.col("_less")).otherwise(F.col("_strict"))
-    dominated = F.coalesce(less >= cover - e, F.lit(False)) | (F.col("_upto") > cover + e)
-    return ranked.withColumn("is_pareto", ~dominated).drop("_rank", "_less", "_upto", "_strict")
+    """Add is_pareto: no other plan has less loss and more demand cover beyond the tolerance (see ``frontier``)."""
+    return frontier.pareto_frontier(plans, GROUP, tolerance)
 
 
 def _exactly(name: str) -> Column:
@@ -583,101 +572,8 @@ def policy_delta(plans: DataFrame) -> DataFrame:
         (F.col("a_weighted_distance_km") - F.col("b_weighted_distance_km")).alias("weighted_distance_reduction_km"))
 
 
-def snap_centers(centers: DataFrame, sites: DataFrame, k: int) -> DataFrame:
-    """Map k continuous centres to k distinct sites with the least total squared distance.
-
-    Some optimal assignment gives every centre one of its k nearest sites (at most k-1 others can
-    be taken), so only those, with everything tied at the k-th distance, are combined. Equal totals
-    choose the first id combination.
-    """
-    listed = sites.agg(F.collect_list(F.struct("site_id", "x_km", "y_km"))).scalar()
-    offers = (centers.where(F.col("k") == k).withColumn("_s", listed)
-              .select("cluster", F.array_sort(F.transform("_s", lambda s: F.struct(
-                  ((F.col("x_km") - s["x_km"]) * (F.col("x_km") - s["x_km"])
-                   + (F.col("y_km") - s["y_km"]) * (F.col("y_km") - s["y_km"])).alias("d"),
-                  s["site_id"].alias("site_id")))).alias("o")))
-    offers = offers.select("cluster", F.expr(f"filter(o, x -> x.d <= get(o, {k - 1}).d)").alias("o"))
-    row = offers.agg(F.array_sort(F.collect_list(F.struct("cluster", "o"))).alias("c"))
-    taken = F.array().cast("array<string>")
-    for j in range(k):
-        row = row.withColumn(f"s{j}", F.explode(F.col("c")[j]["o"]))
-        row = row.where(~F.array_contains(taken, F.col(f"s{j}.site_id").cast("string")))
-        taken = F.array(*[F.col(f"s{i}.site_id").cast("string") for i in range(j + 1)])
-    cost = F.col("s0.d")
-    for j in range(1, k):
-        cost = cost + F.col(f"s{j}.d")
-    pairs = F.array(*[F.struct(F.col("c")[j]["cluster"].alias("cluster"), F.col(f"s{j}.site_id").alias("site_id"),
-                               F.col(f"s{j}.d").alias("squared_distance")) for j in range(k)])
-    best = row.agg(F.min_by(pairs, F.struct(cost.alias("a"), F.array_sort(taken).alias("b"), taken.alias("c"))).alias("p"))
-    return best.select(F.lit(k).alias("k"), F.inline("p"))
-
-
-def _split_line(x: np.ndarray, w: np.ndarray, k: int) -> list[tuple[float, float, float]]:
-    """Optimal contiguous split of sorted positions: (center, weight, loss) of each segment.
-
-    The best last cut never moves left as the prefix grows, so each round halves the search range.
-    """
-    sw, swx, swxx = (np.concatenate([[0.0], np.cumsum(v)]) for v in (w, w * x, w * x * x))
-
-    def loss(i, j):
-        mass = sw[j] - sw[i]
-        return np.maximum(swxx[j] - swxx[i] - (swx[j] - swx[i]) ** 2 / mass, 0.0)
-
-    m = len(x)
-    cost = np.full(m + 1, np.inf)
-    cost[1:] = loss(np.zeros(m, int), np.arange(1, m + 1))
-    cuts = []
-    for r in range(2, k + 1):
-        new, cut = np.full(m + 1, np.inf), np.zeros(m + 1, int)
-        todo = [(r, m, r - 1, m - 1)]
-        while todo:
-            low, high, first, last = todo.pop()
-            if low > high:
-                continue
-            j = (low + high) // 2
-            i = np.arange(max(first, r - 1), min(last, j - 1) + 1)
-            value = cost[i] + loss(i, np.full(len(i), j))
-            at = int(np.argmin(value))
-            new[j], cut[j] = value[at], i[at]
-            todo += [(low, j - 1, first, i[at]), (j + 1, high, i[at], last)]
-        cost = new
-        cuts.append(cut)
-    bounds = [m]
-    for cut in reversed(cuts):
-        bounds.append(int(cut[bounds[-1]]))
-    bounds = [*reversed(bounds)]
-    out, i = [], 0
-    for j in bounds:
-        out.append(((swx[j] - swx[i]) / (sw[j] - sw[i]), sw[j] - sw[i], float(loss(np.array(i), np.array(j)))))
-        i = j
-    return out
-
-
-def optimal_1d_centers(points: DataFrame, ks: tuple[int, ...], zone: str = "zone",
-                       max_positions: int = 5_000_000) -> DataFrame:
-    """Exact weighted one-dimensional k-means of each zone.
-
-    Points of one zone at the same x are summed before they meet; the interval split works on the
-    distinct positions of a zone, whose number is limited. Zones run in parallel.
-    """
-    spots = points.groupBy(zone, "x_km").agg(F.sum("demand").alias("demand"))
-
-    def split(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > max_positions:
-            raise ValueError(f"zone {key[0]} has more than {max_positions} distinct positions")
-        pdf = pdf.sort_values("x_km")
-        x, w = pdf["x_km"].to_numpy(float), pdf["demand"].to_numpy(float)
-        rows = [(key[0], k, i, *segment) for k in ks if k <= len(x)
-                for i, segment in enumerate(_split_line(x, w, k))]
-        return pd.DataFrame(rows, columns=[zone, "k", "cluster", "x_km", "weight", "loss"])
-
-    kind = points.schema[zone].dataType.simpleString()
-    return spots.groupBy(zone).applyInPandas(
-        split, f"{zone} {kind}, k int, cluster int, x_km double, weight double, loss double")
-
-
 def method_comparison(points: DataFrame, sites: DataFrame, ks: tuple[int, ...], radius: float,
-                      restarts: int = 10) -> DataFrame:
+                      restarts: int = 50) -> DataFrame:
     """Five ways to place k centres on a line (y = 0), with constraint and enumerated plans."""
     kmeans = weighted_kmeans(points, ks, restarts)
     exact = (optimal_1d_centers(points.withColumn("zone", F.lit(0)), ks)

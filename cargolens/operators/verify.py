@@ -108,9 +108,8 @@ def recompute_coverage(points: DataFrame, centers: DataFrame, allocations: DataF
     near = L.nearest_center(points, centers, ks)
     best = near.select("k", "point_id", F.col("distance_km").alias("best"))
     spot = points.select("point_id", "x_km", "y_km")
-    recorded = (allocations.join(spot, "point_id")
-                .join(F.broadcast(L._centers_by_k(centers)), "k")
-                .withColumn("_c", F.get(F.filter("_centers", lambda c: c["cluster"] == F.col("cluster")), F.lit(0)))
+    named = centers.select("k", F.col("cluster").cast("int").alias("cluster"), F.struct(F.col("x_km").alias("x"), F.col("y_km").alias("y")).alias("_c"))
+    recorded = (allocations.join(spot, "point_id").join(named, ["k", "cluster"], "left")
                 .withColumn("to_recorded", L.euclid("x_km", "y_km", F.col("_c.x"), F.col("_c.y")))
                 .join(best, ["k", "point_id"]))
     none = F.lit(None).cast("double")

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cargolens.operators import location as L
+from cargolens.operators import assignment, frontier, grid, intervals, location as L
+from cargolens.operators.intervals import split_line
 from cargolens.sources.tables import ContractError
 
 # The published line instance and, below, its two recorded losses.
@@ -116,7 +117,7 @@ def test_exact_line_split_and_recorded_losses(spark):
         return (w[a:b] * (x[a:b] - m) ** 2).sum()
 
     best = min(sum(cost(a, b) for a, b in zip((0, *cuts), (*cuts, 12))) for cuts in combinations(range(1, 12), 3))
-    assert np.isclose(sum(s[2] for s in L._split_line(x, w, 4)), best)
+    assert np.isclose(sum(s[2] for s in split_line(x, w, 4)), best)
 
 
 def test_runs_share_passes_and_equal_a_plain_lloyd(spark):
@@ -177,3 +178,111 @@ def test_starts_meet_far_groups_of_a_ten_thousandth_of_the_rows(spark, far):
     assert cost < n
     for a, b in far:
         assert min((x - a) ** 2 + (y - b) ** 2 for x, y in centers) < 1
+
+
+def test_assignment_equals_all_permutations_with_ties():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        n, k = int(rng.integers(1, 7)), int(rng.integers(1, 5))
+        cost = rng.integers(0, 5, (k, n)).tolist()
+        got = assignment.assign([[(s, c) for s, c in enumerate(row)] for row in cost])
+        if n < k:
+            assert got is None
+            continue
+        assert len(set(got)) == k
+        assert sum(cost[i][s] for i, s in enumerate(got)) == min(
+            sum(cost[i][s] for i, s in enumerate(p)) for p in permutations(range(n), k))
+
+
+def test_snapping_breaks_ties_by_ids_and_ignores_unusable_sites(spark):
+    rng = np.random.default_rng(9)
+    for trial in range(3):
+        s, c = rng.integers(0, 3, (7, 2)).astype(float), rng.integers(0, 3, (3, 2)).astype(float)
+        rows = [(f"S{i}", *map(float, v)) for i, v in enumerate(s)]
+        sites = spark.createDataFrame(rows + [(None, 0.0, 0.0), ("A", None, 1.0), ("B", float("nan"), 1.0)],
+                                      "site_id string, x_km double, y_km double").repartition(3)
+        centers = spark.createDataFrame([(3, i, *map(float, v)) for i, v in enumerate(c)], "k int, cluster int, x_km double, y_km double")
+        got = [r.site_id for r in L.snap_centers(centers, sites, 3).orderBy("cluster").collect()]
+        want = min(permutations(range(7), 3), key=lambda p: (((s[list(p)] - c) ** 2).sum(), sorted(p), p))
+        assert got == [f"S{i}" for i in want]
+    assert L.snap_centers(centers, sites.where("site_id < 'S1'"), 3).count() == 0
+
+
+def test_snapping_fifty_centres_onto_many_sites(spark):
+    n = 40_000
+    sites = spark.range(n).select(F.col("id").alias("site_id"), (F.rand(1) * 1000).alias("x_km"), (F.rand(2) * 1000).alias("y_km"))
+    rng = np.random.default_rng(2)  # all centres in one corner, so that they compete for the same sites
+    centers = spark.createDataFrame([(50, i, *map(float, v)) for i, v in enumerate(rng.uniform(0, 20, (50, 2)))],
+                                    "k int, cluster int, x_km double, y_km double")
+    rows = L.snap_centers(centers, sites, 50).collect()
+    assert len({r.site_id for r in rows}) == 50
+    xy = {r.site_id: (r.x_km, r.y_km) for r in sites.collect()}
+    own = {r.cluster: (r.x_km, r.y_km) for r in centers.collect()}
+
+    def cost(cluster, site):
+        return (own[cluster][0] - xy[site][0]) ** 2 + (own[cluster][1] - xy[site][1]) ** 2
+
+    held = {r.cluster: r.site_id for r in rows}
+    for a in held:  # no exchange of two sites and no move to a free site is cheaper
+        for b in held:
+            assert cost(a, held[a]) + cost(b, held[b]) <= cost(a, held[b]) + cost(b, held[a]) + 1e-6
+    free = [s for s in xy if s not in held.values()]
+    assert all(min(cost(a, s) for s in free) >= cost(a, held[a]) - 1e-6 for a in held)
+
+
+def test_interval_program_on_chunks_equals_the_plain_one(spark):
+    rng = np.random.default_rng(5)
+    rows, want = [], {}
+    for zone, n in (("a", 400), ("b", 37), (None, 90), ("c", 2)):
+        x = np.sort(rng.choice(5000, n, replace=False)) / 7
+        w = rng.integers(1, 9, n).astype(float)
+        rows += [(zone, float(a), float(b)) for a, b in zip(x, w)] + [(zone, float(x[0]), 0.0), (zone, -50.0, 0.0)]
+        want |= {(zone, k): split_line(x, w, k) for k in (1, 2, 3) if k <= n}
+    df = spark.createDataFrame(rows, "zone string, x_km double, demand double").repartition(4)
+    for chunk in (11,):  # several levels of ends and of merging; one zone whole
+        got = {}
+        for r in L.optimal_1d_centers(df, (1, 2, 3), chunk=chunk).orderBy("k", "cluster").collect():
+            got.setdefault((r.zone, r.k), []).append((r.x_km, r.weight, r.loss))
+        assert set(got) == set(want)
+        for key, parts in want.items():
+            assert np.allclose(sum(p[2] for p in got[key]), sum(p[2] for p in parts))
+            assert np.allclose([p[:2] for p in got[key]], [p[:2] for p in parts])
+
+
+def test_halving_finds_the_first_best_cut():
+    rng = np.random.default_rng(0)
+    x, w = np.sort(rng.uniform(0, 100, 60)), rng.integers(1, 5, 60).astype(float)
+    pre = np.stack([np.concatenate([[0.0], np.cumsum(v)]) for v in (w, w * x, w * x * x)])
+    cost = np.concatenate([[np.inf], intervals._loss(pre[:, :1], pre[:, 1:])])
+    value, cut = intervals.best_cuts(pre[:, 2:], 2, pre[:, 10:40], cost[10:40], 10, 1, 59)
+    for j in range(2, 61):
+        offers = [cost[i] + intervals._loss(pre[:, i], pre[:, j]) for i in range(10, min(40, j))]
+        assert np.isclose(value[j - 2], min(offers)) if offers else np.isinf(value[j - 2])
+
+
+@pytest.mark.parametrize("kind", ["clustered", "same places"])
+def test_grid_index_gives_the_rows_of_the_array(spark, kind, monkeypatch):
+    rng = np.random.default_rng(6)
+    c = {"clustered": np.concatenate([rng.normal(50, 0.5, (200, 2)), rng.uniform(-20, 90, (50, 2))]),
+         "same places": rng.integers(0, 9, (700, 2)).astype(float)}[kind]
+    centers = spark.createDataFrame([(k, i, float(x), float(y)) for k in (1, 2) for i, (x, y) in enumerate(c) if i % k == 0],
+                                    "k int, cluster int, x_km double, y_km double")
+    p = np.concatenate([rng.uniform(-10, 120, (300, 2)), rng.normal(50, 0.02, (200, 2)), rng.integers(0, 9, (100, 2)), c[:50]])
+    odd = [("n", None, 1.0, 1.0), ("m", float("nan"), 1.0, 1.0), ("i", float("inf"), 2.0, 1.0)]
+    df = spark.createDataFrame([(f"P{i}", float(x), float(y), 1.0) for i, (x, y) in enumerate(p)] + odd,
+                               "point_id string, x_km double, y_km double, demand double")
+    want = sorted(map(str, L.nearest_center(df, centers, (1, 2)).collect()))
+    monkeypatch.setattr(L, "MAX_CENTERS", 10)
+    assert sorted(map(str, L.nearest_center(df, centers, (1, 2)).collect())) == want
+    monkeypatch.setattr(grid, "SENT", 0)
+    assert sorted(map(str, L.nearest_center(df, centers, (1, 2)).collect())) == want
+
+
+def test_frontier_over_many_partitions(spark):
+    rng = np.random.default_rng(12)
+    for scale, tolerance in ((1.0, 1e-9), (1.0, 0.5), (1e9, 1e-9)):
+        rows = [(f"R{i}", float(rng.integers(1, 60)) * scale / 4, float(rng.integers(1, 40)) / 40) for i in range(300)]
+        got = {r.centers: r.is_pareto for r in frontier.pareto_frontier(plans(spark, rows), ["radius_km", "k"], tolerance, partitions=13).collect()}
+        for n, l, c in rows:
+            beaten = any(a <= l + tolerance and b >= c - tolerance and (a < l - tolerance or b > c + tolerance) for _, a, b in rows)
+            assert got[n] == (not beaten)
