@@ -125,7 +125,8 @@ def mix(rows: DataFrame, targets: DataFrame, block: int = BLOCK) -> DataFrame:
     pieces = pieces.select(
         "number", "rank", "row", "doc_id", (low - F.col("rank") * size).alias("place"), (low - F.col("first")).alias("start"),
         (F.least(F.col("past"), (F.col("rank") + 1) * size) - low).alias("length"))
-    return (pieces.join(schedule(targets), ["number", "rank"])
+    # Planners take enumerated slots for as few as their sources: both joins of growing sides are told to shuffle.
+    return (pieces.join(schedule(targets).hint("merge"), ["number", "rank"])
             .select("slot", "place", "row", "doc_id", "start", "length"))
 
 
@@ -134,5 +135,5 @@ def mixed_documents(df: DataFrame, key: str = "doc_id", source: str = "source",
     rows = sized_rows(df, key, source, text)
     targets = cut_lineage(source_targets(rows, block=block))
     taken = mix(rows, targets, block).groupBy("row").agg(F.sum("length").alias("taken"))
-    return (_with_targets(rows, targets).join(taken, "row", "left")
+    return (_with_targets(rows, targets).join(taken.hint("merge"), "row", "left")
             .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken")))
