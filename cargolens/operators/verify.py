@@ -162,7 +162,7 @@ def recompute_sites(points: DataFrame, sites: DataFrame, k: int, radii: tuple[fl
 
     ``stored`` is policy, radius_km, extra_loss_budget, k, centers and the plan measures.
     """
-    fresh = L.selected_plans(L.evaluate_sites(points, sites, k, radii))
+    fresh = L.selected_plans(cut_lineage(L.evaluate_sites(points, sites, k, radii)))
     keys = ["policy", "radius_km", "budget"]
 
     def keyed(df):

@@ -1,4 +1,4 @@
-"""Registered location queries: embedding points for distances, nations as candidate sites."""
+"""Registered location queries: embedding points everywhere, nations as candidate sites."""
 
 from pyspark.sql import functions as F
 
@@ -12,7 +12,6 @@ RADII = (8.0, 14.0, 22.0)
 SWEEP = (5.0, 18.0, 40.0)
 PLAN_RADII = (15.0, 25.0, 35.0)
 START = [(-8.0, -5.0), (6.0, 9.0), (1.0, -12.0)]
-STEPS = 4
 
 
 def _values(values):
@@ -52,9 +51,9 @@ SELECT a.site_id || '|' || b.site_id || '|' || c.site_id AS centers, a.site_id A
   a.x_km AS x0, a.y_km AS y0, b.x_km AS x1, b.y_km AS y1, c.x_km AS x2, c.y_km AS y2
 FROM lc_sites a JOIN lc_sites b ON a.site_id < b.site_id JOIN lc_sites c ON b.site_id < c.site_id""")
 view("lc_plan_near", """
-SELECT centers, site_id AS point_id, demand, least((p.x_km - x0) * (p.x_km - x0) + (p.y_km - y0) * (p.y_km - y0),
+SELECT centers, point_id, demand, least((p.x_km - x0) * (p.x_km - x0) + (p.y_km - y0) * (p.y_km - y0),
   (p.x_km - x1) * (p.x_km - x1) + (p.y_km - y1) * (p.y_km - y1),
-  (p.x_km - x2) * (p.x_km - x2) + (p.y_km - y2) * (p.y_km - y2)) AS d2 FROM lc_plans CROSS JOIN lc_sites p""")
+  (p.x_km - x2) * (p.x_km - x2) + (p.y_km - y2) * (p.y_km - y2)) AS d2 FROM lc_plans CROSS JOIN lc_points p""")
 view("lc_evaluated", f"""
 SELECT radius_km, 3 AS k, centers, avg(CASE WHEN sqrt(d2) <= radius_km + 1e-9 THEN 1.0 ELSE 0.0 END) AS city_coverage,
   sum(CASE WHEN sqrt(d2) <= radius_km + 1e-9 THEN demand ELSE 0 END) / sum(demand) AS demand_coverage,
@@ -110,8 +109,7 @@ def sites(spark, folder):
 
 
 def plans(spark, folder):
-    s = cut_lineage(sites(spark, folder))
-    return cut_lineage(L.evaluate_sites(s, s, 3, PLAN_RADII))
+    return cut_lineage(L.evaluate_sites(points(spark, folder), sites(spark, folder), 3, PLAN_RADII))
 
 
 def near(spark, folder):
@@ -119,20 +117,11 @@ def near(spark, folder):
 
 
 def _covered(spark, folder):
-    s = sites(spark, folder)
-    return L.covered_points(s.withColumnRenamed("site_id", "point_id"), L.selected_plans(plans(spark, folder)), s)
-
-
-def _region_centers(spark, folder):
-    """Continuous centres: the demand-weighted centroids of three runs of the five zones."""
-    w = F.col("demand")
-    return (sites(spark, folder).groupBy(F.floor(F.col("zone") * 3 / 5).cast("int").alias("cluster"))
-            .agg(*[(F.sum(w * F.col(c)) / F.sum(w)).alias(c) for c in ("x_km", "y_km")])
-            .withColumn("k", F.lit(3)))
+    return L.covered_points(points(spark, folder), cut_lineage(L.selected_plans(plans(spark, folder))), sites(spark, folder))
 
 
 def _line(spark, folder):
-    return sites(spark, folder).withColumn("y_km", F.lit(0.0))
+    return points(spark, folder).withColumn("y_km", F.lit(0.0)).withColumn("zone", F.col("label"))
 
 
 _COVER = "k:i radius_km:f city_coverage:f demand_coverage:f weighted_distance_km:f"
@@ -141,20 +130,34 @@ _PLAN = ("radius_km:f k:i centers:s city_coverage:f demand_coverage:f weighted_d
 register("weighted_kmeans", "k:i cluster:i x_km:f y_km:f cost:f",
          lambda s, d: L.weighted_kmeans(points(s, d), KS))
 
-for _step in range(1, STEPS + 1):
-    view(f"lc_c{_step}", "SELECT CAST(c AS INTEGER) AS cluster, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM (VALUES "
-         + ", ".join(f"({i}, {x}, {y})" for i, (x, y) in enumerate(START)) + ") v(c, x, y)" if _step == 1 else f"""
-    SELECT cluster, coalesce(new_x, x) AS x, coalesce(new_y, y) AS y FROM lc_s{_step - 1}""")
-    view(f"lc_s{_step}", f"""
-    SELECT c.cluster, c.x, c.y, m.members, m.new_x, m.new_y FROM lc_c{_step} c LEFT JOIN (
-      SELECT cluster, count(*) AS members, sum(demand * x_km) / sum(demand) AS new_x, sum(demand * y_km) / sum(demand) AS new_y
-      FROM (SELECT point_id, x_km, y_km, demand, first(cluster ORDER BY (x_km - x) * (x_km - x) + (y_km - y) * (y_km - y), cluster) AS cluster
-            FROM lc_points CROSS JOIN lc_c{_step} GROUP BY ALL) GROUP BY cluster) m ON c.cluster = m.cluster""")
+def _trace_sql():
+    """Steps as lists of old and new centres with the labels of all points, until the labels repeat."""
+    def d(i):
+        return f"((x_km - nx[{i}]) * (x_km - nx[{i}]) + (y_km - ny[{i}]) * (y_km - ny[{i}]))"
+
+    def mean(c, old):
+        return "[" + ", ".join(f"coalesce(sum(demand * {c}) FILTER (label = {i}) / sum(demand) FILTER (label = {i}), {old}[{i + 1}])"
+                               for i in range(3)) + "]"
+    start = [str([float(v[i]) for v in START]) + "::DOUBLE[]" for i in range(2)]
+    return f"""
+WITH RECURSIVE t AS (
+  SELECT 0 AS step, {start[0]} AS ox, {start[1]} AS oy, {start[0]} AS nx, {start[1]} AS ny, [0, 0, 0]::BIGINT[] AS members,
+    []::INTEGER[] AS labels, FALSE AS done
+  UNION ALL
+  SELECT step + 1, nx, ny, fresh_x, fresh_y, counts, fresh, fresh = labels FROM (
+    SELECT step, nx, ny, labels, {mean("x_km", "nx")} AS fresh_x, {mean("y_km", "ny")} AS fresh_y,
+      [count(*) FILTER (label = 0), count(*) FILTER (label = 1), count(*) FILTER (label = 2)] AS counts,
+      list(label ORDER BY point_id) AS fresh
+    FROM (SELECT t.*, point_id, x_km, y_km, demand, CAST(CASE WHEN {d(1)} <= {d(2)} AND {d(1)} <= {d(3)} THEN 0
+            WHEN {d(2)} <= {d(3)} THEN 1 ELSE 2 END AS INTEGER) AS label
+          FROM t CROSS JOIN (SELECT point_id, x_km, y_km, demand FROM lc_points) p WHERE NOT done)
+    GROUP BY step, nx, ny, labels))
+SELECT step, i - 1 AS cluster, ox[i] AS old_x, oy[i] AS old_y, members[i] AS members, nx[i] AS new_x, ny[i] AS new_y, TRUE AS converged
+FROM t CROSS JOIN range(1, 4) r(i) WHERE step > 0"""
+
+
 register("lloyd_trace", "step:i cluster:i old_x:f old_y:f members:i new_x:f new_y:f converged:b",
-         lambda s, d: L.lloyd_trace(points(s, d), START, STEPS),
-         " UNION ALL ".join(f"SELECT {i} AS step, cluster, x AS old_x, y AS old_y, coalesce(members, 0) AS members, "
-                            f"coalesce(new_x, x) AS new_x, coalesce(new_y, y) AS new_y, FALSE AS converged FROM lc_s{i}"
-                            for i in range(1, STEPS + 1)))
+         lambda s, d: L.lloyd_trace(points(s, d), START), _trace_sql())
 register("nearest_center", "k:i point_id:i cluster:i distance_km:f", near, "lc_near")
 register("coverage", _COVER, lambda s, d: L.coverage(near(s, d), RADII), "lc_coverage")
 register("weighted_distance", "k:i weighted_distance_km:f weighted_squared_loss:f",
@@ -172,7 +175,7 @@ register("select_site_max_city", "policy:s " + _PLAN, lambda s, d: L.select_site
 register("select_site_max_demand", "policy:s " + _PLAN, lambda s, d: L.select_site_max_demand(plans(s, d)), "lc_max_demand")
 register("select_site_budget", "policy:s extra_loss_budget:f " + _PLAN,
          lambda s, d: L.select_site_budget(plans(s, d)), "lc_budget")
-register("covered_points", "policy:s radius_km:f extra_loss_budget:f point_id:s", _covered, """
+register("covered_points", "policy:s radius_km:f extra_loss_budget:f point_id:i", _covered, """
 SELECT policy, radius_km, extra_loss_budget, n.point_id FROM lc_selected s JOIN lc_plan_near n ON s.centers = n.centers
 AND sqrt(n.d2) <= s.radius_km + 1e-9""")
 register("policy_delta", "radius_km:f k:i pareto_plans:i squared_loss_increase_pct:f city_coverage_gain_points:f "
@@ -184,9 +187,8 @@ SELECT a.radius_km, a.k, (SELECT count(*) FROM lc_pareto p WHERE p.radius_km = a
   a.weighted_distance_km - b.weighted_distance_km AS weighted_distance_reduction_km
 FROM lc_min_loss a JOIN lc_max_demand b ON a.radius_km = b.radius_km""")
 register("snap_centers", "k:i cluster:i site_id:s squared_distance:f",
-         lambda s, d: L.snap_centers(_region_centers(s, d), sites(s, d), 3), """
-WITH c AS (SELECT zone * 3 // 5 AS cluster, sum(demand * x_km) / sum(demand) AS x, sum(demand * y_km) / sum(demand) AS y
-  FROM lc_sites GROUP BY 1),
+         lambda s, d: L.snap_centers(centers(s, d), sites(s, d), 3), """
+WITH c AS (SELECT cluster, x_km AS x, y_km AS y FROM lc_centers WHERE k = 3),
 o AS (SELECT cluster, site_id, (x - x_km) * (x - x_km) + (y - y_km) * (y - y_km) AS d FROM c CROSS JOIN lc_sites),
 t AS (SELECT a.site_id AS s0, b.site_id AS s1, e.site_id AS s2, a.d AS d0, b.d AS d1, e.d AS d2
   FROM o a JOIN o b ON a.cluster = 0 AND b.cluster = 1 AND a.site_id <> b.site_id
@@ -195,8 +197,8 @@ t AS (SELECT a.site_id AS s0, b.site_id AS s1, e.site_id AS s2, a.d AS d0, b.d A
 SELECT 3 AS k, v.cluster, v.site_id, v.squared_distance FROM t,
   LATERAL (VALUES (0, s0, d0), (1, s1, d1), (2, s2, d2)) v(cluster, site_id, squared_distance)""")
 view("lc_line", """
-SELECT zone, x_km AS x, demand AS w, row_number() OVER w AS i, sum(demand) OVER w AS sw, sum(demand * x_km) OVER w AS swx,
-  sum(demand * x_km * x_km) OVER w AS swxx FROM lc_sites WINDOW w AS (PARTITION BY zone ORDER BY x_km)""")
+SELECT zone, x, w, row_number() OVER w AS i, sum(w) OVER w AS sw, sum(w * x) OVER w AS swx, sum(w * x * x) OVER w AS swxx
+FROM (SELECT label AS zone, x_km AS x, sum(demand) AS w FROM lc_points GROUP BY label, x_km) WINDOW w AS (PARTITION BY zone ORDER BY x)""")
 view("lc_segment", """
 SELECT zone, i, j, sw, swx / sw AS c, swxx - swx * swx / sw AS loss FROM (
   SELECT a.zone, a.i, b.i AS j, b.sw - a.sw + a.w AS sw, b.swx - a.swx + a.w * a.x AS swx, b.swxx - a.swxx + a.w * a.x * a.x AS swxx
@@ -222,8 +224,8 @@ register("max_city_cover_alt_order", "policy:s " + _PLAN, lambda s, d: L.max_cit
 
 
 def _comparison(spark, folder):
-    line = _line(spark, folder)
-    return L.method_comparison(line, line.select("site_id", "x_km", "y_km"), (2, 3), 5.0)
+    flat = sites(spark, folder).select("site_id", "x_km", F.lit(0.0).alias("y_km"))
+    return L.method_comparison(_line(spark, folder).drop("zone"), flat, (2, 3), 5.0)
 
 
 register("method_comparison", "method:s k:i constraint:s radius_km:f city_coverage:f demand_coverage:f "

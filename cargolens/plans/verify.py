@@ -159,12 +159,12 @@ UNION ALL """ + diff_sql("vf_cover", "lc_coverage", ["k", "radius_km"],
 
 
 def _sites_check(s, d):
-    sites = cut_lineage(pl.sites(s, d))
-    stored = L.selected_plans(L.evaluate_sites(sites, sites, 3, pl.PLAN_RADII))
+    points, sites = cut_lineage(pl.points(s, d)), cut_lineage(pl.sites(s, d))
+    stored = L.selected_plans(cut_lineage(L.evaluate_sites(points, sites, 3, pl.PLAN_RADII)))
     wrong = F.col("policy") == "max_city_coverage"
     stored = stored.withColumn("centers", F.when(wrong, F.concat(
         F.substring_index("centers", "|", 2), F.lit("|N99"))).otherwise(F.col("centers")))
-    return V.recompute_sites(sites, sites, 3, pl.PLAN_RADII, stored)
+    return V.recompute_sites(points, sites, 3, pl.PLAN_RADII, stored)
 
 
 register("recompute_sites", DIFF, _sites_check, """
