@@ -1,18 +1,21 @@
 """Approximate nearest neighbours by a permutation index.
 
-A vector is represented by its ``NEAREST`` pivots in order of inner product with unit pivots. Each block of rows
-keeps an inverted file: for every pivot the rows that list it, with its position. A query reads the lists of its
+A vector is represented by its ``NEAREST`` pivots in order of inner product, directions taken from their common mean. Each
+block of rows keeps an inverted file: for every pivot the rows that list it, with its position. A query reads the lists of its
 own pivots and adds up how far the footrule distance falls below that of two disjoint lists, which is
 2 * (NEAREST - max(position in query, position in row)) for each pivot they share.
 
 Lists know directions only, nearness is the inner product. A line through the cosines of a sample of the block, with
-``ABOVE`` deviations added, turns the footrule distance into a high guess of the cosine; times the norm of the row it
-ranks the rows. Those of highest rank are reranked by the inner product of the original vectors. Where all norms are
-equal this is the order of the footrule distance.
+``ABOVE`` deviations added, turns the footrule distance into a high guess of the cosine; with the parts of row and query
+along the mean and the norm of the row, which are known exactly, it becomes a guess of the inner product and ranks the rows. Those of highest rank,
+with all that tie with the last of them, are reranked by the inner product of the original vectors.
 
-Pivots are a bounded sample: the first ``PIVOTS`` vectors that differ enough among the ``4 * PIVOTS`` rows
-of smallest id hash. Every row is indexed. A fixed share of each block is reranked, so recall does not fall as the
-table grows: 0.96 and more at 20 % on the test tables (random directions, the hard case), and not with the spread of norms.
+How many are reranked is measured in each block: up to ``TRIED`` of the queries are answered by brute force, and so many rows
+are taken that ``SURE`` of their true neighbours are among them, times ``MARGIN``. Where lists tell little this can be the
+whole block (an exact scan). So recall does not depend on how the vectors lie; the work does.
+
+Pivots are a bounded sample: ``PIVOTS`` of the ``4 * PIVOTS`` rows of smallest id hash, each farthest from those taken
+before. Every row is indexed, and every query is put to every block.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components, and rows without an id, take no
 part; rows that share an id count once, by their best score; equal distances and scores go to the smaller id;
@@ -21,25 +24,35 @@ vectors of a length no pivot has are compared exactly; no valid vector gives no
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .shared import spread
-from .topk import LISTS, best_of_row, block_count, by_length, finite, merge_lists
+from .topk import LISTS, block_count, by_length, finite, merge_lists
 
 PIVOTS, NEAREST = 256, 64
-#: Share of a block that is reranked, and the least number of rows.
-SHARE, LEAST = 0.20, 256
+#: Least number of rows of a block that are reranked.
+LEAST = 256
 BLOCK_ROWS = 32_768
-#: Cosine from which two pivots are too alike.
-ALIKE = 0.6
+#: Queries answered by brute force in each block, share of their neighbours that has to be reranked, and factor for the other queries.
+TRIED, SURE, MARGIN = 32, 0.99, 1.25
 #: Rows of a block whose cosines are computed for the guess, and deviations added to it.
 SAMPLE, ABOVE = 512, 2.0
 
 
-def choose_pivots(rows: DataFrame, pivots: int = PIVOTS) -> dict[int, np.ndarray]:
-    """Unit pivots for each vector length, from a bounded sample."""
+@dataclass
+class Frame:
+    """Pivots (unit vectors) around the mean of the unit vectors."""
+
+    mean: np.ndarray
+    pivots: np.ndarray
+
+
+def choose_pivots(rows: DataFrame, pivots: int = PIVOTS) -> dict[int, Frame]:
+    """Pivots for each vector length, from a bounded sample."""
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").select("_v").limit(4 * pivots).collect()
     found: dict[int, list[tuple[float, ...]]] = {}
     for row in sample:
@@ -47,18 +60,24 @@ def choose_pivots(rows: DataFrame, pivots: int = PIVOTS) -> dict[int, np.ndarray
     return {n: spread_out(np.array(list(dict.fromkeys(v)), dtype=np.float64), pivots) for n, v in found.items()}
 
 
-def spread_out(vectors: np.ndarray, pivots: int) -> np.ndarray:
-    """The first unit vectors of which none is near an earlier one: a hot direction gets one pivot, not many."""
-    unit = vectors / np.abs(vectors).max(axis=1, keepdims=True)
-    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-    taken: list[int] = []
-    apart = unit @ unit.T < ALIKE
-    free = np.ones(len(unit), dtype=bool)
-    for i in range(len(unit)):
-        if free[i] and len(taken) < pivots:
-            taken.append(i)
-            free &= apart[i]
-    return unit[taken]
+def spread_out(vectors: np.ndarray, pivots: int) -> Frame:
+    """Farthest first among the directions from the mean: a hot direction gets as many pivots as it has width."""
+    unit = unit_rows(vectors)
+    mean = unit.mean(axis=0)
+    away = unit - mean
+    length = np.linalg.norm(away, axis=1)
+    if not (length > 1e-12).any():  # one direction
+        return Frame(np.zeros_like(mean), unit[:1])
+    away = away[length > 1e-12] / length[length > 1e-12, None]
+    taken = [0]
+    near = away @ away[0]
+    while len(taken) < min(pivots, len(away)):
+        at = int(np.argmin(near))
+        if near[at] > 1 - 1e-12:
+            break
+        taken.append(at)
+        near = np.maximum(near, away @ away[at])
+    return Frame(mean, away[taken])
 
 
 def permutations(vectors: np.ndarray, pivots: np.ndarray, nearest: int) -> np.ndarray:
@@ -103,24 +122,58 @@ def cosine_line(closeness: np.ndarray, cosines: np.ndarray) -> tuple[float, floa
     return float(left.mean() + ABOVE * left.std()), b
 
 
+class Block:
+    """Inverted file of a block of rows and what it takes to guess inner products from it."""
+
+    def __init__(self, rows: np.ndarray, queries: np.ndarray, frame: Frame, nearest: int) -> None:
+        self.rows, self.queries = rows, queries
+        unit, asked = unit_rows(rows), unit_rows(queries)
+        away, towards = unit - frame.mean, asked - frame.mean
+        self.index = InvertedFile(permutations(away, frame.pivots, nearest), len(frame.pivots))
+        self.lists = permutations(towards, frame.pivots, nearest)
+        self.norm = np.linalg.norm(rows / np.abs(rows).max(), axis=1)
+        self.length, self.length_asked = (np.maximum(np.linalg.norm(v, axis=1), 1e-300) for v in (away, towards))
+        self.along, self.along_asked, square = unit @ frame.mean, asked @ frame.mean, float(frame.mean @ frame.mean)
+        self.along -= square
+        seen = np.arange(0, len(rows), -(-len(rows) // SAMPLE))
+        some = np.arange(0, len(queries), -(-len(queries) // SAMPLE))
+        self.line = cosine_line(np.array([self.index.closeness(self.lists[i])[seen] for i in some], dtype=float),
+                                (towards[some] / self.length_asked[some, None]) @ (away[seen] / self.length[seen, None]).T)
+
+    def guess(self, i: int) -> np.ndarray:
+        a, b = self.line
+        cosine = np.minimum(a + b * self.index.closeness(self.lists[i]), 1.0) if len(self.rows) else np.zeros(0)
+        # (away + mean) * (towards + mean), of which only the first product is guessed.
+        return (self.length * self.length_asked[i] * cosine + self.along + self.along_asked[i]) * self.norm
+
+    def rows_needed(self, own: np.ndarray, k: int) -> int:
+        """Rows to rerank so that SURE of the true neighbours of some queries are among them; ``own``: the query's own row or -1."""
+        places = []
+        for i in np.arange(0, len(self.queries), -(-len(self.queries) // TRIED)):
+            true = np.einsum("ij,j->i", self.rows, self.queries[i])
+            if own[i] >= 0:
+                true[own[i]] = -np.inf
+            best = np.argpartition(-true, min(k, len(true)) - 1)[:k]
+            guessed = self.guess(i)
+            places += [np.count_nonzero(guessed > guessed[j]) + 1 for j in best]
+        return int(MARGIN * np.sort(places)[int(np.ceil(SURE * len(places))) - 1])
+
+
 def search_block(q_ids: np.ndarray, queries: np.ndarray, c_ids: np.ndarray, rows: np.ndarray,
-                 pivots: np.ndarray | None, k: int, nearest: int, share: float, least: int
-                 ) -> list[tuple[int, np.ndarray, np.ndarray]]:
+                 frame: Frame | None, k: int, nearest: int, least: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """For every query its k best (ids, scores) of a block whose rows are in order of id."""
-    many = max(least, int(np.ceil(share * len(c_ids))))
-    index = lists = None
-    if pivots is not None and many < len(c_ids):
-        index = InvertedFile(permutations(rows, pivots, nearest), len(pivots))
-        lists = permutations(queries, pivots, nearest)
-        norms = np.linalg.norm(rows / np.abs(rows).max(), axis=1)
-        seen = np.arange(0, len(rows), -(-len(rows) // SAMPLE))
-        asked = np.arange(0, len(queries), -(-len(queries) // SAMPLE))
-        a, b = cosine_line(np.array([index.closeness(lists[i])[seen] for i in asked], dtype=float),
-                           unit_rows(queries[asked]) @ unit_rows(rows[seen]).T)
+    block, many = None, len(c_ids)
+    if frame is not None and least < len(c_ids) and len(q_ids):
+        block = Block(rows, queries, frame, nearest)
+        at = np.minimum(np.searchsorted(c_ids, q_ids), len(c_ids) - 1)
+        many = max(least, block.rows_needed(np.where(c_ids[at] == q_ids, at, -1), k))
     out = []
     for i, query in enumerate(queries):
-        near = (np.arange(len(c_ids)) if index is None
-                else np.sort(best_of_row((a + b * index.closeness(lists[i])) * norms, many)))
+        if many >= len(c_ids):
+            near = np.arange(len(c_ids))
+        else:
+            guessed = block.guess(i)
+            near = np.flatnonzero(guessed >= np.partition(guessed, len(guessed) - many)[len(guessed) - many])
         near = near[c_ids[near] != q_ids[i]]
         # Row by row, so that equal vectors get equal scores wherever they stand.
         scores = np.einsum("ij,j->i", rows[near], query)
@@ -133,7 +186,7 @@ def search_block(q_ids: np.ndarray, queries: np.ndarray, c_ids: np.ndarray, rows
 
 
 def nearest_neighbours(df: DataFrame, k: int = 20, every: int = 20, vector: str = "embedding", key: str = "vec_id",
-                       pivots: int = PIVOTS, nearest: int = NEAREST, share: float = SHARE, least: int = LEAST,
+                       pivots: int = PIVOTS, nearest: int = NEAREST, least: int = LEAST,
                        block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible by ``every``."""
     rows = (df.where(finite(vector) & F.exists(vector, lambda x: x != 0) & F.col(key).isNotNull())
@@ -155,7 +208,7 @@ def nearest_neighbours(df: DataFrame, k: int = 20, every: int = 20, vector: str
             mine, theirs = by_length(table, "_v", np.float64), by_length(queries, "_v", np.float64)
             for n in theirs:
                 if n in mine:
-                    found += search_block(*theirs[n], *mine[n], chosen.get(n), k, nearest, share, least)
+                    found += search_block(*theirs[n], *mine[n], chosen.get(n), k, nearest, least)
         sizes = [len(f[1]) for f in found]
         none = [np.zeros(0)]
         return pa.table({

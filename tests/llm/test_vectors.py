@@ -93,3 +93,36 @@ def test_inverted_file_counts_footrule():
 
     far = 2 * sum(range(1, 9))
     assert [far - 2 * c for c in index.closeness(query)] == [footrule(query, row) for row in lists]
+
+
+def lying(kind, n=16_000):
+    rng = np.random.default_rng(11)
+    noise = rng.normal(size=(n, 256 if kind == "wide" else 64))
+    if kind == "common mean":
+        noise = 1 + 0.6 * noise
+    if kind in ("40 clusters", "three tight clusters"):
+        many, width = (40, 0.5) if kind == "40 clusters" else (3, 0.05)
+        noise = rng.normal(size=(many, 64))[rng.integers(0, many, n)] + width * noise
+    return noise / np.linalg.norm(noise, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("kind", ["random", "40 clusters", "common mean", "three tight clusters", "wide"])
+def test_recall_does_not_depend_on_how_vectors_lie(kind):
+    x = lying(kind)
+    frame = P.spread_out(x[:1024], P.PIVOTS)
+    assert len(frame.pivots) == P.PIVOTS
+    ids, asked = np.arange(len(x)), np.arange(0, len(x), 200)
+    hit = 0
+    for q, found, scores in P.search_block(asked, x[asked], ids, x, frame, 20, P.NEAREST, P.LEAST):
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert np.allclose(scores, s[found])
+        hit += len(set(np.argsort(-s)[:20].tolist()) & set(found.tolist()))
+    assert hit / (20 * len(asked)) >= 0.95
+
+
+def test_ties_at_the_border_are_reranked():
+    x = np.repeat(np.eye(8), 400, axis=0)
+    frame = P.spread_out(x[::7], P.PIVOTS)
+    (_, found, scores), = P.search_block(np.array([9999]), x[:1], np.arange(len(x)), x, frame, 20, P.NEAREST, P.LEAST)
+    assert found.tolist() == list(range(20)) and (scores == 1).all()
