@@ -5,14 +5,18 @@ stop words and share of characters inside links, and from where it stands: menus
 notices, adverts, forms and reader comments (by tag, role, class or id) are out, and if the page marks its
 article, so is all that lies outside it. Blocks that are too short or too odd to decide are ambiguous, and so are
 blocks of links and copyright lines inside a marked article; pass two gives ambiguous blocks the label of the nearest
-decided neighbours of their region.
+decided neighbours of their region. Before the first and after the last decided block of a page without a marked article only
+headings and paragraphs follow a good neighbour, as menus and last lines often are bare.
 
 A class or id marks by its whole token, its first or its last part ('sidebar-left', 'site-footer'), not with a word
-such as 'has' or 'no' before it. <main> inside a wrapper marked by class or id is not out. Another article inside such
+such as 'has' or 'no' before it. Inside an article an id marks by its whole token only, and on a heading not at all, as
+ids there are made from titles. Inline elements are dropped if they are hidden or marked by class. A form is out, but not an
+article inside it, and not if the page has no decided paragraph outside forms (a form around the whole page). <main> inside a wrapper marked by class or id is not out. Another article inside such
 a wrapper (a layout or a teaser) is used if it has a decided paragraph and no article outside such wrappers has one.
 
 Defined cases: null html is empty; a page without main text gives an empty string; cut-off tags, comments and
-scripts end with the page; repeated pages give repeated rows; an empty table gives no rows.
+scripts end with the page; repeated pages give repeated rows; an empty table gives no rows; other columns are kept, whatever
+their names, but for text and n_chars. Work is in proportion to the length of the page.
 """
 
 from __future__ import annotations
@@ -51,7 +55,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose content is no text of the page; the first group hides markup too.
 RAW = frozenset("script style textarea title iframe noscript noembed noframes xmp".split())
 HIDDEN = frozenset("head button select svg math object template canvas audio video datalist".split())
-CHROME_TAGS = frozenset("nav footer aside form menu dialog".split())
+CHROME_TAGS = frozenset("nav footer aside menu dialog".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PARAGRAPHS = HEADINGS | frozenset("p blockquote pre li dd figcaption".split())
 CHROME_ROLES = frozenset("""navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar
 toolbar""".split())
 COMMENT_WORDS = frozenset("comment comments commentlist reply replies respond disqus discussion reactions".split())
@@ -82,6 +88,8 @@ class Block:
     linked: int  # characters inside links
     chrome: int
     region: int  # 0: outside any marked article
+    form: bool  # in a form, and not in an article inside it
+    tag: str
     label: str = ""
 
 
@@ -91,6 +99,7 @@ class _Open:
     chrome: int
     region: int
     hidden: bool
+    form: bool = False
 
 
 @dataclass
@@ -103,6 +112,16 @@ class _Reader:
     links: int = 0
     linked: int = 0
     regions: int = 0
+    counts: dict[str, int] = field(default_factory=dict)  # open elements by tag
+
+    def push(self, element: _Open) -> None:
+        self.open.append(element)
+        self.counts[element.tag] = self.counts.get(element.tag, 0) + 1
+
+    def pop(self) -> str:
+        tag = self.open.pop().tag
+        self.counts[tag] -= 1
+        return tag
 
     def state(self) -> _Open:
         return self.open[-1] if self.open else _Open("", CLEAR, 0, False)
@@ -121,23 +140,30 @@ class _Reader:
             text = " ".join("".join(self.pieces).split())
             if text:
                 now = self.state()
-                self.blocks.append(Block(text, self.linked, now.chrome, now.region))
+                self.blocks.append(Block(text, self.linked, now.chrome, now.region, now.form, now.tag))
             self.pieces = []
         self.linked = 0
 
     def start(self, tag: str, attributes: str, closed: bool) -> None:
         if tag in BLOCKS:
             self.cut()
+            while self.open and self.open[-1].tag not in BLOCKS and self.open[-1].tag not in HIDDEN:
+                self.pop()  # inline elements end with their block
             if self.open and self.open[-1].tag == "p":
-                self.open.pop()
+                self.pop()
         if tag == "br":
             self.pieces.append(" ")
         elif tag == "a":
             self.links = 1
-        if tag in VOID or closed or tag not in BLOCKS and tag not in HIDDEN:
+        if tag in VOID or closed:
             return
         above = self.state()
-        words, hidden = _marks(attributes) if attributes.strip() else (set(), False)
+        if tag not in BLOCKS and tag not in HIDDEN:
+            out = bool(attributes.strip()) and self.inline_out(attributes)
+            if out or self.counts.get(tag):  # those inside a marked one of the same tag are counted, to find its end
+                self.push(_Open(tag, above.chrome, above.region, above.hidden or out, above.form))
+            return
+        words, hidden = _marks(attributes, not above.region, tag in HEADINGS) if attributes.strip() else (set(), False)
         region = above.region
         chrome = above.chrome
         article = tag in ("article", "main") or bool(words & REGION_WORDS)
@@ -154,34 +180,39 @@ class _Reader:
                 chrome = CHROME
             elif words & CHROME_WORDS and not article:
                 chrome = max(chrome, NAMED)
-        self.open.append(_Open(tag, chrome, region, above.hidden or tag in HIDDEN))
+        self.push(_Open(tag, chrome, region, above.hidden or tag in HIDDEN, (above.form or tag == "form") and not article))
+
+    def inline_out(self, attributes: str) -> bool:
+        words, hidden = _marks(attributes, False, True)
+        return hidden or bool(words & CHROME_WORDS)
 
     def end(self, tag: str) -> None:
         if tag == "a":
             self.links = 0
-        if tag not in BLOCKS and tag not in HIDDEN:
-            return
         if tag in BLOCKS:
             self.cut()
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
-                break
+        if self.counts.get(tag):
+            while self.pop() != tag:
+                pass
 
 
 #: Stands for a role of CHROME_ROLES.
 ROLE = "role="
 
 
-def _marks(attributes: str) -> tuple[set[str], bool]:
-    """Words of class, id, role and itemprop; whether the element is hidden."""
+def _marks(attributes: str, id_parts: bool, no_id: bool) -> tuple[set[str], bool]:
+    """Words of class, id, role and itemprop; whether the element is hidden. Ids count by parts, whole or not at all."""
     words: set[str] = set()
     hidden = False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id", "itemprop"):
+            if name == "id" and no_id:
+                continue
             for token in value.split():
                 words.add(token.lower())
+                if name == "id" and not id_parts:
+                    continue
                 parts = [p for p in _CAMEL.sub("-", token).lower().replace("_", "-").split("-") if p]
                 if parts and parts[0] not in LAYOUT_WORDS:
                     words.update((parts[0], parts[-1]), COMMENT_WORDS.intersection(parts))
@@ -240,36 +271,49 @@ def label(blocks: list[Block]) -> list[Block]:
         for b in blocks:
             if b.chrome == DOUBTFUL and sure == {DOUBTFUL}:
                 b.chrome = CLEAR
-    marked = any(b.region and not b.chrome for b in blocks)
-    for b in blocks:
-        stops, links = _stops(b), _links(b)
-        if b.chrome or marked and not b.region:
+    stops = [_stops(b) for b in blocks]
+    if any(b.form for b in blocks) and not any(
+            not b.form and not b.chrome and _links(b) <= LINKS and _decided(b, v) for b, v in zip(blocks, stops, strict=True)):
+        for b in blocks:
+            b.form = False
+    marked = any(b.region and not b.chrome and not b.form for b in blocks)
+    for b, v in zip(blocks, stops, strict=True):
+        links = _links(b)
+        if b.chrome or b.form or marked and not b.region:
             b.label = "out"
         elif links > LINKS or b.text.startswith("\N{COPYRIGHT SIGN}"):
             b.label = "ambiguous" if b.region else "bad"
-        elif _decided(b, stops):
+        elif _decided(b, v):
             b.label = "good"
-        elif not marked and len(b.text) >= LONG and not stops and links > 0:
+        elif not marked and len(b.text) >= LONG and not v and links > 0:
             b.label = "bad"
         else:
             b.label = "ambiguous"
     first = [b.label for b in blocks]
+    before, after = _nearest(blocks, first), _nearest(blocks[::-1], first[::-1])[::-1]
     for i, b in enumerate(blocks):
         if first[i] == "ambiguous":
-            near = []
-            for step in (-1, 1):
-                j = i + step
-                while 0 <= j < len(blocks) and blocks[j].region == b.region and first[j] in ("ambiguous", "out"):
-                    j += step
-                if 0 <= j < len(blocks) and blocks[j].region == b.region:
-                    near.append(first[j])
+            near = {v for v in (before[i], after[i]) if v}
+            bare = not marked and None in (before[i], after[i]) and b.tag not in PARAGRAPHS
             # Neighbours that disagree or are missing leave the block to its region.
-            b.label = "bad" if near and set(near) == {"bad"} and not b.region else "good"
+            b.label = "bad" if near and not b.region and (near == {"bad"} or bare) else "good"
         elif first[i] == "out":
             b.label = "bad"
     return blocks
 
 
+def _nearest(blocks: list[Block], labels: list[str]) -> list[str | None]:
+    """For each block the last decided label before it, without leaving its region."""
+    out, last, region = [], None, None
+    for b, known in zip(blocks, labels, strict=True):
+        if b.region != region:
+            last, region = None, b.region
+        out.append(last)
+        if known in ("good", "bad"):
+            last = known
+    return out
+
+
 def main_text(page: str | None) -> str:
     return "\n\n".join(b.text for b in label(blocks_of(page or "")) if b.label == "good")
 
@@ -277,8 +321,9 @@ def main_text(page: str | None) -> str:
 def extract_pages(df: DataFrame, html: str = "html") -> DataFrame:
     """The rows with ``text`` and ``n_chars`` in place of the html."""
     kept = [c for c in df.columns if c not in (html, "text", "n_chars")]
-    rows = df.select(*kept, F.col(html).cast("string").alias("_html"))
-    schema = rows.drop("_html").schema.add("text", "string").add("n_chars", "long")
+    kept_columns = df.select(*[F.col(f"`{c}`") for c in kept])
+    rows = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{html}`").cast("string").alias("text"))
+    schema = kept_columns.schema.add("text", "string").add("n_chars", "long")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

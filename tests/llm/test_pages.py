@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from cargolens.llm import pages as P
@@ -65,3 +67,43 @@ def test_rows(make):
     assert got.columns == ["page_id", "url", "text", "n_chars"]
     assert sorted((r.page_id, r.text, r.n_chars) for r in got.collect()) == [(1, "Hello you", 9)] * 2 + [(2, "", 0)]
     assert P.extract_pages(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("page", [
+    "<body><form id=aspnetForm><nav>Menu</nav><article><h1>Title</h1><p>{0}</p></article></form></body>",
+    "<body><form id=aspnetForm><h1>Title</h1><p>{0}</p></form></body>"])
+def test_a_form_around_the_page_does_not_hide_it(page):
+    assert P.main_text(page.format(LONG)) == f"Title\n\n{' '.join(LONG.split())}"
+
+
+def test_ids_made_from_titles_do_not_mark():
+    parts = ["<h2 id=related-work>Related work</h2>", f"<section id=social-impact><p>{LONG}</p></section>",
+             f"<section id='comments-on-the-bill'><h3 id=comments>Comments on the bill</h3><p>{LONG}</p></section>"]
+    page = f"<article><p>{LONG}</p>{''.join(parts)}<section id=comments><p>{LONG}</p></section></article>"
+    long_ = " ".join(LONG.split())
+    assert P.main_text(page).split("\n\n") == [long_, "Related work", long_, "Comments on the bill", long_]
+
+
+def test_marked_and_hidden_inline_elements_go():
+    page = (f"<article><p>One <span style='display: none'>no <span>no</span> no</span>two <a class=share href=x>Share</a>"
+            f"<span class=ad>buy</span>three <span>four</span> <em class=note>five</em></p><p>{LONG}<span hidden>never closed</p><p>Six</p></article>")
+    assert P.main_text(page).split("\n\n") == ["One two three four five", " ".join(LONG.split()), "Six"]
+
+
+def test_bare_blocks_at_both_ends_of_an_unmarked_page_go():
+    page = (f"<body><div>Home</div><div>Products</div><h1>Title</h1><p>{LONG}</p><div>Between</div><p>{LONG}</p><p>Last words</p>"
+            "<div>All rights reserved</div></body>")
+    long_ = " ".join(LONG.split())
+    assert P.main_text(page).split("\n\n") == ["Title", long_, "Between", long_, "Last words"]
+
+
+@pytest.mark.parametrize("part", ["<p>short {0}</p>", "<td>{0}", "<div>{0}", "</b></i></div>{0}", "<span class=ad>{0}"])
+def test_work_grows_with_the_page_alone(part):
+    start = time.process_time()
+    P.main_text("<body>" + "".join(part.format(i) for i in range(100_000)) + "</body>")
+    assert time.process_time() - start < 15
+
+
+def test_clashing_columns(make):
+    df = make([(1, "x", "<p>Hi</p>", "y")], "page_id int, _html string, html string, text string")
+    assert [tuple(r) for r in P.extract_pages(df).collect()] == [(1, "x", "Hi", 2)]
