@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .shared import cut_lineage, texts_of
 
-#: Words remembered by one task, about 200 bytes each.
-REMEMBERED = 800_000
+#: Words remembered by one task, about 200 bytes each, and bytes of a word that is remembered: longer ones seldom come again.
+REMEMBERED, LONGEST = 800_000, 48
 #: Weights of tokens, documents and attention cost in the score.
-WEIGHTS = (1.0, 0.0, 0.0)
+WEIGHTS = (1.0, 0.3, 0.3)
 
 
 class WordIds:
@@ -49,13 +49,15 @@ class WordIds:
             if len(self.known) > REMEMBERED:
                 self.known.clear()
             fresh = list({w for words in split for w in words}.difference(self.known))
+            long_: dict[bytes, bytes] = {}
             if fresh:
                 made = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in fresh],
                                                         add_special_tokens=False)
                 for w, e in zip(fresh, made, strict=True):
-                    self.known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+                    (self.known if len(w) <= LONGEST else long_)[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
             for words in split:
-                yield b"".join(map(self.known.__getitem__, words)) + b"\0\0\0\0"
+                ids = map(self.known.__getitem__, words) if not long_ else (self.known[w] if w in self.known else long_[w] for w in words)
+                yield b"".join(ids) + b"\0\0\0\0"
 
 
 @lru_cache(maxsize=2)

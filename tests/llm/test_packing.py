@@ -76,3 +76,39 @@ def test_ids_equal_the_library_and_pieces_fill_sequences_without_gaps(make):
     assert sum(map(len, whole.values())) == sum(r.length for r in got)
     assert all(whole[r.sequence_id][r.offset:r.offset + r.length] == r.ids for r in got)
     assert K.pack(K.token_pieces(df.limit(0), WORDS, 32), 32).count() == 0
+
+
+@pytest.mark.parametrize("limits", [(50, 50, 2500), (50, 4, 2500), (50, 50, 1200)])
+def test_bins_are_those_of_a_loop_over_pieces(limits):
+    """Best fit one piece at a time, longest first, by the least weighted norm of what would remain."""
+    rng = random.Random(3)
+    scale = np.sqrt(np.array(K.WEIGHTS)) / np.array(limits)
+    for _ in range(20):
+        counts = {rng.randrange(1, 34): rng.randrange(1, 40) for _ in range(rng.randrange(1, 12))}
+        rooms, held = [], []
+        for length in sorted(counts, reverse=True):
+            demand = np.array([length, 1, length * length])
+            for _ in range(counts[length]):
+                fits = [i for i, room in enumerate(rooms) if (room >= demand).all()]
+                if not fits:
+                    rooms.append(np.array(limits))
+                    held.append([])
+                    fits = [len(rooms) - 1]
+                at = min(fits, key=lambda i: (((rooms[i] - demand) * scale) ** 2).sum())
+                rooms[at] = rooms[at] - demand
+                held[at].append(length)
+        plan, bins = K.best_fit_plan(counts, *limits), {}
+        for length, rank, first, each in zip(plan.length, plan.rank, plan.first, plan.each):
+            end = min((r for n, r in zip(plan.length, plan.rank) if n == length and r > rank), default=counts[length])
+            for i in range(end - rank):
+                bins.setdefault(first + i // each, []).append(length)
+        assert sorted(sorted(v) for v in bins.values()) == sorted(sorted(v) for v in held)
+
+
+def test_long_words_are_not_remembered():
+    words = K.WordIds(WORDS)
+    texts = [b"short " + b"x" * 500, b"short " + b"x" * 500 + b" " + b"x" * 500]
+    tokenizer = Tokenizer.from_file(WORDS)
+    for data, text in zip(words.encode(texts), texts, strict=True):
+        assert np.frombuffer(data, "<u4").tolist() == tokenizer.encode(text.decode(), add_special_tokens=False).ids + [0]
+    assert set(words.known) == {b"short"}
