@@ -102,10 +102,10 @@ class InvertedFile:
 
     def closeness(self, listed: np.ndarray) -> np.ndarray:
         """Half the amount by which each row's footrule distance to a query is below the largest."""
-        total = np.zeros(self.rows, dtype=np.int32)
-        for i, pivot in enumerate(listed):  # a row stands in a pivot's list once
-            total[self.row[pivot]] += self.nearest - np.maximum(self.position[pivot], np.int32(i))
-        return total
+        rows, positions = [self.row[p] for p in listed], [self.position[p] for p in listed]
+        mine = np.repeat(np.arange(len(listed), dtype=np.int32), [len(r) for r in rows])
+        gain = self.nearest - np.maximum(np.concatenate(positions), mine)
+        return np.bincount(np.concatenate(rows), gain, minlength=self.rows)
 
 
 def unit_rows(vectors: np.ndarray) -> np.ndarray:
