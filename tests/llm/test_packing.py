@@ -112,3 +112,14 @@ def test_long_words_are_not_remembered():
     for data, text in zip(words.encode(texts), texts, strict=True):
         assert np.frombuffer(data, "<u4").tolist() == tokenizer.encode(text.decode(), add_special_tokens=False).ids + [0]
     assert set(words.known) == {b"short"}
+
+
+def test_words_encoded_together_have_their_own_ids():
+    rng = random.Random(8)
+    odd = ["<|endoftext|>", "<|ENDOFTEXT|>", "\u0301a", "e\u0301", "\u1100\u1161", "\u00a0x", "a\u2003b", "\x85", "\x1c", "\ufffd", "'s", "'S", "don't",
+           "\U0001f600", "\u0130", "\u00df", "1", "12", "a1'll", "<|x|>", "\u200d", "\ufb01", "\u2126", "K", "...", "\u0308", "\u093f"]
+    tokenizer, words = Tokenizer.from_file(WORDS), K.WordIds(WORDS)
+    for _ in range(200):
+        made = list({"".join(rng.choice(odd + list("abcXYZ09.,'<|>")) for _ in range(rng.randrange(1, 6))) for _ in range(30)})
+        got = words.of_words(made)
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [tokenizer.encode(w, add_special_tokens=False).ids for w in made]
