@@ -2,8 +2,9 @@
 
 Each measure of a plan (squared loss, distance, uncovered cities, uncovered demand) is a sum over points of the least
 cost among the plan's sites. For any price of each point, ``sum(prices) + sum of r(site)`` over the plan's sites is a
-lower bound of it, where ``r(site)`` sums ``min(0, cost - price)`` over the points. So one pass over the points bounds all
-plans at once, and partial plans are bounded by the least r of the sites that may follow.
+lower bound of it, where ``r(site)`` sums ``min(0, cost - price)`` over the points. What two sites both save at a point is
+counted twice by that; the sums of these overlaps over the edges of any tree on the plan's sites may be added back. So one
+pass over the points bounds all plans at once: the tree links each site to the earlier site it overlaps most.
 
 Prices come from a subgradient search on a grid of at most ``CELLS`` * ``CELLS`` cells, which bounds the driver's
 part whatever the number of points. Prices that are not the best make the bounds weaker, never wrong.
@@ -24,11 +25,11 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.scale import cut_lineage
 from ..sources.tables import ContractError
 
-MAX_SITES = 1000
-CELLS = 40
+MAX_SITES = 500
+CELLS = 64
 PAGE = 20_000
 #: Steps of the price search for one measure.
-STEPS = 400
+STEPS = 1000
 #: Decimals to which a measure is compared.
 DECIMALS = {"loss": 6, "distance": 9, "city": 12, "demand": 12}
 #: Share of a bound's terms by which it is lowered, since sums differ in the last bits with the partitioning.
@@ -139,40 +140,44 @@ def _prices(cost: np.ndarray, weight: np.ndarray, plan: np.ndarray, k: int) -> n
     """Prices of cells with a large bound, by subgradient steps towards the cost of the plan known."""
     price = cost[:, plan].min(axis=1)
     goal = weight @ price
-    best, kept, theta, idle = -np.inf, price.copy(), 1.0, 0
+    best, kept, theta, idle, way = -np.inf, price, 1.0, 0, np.zeros(len(price))
     for _ in range(STEPS):
         gain = weight @ np.minimum(0.0, cost - price[:, None])
         chosen = np.argpartition(gain, k - 1)[:k]
         bound = weight @ price + gain[chosen].sum()
+        idle += 1
         if bound > best:
-            best, kept, idle = bound, price.copy(), 0
-        else:
-            idle += 1
-            if idle == 15:
-                theta, idle, price = theta / 2, 0, kept.copy()
-                continue
-        slope = 1.0 - (cost[:, chosen] < price[:, None]).sum(axis=1)
-        size = weight @ slope ** 2
-        if size == 0 or goal - bound <= 1e-12 * abs(goal):
+            idle = idle if bound < best + 1e-6 * abs(goal) else 0
+            best, kept = bound, price
+        if idle >= 30:
+            theta, idle, price, way = theta / 2, 0, kept, np.zeros(len(price))
+            if theta < 1e-3:
+                break
+            continue
+        # Steps keep a part of their former direction, which damps zigzags between sites of equal worth.
+        way = 0.7 * way + 1.0 - (cost[:, chosen] < price[:, None]).sum(axis=1)
+        size = weight @ way ** 2
+        if size == 0 or goal - best <= 1e-12 * abs(goal):
             break
-        price = price + theta * (goal - bound) / size * slope
+        price = price + theta * max(goal - bound, 0.0) / size * way
     return kept
 
 
 # Passes over the points ------------------------------------------------------------------------
 
 def _site_sums(points: DataFrame, measures: Measures, grid: pd.DataFrame, frame: dict, cells: int,
-               prices: list[np.ndarray], plans: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, float]:
-    """For each measure: r of every site, sum of prices, sum under all sites; then number and weight of the points."""
+               prices: list[np.ndarray], plans: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """For each measure: r of every site, overlaps of site pairs, sum of prices, sum under all sites; number, weight."""
     n, m = len(measures.xy), len(measures.names)
     place = np.full((cells, cells), -1)
     place[grid["i"].to_numpy(int), grid["j"].to_numpy(int)] = np.arange(len(grid))
     margins = []
     for at, cost in enumerate(measures.costs(grid[["x", "y"]].to_numpy(float))):
         margins.append(prices[at] - cost[:, plans[at]].min(axis=1) if at < 2 else prices[at])
+    later = np.triu_indices(n, 1)
 
     def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((m, n + 2))
+        total, pairs = np.zeros((m, n + 2)), np.zeros((m, n, n))
         number = weight = 0.0
         for p, w in _batches(frames):
             at = [np.clip(np.floor((p[:, c] - frame[name][0]) / frame[name][1] * cells), 0, cells - 1).astype(int)
@@ -181,19 +186,30 @@ def _site_sums(points: DataFrame, measures: Measures, grid: pd.DataFrame, frame:
             number, weight = number + len(w), weight + w.sum()
             for i, (cost, by) in enumerate(zip(measures.costs(p), measures.weights(w))):
                 price = margins[i][cell] + (cost[:, plans[i]].min(axis=1) if i < 2 else 0.0)
-                total[i, :n] += by @ np.minimum(0.0, cost - price[:, None])
+                saved = by[:, None] * np.maximum(0.0, price[:, None] - cost)
+                total[i, :n] -= saved.sum(axis=0)
                 total[i, n] += by @ price
                 total[i, n + 1] += by @ cost.min(axis=1)
+                if i < 2:
+                    for site in range(n - 1):
+                        near = np.flatnonzero(saved[:, site])
+                        pairs[i, site, site + 1:] += np.minimum(saved[near, site, None], saved[near, site + 1:]).sum(axis=0)
+                else:  # sites that cover a point all save the same there
+                    pairs[i] += saved.T @ (saved > 0)
         if number:
             yield pd.DataFrame({"measure": np.append(np.repeat(np.arange(m), n + 2), [m, m]),
-                                "site": np.append(np.tile(np.arange(n + 2), m), [0, 1]),
+                                "site": np.append(np.tile(np.arange(n + 2), m), [0, 1]), "other": -1,
                                 "s": np.append(total.ravel(), [number, weight])})
+            for i in range(m):
+                yield pd.DataFrame({"measure": i, "site": later[0], "other": later[1], "s": pairs[i][later]})
 
-    found = (points.mapInPandas(sums, "measure int, site int, s double").groupBy("measure", "site")
+    found = (points.mapInPandas(sums, "measure int, site int, other int, s double").groupBy("measure", "site", "other")
              .agg(F.sum("s").alias("s")).toPandas())
-    table = np.zeros((m + 1, n + 2))
-    table[found["measure"], found["site"]] = found["s"]
-    return table[:m, :n], table[:m, n], table[:m, n + 1], table[m, 0], table[m, 1]
+    single, double = found[found["other"] < 0], found[found["other"] >= 0]
+    table, pairs = np.zeros((m + 1, n + 2)), np.zeros((m, n, n))
+    table[single["measure"], single["site"]] = single["s"]
+    pairs[double["measure"], double["site"], double["other"]] = double["s"]
+    return table[:m, :n], pairs + pairs.transpose(0, 2, 1), table[:m, n], table[:m, n + 1], table[m, 0], table[m, 1]
 
 
 def _plan_sums(points: DataFrame, measures: Measures, plans: np.ndarray) -> np.ndarray:
@@ -227,38 +243,66 @@ def _plan_sums(points: DataFrame, measures: Measures, plans: np.ndarray) -> np.n
 class Bounds:
     """Bounds of partial plans, from what one pass over the points told about each site."""
 
-    def __init__(self, measures: Measures, gains: np.ndarray, base: np.ndarray, every: np.ndarray,
+    def __init__(self, measures: Measures, gains: np.ndarray, pairs: np.ndarray, base: np.ndarray, every: np.ndarray,
                  number: float, weight: float, k: int):
-        self.measures, self.k, self.number, self.weight = measures, k, number, weight
+        self.measures, self.k = measures, k
         m, n = gains.shape
-        self.gains, self.base, self.every = gains, base, every
-        self.error = SLACK * (np.abs(base) + k * np.abs(gains).max(axis=1, initial=0.0))
-        # tail[:, i, r]: sum of the r least gains of the sites from i on
-        self.tail = np.full((m, n + 1, k + 1), np.inf)
-        self.tail[:, :, 0] = 0.0
-        for i in range(n):
-            least = np.sort(gains[:, i:], axis=1)[:, :k].cumsum(axis=1)
-            self.tail[:, i, 1:least.shape[1] + 1] = least
-
-    def of(self, plans: np.ndarray) -> np.ndarray:
-        """A row for each partial plan (sites ascending), a column for each measure."""
-        left = self.k - plans.shape[1]
-        bound = (self.base[:, None] - self.error[:, None] + self.gains[:, plans].sum(axis=2)
-                 + self.tail[:, plans[:, -1] + 1, left])
-        return self.measures.scaled(np.maximum(bound, self.every[:, None]).T, self.number, self.weight)
-
-    def keep(self, plans: np.ndarray, search: Search) -> tuple[np.ndarray, np.ndarray]:
-        """Which partial plans may hold a better plan, and how far their first measure is below the best known."""
-        bound = self.of(plans)
-        finite = np.isfinite(bound[:, 0])
-        rounded = self.measures.rounded(bound)
-        undecided, good = finite & (bound[:, 0] <= search.limit), np.zeros(len(plans), bool)
-        for at, m in enumerate(search.order):
-            good |= undecided & (rounded[:, m] < search.best[at])
-            undecided &= rounded[:, m] == search.best[at]
-        first = search.order[0]
+        self.by = measures.scaled(np.ones(m), number, weight)
+        self.gains, self.pairs, self.every = gains, pairs, every
+        self.base = base - SLACK * (np.abs(base) + k * np.abs(gains).max(axis=1, initial=0.0))
+        # A search for a measure goes through the sites by their gain in it, so that what follows is worse; the
+        # last order is that of ids. Plans are places in an order.
+        self.sites = np.vstack([np.argsort(gains, axis=1, kind="stable"), np.arange(n)])
+        self.places = np.argsort(self.sites, axis=1)
+        # tail[o, :, i, r]: sum of the r least gains of the sites from place i of order o on
+        self.tail = np.full((m + 1, m, n + 1, k + 1), np.inf)
+        self.tail[..., 0] = 0.0
+        for o, order in enumerate(self.sites):
+            for i in range(n):
+                least = np.sort(gains[:, order[i:]], axis=1)[:, :k].cumsum(axis=1)
+                self.tail[o, :, i, 1:least.shape[1] + 1] = least
+
+    def quick(self, places: np.ndarray, m: int, order: int) -> np.ndarray:
+        """Bound of a measure for partial plans without overlaps."""
+        bound = (self.base[m] + self.gains[m, self.sites[order][places]].sum(axis=1)
+                 + self.tail[order, m, places[:, -1] + 1, self.k - places.shape[1]])
+        return np.maximum(bound, self.every[m]) * self.by[m]
+
+    def close(self, places: np.ndarray, m: int, order: int) -> np.ndarray:
+        """The same with the overlaps of a tree; sites that may follow are linked to the plan as well."""
+        plans, size = self.sites[order][places], places.shape[1]
+        bound = self.base[m] + self.gains[m, plans].sum(axis=1)
+        for at in range(1, size):
+            bound += self.pairs[m, plans[:, :at], plans[:, at, None]].max(axis=1)
+        left = self.k - size
+        if left:
+            follow = self.pairs[m, plans[:, 0]]
+            for at in range(1, size):
+                follow = np.maximum(follow, self.pairs[m, plans[:, at]])
+            follow = np.where(self.places[order] > places[:, -1:], follow + self.gains[m], np.inf)
+            bound += np.partition(follow, left - 1, axis=1)[:, :left].sum(axis=1)
+        return np.maximum(bound, self.every[m]) * self.by[m]
+
+    def keep(self, plans: np.ndarray, search: Search, order: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the partial plans that may hold a better plan, and how far below the best known they may be."""
+        left, slack = np.arange(len(plans)), np.zeros(0)
         scale = abs(search.best[0]) or 1.0
-        return good | undecided, (bound[:, first] - search.best[0]) / scale
+        for rule in (self.quick, self.close):
+            bound = rule(plans[left], search.order[0], order)
+            good = np.isfinite(bound)
+            if np.isfinite(search.limit):
+                good &= rule(plans[left], 0, order) <= search.limit
+            undecided = good.copy()
+            good[:] = False
+            for at, m in enumerate(search.order):
+                value = np.round(bound if at == 0 else rule(plans[left], m, order), self.measures.decimals[m])
+                good |= undecided & (value < search.best[at])
+                undecided &= value == search.best[at]
+                if not undecided.any():
+                    break
+            good |= undecided
+            left, slack = left[good], ((bound - search.best[0]) / scale)[good]
+        return left, slack
 
 
 def _grow(spark, bounds: Bounds, searches: list[Search], n: int, k: int) -> DataFrame:
@@ -274,16 +318,18 @@ def _grow(spark, bounds: Bounds, searches: list[Search], n: int, k: int) -> Data
                         parent = np.repeat(np.arange(len(part)), counts)
                         within = np.arange(len(parent)) - np.repeat(counts.cumsum() - counts, counts)
                         child = np.column_stack([part[parent], part[parent, -1] + 1 + within]).astype(np.int32)
-                        if len(child):
-                            good, slack = bounds.keep(child, searches[number])
-                            yield pd.DataFrame({"search": number, "plan": list(child[good]),
-                                                "slack": slack[good]})
+                        order = searches[number].order[0]
+                        good, slack = bounds.keep(child, searches[number], order)
+                        if len(good):
+                            found = np.sort(bounds.sites[order][child[good]], axis=1) if last else child[good]
+                            yield pd.DataFrame({"search": number, "plan": pd.Series(list(found.astype(np.int32)), dtype=object),
+                                                "slack": slack})
         return extend
 
     schema = "search int, plan array<int>, slack double"
     first = np.arange(n, dtype=np.int32)[:, None]
-    start = [(s, [int(i[0])], 0.0) for s, search in enumerate(searches)
-             for i in first[bounds.keep(first, search)[0]]]
+    start = [(s, [int(bounds.sites[search.order[0]][i] if k == 1 else i)], 0.0) for s, search in enumerate(searches)
+             for i in bounds.keep(first, search, search.order[0])[0]]
     nodes = spark.createDataFrame(start, schema)
     for depth in range(2, k + 1):
         # Starts of the order have the most followers, so each round deals its nodes anew.
@@ -311,7 +357,7 @@ def _run(points: DataFrame, measures: Measures, bounds: Bounds, searches: list[S
          page: int) -> int:
     """Evaluate what the rounds leave, most promising first; returns the number of plans evaluated."""
     def value(plans: np.ndarray) -> np.ndarray:
-        return measures.scaled(_plan_sums(points, measures, plans), bounds.number, bounds.weight)
+        return _plan_sums(points, measures, plans) * bounds.by
 
     grown = _grow(points.sparkSession, bounds, searches, len(names), bounds.k)
     open_plans = cut_lineage(grown.groupBy("plan").agg(F.min("slack").alias("slack"),
@@ -328,8 +374,8 @@ def _run(points: DataFrame, measures: Measures, bounds: Bounds, searches: list[S
                     if len(frame):
                         plans, good = np.stack(frame["plan"].to_list()), np.zeros(len(frame), bool)
                         for number, search in enumerate(searches):
-                            mine = np.array([number in s for s in frame["searches"]])
-                            good |= mine & bounds.keep(plans, search)[0]
+                            mine = np.flatnonzero([number in s for s in frame["searches"]])
+                            good[mine[bounds.keep(plans[mine], search)[0]]] = True
                         yield frame[good]
 
             rest = rest.mapInPandas(still, open_plans.schema)
@@ -344,12 +390,12 @@ def _run(points: DataFrame, measures: Measures, bounds: Bounds, searches: list[S
 
 def best_plans(points: DataFrame, sites: DataFrame, k: int, radii: tuple[float, ...],
                budgets: tuple[float, ...] = (0.0, 0.002, 0.01), tolerance: float = 1e-9,
-               cells: int = CELLS, page: int = PAGE) -> DataFrame:
+               cells: int = CELLS, page: int = PAGE, policies: tuple[str, ...] = tuple(ORDERS)) -> DataFrame:
     """The plan of every policy, radius and budget, equal to that of the ``select_site_*`` functions on all plans.
 
     ``plans`` is the number of all plans, ``evaluated`` how many of them had to be evaluated for the policies of
     the row's stage (least loss first, since it limits the budgets). No points, or fewer than ``k`` sites: no rows. More than
-    ``MAX_SITES`` candidates: an error. Points must have no nulls. Reads the points once for each page and four times besides.
+    ``MAX_SITES`` candidates: an error. Only the ``policies`` named are searched. Points must have no nulls. Reads the points once for each page and four times besides.
     """
     if k < 1 or any(b < 0 for b in budgets):
         raise ValueError("k must be positive and no loss budget negative")
@@ -374,7 +420,7 @@ def best_plans(points: DataFrame, sites: DataFrame, k: int, radii: tuple[float,
         prices.append(_prices(cost, weight, starts[-1], k))
     bounds = Bounds(measures, *_site_sums(points, measures, grid, frame, cells, prices, starts), k)
     known = np.unique(np.stack(starts), axis=0)
-    values = measures.scaled(_plan_sums(points, measures, known), bounds.number, bounds.weight)
+    values = _plan_sums(points, measures, known) * bounds.by
 
     def search(policy: str, r: int, budget: float | None = None, limit: float = float("inf")) -> Search:
         return Search(policy, r, budget, [measures.column(m, r) for m in ORDERS[policy]], limit)
@@ -392,10 +438,12 @@ def best_plans(points: DataFrame, sites: DataFrame, k: int, radii: tuple[float,
     least = [search("min_squared_loss", r) for r in range(len(radii))]
     solve(least)
     known = np.unique(np.vstack([known, *[s.plan[None, :] for s in least]]), axis=0)
-    values = measures.scaled(_plan_sums(points, measures, known), bounds.number, bounds.weight)
+    values = _plan_sums(points, measures, known) * bounds.by
     others = [search(p, r) for p in ("max_city_coverage", "max_demand_coverage", "max_city_coverage_alt")
               for r in range(len(radii))]
     others += [search("budgeted_demand_coverage", r, float(b), float(s.values[0]) * (1 + b) + tolerance)
                for r, s in enumerate(least) for b in budgets]
-    solve(others)
-    return spark.createDataFrame(result, schema)
+    others = [s for s in others if s.policy in policies]
+    if others:
+        solve(others)
+    return spark.createDataFrame([r for r in result if r[0] in policies], schema)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scale import cut_lineage
 from ..operators import location as L
+from ..operators.best_plans import best_plans
 from ..sources import bindings as B
 from .registry import register, view
 
@@ -221,6 +222,11 @@ UNION ALL SELECT zone, 3, v.* FROM three,
 register("max_city_cover_alt_order", "policy:s " + _PLAN, lambda s, d: L.max_city_cover_alt_order(plans(s, d)),
          _first_sql("round(city_coverage, 12) DESC, round(demand_coverage, 12) DESC, round(weighted_distance_km, 9), centers",
                     "max_city_coverage_alt"))
+register("best_plans", "policy:s extra_loss_budget:f " + _PLAN,
+         lambda s, d: best_plans(points(s, d), sites(s, d), 3, PLAN_RADII),
+         f"SELECT {_PLAN_COLUMNS} FROM lc_selected UNION ALL SELECT {_PLAN_COLUMNS} FROM (" + _first_sql(
+             "round(city_coverage, 12) DESC, round(demand_coverage, 12) DESC, round(weighted_distance_km, 9), centers",
+             "max_city_coverage_alt") + ")")
 
 
 def _comparison(spark, folder):
