@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Iterator
+from urllib.parse import unquote
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 # Logical tables of the library and their fixed columns.
@@ -77,20 +82,41 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     text.write.mode("overwrite").option("header", True).option("lineSep", "\n").csv(path)
 
 
+#: Bytes of a file that a task holds while it hashes.
+BLOCK = 4 << 20
+
+
+def _hash_streams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        sizes, hashes = [], []
+        for uri in frame["uri"]:
+            system, place = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
+            digest, size = hashlib.sha256(), 0
+            with system.open_input_stream(place) as stream:
+                while block := stream.read(BLOCK):
+                    digest.update(block)
+                    size += len(block)
+            sizes.append(size)
+            hashes.append(digest.hexdigest())
+        yield pd.DataFrame({"path": frame["path"], "bytes": sizes, "sha256": hashes})
+
+
 def file_digest(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """SHA-256 and size of every file below ``path``, named by its path from there; hashed on the executors.
 
-    A file is hashed as one value, so one above 2 GB is an error.
+    Files come from the file index that Spark keeps on the driver for any read (a scan would leave out empty ones) and
+    are dealt to tasks; a task reads each of its files as a stream of ``BLOCK`` bytes, so a file may have any size.
+    The file systems are those that pyarrow opens (local, hdfs, s3, gs).
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     root = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "/", path).rstrip("/")
-    files = reader.load(path).withColumn("root", F.lit(root))
-    return files.select(
-        F.expr("substring(path, instr(path, root) + length(root) + 1)").alias("file"),
-        F.col("length").alias("bytes"),
-        F.sha2("content", 256).alias("sha256"))
+    uris = reader.load(path).inputFiles()
+    files = spark.createDataFrame([(u, unquote(u)) for u in uris], "uri string, path string")
+    hashed = (files.repartition(max(1, min(len(uris), 10_000)), "uri")
+              .mapInPandas(_hash_streams, "path string, bytes long, sha256 string").withColumn("root", F.lit(root)))
+    return hashed.select(F.expr("substring(path, instr(path, root) + length(root) + 1)").alias("file"), "bytes", "sha256")
 
 
 def manifest_diff(recorded: DataFrame, actual: DataFrame, groups: list[str] | None = None) -> DataFrame:

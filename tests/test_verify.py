@@ -1,5 +1,7 @@
 """Stored tables against recomputed ones, links, typed reads."""
 
+import hashlib
+
 import pytest
 
 from cargolens.operators import verify as V
@@ -50,6 +52,23 @@ def test_digests_are_named_by_the_path_from_the_root(spark, tmp_path):
     assert {r.status for r in S.manifest_diff(found, found).collect()} == {"same"}
 
 
+def test_digests_are_those_of_the_bytes(spark, tmp_path):
+    """Names with spaces and percent signs, an empty file, and one above 2 GB (sparse, so it takes no disk)."""
+    contents = {"a b%20c#.bin": b"\x00\xff" * 5, "empty.bin": b"", "block.bin": b"z" * S.BLOCK + b"y"}
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    zeros = hashlib.sha256()
+    with open(tmp_path / "large.bin", "wb") as large:
+        large.truncate((2 << 30) + 5)
+    for _ in range(1 << 11):
+        zeros.update(bytes(1 << 20))
+    zeros.update(bytes(5))
+    want = {name: hashlib.sha256(content).hexdigest() for name, content in contents.items()}
+    got = {r.file: r for r in S.file_digest(spark, str(tmp_path)).collect()}
+    assert {name: r.sha256 for name, r in got.items()} == {**want, "large.bin": zeros.hexdigest()}
+    assert got["large.bin"].bytes == (2 << 30) + 5 and got["empty.bin"].bytes == 0
+
+
 def test_evidence_must_exist_lead_to_a_number_and_name_its_kind(spark):
     documents = spark.createDataFrame([("a.json", '{"x": {"y.z": 1.5, "t": "word"}}'), ("b.json", "{}"), ("b.json", "{}")],
                                       "file string, content string")
