@@ -2,8 +2,8 @@
 
 * ``ordered_running`` – running sums inside groups of any size: range partitions are
   written to the checkpoint folder once, chunk totals give each chunk its offset.
-* ``exact_quantiles`` – interpolated quantiles from a coarse histogram followed by the
-  few buckets that hold the wanted ranks; nothing approximate in the result.
+* ``exact_quantiles`` – interpolated quantiles from a coarse histogram followed by the few buckets that
+  hold the wanted ranks, split again while they are large; nothing approximate in the result.
 """
 
 from __future__ import annotations
@@ -16,6 +16,9 @@ from .expressions import any_of, col
 
 #: Rows that one task orders in ``ordered_running`` and ``nearest_in_time``.
 ROWS_A_CHUNK = 2_000_000
+#: Unequal values that one task orders in ``exact_quantiles``, and the parts of a bucket that holds more.
+ROWS_A_BUCKET = 1_000_000
+PARTS = 4096
 
 
 def use_checkpoint_dir(spark: SparkSession) -> None:
@@ -88,13 +91,32 @@ def _log_bucket(v: Column) -> Column:
     return (F.signum(v) * steps).cast("bigint")
 
 
+def _part() -> Column:
+    """Monotone part, 0 to ``PARTS`` - 1, of ``_v`` between ``_low`` and ``_high``.
+
+    Split by sign first, then by logarithm while one end is more than twice the other, then linearly.
+    """
+    v, low, high = F.col("_v"), F.col("_low"), F.col("_high")
+
+    def share(a: Column, b: Column, c: Column) -> Column:
+        return F.floor((b - a) / (c - a) * (PARTS - 1))
+
+    return (F.when((low < 0) & (high >= 0) | (low <= 0) & (high > 0), F.signum(v) + 1)
+            .when((low > 0) & (high / 2 > low), share(F.ln(low), F.ln(v), F.ln(high)))
+            .when((high < 0) & (low / 2 < high), share(-F.ln(-low), -F.ln(-v), -F.ln(-high)))
+            .otherwise(share(low, v, high)).cast("bigint"))
+
+
 def exact_quantiles(df: DataFrame, groups: list[str], value: str | Column,
-                    fractions: dict[str, float]) -> DataFrame:
+                    fractions: dict[str, float], rows_a_bucket: int = ROWS_A_BUCKET) -> DataFrame:
     """Linear-interpolated quantiles for each group, exact at any size.
 
-    Pass 1 counts a monotone bucket code (combined map-side, at most some ten thousand codes
-    for each group); pass 2 reads only the buckets that contain the two neighbouring ranks of
-    each fraction. A null group is a group; null values are left out; a value that is not finite is an error.
+    Round 1 counts a monotone bucket code (combined map-side, at most some ten thousand codes for each group) and
+    keeps the buckets that contain the two neighbouring ranks of each fraction. While a kept bucket holds more than
+    ``rows_a_bucket`` rows of unequal value, it is split between its least and greatest value (``_part``) and counted
+    again: no task orders more than ``rows_a_bucket`` values. Each round tells the driver only whether another is
+    needed; a handful of rounds tells any two doubles apart. A null group is a group; null values are left out; a value that is not finite
+    is an error.
     """
     keys = list(groups) or ["_all"]
     rows = df if groups else df.withColumn("_all", F.lit(0))
@@ -102,23 +124,30 @@ def exact_quantiles(df: DataFrame, groups: list[str], value: str | Column,
                     F.raise_error(F.lit(f"quantiles of {value}: values must be finite"))).otherwise(F.col("_v"))
     rows = (rows.select(*keys, col(value).cast("double").alias("_v")).withColumn("_v", finite)
             .where(F.col("_v").isNotNull())
-            .withColumn("_b", _log_bucket(F.col("_v"))))
-    hist = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    upto = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    hist = (hist.withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys)))
-            .withColumn("_cum", F.sum("_c").over(upto))
-            .withColumn("_before", F.col("_cum") - F.col("_c")))
+            .select(*keys, "_v", F.lit(0).cast("bigint").alias("_first"), F.lit(None).cast("bigint").alias("_n"),
+                    _log_bucket(F.col("_v")).alias("_b")))
 
     def position(f: float) -> Column:
         return (F.col("_n") - 1) * F.lit(float(f))
 
     ranks = [g(position(f)) for f in fractions.values() for g in (F.floor, F.ceil)]
-    hit = any_of([(F.col("_before") <= r) & (r < F.col("_cum")) for r in ranks])
-    wanted = hist.where(hit).select(*keys, "_b", "_n", "_before")
-    inside = (null_safe_join(rows, wanted, [*keys, "_b"])
-              .groupBy(*keys, "_b", "_n", "_before", "_v").agg(F.count(F.lit(1)).alias("_c")))
-    run = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    inside = (inside.withColumn("_hi", F.col("_before") + F.sum("_c").over(run))
+    hit = any_of([(F.col("_next") <= r) & (r < F.col("_next") + F.col("_c")) for r in ranks])
+    before = Window.partitionBy(*keys, "_first").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    large = (F.col("_c") > rows_a_bucket) & (F.col("_low") < F.col("_high"))
+    while True:
+        hist = (rows.groupBy(*keys, "_first", "_n", "_b")
+                .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+                .withColumn("_n", F.coalesce("_n", F.sum("_c").over(Window.partitionBy(*keys))))
+                .withColumn("_next", F.col("_first") + F.coalesce(F.sum("_c").over(before), F.lit(0))))
+        wanted = cut_lineage(hist.where(hit))
+        rows = (null_safe_join(rows.drop("_n"), wanted, [*keys, "_first", "_b"])
+                .select(*keys, "_v", F.col("_next").alias("_first"), "_n",
+                        F.when(large, _part()).otherwise(0).alias("_b")))
+        if wanted.where(large).isEmpty():
+            break
+    inside = rows.groupBy(*keys, "_first", "_n", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    run = Window.partitionBy(*keys, "_first").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    inside = (inside.withColumn("_hi", F.col("_first") + F.sum("_c").over(run))
               .withColumn("_lo", F.col("_hi") - F.col("_c")))
 
     def at(rank: Column) -> Column:

@@ -7,17 +7,20 @@ Features are ``[period,] customer_id, orders, business_volume, recency_days``. L
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.expressions import all_close, band, melt, pairs
-from ..functions.scale import cut_lineage, exact_quantiles
+from ..functions.scale import cut_lineage, exact_quantiles, null_safe_join
 from .location import _nearest_literal, best_kmeans, best_of_runs
 
 FEATURES = ["orders", "business_volume", "recency_days"]
 SCORE_REASON = "groups outside 2..n-1"
+#: Part of the sizes involved by which a cluster's bound may be missed through rounding.
+SLACK = 1e-9
 #: Seed of the labels that other seeds are compared with.
 BASE_SEED = 42
 
@@ -96,39 +99,68 @@ def standardize(df: DataFrame, columns: list[str] = FEATURES, group: str = "peri
 
 
 def _block_sums(features: list[str], ids: list[str], own: int, other: int, tile: int) -> Callable:
-    """Distance sums between two blocks, by the cluster of the other side: one row for each row and cluster.
+    """Distance sums between two blocks, by the clusters of the other side that a row needs.
 
-    ``own`` and ``other`` are the positions of the two block numbers in the group key. Each pair of blocks meets
-    once, in tiles of at most ``tile`` squared distances: both directions come from the same distances.
+    ``own`` and ``other`` are the positions of the two block numbers in the group key. A row needs its own cluster
+    and each one whose mean is no farther than the row's ``_reach``. A pair of blocks meets once, cluster by cluster
+    of the right side: distances computed for rows on the left that need the cluster also serve the right side's rows;
+    what those still lack follows. At most ``tile`` squared distances are held at a time.
     """
     columns = [*ids, "w", "other", "distance"]
+    means = [f"_m_{f}" for f in features]
+
+    def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        squared = np.zeros((len(x), len(y)))
+        for f in range(x.shape[1]):
+            step = x[:, f, None] - y[None, :, f]
+            squared += step * step
+        return np.sqrt(squared)
+
+    def prepared(rows: pd.DataFrame) -> tuple:
+        rows = rows.sort_values("cluster", kind="stable").reset_index(drop=True)
+        clusters, start, codes = np.unique(rows["cluster"].to_numpy(), return_index=True, return_inverse=True)
+        weights = np.zeros((len(rows), len(clusters)))
+        weights[np.arange(len(rows)), codes] = rows["w"].to_numpy(float)
+        return rows, rows[features].to_numpy(float), clusters, [*start, len(rows)], codes, weights
+
+    def needs(rows: pd.DataFrame, x: np.ndarray, clusters: np.ndarray, centers: np.ndarray) -> np.ndarray:
+        reach = rows["_reach"].to_numpy(float)[:, None]
+        size = np.abs(x).sum(axis=1)[:, None] + np.abs(centers).sum(axis=1)[None, :]
+        far = distances(x, centers) > reach + SLACK * (reach + size)
+        return ~far | (rows["cluster"].to_numpy()[:, None] == clusters[None, :])
+
+    def add(x, y, w_x, w_y, to_x, to_y, at_x, at_y):
+        for i in range(0, len(at_x), tile):
+            for j in range(0, len(at_y), tile):
+                p, q = at_x[i:i + tile], at_y[j:j + tile]
+                distance = distances(x[p], y[q])
+                if to_x is not None:
+                    to_x[p] += distance @ w_y[q]
+                if to_y is not None:
+                    to_y[q] += distance.T @ w_x[p]
 
     def sums(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame(columns=columns)
-        sides = []
-        for rows in (left, right):
-            clusters, codes = np.unique(rows["cluster"].to_numpy(), return_inverse=True)
-            weights = np.zeros((len(rows), len(clusters)))
-            weights[np.arange(len(rows)), codes] = rows["w"].to_numpy(float)
-            sides.append((rows[features].to_numpy(float), clusters, weights))
-        (a, mine, w_a), (b, theirs, w_b) = sides
-        to_right, to_left = np.zeros((len(a), len(theirs))), np.zeros((len(b), len(mine)))
+        left, x, mine, first_x, code_x, w_x = prepared(left)
+        right, y, theirs, first_y, _, w_y = prepared(right)
         both = key[own] != key[other]
-        for i in range(0, len(a), tile):
-            for j in range(0, len(b), tile):
-                x, y = a[i:i + tile], b[j:j + tile]
-                squared = np.zeros((len(x), len(y)))
-                for f in range(len(features)):
-                    step = x[:, f, None] - y[None, :, f]
-                    squared += step * step
-                distance = np.sqrt(squared)
-                to_right[i:i + tile] += distance @ w_b[j:j + tile]
-                if both:
-                    to_left[j:j + tile] += distance.T @ w_a[i:i + tile]
-        out = [left[[*ids, "w"]].assign(other=c, distance=to_right[:, n]) for n, c in enumerate(theirs)]
-        if both:
-            out += [right[[*ids, "w"]].assign(other=c, distance=to_left[:, n]) for n, c in enumerate(mine)]
+        right_need = needs(left, x, theirs, right[means].to_numpy(float)[first_y[:-1]])
+        left_need = needs(right, y, mine, left[means].to_numpy(float)[first_x[:-1]])
+        to_right, to_left = np.zeros((len(x), len(theirs))), np.zeros((len(y), len(mine)))
+        for c in range(len(theirs)):
+            there = np.arange(first_y[c], first_y[c + 1])
+            asking = right_need[:, c]
+            add(x, y, w_x, w_y, to_right, to_left if both else None, np.flatnonzero(asking), there)
+            if both:
+                wanted = left_need[there].any(axis=0)
+                rest = np.flatnonzero(~asking & wanted[code_x])
+                lacking = there[left_need[there][:, np.unique(code_x[rest])].any(axis=1)]
+                add(x, y, w_x, w_y, None, to_left, rest, lacking)
+        out = []
+        for rows, need, clusters, total in ((left, right_need, theirs, to_right), (right, left_need, mine, to_left))[:1 + both]:
+            at, which = np.nonzero(need)
+            out.append(rows.loc[at, [*ids, "w"]].assign(other=clusters[which], distance=total[at, which]))
         return pd.concat(out, ignore_index=True)[columns]
     return sums
 
@@ -138,6 +170,33 @@ def merged_points(points: DataFrame, features: list[str], groups: list[str]) ->
     return cut_lineage(points.groupBy(*groups, *features, "cluster").agg(F.count(F.lit(1)).alias("w")))
 
 
+def with_reach(rows: DataFrame, features: list[str], groups: list[str], centers: int = 1000) -> DataFrame:
+    """Add each row's cluster mean ``_m_<feature>`` and ``_reach``, a bound from above on its b.
+
+    The mean distance to a cluster lies between the distance to its mean and that plus the cluster's mean radius, so
+    a cluster whose mean is farther than ``_reach`` cannot be the nearest. ``_reach`` is the least upper end over the
+    ``centers`` largest other clusters of the group (any of them gives a valid bound).
+    """
+    whole = [F.count(f) == F.count(F.lit(1)) for f in features]
+    means = rows.groupBy(*groups, "cluster").agg(F.sum("w").alias("_size"), *[
+        F.when(ok, F.sum(F.col(f) * F.col("w")) / F.sum("w")).alias(f"_m_{f}") for f, ok in zip(features, whole, strict=True)])
+    near = null_safe_join(rows, means, [*groups, "cluster"])
+
+    def length(pairs_: list[tuple[Column, Column]]) -> Column:
+        return F.sqrt(reduce(lambda a, b: a + b, [(p - q) * (p - q) for p, q in pairs_]))
+
+    own = length([(F.col(f), F.col(f"_m_{f}")) for f in features])
+    named = [F.col(f"_m_{f}") for f in features]
+    balls = near.groupBy(*groups, "cluster", "_size", *named).agg(
+        (F.sum(own * F.col("w")) / F.max("_size")).alias("_radius"))
+    by_size = Window.partitionBy(*groups).orderBy(F.desc("_size"), "cluster")
+    largest = (balls.withColumn("_no", F.row_number().over(by_size)).where(F.col("_no") <= centers)
+               .groupBy(*groups).agg(F.collect_list(F.struct("cluster", "_radius", *named)).alias("_balls")))
+    upper = F.transform("_balls", lambda c: F.when(
+        c["cluster"] != F.col("cluster"), length([(F.col(f), c[f"_m_{f}"]) for f in features]) + c["_radius"]))
+    return null_safe_join(near, largest, groups).withColumn("_reach", F.array_min(upper)).drop("_balls", "_size")
+
+
 def silhouette_values(rows: DataFrame, features: list[str], groups: list[str],
                       block: int = 2000) -> DataFrame:
     """Euclidean silhouette of each row of ``merged_points``.
@@ -145,7 +204,8 @@ def silhouette_values(rows: DataFrame, features: list[str], groups: list[str],
     Rows are hashed into blocks, as many as give every task of the session a pair of blocks: each row is copied
     about the root of the number of tasks, whatever the number of rows. A pair of blocks works in tiles of
     ``block`` rows and returns distance sums by cluster, so pairs of points are computed but never stored, and one
-    large cluster is spread over many tasks. The arithmetic is quadratic in the distinct rows, as the definition is.
+    large cluster is spread over many tasks. A row is summed with its own cluster and with those that can be its
+    nearest (``with_reach``); ``summed`` is the number of points of these. Exact: a cluster left out is farther.
     """
     ids = [*groups, *features, "cluster"]
     sizes = rows.groupBy(*groups, "cluster").agg(F.sum("w").alias("size"))
@@ -153,13 +213,13 @@ def silhouette_values(rows: DataFrame, features: list[str], groups: list[str],
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     most = int(np.ceil(np.sqrt(2 * tasks)))
     shape = rows.groupBy(*groups).agg(F.least(F.ceil(F.count(F.lit(1)) / 500), F.lit(most)).cast("int").alias("_blocks"))
-    rows = rows.join(shape, groups).withColumn(
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    rows = with_reach(rows, features, groups).join(shape, groups).withColumn(
         "_own", F.pmod(F.xxhash64(*features, "cluster"), F.col("_blocks")).cast("int"))
     targets = rows.withColumn("_s", F.explode(F.expr("sequence(_own, _blocks - 1)"))).withColumnRenamed("_own", "_t")
     sources = rows.withColumn("_t", F.explode(F.expr("sequence(0, _own)"))).withColumnRenamed("_own", "_s")
     sources = sources.select(*[F.col(c).alias(c) for c in sources.columns])
     keys = [*groups, "_t", "_s"]
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in ids), "w bigint", f"other {kinds['cluster']}", "distance double"])
     pair_sums = _block_sums(features, ids, len(groups), len(groups) + 1, block)
     partial = targets.groupBy(*keys).cogroup(sources.groupBy(*keys)).applyInPandas(pair_sums, schema)
@@ -171,7 +231,8 @@ def silhouette_values(rows: DataFrame, features: list[str], groups: list[str],
             .agg(F.max(F.when(own, F.col("other_size"))).alias("size"),
                  F.max(F.when(own, F.try_divide("distance", F.col("other_size") - 1))
                        ).alias("_raw_a"),
-                 F.min(F.when(~own, F.col("distance") / F.col("other_size"))).alias("b"))
+                 F.min(F.when(~own, F.col("distance") / F.col("other_size"))).alias("b"),
+                 F.sum("other_size").alias("summed"))
             .withColumn("a", F.when(F.col("size") > 1, F.col("_raw_a")))
             .withColumn("silhouette", F.when(F.col("size") == 1, 0.0)
                         .when(F.greatest("a", "b") == 0, 0.0)
@@ -180,14 +241,19 @@ def silhouette_values(rows: DataFrame, features: list[str], groups: list[str],
 
 
 def silhouette(points: DataFrame, features: list[str], groups: list[str], block: int = 2000) -> DataFrame:
-    """Mean silhouette of each labelling, or null with the reason."""
+    """Mean silhouette of each labelling, or null with the reason.
+
+    ``pruned_share`` is the part of all ordered pairs of points whose distance was not needed.
+    """
     rows = merged_points(points, features, groups)
     shape = (rows.groupBy(*groups, "cluster").agg(F.sum("w").alias("w")).groupBy(*groups)
              .agg(F.count(F.lit(1)).alias("actual_clusters"), F.sum("w").alias("n")))
     fit = (F.col("actual_clusters") >= 2) & (F.col("actual_clusters") < F.col("n"))
     scorable = rows.join(shape.where(fit).select(*groups), groups, "left_semi")
+    whole = F.sum("w").cast("double")
     means = silhouette_values(scorable, features, groups, block).groupBy(*groups).agg(
-        (F.sum(F.col("silhouette") * F.col("w")) / F.sum("w")).alias("silhouette"))
+        (F.sum(F.col("silhouette") * F.col("w")) / F.sum("w")).alias("silhouette"),
+        (1 - F.sum(F.col("summed").cast("double") * F.col("w")) / (whole * whole)).alias("pruned_share"))
     return shape.join(means, groups, "left").withColumn("reason", score_reason())
 
 
@@ -197,19 +263,26 @@ def score_reason(clusters: str = "actual_clusters", n: str = "n") -> Column:
     return F.when(bad, F.concat(F.col(clusters).cast("string"), F.lit(f" {SCORE_REASON}")))
 
 
-def tercile_limits(features: DataFrame, group: str = "period", value: str = "business_volume") -> Column:
-    """Scalar map: group -> (q1, q2), the exact thirds. One entry for each period."""
-    limits = exact_quantiles(features, [group], value, {"q1": 1 / 3, "q2": 2 / 3})
-    entries = F.collect_list(F.struct(F.col(group), F.struct("q1", "q2")))
-    return limits.agg(F.map_from_entries(entries)).scalar()
+def tercile_limits(features: DataFrame, group: str = "period", value: str = "business_volume") -> DataFrame:
+    """The exact thirds q1 and q2 of each group."""
+    return exact_quantiles(features, [group], value, {"q1": 1 / 3, "q2": 2 / 3}).select(group, "q1", "q2")
+
+
+def with_limits(features: DataFrame, limits: DataFrame, group: str, names: tuple[str, str],
+                reference: str | None = None) -> DataFrame:
+    """Add the limits of each row's group, or of the reference group, to every row; no row is lost."""
+    named = limits.select(group, F.col("q1").alias(names[0]), F.col("q2").alias(names[1]))
+    if reference is None:
+        return null_safe_join(features, named, [group], "left")
+    pair = named.where(F.col(group) == reference).select(F.struct(*names)).scalar()
+    return features.withColumn("_pair", pair).select("*", "_pair.*").drop("_pair")
 
 
 def volume_terciles(features: DataFrame, group: str = "period", value: str = "business_volume",
                     reference: str | None = None) -> DataFrame:
     """volume_rule 0, 1, 2 by the exact thirds of each group, or of the reference group."""
-    limits = features.withColumn("_limits", tercile_limits(features, group, value))
-    pair = F.col("_limits")[F.col(group) if reference is None else F.lit(reference)]
-    return limits.withColumn("volume_rule", band(value, pair["q1"], pair["q2"])).drop("_limits")
+    both = with_limits(features, tercile_limits(features, group, value), group, ("_q1", "_q2"), reference)
+    return both.withColumn("volume_rule", band(value, "_q1", "_q2")).drop("_q1", "_q2")
 
 
 def adjusted_rand(labels: DataFrame, a: str, b: str, groups: list[str]) -> DataFrame:
@@ -355,10 +428,10 @@ def refit_centers(features: DataFrame, period: str, reference: str, k: int = 3,
 def volume_bands(features: DataFrame, reference: str, group: str = "period",
                  value: str = "business_volume") -> DataFrame:
     """volume_fixed keeps the reference period's thresholds, volume_refit recomputes them."""
-    both = features.withColumn("_limits", tercile_limits(features, group, value))
-    own, first = F.col("_limits")[F.col(group)], F.col("_limits")[F.lit(reference)]
-    return (both.withColumn("volume_fixed", band(value, first["q1"], first["q2"]))
-            .withColumn("volume_refit", band(value, own["q1"], own["q2"])).drop("_limits"))
+    limits = cut_lineage(tercile_limits(features, group, value))
+    both = with_limits(with_limits(features, limits, group, ("_r1", "_r2")), limits, group, ("_f1", "_f2"), reference)
+    return (both.withColumn("volume_fixed", band(value, "_f1", "_f2"))
+            .withColumn("volume_refit", band(value, "_r1", "_r2")).drop("_f1", "_f2", "_r1", "_r2"))
 
 
 def assignment_long(wide: DataFrame, methods: list[str]) -> DataFrame:

@@ -87,3 +87,18 @@ def test_values_that_are_not_finite_are_refused_by_name(spark):
     df = spark.createDataFrame([(1.0,), (float("nan"),)], "v double")
     with pytest.raises(Exception, match="quantiles of v: values must be finite"):
         exact_quantiles(df, [], "v", {"m": 0.5}).collect()
+
+
+def test_a_bucket_of_many_unequal_values_is_split_until_small(spark):
+    """All values of a group in one bucket of the code, near zero and near one, with repeats; a part holds 50 rows at most."""
+    rng = np.random.default_rng(8)
+    values = {"one": 1 + rng.random(3000) * 1e-4, "tiny": np.concatenate([10.0 ** -rng.uniform(8, 300, 900), -10.0 ** -rng.uniform(8, 300, 900), np.zeros(300)]),
+              "equal": np.full(400, 2.5), None: np.concatenate([np.full(200, 1.0), 1 + rng.random(500) * 1e-9])}
+    rows = [(g, float(v)) for g, vs in values.items() for v in vs]
+    df = spark.createDataFrame(rows, "g string, v double")
+    fractions = {"a": 0.0, "b": 1 / 3, "c": 0.5, "d": 0.99, "e": 1.0}
+    got = exact_quantiles(df, ["g"], "v", fractions, rows_a_bucket=50).collect()
+    assert len(got) == 4
+    for r in got:
+        want = np.quantile(values[r["g"]], list(fractions.values()))
+        assert np.allclose([r[n] for n in fractions], want, rtol=1e-12, atol=0)

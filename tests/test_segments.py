@@ -41,6 +41,31 @@ def test_silhouette_hand_answers_reasons_and_blocks(spark):
     assert math.isclose(got["blocks"].silhouette, brute(x, c), rel_tol=1e-12)
 
 
+def test_pruned_silhouette_equals_all_pairs(spark):
+    """Ten clear clusters (most pairs pruned), overlapping ones, far offsets, text labels and repeated rows."""
+    rng = np.random.default_rng(5)
+    centers = rng.normal(0, 20, (10, 2))
+    at = rng.integers(0, 10, 900)
+    clear = centers[at] + rng.normal(0, 1, (900, 2))
+    mixed = rng.integers(0, 6, (300, 2)).astype(float)
+    groups = {"clear": (clear, at), "mixed": (mixed, rng.integers(0, 4, 300)), "far": (clear[:200] + 1e6, at[:200]),
+              "two": (mixed[:60], (mixed[:60, 0] > 2).astype(int)), "lonely": (mixed[:40], [0] * 20 + [1] * 19 + [2])}
+    rows = [(g, float(x), float(y), f"c{c}") for g, (xy, cs) in groups.items() for (x, y), c in zip(xy, cs, strict=True)]
+    df = spark.createDataFrame(rows, "g string, x double, y double, cluster string")
+    got = {r.g: r for r in G.silhouette(df, ["x", "y"], ["g"], block=50).collect()}
+    for g, (xy, cs) in groups.items():
+        cs = np.asarray(cs)
+        d = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(2))
+        scores = []
+        for i, c in enumerate(cs):
+            own = (cs == c).sum() - 1
+            b = min(d[i, cs == o].mean() for o in set(cs.tolist()) - {c})
+            a = d[i, cs == c].sum() / own if own else 0.0
+            scores.append((b - a) / max(a, b) if own and max(a, b) else 0.0)
+        assert math.isclose(got[g].silhouette, np.mean(scores), rel_tol=1e-9), g
+    assert got["clear"].pruned_share > 0.6 and got["two"].pruned_share == 0
+
+
 def test_adjusted_rand_hand_answers(spark):
     rows = ([("swap", a, b) for a, b in zip((0, 0, 1, 1), (7, 7, 9, 9))]
             + [("cross", a, b) for a, b in zip((0, 0, 1, 1), (0, 1, 0, 1))] + [("two", 0, 0), ("two", 0, 0), ("n1", 3, 4)])
@@ -123,3 +148,14 @@ def test_repeated_volume_rows_are_refused_and_later_customers_named(spark):
     assert {r.customer_id for r in G.period_features(ways, periods).collect()} == {1}
     assert [r.customer_id for r in G.left_out_customers(ways, periods).collect()] == [2]
     assert G.period_features(ways, periods, panel=False).count() == 3
+
+
+def test_thirds_of_many_groups_null_ones_and_the_reference(spark):
+    rows = [(f"p{g}", float(v + g)) for g in range(40) for v in range(1, 5)] + [(None, 1.0), (None, 9.0), ("p0", None)]
+    df = spark.createDataFrame(rows, "period string, business_volume double")
+    own = [(r.period, r.business_volume, r.volume_rule) for r in G.volume_terciles(df).collect()]
+    assert len(own) == len(rows)
+    assert {(v - int(p[1:]), rule) for p, v, rule in own if p and v} == {(1, 0), (2, 0), (3, 1), (4, 2)}
+    assert sorted((v, rule) for p, v, rule in own if p is None) == [(1.0, 0), (9.0, 2)]
+    fixed = {(r.period, r.business_volume): r.volume_rule for r in G.volume_terciles(df, reference="p0").collect()}
+    assert fixed["p0", 3.0] == 1 and fixed["p30", 31.0] == 2 and fixed[None, 1.0] == 0
