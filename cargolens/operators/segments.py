@@ -458,12 +458,18 @@ def drift_metrics(features: DataFrame, reference: str, k: int = 3,
 def labelled_drift(wide: DataFrame, z: list[str], reference: str, methods: list[str],
                    rule: str = "volume_refit") -> DataFrame:
     """The same measures for given label columns."""
-    keys = ["period", "method"]
     long = melt(wide.withColumn("rule", F.col(rule)), ["period", "customer_id", *z, "rule"], {m: m for m in methods},
                 "method", "cluster", "int")
+    return long_drift(long, z, reference).drop("k")
+
+
+def long_drift(long: DataFrame, z: list[str], reference: str) -> DataFrame:
+    """The measures and the number of clusters k of labels in rows: period, customer_id, method, cluster, rule and features."""
+    keys = ["period", "method"]
     start = long.where(F.col("period") == reference).select(
         "customer_id", "method", F.col("cluster").alias("first_cluster"))
-    scores = silhouette(long.select(*keys, *z, "cluster"), z, keys).select(*keys, "silhouette")
+    scores = silhouette(long.select(*keys, *z, "cluster"), z, keys).select(
+        *keys, F.col("actual_clusters").alias("k"), "silhouette")
     to_first = adjusted_rand(long.join(start, ["customer_id", "method"]), "first_cluster", "cluster", keys)
     to_rule = adjusted_rand(long, "rule", "cluster", keys)
     return (scores.join(to_first.select(*keys, F.col("ari").alias("ari_to_first_period")), keys)

@@ -10,7 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.expressions import is_close
+from ..functions.expressions import is_close, is_finite
 from ..functions.scale import cut_lineage
 from . import delivery as T, demand as D, location as L, segments as G, warehouse as W
 
@@ -21,7 +21,7 @@ def tolerant_diff(stored: DataFrame, fresh: DataFrame, keys: list[str], values:
 
     ``values`` are compared within an absolute 2e-6 or relative 1e-7, ``exact`` columns as text. A null key is a
     key. Repeated keys are reported on either side ('repeated', 'repeated_fresh'); their least and greatest values
-    are compared, so none hides behind another.
+    are compared, so none hides behind another. A null key is printed as ``null``.
     """
     exact = exact or []
 
@@ -51,7 +51,7 @@ def tolerant_diff(stored: DataFrame, fresh: DataFrame, keys: list[str], values:
     for c in exact:
         same = [F.col(f"_s{e}_{c}").cast("string").eqNullSafe(F.col(f"_f{e}_{c}").cast("string")) for e in "lh"]
         found.append(problem(both & ~(same[0] & same[1]), c, "differs"))
-    key = F.concat_ws("|", *[F.coalesce(F.col(k), F.col(f"_k_{k}")).cast("string") for k in keys])
+    key = F.concat_ws("|", *[F.coalesce(F.coalesce(F.col(k), F.col(f"_k_{k}")).cast("string"), F.lit("null")) for k in keys])
     return joined.select(F.lit(table).alias("table"), key.alias("key"), F.inline(F.array_compact(F.array(*found))))
 
 
@@ -149,6 +149,54 @@ def recompute_segments(features: DataFrame, stored_rules: DataFrame, stored_scor
                       ["ari"], table="agreement")])
 
 
+def recompute_drift(features: DataFrame, assignments: DataFrame, metrics: DataFrame, seeds: DataFrame,
+                    summary: DataFrame, reference: str, base: str = "kmeans_fixed",
+                    methods: tuple[str, ...] = ("kmeans_fixed", "kmeans_refit", "volume_fixed", "volume_refit"),
+                    columns: list[str] = G.FEATURES) -> DataFrame:
+    """Stored labels of several methods and seeds, and every measure published from them.
+
+    ``assignments`` is period, customer_id, method, cluster; ``metrics`` period, method, k, silhouette and the two
+    agreements; ``seeds`` seed, customer_id, cluster for the reference period; ``summary`` name, value. Each method
+    must label each customer of each period once and each seed each customer of the reference period. Both volume
+    rules are rebuilt from the features; silhouettes and agreements from the stored labels, one pass over all
+    methods and periods; ``summary`` holds the least agreement of a seed, the first silhouette and the agreement over
+    time of ``base``.
+    """
+    z = [f"z_{c}" for c in columns]
+    rules = ["volume_fixed", "volume_refit"]
+    table = cut_lineage(G.volume_bands(G.standardize(features, columns, reference=reference), reference))
+    everyone = table.select("period", "customer_id")
+    ruled = G.assignment_long(table, rules)
+    other = [m for m in methods if m not in rules]
+    grid = everyone.withColumn("method", F.explode(F.array(*[F.lit(m) for m in other])))
+    keys = ["period", "customer_id", "method"]
+    own = assignments.where(F.col("method") == "volume_refit").select("period", "customer_id", F.col("cluster").alias("rule"))
+    labelled = assignments.join(own, ["period", "customer_id"]).join(
+        table.select("period", "customer_id", *z), ["period", "customer_id"])
+    drift = cut_lineage(G.long_drift(cut_lineage(labelled), z, reference))
+    start = assignments.where((F.col("period") == reference) & (F.col("method") == base)).select(
+        "customer_id", F.col("cluster").alias("base"))
+    first = everyone.where(F.col("period") == reference).select("customer_id")
+    each_seed = first.withColumn("seed", F.explode(seeds.agg(F.collect_set("seed")).scalar()))  # a handful of seeds
+    agreed = G.adjusted_rand(seeds.join(start, "customer_id"), "base", "cluster", ["seed"])
+
+    def of_base(period: Column, value: str) -> DataFrame:
+        return drift.where(period & (F.col("method") == base)).agg(F.min(value).alias("value"))
+
+    at_first = F.col("period") == reference
+    rebuilt = reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("name"), "value") for name, df in (
+        ("single_initialization_minimum_ari", agreed.agg(F.min("ari").alias("value"))),
+        ("first_customer_silhouette", of_base(at_first, "silhouette")),
+        ("customer_fixed_model_time_ari", of_base(~at_first, "ari_to_first_period")))])
+    return all_differences([
+        tolerant_diff(assignments.where(F.col("method").isin(rules)), ruled, keys, ["cluster"], table="assignments"),
+        tolerant_diff(assignments.where(~F.col("method").isin(rules)), grid, keys, [], table="assignments"),
+        tolerant_diff(metrics, drift, ["period", "method"],
+                      ["k", "silhouette", "ari_to_first_period", "ari_to_volume_refit"], table="metrics"),
+        tolerant_diff(seeds, each_seed, ["seed", "customer_id"], [], table="seeds"),
+        tolerant_diff(summary, rebuilt, ["name"], ["value"], table="summary")])
+
+
 def recompute_slotting(demand: DataFrame, stored: DataFrame, site: str = "warehouse") -> DataFrame:
     """Policies and walking metres replayed from the demand."""
     fresh = W.slot_policy_operations(W.slot_policy(demand, site), demand, site)
@@ -205,6 +253,52 @@ def recompute_duration(predictions: DataFrame, metrics: DataFrame, diagnostics:
         tolerant_diff(overall, T.record_weighted_mae(rebuilt), ["method"], ["mae_minutes"], table="duration_overall")])
 
 
+def duration_tables_check(predictions: DataFrame, metrics: DataFrame, horizon: int,
+                          methods: tuple[str, ...] = T.DURATION_METHODS) -> DataFrame:
+    """Stored duration tables against what every such table must obey, one row for each breach.
+
+    Predictions: finite and not negative, an hour of 0 to 23, an accept date inside the window, each sample_index of a
+    window and method once. Metrics: the window's last day, equal training records of all methods, every method for
+    each window of either table.
+    """
+    none = F.lit(None).cast("double")
+
+    def breach(cond: Column, field: str, status: str, stored: Column = none, fresh: Column = none) -> Column:
+        return F.when(cond, F.struct(F.lit(field).alias("field"), F.lit(status).alias("status"),
+                                     stored.cast("double").alias("stored"), fresh.cast("double").alias("fresh")))
+
+    def told(df: DataFrame, table: str, keys: list[str], rules: list[Column]) -> DataFrame:
+        key = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys])
+        return df.select(F.lit(table).alias("table"), key.alias("key"), F.inline(F.array_compact(F.array(*rules))))
+
+    minutes = []
+    for field in ("actual_minutes", "prediction_minutes"):
+        good = F.coalesce(is_finite(field), F.lit(False))
+        minutes += [breach(~good, field, "not_finite"), breach(good & (F.col(field) < 0), field, "negative", F.col(field))]
+    last = F.date_add("window_start", horizon - 1)
+    inside = F.coalesce(F.col("accept_date").between(F.col("window_start"), last), F.lit(False))
+    hour = F.coalesce(F.col("accept_hour").between(0, 23), F.lit(False))
+    index = ["window_start", "method", "sample_index"]
+    repeated = predictions.groupBy(*index).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    windows = predictions.select("window_start").union(metrics.select("window_start")).distinct()
+    grid = windows.withColumn("method", F.explode(F.array(*[F.lit(m) for m in methods])))
+    lacking = [told(grid.join(df.select("window_start", "method"), ["window_start", "method"], "left_anti"), table,
+                    ["window_start", "method"], [breach(F.lit(True), "method", "missing_method")])
+               for df, table in ((predictions, "duration_predictions"), (metrics, "duration_metrics"))]
+    training = metrics.groupBy("window_start").agg(F.min("known_training_records").alias("least"),
+                                                   F.max("known_training_records").alias("most"))
+    return all_differences([
+        told(predictions, "duration_predictions", index, [
+            *minutes, breach(~hour, "accept_hour", "not_an_hour", F.col("accept_hour")),
+            breach(~inside, "accept_date", "outside_window")]),
+        told(repeated, "duration_predictions", index, [breach(F.lit(True), "sample_index", "repeated", F.col("copies"))]),
+        told(metrics, "duration_metrics", ["window_start", "method"], [
+            breach(~F.col("window_end").eqNullSafe(last), "window_end", "wrong_end")]),
+        told(training, "duration_metrics", ["window_start"], [
+            breach(F.col("least") != F.col("most"), "known_training_records", "unequal_training", F.col("least"),
+                   F.col("most"))]), *lacking])
+
+
 def claim_trace(claims: DataFrame, published: DataFrame, results: DataFrame) -> DataFrame:
     """One row for each problem of a claim: id, status.
 
@@ -230,6 +324,34 @@ def claim_trace(claims: DataFrame, published: DataFrame, results: DataFrame) ->
         F.when(cond, F.lit(name)) for name, cond in rules]))).alias("status"))
 
 
+#: Fixed form of a published link: one text in brackets and its target in parentheses.
+PUBLISHED_LINK = r"^\[[^\]]+\]\(([^\s()]+)\)$"
+
+
+def claim_links(claims: DataFrame, published: DataFrame, folder: str = "") -> DataFrame:
+    """Published links that do not lead to the claim's evidence file: id, status, target.
+
+    ``claims`` is id, file (a path from the root); ``published`` is id, link. A link is relative to ``folder``, the
+    folder of the report; '.' and '..' are resolved, a path above the root stays above it. Scheme, host, query,
+    fragment and a leading slash are refused. Claims without a published link are listed as ``claim_trace`` does.
+    """
+    def step(done: Column, part: Column) -> Column:
+        up = (part == "..") & (F.size(done) > 0) & (F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit("")) != "..")
+        return (F.when(part.isin("", "."), done).when(up, F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
+                .otherwise(F.concat(done, F.array(part))))
+
+    def resolved(path: Column) -> Column:
+        return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+
+    target = F.regexp_extract("link", PUBLISHED_LINK, 1)
+    joined = claims.select("id", "file").join(published.select("id", target.alias("target"), "link"), "id", "left")
+    plain = F.col("target").rlike("^[^/?#]") & ~F.col("target").rlike("^[A-Za-z][A-Za-z0-9+.-]*:|[?#]")
+    there = resolved(F.concat(F.lit(f"{folder}/"), "target"))
+    status = (F.when(F.col("link").isNull(), "not_published").when(F.col("target") == "", "not_a_link")
+              .when(~plain, "not_relative").when(~there.eqNullSafe(resolved(F.col("file"))), "leads_elsewhere"))
+    return joined.withColumn("status", status).where(F.col("status").isNotNull()).select("id", "status", "target")
+
+
 def claim_evidence(claims: DataFrame, documents: DataFrame) -> DataFrame:
     """One row for each problem of a claim's evidence: id, status.
 

@@ -18,7 +18,7 @@ DIFF = "table:s key:s field:s status:s stored:f fresh:f"
 def diff_sql(stored, fresh, keys, values, exact=(), table="result"):
     """The same comparison written as a full join."""
     on = " AND ".join(f"s.{k} IS NOT DISTINCT FROM f.{k}" for k in keys)
-    key = "concat_ws('|', " + ", ".join(f"CAST(coalesce(s.{k}, f.{k}) AS VARCHAR)" for k in keys) + ")"
+    key = "concat_ws('|', " + ", ".join(f"coalesce(CAST(coalesce(s.{k}, f.{k}) AS VARCHAR), 'null')" for k in keys) + ")"
     head = f"SELECT '{table}' AS \"table\", {key} AS key"
     join = f"FROM (SELECT *, 1 AS here FROM {stored}) s FULL JOIN (SELECT *, 1 AS here FROM {fresh}) f ON {on}"
     parts = [f"{head}, CAST(NULL AS VARCHAR) AS field, 'missing' AS status, CAST(NULL AS DOUBLE) AS stored, "
@@ -197,6 +197,79 @@ UNION ALL SELECT 'scores', period, 'silhouette', 'differs', silhouette + 0.01, s
 UNION ALL SELECT 'profiles', period || '|1', 'customer_count', 'differs', count(*) + 1, count(*)
 FROM vs_points WHERE cluster = 1 GROUP BY period""")
 
+METHODS = ("centers_fixed", "volume_fixed", "volume_refit")
+
+
+def _drift_tables(s, d):
+    """Right labels and their measures; some labels, one customer of a seed and a summary value are then made wrong."""
+    wide = cut_lineage(ps.with_rules(s, d))
+    right = G.assignment_long(wide, list(METHODS))
+    orders = wide.select("period", "customer_id", "orders")
+    stored = right.join(orders, ["period", "customer_id"])
+    swapped = (F.col("period") == "later") & (F.col("method") == "volume_fixed") & (F.col("orders") % 7 == 0)
+    stored = (stored.where(~((F.col("method") == "centers_fixed") & (F.col("orders") == 11)))
+              .withColumn("cluster", F.when(swapped, (F.col("cluster") + 1) % 3).otherwise(F.col("cluster"))).drop("orders"))
+    metrics = G.labelled_drift(wide, ps.Z, "first", list(METHODS)).withColumn("k", F.lit(3))
+    first = wide.where("period = 'first'")
+    seeds = first.select("customer_id", F.inline(F.array(
+        F.struct(F.lit(1).alias("seed"), ((F.col("centers_fixed") + 1) % 3).alias("cluster")),
+        F.struct(F.lit(2).alias("seed"), F.when(F.col("orders") % 5 == 0, 0).otherwise(F.col("centers_fixed")).alias("cluster")))),
+        "orders").where("NOT (seed = 2 AND orders = 9)").drop("orders")
+    summary = s.createDataFrame([("single_initialization_minimum_ari", 2.0), ("first_customer_silhouette", 2.0),
+                                 ("customer_fixed_model_time_ari", 2.0)], "name string, value double")
+    return wide.select("period", "customer_id", *G.FEATURES), cut_lineage(stored), metrics, cut_lineage(seeds), summary
+
+
+view("vt_long", """
+SELECT l.period, l.customer_id, l.method, CASE WHEN l.period = 'later' AND l.method = 'volume_fixed' AND orders % 7 = 0
+  THEN (l.cluster + 1) % 3 ELSE l.cluster END AS cluster
+FROM cs_long l JOIN cs_rule r ON r.period = l.period AND r.customer_id = l.customer_id
+WHERE NOT (l.method = 'centers_fixed' AND orders = 11)""")
+view("vt_points", "SELECT l.period || '|' || l.method AS pm, l.customer_id, l.cluster, "
+     + ", ".join(f"s.{z}" for z in ps.Z) + " FROM vt_long l JOIN cs_scaled_first s ON l.period = s.period AND l.customer_id = s.customer_id")
+view("vt_sil", ps.silhouette_sql("vt_points", ["pm"], "customer_id", ps.Z))
+view("vt_labels", """
+SELECT l.period || '|' || l.method AS pm, l.cluster, f.cluster AS first_cluster
+FROM vt_long l JOIN vt_long f ON f.period = 'first' AND f.method = l.method AND f.customer_id = l.customer_id""")
+view("vt_ruled", """
+SELECT l.period || '|' || l.method AS pm, l.cluster, r.cluster AS rule_cluster
+FROM vt_long l JOIN vt_long r ON r.period = l.period AND r.method = 'volume_refit' AND r.customer_id = l.customer_id""")
+view("vt_first", ps.ari_sql("vt_labels", "first_cluster", "cluster", ["pm"]))
+view("vt_rule", ps.ari_sql("vt_ruled", "rule_cluster", "cluster", ["pm"]))
+view("vt_fresh", """
+SELECT split_part(s.pm, '|', 1) AS period, split_part(s.pm, '|', 2) AS method, k, s.silhouette,
+  f.ari AS ari_to_first_period, r.ari AS ari_to_volume_refit
+FROM vt_sil s JOIN vt_first f ON s.pm = f.pm JOIN vt_rule r ON s.pm = r.pm
+JOIN (SELECT pm, count(DISTINCT cluster) AS k FROM vt_points GROUP BY pm) n ON n.pm = s.pm""")
+view("vt_stored", """
+SELECT split_part(s.pm, '|', 1) AS period, split_part(s.pm, '|', 2) AS method, 3 AS k, s.silhouette,
+  f.ari AS ari_to_first_period, r.ari AS ari_to_volume_refit
+FROM cs_drift_sil s JOIN cs_drift_first f ON s.pm = f.pm JOIN cs_drift_rule r ON s.pm = r.pm""")
+view("vt_all", "SELECT period, customer_id, v.method, CASE v.method WHEN 'volume_fixed' THEN volume_fixed WHEN 'volume_refit' THEN volume_refit END AS cluster "
+     "FROM cs_rule, LATERAL (VALUES ('centers_fixed'), ('volume_fixed'), ('volume_refit')) v(method)")
+view("vt_seeds", """
+SELECT v.seed, l.customer_id, l.cluster AS base, CASE v.seed WHEN 1 THEN (l.cluster + 1) % 3 ELSE CASE WHEN orders % 5 = 0 THEN 0 ELSE l.cluster END END AS cluster
+FROM cs_long l JOIN cs_rule r ON r.period = 'first' AND r.customer_id = l.customer_id, LATERAL (VALUES (1), (2)) v(seed)
+WHERE l.period = 'first' AND l.method = 'centers_fixed' AND NOT (v.seed = 2 AND orders = 9)""")
+view("vt_seed_ari", ps.ari_sql("(SELECT * FROM vt_seeds WHERE customer_id IN (SELECT customer_id FROM vt_long WHERE period = 'first' "
+                               "AND method = 'centers_fixed'))", "base", "cluster", ["seed"]))
+view("vt_wrong", "SELECT * FROM (VALUES ('single_initialization_minimum_ari', 2.0), ('first_customer_silhouette', 2.0), "
+     "('customer_fixed_model_time_ari', 2.0)) v(name, value)")
+view("vt_summary", """
+SELECT 'single_initialization_minimum_ari' AS name, min(ari) AS value FROM vt_seed_ari
+UNION ALL SELECT 'first_customer_silhouette', silhouette FROM vt_fresh WHERE period = 'first' AND method = 'centers_fixed'
+UNION ALL SELECT 'customer_fixed_model_time_ari', ari_to_first_period FROM vt_fresh WHERE period = 'later' AND method = 'centers_fixed'""")
+KEYS = ["period", "customer_id", "method"]
+register("recompute_drift", DIFF, lambda s, d: V.recompute_drift(*_drift_tables(s, d), "first", "centers_fixed", METHODS), " UNION ALL ".join([
+    diff_sql("(SELECT * FROM vt_long WHERE method <> 'centers_fixed')", "(SELECT * FROM vt_all WHERE method <> 'centers_fixed')",
+             KEYS, ["cluster"], table="assignments"),
+    diff_sql("(SELECT * FROM vt_long WHERE method = 'centers_fixed')", "(SELECT * FROM vt_all WHERE method = 'centers_fixed')",
+             KEYS, [], table="assignments"),
+    diff_sql("vt_stored", "vt_fresh", ["period", "method"], ["k", "silhouette", "ari_to_first_period", "ari_to_volume_refit"], table="metrics"),
+    diff_sql("vt_seeds", "(SELECT customer_id, v.seed FROM cs_rule, LATERAL (VALUES (1), (2)) v(seed) WHERE period = 'first')",
+             ["seed", "customer_id"], [], table="seeds"),
+    diff_sql("vt_wrong", "vt_summary", ["name"], ["value"], table="summary")]))
+
 # Delivery time -------------------------------------------------------------------------------
 
 
@@ -225,6 +298,40 @@ SELECT 'duration_metrics' AS "table", window_start || '|' || method AS key, 'mae
 UNION ALL SELECT DISTINCT 'duration_diagnostics', 'duration_band|up_to_360|' || method, NULL, 'missing',
   CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE) FROM dl_predictions WHERE actual_minutes <= 360""")
 
+
+
+def _duration_tables(s, d):
+    """A fault of each kind in the stored predictions and metrics."""
+    rows = cut_lineage(pt.predictions(s, d, numbered=True))
+    hour, day, index = F.col("accept_hour"), F.dayofmonth("accept_date"), F.col("sample_index")
+    by_hour = F.col("method") == "hour_median"
+    metrics = T.duration_metrics(rows).withColumn("window_end", F.date_add("window_start", pt.HORIZON - 1 + by_hour.cast("int")))
+    metrics = faulty(metrics, "known_training_records", by_hour, 1)
+    stored = (rows.withColumn("actual_minutes", F.when(hour == 3, float("nan")).otherwise(F.col("actual_minutes")))
+              .withColumn("prediction_minutes", F.when(hour == 4, -1.0).otherwise(F.col("prediction_minutes")))
+              .withColumn("accept_date", F.when(day == 9, F.date_sub("window_start", 1)).otherwise(F.col("accept_date")))
+              .withColumn("sample_index", F.when((index == 1) & by_hour, 0).otherwise(index))
+              .withColumn("accept_hour", F.when(hour == 6, 24).otherwise(hour)))
+    return V.duration_tables_check(stored, metrics.where(~((F.col("method") == "global_median") & (F.dayofmonth("window_start") > 20))), pt.HORIZON)
+
+
+view("vw_rows", """
+SELECT *, window_start || '|' || method || '|' || CASE WHEN sample_index = 1 AND method = 'hour_median' THEN 0 ELSE sample_index END AS key
+FROM dl_predictions""")
+register("duration_tables_check", DIFF, _duration_tables, f"""
+WITH m AS (SELECT * FROM dl_metrics WHERE NOT (method = 'global_median' AND day(window_start) > 20))
+SELECT 'duration_predictions' AS "table", key, 'actual_minutes' AS field, 'not_finite' AS status, CAST(NULL AS DOUBLE) AS stored,
+  CAST(NULL AS DOUBLE) AS fresh FROM vw_rows WHERE accept_hour = 3
+UNION ALL SELECT 'duration_predictions', key, 'prediction_minutes', 'negative', -1, NULL FROM vw_rows WHERE accept_hour = 4
+UNION ALL SELECT 'duration_predictions', key, 'accept_hour', 'not_an_hour', 24, NULL FROM vw_rows WHERE accept_hour = 6
+UNION ALL SELECT 'duration_predictions', key, 'accept_date', 'outside_window', NULL, NULL FROM vw_rows WHERE day(accept_date) = 9
+UNION ALL SELECT 'duration_predictions', key, 'sample_index', 'repeated', count(*), NULL FROM vw_rows GROUP BY key HAVING count(*) > 1
+UNION ALL SELECT 'duration_metrics', window_start || '|' || method, 'window_end', 'wrong_end', NULL, NULL FROM m WHERE method = 'hour_median'
+UNION ALL SELECT 'duration_metrics', CAST(window_start AS VARCHAR), 'known_training_records', 'unequal_training',
+  max(known_training_records), max(known_training_records) + 1 FROM m GROUP BY window_start HAVING count(*) > 1
+UNION ALL SELECT 'duration_metrics', window_start || '|' || method, 'method', 'missing_method', NULL, NULL FROM dl_metrics
+WHERE method = 'global_median' AND day(window_start) > 20""")
+
 # Claims and links ----------------------------------------------------------------------------
 
 
@@ -252,6 +359,30 @@ UNION ALL SELECT id, 'shown_differs' FROM r WHERE region = 'EUROPE'
 UNION ALL SELECT id, 'not_published' FROM r WHERE region = 'ASIA' AND sku = 'Brand#22'
 UNION ALL SELECT 'ASIA|unknown', 'unregistered' FROM r WHERE region = 'ASIA' AND sku = 'Brand#22'""")
 
+
+def _links(s, d):
+    """Each region and SKU total links its region's file from a report one folder below; some links are wrong."""
+    totals = D.regional_summary(B.demand(s, d)).select(F.concat_ws("|", "region", "sku").alias("id"), "region", "sku")
+    totals = cut_lineage(totals.withColumn("file", F.concat(F.lit("results/"), F.translate("region", " ", "_"), F.lit("/sum.json"))))
+    name = F.translate("region", " ", "_")
+    target = (F.when(F.col("sku") == "Brand#11", F.concat(F.lit("../"), name, F.lit("/sum.json")))
+              .when(F.col("sku") == "Brand#22", F.concat(F.lit("/results/"), name, F.lit("/sum.json")))
+              .when(F.col("sku") == "Brand#33", F.concat(name, F.lit("/sum.json#total")))
+              .otherwise(F.concat(F.lit("./x/../"), name, F.lit("/sum.json"))))
+    link = F.when(F.col("sku") == "Brand#44", "sum.json").otherwise(F.concat(F.lit("[sum]("), target, F.lit(")")))
+    published = totals.where("NOT (region = 'ASIA' AND sku = 'Brand#55')").select("id", link.alias("link"))
+    return V.claim_links(totals.select("id", "file"), published, "results")
+
+
+register("claim_links", "id:s status:s target:s", _links, """
+WITH r AS (SELECT DISTINCT region, sku, region || '|' || sku AS id, replace(region, ' ', '_') AS name FROM dm_demand)
+SELECT id, 'leads_elsewhere' AS status, '../' || name || '/sum.json' AS target FROM r WHERE sku = 'Brand#11'
+UNION ALL SELECT id, 'not_relative', '/results/' || name || '/sum.json' FROM r WHERE sku = 'Brand#22'
+UNION ALL SELECT id, 'not_relative', name || '/sum.json#total' FROM r WHERE sku = 'Brand#33'
+UNION ALL SELECT id, 'not_a_link', '' FROM r WHERE sku = 'Brand#44'
+UNION ALL SELECT id, 'not_published', NULL FROM r WHERE region = 'ASIA' AND sku = 'Brand#55'""")
+
+
 def _evidence(s, d):
     """Each region's totals are one JSON document; some claims name another file, key, number or no kind."""
     totals = cut_lineage(D.regional_summary(B.demand(s, d)))

@@ -4,7 +4,9 @@ import hashlib
 
 import pytest
 
-from cargolens.operators import verify as V
+from pyspark.sql import functions as F
+
+from cargolens.operators import delivery as T, segments as G, verify as V
 from cargolens.sources import tables as S
 
 
@@ -80,3 +82,81 @@ def test_evidence_must_exist_lead_to_a_number_and_name_its_kind(spark):
     got = sorted((r.id, r.status) for r in V.claim_evidence(claims, documents).collect())
     assert got == [("far", "keys_lead_nowhere"), ("lost", "file_missing"), ("off", "evidence_differs"), ("off", "kind_missing"),
                    ("text", "not_a_number"), ("twice", "file_repeated"), ("twice", "keys_lead_nowhere")]
+
+
+def test_each_breach_of_the_duration_tables_is_named(spark):
+    import datetime as dt
+    w = dt.date(2024, 3, 1)
+    rows = [(w, m, i, 9, w + dt.timedelta(days=i), 10.0, 12.0) for m in T.DURATION_METHODS for i in range(3)]
+    bad = [(w, "hour_median", 3, 24, w, 5.0, 5.0), (w, "hour_median", 4, None, w + dt.timedelta(days=14), float("inf"), -1.0),
+           (w, "hour_median", 5, 0, None, None, 1.0), (w, "hour_median", 2, 0, w + dt.timedelta(days=13), 0.0, 0.0)]
+    kinds = ("window_start date, method string, sample_index int, accept_hour int, accept_date date, actual_minutes double, "
+             "prediction_minutes double")
+    end = w + dt.timedelta(days=13)
+    good_metrics = [(w, end, m, 7) for m in T.DURATION_METHODS]
+    metric_kinds = "window_start date, window_end date, method string, known_training_records int"
+
+    def problems(predictions, metrics):
+        found = V.duration_tables_check(spark.createDataFrame(predictions, kinds), spark.createDataFrame(metrics, metric_kinds), 14)
+        return sorted((r.key.split("|", 1)[-1], r.field, r.status) for r in found.collect())
+
+    assert problems(rows, good_metrics) == []
+    assert problems([], []) == []
+    assert problems(rows + bad, good_metrics) == sorted([
+        ("hour_median|3", "accept_hour", "not_an_hour"), ("hour_median|4", "accept_hour", "not_an_hour"),
+        ("hour_median|4", "accept_date", "outside_window"), ("hour_median|4", "actual_minutes", "not_finite"),
+        ("hour_median|4", "prediction_minutes", "negative"), ("hour_median|5", "actual_minutes", "not_finite"),
+        ("hour_median|5", "accept_date", "outside_window"), ("hour_median|2", "sample_index", "repeated")])
+    late = w + dt.timedelta(days=14)
+    assert problems(rows, [(w, None, "global_median", 7), (w, end, "hour_median", 8), (late, late, "hour_median", 1)]) == sorted([
+        ("global_median", "window_end", "wrong_end"), ("hour_median", "window_end", "wrong_end"),
+        ("2024-03-01", "known_training_records", "unequal_training"), ("global_median", "method", "missing_method"),
+        ("global_median", "method", "missing_method"), ("hour_median", "method", "missing_method")])
+
+
+def test_published_links_must_lead_to_the_evidence(spark):
+    links = {"good": "[a](task/s.json)", "dots": "[a](./x/../task/s.json)", "other": "[a](task2/s.json)", "up": "[a](../task/s.json)",
+             "above": "[a](../../out/task/s.json)", "root": "[a](/out/task/s.json)", "site": "[a](http://h/s.json)",
+             "query": "[a](task/s.json?x)", "mark": "[a](task/s.json#x)", "words": "task/s.json", "blank": "[a](task/ s.json)", "none": None}
+    claims = spark.createDataFrame([(i, "out/task/s.json") for i in links], "id string, file string")
+    published = spark.createDataFrame(list(links.items()), "id string, link string").where("id <> 'none'")
+    got = {r.id: r.status for r in V.claim_links(claims, published, "out").collect()}
+    assert got == {"other": "leads_elsewhere", "up": "leads_elsewhere", "above": "leads_elsewhere", "root": "not_relative",
+                   "site": "not_relative", "query": "not_relative", "mark": "not_relative", "words": "not_a_link",
+                   "blank": "not_a_link", "none": "not_published"}
+
+
+def test_stored_labels_of_all_methods_and_seeds(spark):
+    """Right tables give no row; a fault in each table is found under its name."""
+    features = spark.createDataFrame([(p, i, 1 + i % 4, 10.0 * (i % 3) + (p == "later") * (i % 2), 5 + i) for p in ("first", "later")
+                                      for i in range(12)], "period string, customer_id int, orders int, business_volume double, recency_days int")
+    z = [f"z_{c}" for c in G.FEATURES]
+    wide = (G.volume_bands(G.standardize(features, reference="first"), "first")
+            .withColumn("kmeans_fixed", F.col("customer_id") % 3).withColumn("kmeans_refit", F.col("orders") % 2)).cache()
+    methods = ["kmeans_fixed", "kmeans_refit", "volume_fixed", "volume_refit"]
+    labels = G.assignment_long(wide, methods).cache()
+    metrics = G.long_drift(labels.join(wide.select("period", "customer_id", *z, F.col("volume_refit").alias("rule")),
+                                       ["period", "customer_id"]), z, "first").cache()
+    first = wide.where("period = 'first'")
+    seeds = first.select("customer_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("seed"), "kmeans_fixed").select(
+        "seed", "customer_id", F.when((F.col("seed") == 1) & (F.col("customer_id") < 3), 0).otherwise(F.col("kmeans_fixed")).alias("cluster"))
+    least = G.adjusted_rand(seeds.join(first.select("customer_id", "kmeans_fixed"), "customer_id"), "kmeans_fixed", "cluster", ["seed"])
+    one = {(r.period, r.method): r for r in metrics.collect()}
+    values = {"single_initialization_minimum_ari": least.agg(F.min("ari")).first()[0],
+              "first_customer_silhouette": one["first", "kmeans_fixed"].silhouette,
+              "customer_fixed_model_time_ari": one["later", "kmeans_fixed"].ari_to_first_period}
+
+    def tables(labels=labels, metrics=metrics, seeds=seeds, values=values):
+        summary = spark.createDataFrame(list(values.items()), "name string, value double")
+        return {(r.table, r.field, r.status) for r in V.recompute_drift(features, labels, metrics, seeds, summary, "first").collect()}
+
+    assert tables() == set()
+    wrong = F.when((F.col("period") == "later") & (F.col("method") == "kmeans_fixed"), 0.99).otherwise(F.col("ari_to_first_period"))
+    lost = seeds.where("NOT (seed = 1 AND customer_id = 11)")
+    found = tables(metrics=metrics.withColumn("ari_to_first_period", wrong), seeds=lost,
+                   values={**values, "customer_fixed_model_time_ari": 0.99})
+    assert {("metrics", "ari_to_first_period", "differs"), ("seeds", None, "missing"), ("summary", "value", "differs")} <= found
+    relabelled = labels.withColumn("cluster", F.when((F.col("method") == "volume_fixed") & (F.col("customer_id") == 5), 9)
+                                   .otherwise(F.col("cluster"))).where("NOT (method = 'kmeans_refit' AND customer_id = 0)")
+    found = tables(labels=relabelled)
+    assert {("assignments", "cluster", "differs"), ("assignments", None, "missing"), ("metrics", "k", "differs")} <= found
