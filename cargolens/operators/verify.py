@@ -374,8 +374,30 @@ def claim_evidence(claims: DataFrame, documents: DataFrame) -> DataFrame:
         F.when(cond, F.lit(name)) for name, cond in rules]))).alias("status"))
 
 
-#: Quoted link targets of a page.
-LINK = r"""(?i)href\s*=\s*["']([^"']*)["']"""
+#: A value of an attribute in any of its three forms: in double quotes, in single quotes, bare.
+VALUE = r"""("[^"]*"|'[^']*'|[^\s"'>][^\s>]*)"""
+LINK = r"""(?i)[\s"'/]href\s*=\s*""" + VALUE
+BASE = r"""(?i)<base\s(?:[^>]*[\s"'/])?href\s*=\s*""" + VALUE
+#: Character references read in attributes besides numeric ones (fixed values).
+NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
+
+
+def _attribute(raw: Column) -> Column:
+    """An attribute's value: quotes off, character references read once, white space at the ends off."""
+    bare = F.when(raw.rlike("""^["']"""), F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
+
+    def piece(p: Column) -> Column:
+        body = F.regexp_extract(p, f"^(#[0-9]{{1,7}}|#[xX][0-9A-Fa-f]{{1,6}}|{'|'.join(NAMED)});", 1)
+        code = F.when(body.rlike("^#[xX]"), F.conv(F.substring(body, 3, 6), 16, 10)).when(
+            body.startswith("#"), F.substring(body, 2, 7)).cast("bigint")
+        real = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        char = F.when(real, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        for name, text in NAMED.items():
+            char = F.when(body == name, F.lit(text)).otherwise(char)
+        return F.coalesce(F.concat(char, F.substring(p, F.length(body) + 2, F.length(p))), F.concat(F.lit("&"), p))
+
+    parts = F.split(bare, "&")
+    return F.trim(F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), piece), "")))
 
 
 def _collapsed(path: Column) -> Column:
@@ -393,11 +415,13 @@ def broken_links(pages: DataFrame, link_pattern: str = LINK, key: str = "page_id
                  text: str = "html", address: str = "url") -> DataFrame:
     """Local link targets that no page has: key, target.
 
-    Targets are resolved as a browser does: from the root of the host or the page's folder, '.' and '..' collapsed,
-    percent codes decoded on both sides. Targets with a scheme, other hosts and pure fragments are skipped;
-    queries and fragments are cut off.
+    Targets are resolved as a browser does: values may be quoted or bare and hold character references, a page's
+    first ``<base href>`` moves its folder, paths start at the root of the host or that folder, '.' and '..' are
+    collapsed, percent codes decoded on both sides. Targets with a scheme, other hosts (also by the base) and pure
+    fragments are skipped; queries and fragments are cut off.
     """
     host = r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)"
+    scheme = r"^[A-Za-z][A-Za-z0-9+.-]*:"
     valid = r"^([^%]|%[0-9A-Fa-f]{2})*$"
 
     def decoded(c: Column) -> Column:
@@ -406,14 +430,23 @@ def broken_links(pages: DataFrame, link_pattern: str = LINK, key: str = "page_id
     def plain(c: Column) -> Column:
         return F.regexp_replace(c, r"[?#].*$", "")
 
+    def folder_of(path: Column) -> Column:
+        found = F.regexp_extract(path, r"^(.*/)[^/]*$", 1)
+        return F.when(found == "", "/").otherwise(found)
+
     known = pages.select(decoded(plain(F.col(address))).alias("target")).distinct()
+    base, site, page = F.col("base"), F.col("site"), F.col("page")
+    base_path = F.regexp_replace(base, host, "")
     links = (pages.select(key, F.regexp_extract(address, host, 1).alias("site"),
-                          F.regexp_extract(F.regexp_replace(plain(F.col(address)), host, ""), r"^(.*/)[^/]*$", 1).alias("folder"),
-                          F.explode(F.regexp_extract_all(F.col(text), F.lit(link_pattern), F.lit(1))).alias("raw"))
-             .withColumn("path", plain(F.col("raw")))
-             .where((F.col("path") != "") & ~F.col("path").startswith("//")
-                    & ~F.col("path").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"))
-             .withColumn("folder", F.when(F.col("folder") == "", "/").otherwise(F.col("folder")))
+                          folder_of(F.regexp_replace(plain(F.col(address)), host, "")).alias("page"),
+                          plain(_attribute(F.regexp_extract(text, BASE, 1))).alias("base"),
+                          F.regexp_extract_all(F.regexp_replace(text, r"(?i)<base\s[^>]*>", ""), F.lit(link_pattern), F.lit(1)).alias("raw"))
+             .where(F.coalesce(~base.startswith("//") & (~base.rlike(scheme) | (F.regexp_extract(base, host, 1) == site)), F.lit(True)))
+             .withColumn("folder", F.when(base == "", page).when(base.rlike(scheme) | base.startswith("/"), folder_of(base_path))
+                         .otherwise(folder_of(F.concat("page", "base"))))
+             .select(key, "site", "folder", F.explode("raw").alias("raw"))
+             .withColumn("path", plain(_attribute(F.col("raw"))))
+             .where((F.col("path") != "") & ~F.col("path").startswith("//") & ~F.col("path").rlike(scheme))
              .withColumn("path", F.when(F.col("path").startswith("/"), F.col("path"))
                          .otherwise(F.concat("folder", "path")))
              .select(key, decoded(F.concat("site", _collapsed(F.col("path")))).alias("target"))

@@ -406,17 +406,43 @@ SELECT id, 'file_missing' AS status FROM f WHERE gone
 UNION ALL SELECT id, 'keys_lead_nowhere' FROM f WHERE sku = 'Brand#33' AND NOT gone
 UNION ALL SELECT id, 'evidence_differs' FROM f WHERE sku = 'Brand#11' AND NOT gone
 UNION ALL SELECT id, 'kind_missing' FROM f WHERE region = 'EUROPE'""")
-register("broken_links", "page_id:i target:s", lambda s, d: V.broken_links(B.table(s, d, "pages")), r"""
+
+
+def attribute_sql(raw: str) -> str:
+    """Quotes off, character references read once."""
+    bare = f"""CASE WHEN regexp_matches({raw}, '^["'']') THEN substr({raw}, 2, length({raw}) - 2) ELSE {raw} END"""
+    body = r"regexp_extract(p, '^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|amp|lt|gt|quot|apos);', 1)"
+    code = (f"CASE WHEN regexp_matches({body}, '^#[xX]') THEN CAST('0x' || substr({body}, 3) AS BIGINT) "
+            f"WHEN {body}[1] = '#' THEN CAST(substr({body}, 2) AS BIGINT) END")
+    char = (f"CASE {body} WHEN 'amp' THEN '&' WHEN 'lt' THEN '<' WHEN 'gt' THEN '>' WHEN 'quot' THEN '\"' WHEN 'apos' THEN chr(39) "
+            f"ELSE CASE WHEN ({code}) > 0 AND ({code}) <= 1114111 AND NOT ({code}) BETWEEN 55296 AND 57343 "
+            f"THEN chr(CAST({code} AS INTEGER)) END END")
+    pieces = f"list_transform(string_split({bare}, '&')[2:], lambda p: coalesce({char} || substr(p, length({body}) + 2), '&' || p))"
+    return f"trim(string_split({bare}, '&')[1] || coalesce(array_to_string({pieces}, ''), ''), ' ')"
+
+
+def folder_sql(path: str) -> str:
+    return f"coalesce(nullif(regexp_extract({path}, '^(.*/)[^/]*$', 1), ''), '/')"
+
+
+SITE, SCHEME = "'^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)'", "'^[A-Za-z][A-Za-z0-9+.-]*:'"
+view("vl_pages", f"""
+SELECT page_id, regexp_extract(url, {SITE}, 1) AS site, {folder_sql(f"regexp_replace(regexp_replace(url, '[?#].*$', ''), {SITE}, '')")} AS page,
+  regexp_extract(html, '{V.BASE.replace("'", "''")}', 1) AS raw_base,
+  regexp_extract_all(regexp_replace(html, '(?i)<base\\s[^>]*>', '', 'g'), '{V.LINK.replace("'", "''")}', 1) AS raws FROM pages""")
+view("vl_based", f"SELECT page_id, site, page, raws, regexp_replace({attribute_sql('raw_base')}, '[?#].*$', '') AS base FROM vl_pages")
+view("vl_links", f"""
+SELECT page_id, site, CASE WHEN base = '' THEN page WHEN regexp_matches(base, {SCHEME}) OR base[1] = '/'
+    THEN {folder_sql(f"regexp_replace(base, {SITE}, '')")} ELSE {folder_sql("(page || base)")} END AS folder, unnest(raws) AS raw
+FROM vl_based WHERE base NOT LIKE '//%' AND (NOT regexp_matches(base, {SCHEME}) OR regexp_extract(base, {SITE}, 1) = site)""")
+view("vl_paths", f"SELECT page_id, site, folder, regexp_replace({attribute_sql('raw')}, '[?#].*$', '') AS path FROM vl_links")
+register("broken_links", "page_id:i target:s", lambda s, d: V.broken_links(B.table(s, d, "pages")), rf"""
 SELECT DISTINCT page_id, target FROM (
-  SELECT page_id, CASE WHEN regexp_matches(t, '^([^%]|%[0-9A-Fa-f]{2})*$') THEN url_decode(t) ELSE t END AS target FROM (
+  SELECT page_id, CASE WHEN regexp_matches(t, '^([^%]|%[0-9A-Fa-f]{{2}})*$') THEN url_decode(t) ELSE t END AS target FROM (
     SELECT page_id, site || array_to_string(list_reduce(
         list_transform(string_split(CASE WHEN path[1] = '/' THEN path ELSE folder || path END, '/'), lambda x: [x]),
         lambda a, b: CASE WHEN b[1] = '..' THEN CASE WHEN len(a) > 1 THEN a[:len(a) - 1] ELSE a END
                           WHEN b[1] = '.' THEN a ELSE list_concat(a, b) END), '/') AS t
-    FROM (SELECT page_id, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS site,
-            CASE WHEN regexp_extract(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), '^(.*/)[^/]*$', 1) = '' THEN '/'
-              ELSE regexp_extract(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), '^(.*/)[^/]*$', 1) END AS folder,
-            regexp_replace(unnest(regexp_extract_all(html, '(?i)href\s*=\s*["'']([^"'']*)["'']', 1)), '[?#].*$', '') AS path FROM pages)
-    WHERE path <> '' AND path NOT LIKE '//%' AND NOT regexp_matches(path, '^[A-Za-z][A-Za-z0-9+.-]*:')))
-WHERE target NOT IN (SELECT CASE WHEN regexp_matches(p, '^([^%]|%[0-9A-Fa-f]{2})*$') THEN url_decode(p) ELSE p END
+    FROM vl_paths WHERE path <> '' AND path NOT LIKE '//%' AND NOT regexp_matches(path, {SCHEME})))
+WHERE target NOT IN (SELECT CASE WHEN regexp_matches(p, '^([^%]|%[0-9A-Fa-f]{{2}})*$') THEN url_decode(p) ELSE p END
                      FROM (SELECT regexp_replace(url, '[?#].*$', '') AS p FROM pages))""")

@@ -2,11 +2,13 @@
 
 import hashlib
 
+import duckdb
 import pytest
 
 from pyspark.sql import functions as F
 
 from cargolens.operators import delivery as T, segments as G, verify as V
+from cargolens.plans import QUERIES, full_sql
 from cargolens.sources import tables as S
 
 
@@ -35,6 +37,30 @@ def test_links_are_resolved_like_a_browser(spark):
     assert got == [(1, f"{base}/a/b/no.html"), (1, f"{base}/top"), (5, f"{base}/gone")]
 
 
+ODD_PAGES = [
+    (1, "http://h.org/a/p.html", "<a href=q.html><a class=x href=r.html><a href=\"it's.html\"><a data-href='no'><a href = 'R&#38;D.html'>"
+                                 "<a href='caf&#xE9;&lt;.html'><a href='x?a=1&amp;b=2'><a href='&amp;#38;.html'><a href='&bad;&#0;'>"),
+    (2, "http://h.org/a/b.html", "<base target=_top href='/c/d/'><a href=e.html><a href='/r.html'>"),
+    (3, "http://h.org/a/c.html", "<BASE HREF=sub/><a href=../r.html><a href=s.html>"),
+    (4, "http://h.org/a/d.html", "<base href='http://h.org/z/y.html'><a href=k.html>"),
+    (5, "http://h.org/a/e.html", "<base href='http://else.org/'><a href=k.html>"), (6, "http://h.org/a/f.html", "<base href='//else.org/'><a href=k.html>"),
+    (7, "http://h.org/a/r.html", None), (8, "http://h.org/c/d/e.html", "")]
+ODD_LINKS = [(1, "/a/&bad;&"), (1, "/a/&"), (1, "/a/R&D.html"), (1, "/a/caf\u00e9<.html"), (1, "/a/it's.html"), (1, "/a/q.html"), (1, "/a/x"),
+             (2, "/r.html"), (3, "/a/sub/s.html"), (4, "/z/k.html")]
+
+
+def test_links_bare_referenced_and_based(spark):
+    """The query and its twin on values in all forms, character references and bases of every kind."""
+    df = spark.createDataFrame(ODD_PAGES, "page_id int, url string, html string")
+    got = sorted((r.page_id, r.target.removeprefix("http://h.org")) for r in V.broken_links(df).collect())
+    assert got == sorted(ODD_LINKS)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id INTEGER, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", ODD_PAGES)
+    twin = con.execute(full_sql(QUERIES["broken_links"])).fetchall()
+    assert sorted((int(i), t.removeprefix("http://h.org")) for i, t in twin) == sorted(ODD_LINKS)
+
+
 def test_parquet_types_must_be_the_declared_ones(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.createDataFrame([(1, "a")], "id int, name string").write.parquet(path)
