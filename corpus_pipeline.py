@@ -37,14 +37,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     nothing says that they are one.
     """
     shared.prepare(spark)
-    keyed = docs.withColumn("_key", _row_key())
-    groups = jaccard.jaccard_components(keyed, key="_key")
+    keyed = docs.select(_row_key().alias("_key"), "text", F.struct(*docs.columns).alias("_row"))
+    groups = jaccard.jaccard_components(keyed.drop("_row"), key="_key")
     first = (groups.where(F.col("doc_id") == F.col("component_id"))
              .groupBy(F.col("doc_id").alias("_first")).agg(F.max("n_shingles").alias("_n")))
     rows = keyed.join(first, F.col("_key") == F.col("_first"))
     alone = F.when(F.col("_key.no_id") & (F.col("_n") == 0), F.monotonically_increasing_id())
     return (rows.withColumn("_alone", alone).groupBy("_key", "_alone")
-            .agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*"))
+            .agg(F.min("_row").alias("_row")).select("_row.*"))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
