@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from sentencepiece import SentencePieceProcessor
 from sentencepiece import sentencepiece_model_pb2 as model_pb2
 
-from .shared import texts_of
+from .shared import free_name, texts_of
 
 BLANK = "▁"
 #: Segments remembered by one task, and the longest of them in characters.
@@ -303,8 +303,9 @@ def encode_texts(df: DataFrame, model: str, text: str = "text") -> DataFrame:
     """The rows with ids, begins and ends; ``model`` is a path that every executor can read."""
     made = ["ids", "begins", "ends"]
     kept = [c for c in df.columns if c not in (*made, text)]
-    rows = df.select(*kept, F.col(text).cast("string").alias("_text"))
-    schema = rows.drop("_text").schema
+    last = free_name(df, "_text")
+    rows = df.select(*kept, F.col(text).cast("string").alias(last))
+    schema = rows.drop(last).schema
     for c in made:
         schema = schema.add(c, T.ArrayType(T.IntegerType()))
 
@@ -321,8 +322,9 @@ def encode_texts(df: DataFrame, model: str, text: str = "text") -> DataFrame:
 def decode_ids(df: DataFrame, model: str, ids: str = "ids") -> DataFrame:
     """The rows with ``decoded``, the library's text of the ids."""
     kept = [c for c in df.columns if c not in ("decoded", ids)]
-    rows = df.select(*kept, F.col(ids).alias("_ids"))
-    schema = rows.drop("_ids").schema.add("decoded", "string")
+    last = free_name(df, "_ids")
+    rows = df.select(*kept, F.col(ids).alias(last))
+    schema = rows.drop(last).schema.add("decoded", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = _library(model)

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import mix, texts_of, word_hashes
+from .shared import free_name, mix, texts_of, word_hashes
 
 BITS = 20
 #: Learning: rate, offset, L1, L2, passes, and the bound of the sample in rows.
@@ -135,8 +135,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 def score(df: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows with ``score`` and ``predicted``."""
     kept = [c for c in df.columns if c not in ("score", "predicted")]
-    rows = df.select(*kept, F.col(text).cast("string").alias("_text"))
-    schema = rows.drop("_text").schema.add("score", "double").add("predicted", "integer")
+    last = free_name(df, "_text")
+    rows = df.select(*kept, F.col(text).cast("string").alias(last))
+    schema = rows.drop(last).schema.add("score", "double").add("predicted", "integer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

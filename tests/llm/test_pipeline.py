@@ -3,10 +3,13 @@
 import random
 
 import duckdb
+import numpy as np
+import public_tokenizers
 import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline as C
+from cargolens.llm import pieces, toxicity
 from compare import TABLES, compare
 
 FOLDER = "/root/testdata/sf0.001"
@@ -72,3 +75,20 @@ def test_rows_without_an_id_and_rows_of_one_id(spark):
     cut = {(r.lang, r.doc_id, r.text, r.n_chars) for r in C.drop_repeated_passages(spark, docs, "").collect()}
     assert cut == {("1", 1, rows[0][1], 1), ("2", 9, "first end", 9), ("3", 9, "second end", 10), ("4", None, a, 1),
                    ("5", 10, None, 1)}
+
+
+def test_extra_columns_named_like_work_columns(spark):
+    """Rows and extra columns come through whatever the extra columns are called."""
+    names = ["_key", "_n", "_first", "_alone", "_row", "_text", "_TEXT_", "component_id", "n_shingles"]
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text, *"abcdefghi"), (2, text, *"abcdefghi"), (3, None, *"abcdefghi")],
+                                 "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    unique = C.drop_near_duplicates(spark, docs, "")
+    assert unique.columns == docs.columns
+    assert sorted((r[0], r[1], "".join(r[2:])) for r in unique.collect()) == [(1, text, "abcdefghi"), (3, None, "abcdefghi")]
+    model = toxicity.Model(np.array([], dtype=np.int64), np.array([]), 0.0)
+    scored = toxicity.score(docs, model)
+    assert scored.columns == [*docs.columns, "score", "predicted"]
+    assert {(r.doc_id, r._text, r["_TEXT_"], r.score) for r in scored.collect()} == {(i, "f", "g", 0.5) for i in (1, 2, 3)}
+    encoded = pieces.encode_texts(docs.drop("_TEXT_"), public_tokenizers.path("piece_bpe_32k.model"))
+    assert {(r.doc_id, r._text) for r in encoded.collect()} == {(i, "f") for i in (1, 2, 3)}
